@@ -45,6 +45,10 @@ class Banding:
         return self.left_rows * self.left_bands + self.right_rows * self.right_bands
 
 
+def _constants(n: int) -> np.ndarray:
+    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows that have words, their sets' sizes, and the distinct shingle hashes, ascending in each row."""
     starts, ends, row = word_spans(data, offsets)
@@ -52,7 +56,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     words = word_hashes(data, starts, ends)
     rows, first, count = np.unique(row, return_index=True, return_counts=True)
-    turn = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1) for k in range(width)]
+    turn = _constants(width)
     n = len(words)
     if n >= width:
         whole = sum((words[k : n - width + 1 + k] * turn[k] for k in range(1, width)), words[: n - width + 1] * turn[0])
@@ -76,10 +80,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return rows, size, hashes
 
 
-def _constants(n: int) -> np.ndarray:
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, hashes: int) -> DataFrame:
     """id, size of the shingle set, two sums that identify the set, and its minhashes (null for an empty set)."""
     factors = _constants(hashes)
