@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import identify
 from .neardup import near_duplicates
 from .packing import pack
 
@@ -25,12 +26,16 @@ def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op7_cutting_stock_packing, op10_minhash_neardup]
+    own = [op7_cutting_stock_packing, op9_kneser_ney_language, op10_minhash_neardup]
     return {f.__name__: f for f in own}
 
 
