@@ -5,10 +5,11 @@ tuple of the first and a tuple of the second is a table key: `left_bands * right
 `left_bands * left_rows + right_bands * right_rows` minhashes. Documents that share a key are candidates;
 all links are confirmed on the full shingle sets.
 
-No bucket is expanded into all of its pairs while its members may still join. Per round, every bucket
-compares its members with one hub (another one each round), and only members whose component is not
-the hub's are compared. What is left in more than one component after the rounds is compared pair by
-pair across components, so a bucket's candidates are all decided, whatever its size.
+No bucket is expanded into all of its pairs. Per round, every bucket compares its members with one hub
+(another one each round), and only members whose component is not the hub's are compared. Shingles that
+only one candidate has can be in no intersection, so their number bounds what a document can share: one with
+too many of them has no link at all, and the bound decides most of what is left in more than one component
+after the rounds. The rest is compared across components, so all candidates are decided.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .base import mix, saved, string_parts, word_hashes, word_spans
 
@@ -35,7 +36,7 @@ class Banding:
     right_bands: int
 
     @staticmethod
-    def for_threshold(threshold: float, recall: float = 0.9995, left_rows: int = 2, right_rows: int = 3) -> Banding:
+    def for_threshold(threshold: float, recall: float = 0.9999, left_rows: int = 2, right_rows: int = 3) -> Banding:
         miss = 1 - math.sqrt(recall)
         bands = lambda rows: max(1, math.ceil(math.log(miss) / math.log(1 - threshold**rows)))
         return Banding(left_rows, bands(left_rows), right_rows, bands(right_rows))
@@ -159,9 +160,38 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return nodes if nodes is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Sets of these sizes can reach the similarity."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _can_reach(size: str, own: str, size_b: str, own_b: str, percent: int) -> Column:
+    """Sets of these sizes, of whose shingles `own` are in no other set, can reach the similarity."""
+    most = F.least(F.col(size) - F.col(own), F.col(size_b) - F.col(own_b))
+    return most * 100 >= (F.col(size) + F.col(size_b) - most) * percent
+
+
+def across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (hub, id, root, size, own) of one hub and two roots that can reach the similarity.
+
+    Every set is taken as its symmetric difference to the hub's: two sets differ by as much as their differences do. If two
+    differences have nothing in common and the sets are similar, both are similar to the hub and so of one root already.
+    Other similar pairs share a difference element among the first few of each in the order of frequency, which is what
+    they are joined on; the elements' places bound the overlap. So members that vary a common text in their own
+    ways are not compared with each other.
+    """
+    one, two = sets.select("id", "shingles"), sets.select(F.col("id").alias("hub"), F.col("shingles").alias("of_hub"))
+    diff = F.concat(F.array_except("of_hub", "shingles"), F.array_except("shingles", "of_hub"))
+    rows = left.distinct().join(one, "id").join(two, "hub").select("hub", "id", "root", "size", "own", diff.alias("diff"))
+    parts = saved(rows.withColumn("d", F.size("diff")).select("hub", "id", "root", "size", "own", "d", F.explode("diff").alias("e")), "differences")
+    common = parts.groupBy("hub", "e").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("n > 1 and lo <> hi").select("hub", "e", "n")
+    kept = parts.join(common, ["hub", "e"])
+    own = Window.partitionBy("hub", "id")
+    # elements of no other root come first, whatever their number
+    kept = kept.withColumn("place", F.row_number().over(own.orderBy("n", "e")) + F.col("d") - F.count(F.lit(1)).over(own))
+    room = F.col("size") * ((100 - percent) / percent) + 1
+    kept = saved(kept.filter(F.col("place") <= room + 1e-9).drop("n"), "prefixes")
+    other = kept.select("hub", "e", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"), F.col("own").alias("own_b"), F.col("d").alias("d_b"), F.col("place").alias("place_b"))
+    differ = (F.col("size") + F.col("size_b")) * ((100 - percent) / (100 + percent))
+    overlap = 1 + F.least(F.col("d") - F.col("place"), F.col("d_b") - F.col("place_b"))
+    enough = 2 * overlap >= F.col("d") + F.col("d_b") - differ - 1e-6
+    met = kept.join(other, ["hub", "e"]).filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & _can_reach("size", "own", "size_b", "own_b", percent) & enough)
+    return met.select(F.col("id").alias("a"), "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -171,7 +201,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").filter(inter * 100 >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, rounds: int = 3, recall: float = 0.9995) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, rounds: int = 3, recall: float = 0.9999) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
     Words are runs of non-space bytes, A-Z lower-cased; the set is the distinct `width`-word shingles, or the whole
@@ -190,26 +220,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     touched = members.select("id").distinct()
     picked = docs.withColumn("__id", F.col(id_col).cast("long"))
     sets = saved(full_sets(picked.join(touched.withColumnRenamed("id", "__id"), "__id", "left_semi"), id_col, text_col, width).dropDuplicates(["id"]), "sets")
-    roots = None
-
-    def current() -> DataFrame:
-        if roots is None:
-            return members.withColumn("root", F.col("id"))
-        return members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    links = None
-    for r in range(rounds + 1):
-        now = current()
-        hubs = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(r), "id").alias("o"), F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"))).alias("h"))
-        mixed = saved(hubs.filter("lo <> hi").select("key", "h.hub", "h.hub_root", "h.hub_size"), "mixed")
+    alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    members = members.join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    members = saved(members.filter((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent), "linkable")
+    roots = links = None
+    for r in range(rounds + 1):  # the last one stays with the hubs of the one before, which all members have met
+        now = members.withColumn("root", F.col("id"))
+        if roots is not None:
+            now = members.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        hub = F.struct(F.xxhash64(F.lit(min(r, rounds - 1)), "id").alias("o"), F.col("id").alias("hub"), F.col("root").alias("hub_root"), F.col("size").alias("hub_size"), F.col("own").alias("hub_own"))
+        hubs = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(hub).alias("h"))
+        mixed = saved(hubs.filter("lo <> hi").select("key", "h.hub", "h.hub_root", "h.hub_size", "h.hub_own"), "mixed")
         if r < rounds:
-            met = now.join(mixed, "key").filter((F.col("root") != F.col("hub_root")) & _fits(F.col("size"), F.col("hub_size"), percent))
+            met = now.join(mixed, "key").filter((F.col("root") != F.col("hub_root")) & _can_reach("size", "own", "hub_size", "hub_own", percent))
             pairs = met.select(F.col("hub").alias("a"), F.col("id").alias("b"))
         else:
-            left = saved(now.join(mixed.select("key"), "key", "left_semi"), "left")
-            other = left.select("key", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("size").alias("size_b"))
-            met = left.join(other, "key").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & _fits(F.col("size"), F.col("size_b"), percent))
-            pairs = met.select(F.col("id").alias("a"), "b")
+            pairs = across(now.join(mixed.select("key", "hub"), "key").select("hub", "id", "root", "size", "own"), sets, percent)
         found = saved(confirmed(pairs.distinct(), sets, percent), "links")
         if found.isEmpty():
             continue
