@@ -199,20 +199,23 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """Length of the longest common subsequence of a and b, and the first and last place in b of one such."""
+    """Length of the longest common subsequence of a and b, and the first and last place in b of one that
+    ends as early and from there begins as late as it can."""
     table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
     for i in range(len(a)):
         up = np.where(b == a[i], table[i, :-1] + 1, 0)
         table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], up))
-    n, i, j, first, last = int(table[-1, -1]), len(a), len(b), -1, -1
+    n = int(table[-1, -1])
+    i, j = len(a), int(np.argmax(table[-1] == n))
+    first = last = j - 1
     while i and j and table[i, j]:
-        if table[i - 1, j] == table[i, j]:
+        if a[i - 1] == b[j - 1]:
+            first = j - 1
+            i, j = i - 1, j - 1
+        elif table[i - 1, j] == table[i, j]:
             i -= 1
-        elif table[i, j - 1] == table[i, j]:
-            j -= 1
         else:
-            first, last = j - 1, (j - 1 if last < 0 else last)
-            i, j = i - 1, j - 1
+            j -= 1
     return n, first, last
 
 
