@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from . import pii, secrets
+from .chat import format_preferences
 from .decontaminate import leaks
 from .language import identify
 from .neardup import near_duplicates
 from .packing import pack
+from .spans import joined, of_kinds
 
 
 def vocabulary() -> str:
@@ -23,6 +26,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _digest(base: Column) -> Column:
+    return F.sha2(joined(base).cast("binary"), 256)
+
+
+def op3_secret_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secrets.BASE]
+    base = of_kinds(F.col("spans"), kinds)
+    counts = [F.size(of_kinds(F.col("spans"), [k])).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *counts, _digest(base).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def preference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs from conversations: each as it is, and with its last assistant turn answered as the next conversation's is."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    last = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("l")).select("conv_id", F.col("l.turn").alias("at"), F.col("l.text").alias("answer"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("answer").alias("other"))
+    worse = turns.join(last, "conv_id", "left").join(other, "conv_id", "left")
+    swap = (F.col("role") == "assistant") & (F.col("turn") == F.col("at"))
+    worse = worse.select("conv_id", "turn", "role", F.when(swap, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text"))
+    return turns.withColumn("is_chosen", F.lit(True)).unionByName(worse.withColumn("is_chosen", F.lit(False)))
+
+
+def op4_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_preferences(preference_turns(spark, sf_dir), pair_col="conv_id").withColumnRenamed("pair_id", "conv_id")
+
+
 def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +61,12 @@ def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(of_kinds(F.col("base"), [r.kind])).cast("long").alias(f"n_{r.kind}") for r in pii.BASE]
+    return found.select("doc_id", *counts, _digest(F.col("base")).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op9_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -40,7 +76,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op5_latent_decontamination, op7_cutting_stock_packing, op9_kneser_ney_language, op10_minhash_neardup]
+    own = [op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup]
     return {f.__name__: f for f in own}
 
 
