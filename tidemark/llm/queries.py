@@ -9,10 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from . import pii, secrets
 from .chat import format_preferences
 from .decontaminate import leaks
+from .htmltext import extract
 from .language import identify
+from .media import media_columns
 from .neardup import near_duplicates
 from .packing import pack
 from .spans import joined, of_kinds
+from .warc import archive
 
 
 def vocabulary() -> str:
@@ -26,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op2_media_tar_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media_columns(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height")
+
+
 def _digest(base: Column) -> Column:
     return F.sha2(joined(base).cast("binary"), 256)
 
@@ -57,6 +69,10 @@ def op5_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc_sharded_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_cutting_stock_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -76,7 +92,7 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup]
+    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup]
     return {f.__name__: f for f in own}
 
 
