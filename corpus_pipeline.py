@@ -1,13 +1,78 @@
-"""The corpus pipeline: stages over documents, each on all that the one before it kept."""
+"""The corpus pipeline: language ID, near-dedup, benchmark decontamination, secret scans, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
+Parquet and read again. All but the last return the columns of documents. Rows are told apart by doc_id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemark.llm import secrets
+from tidemark.llm.base import saved
+from tidemark.llm.decontaminate import leaks
+from tidemark.llm.language import identify
+from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.packing import pack
+from tidemark.llm.queries import table, vocabulary
+
+#: Up to so many ids (8 MB) are broadcast; beyond, an anti join shuffles.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in ids."""
+    ids = saved(ids.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go."""
+    return without(docs, identify(docs).filter("rejected"))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, 0.8 or more) the document of the smallest id stays; of rows
+    that repeat an id, one stays."""
+    groups = saved(near_duplicates(docs, percent=80), "groups")
+    kept = without(docs, groups.filter(~F.col("kept")))
+    repeated = groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return without(kept, repeated).unionByName(once)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced by their kinds; all documents stay."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The training sequences."""
+    return pack(docs, vocabulary())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_near_dedup", neardup_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("secret_scans", secrets_stage),
+    ("packing", packing_stage),
+]
 
+#: The stages train models and search approximately, which SQL does not express; tests/llm hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return docs
