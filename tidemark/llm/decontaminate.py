@@ -88,8 +88,8 @@ def hit_lists(docs: DataFrame, items: Items, id_col: str, text_col: str) -> Data
 
 
 def _passages(lists: list[bytes], weight: np.ndarray, width: int, overlap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row and first position of each passage that has weighted words; passage, word and unit-length weight of each such
-    word. Passages are `width` words long and begin every width / 2 words (every width words without overlap)."""
+    """Row and first position of each passage that has weighted words; passage, word and weight of each such word.
+    Passages are `width` words long and begin every width / 2 words (every width words without overlap)."""
     hits = np.frombuffer(b"".join(lists), "<u4").reshape(-1, 2)
     rows = np.repeat(np.arange(len(lists)), np.array([len(x) // 8 for x in lists], np.int64))
     used = np.flatnonzero(weight[hits[:, 1]] > 0)
@@ -103,10 +103,7 @@ def _passages(lists: list[bytes], weight: np.ndarray, width: int, overlap: bool)
         order = np.argsort(key, kind="stable")
         key, word = key[order], word[order]
     distinct, owner = np.unique(key, return_inverse=True)
-    w = weight[word]
-    if len(w):
-        w = w / np.sqrt(_sums(w * w, owner))[owner]
-    return distinct >> 32, (distinct & 0xFFFFFFFF) * pace, owner, word, w
+    return distinct >> 32, (distinct & 0xFFFFFFFF) * pace, owner, word, weight[word]
 
 
 def _sums(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -152,14 +149,15 @@ def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
     return _normal(tf * idf)
 
 
-def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int, passage: int, power_steps: int = 1) -> np.ndarray:
-    """The leading right singular vectors of the TF-IDF matrix of all passages, benchmark items among them.
+def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int, passage: int, item_weight: float, power_steps: int = 0) -> np.ndarray:
+    """A basis of the leading right singular space of the TF-IDF matrix of all passages and the benchmark items.
 
     A sketch A'(A W) with random W is summed over tasks, orthonormalised on the driver (vocabulary x rank, bounded by
-    the block), and sharpened by `power_steps` more passes; the last pass gives the small projected matrix."""
+    the block), and sharpened by `power_steps` more passes. Each item counts as `item_weight` passages, so an item that
+    the corpus holds once is not lost among its frequent words."""
     n_words, spark = len(idf), hits.sparkSession
     rank = min(rank, n_words)
-    own = _item_matrix(items, idf)
+    own = _item_matrix(items, idf) * np.sqrt(item_weight)
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((basis.astype(np.float32), idf.astype(np.float32)))
@@ -171,6 +169,7 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
                 for lo in range(0, len(batch), 2000):
                     _, _, owner, word, w = _passages(batch.column(1).slice(lo, 2000).to_pylist(), weight, passage, False)
                     if len(owner):
+                        w = w / np.sqrt(_sums(w * w, owner))[owner]
                         latent = np.ascontiguousarray(_sums(q[word] * w[:, None], owner).T)
                         for k in range(len(total)):
                             total[k] += np.bincount(word, latent[k][owner] * w, n_words)
@@ -222,7 +221,8 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, extra_rank: int = 24, cosine: float = 0.35, share: float = 0.7, density: float = 0.6, answer_words: int = 5, answer_share: float = 0.6, rare_words: int = 12, rare_share: float = 0.01, block_items: int = 256, block_words: int = 16_000) -> DataFrame:
     """doc_id, item_id, cosine, lcs_words, item_words, answer_found: one row for each document and item it leaks.
 
-    A pair is a leak if a passage's latent cosine to the item is `cosine` or more and, around that passage, a common
+    A pair is a leak if a passage's latent cosine to the item is `cosine` or more, its latent length at least half the
+    item's, and, around that passage, a common
     subsequence of `share` or more of the item's words, at least `density` of its extent in the text, holds
     `answer_share` or more of the item's last `answer_words` words. Words are runs of letters and digits, ASCII case
     folded. Null and empty texts and items leak nothing; repeated rows give the pair once; empty tables give no rows.
@@ -235,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         n_docs = max(1, hits.count())
         df = document_frequencies(hits, len(items.vocabulary))
         idf = weights(items, df, n_docs, rare_words, rare_share)
-        vectors = singular_vectors(hits, items, idf, len(items.ids) + extra_rank, passage)
+        vectors = singular_vectors(hits, items, idf, len(items.ids) + extra_rank, passage, float(n_docs))
         found.append(_decided(hits, items, idf, vectors, passage, cosine, share, density, answer_words, answer_share))
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_found boolean")
@@ -243,19 +243,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray, passage: int, cosine: float, share: float, density: float, answer_words: int, answer_share: float) -> DataFrame:
-    latent_items = _normal(_item_matrix(items, idf) @ vectors)
-    shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), vectors.astype(np.float32), latent_items.T.astype(np.float32)))
+    tf = np.zeros((len(items.ids), len(items.vocabulary)))
+    for i, w in enumerate(items.words):
+        tf[i, w] = 1.0
+    latent_items = (tf * idf) @ vectors
+    shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), vectors.astype(np.float32), _normal(latent_items).T.astype(np.float32), np.linalg.norm(latent_items, axis=1).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weight, v, targets = shared.value
+        own, weight, v, targets, lengths = shared.value
         for batch in batches:
             for lo in range(0, len(batch), 400):
                 part = batch.slice(lo, 400)
                 row, start, owner, word, w = _passages(part.column(1).to_pylist(), weight, passage, True)
                 if not len(owner):
                     continue
-                similar = _normal(_sums(v[word] * w[:, None], owner)) @ targets
-                p, item = np.nonzero(similar >= cosine)
+                # a passage shorter than half of an item's vector cannot hold most of the item
+                near = _sums(w * w, owner) >= (0.5 * lengths.min()) ** 2
+                if not near.any():
+                    continue
+                row, start, used = row[near], start[near], near[owner]
+                owner, word, w = np.unique(owner[used], return_inverse=True)[1], word[used], w[used]
+                latent = _sums(v[word] * w[:, None], owner)
+                size = np.linalg.norm(latent, axis=1)
+                similar = _normal(latent) @ targets
+                p, item = np.nonzero((similar >= cosine) & (size[:, None] >= 0.5 * lengths[None, :]))
                 best: dict[tuple[int, int], list] = {}
                 for pi, it in zip(p.tolist(), item.tolist(), strict=True):
                     best.setdefault((int(row[pi]), it), []).append((float(similar[pi, it]), int(start[pi])))
