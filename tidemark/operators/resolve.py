@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import seed
 from ..functions.text import core_token, isotope_label, normalize_text, strip_noise
 
-#: Dictionaries of up to so many keys are broadcast; larger ones join by shuffles.
-BROADCAST_KEYS = 200_000
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else df
-
-
 def with_keys(phrases: DataFrame) -> DataFrame:
     """phrase with norm (its key) and stripped (the key without noise words)."""
     return phrases.withColumn("norm", normalize_text(F.col("phrase"))).withColumn("stripped", strip_noise(F.col("norm")))
@@ -25,7 +15,7 @@ def with_keys(phrases: DataFrame) -> DataFrame:
 def resolve_by_key(keyed: DataFrame, dictionary: DataFrame, key: str, kind: str) -> DataFrame:
     """The rows whose key column is an alias, with the dictionary's values and match_kind."""
     own = dictionary.withColumnRenamed("alias_key", key).drop("ord")
-    return keyed.filter(F.col(key) != "").join(_sized(own), key).withColumn("match_kind", F.lit(kind))
+    return keyed.filter(F.col(key) != "").join(own, key).withColumn("match_kind", F.lit(kind))
 
 
 def resolve_exact(keyed: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -44,7 +34,7 @@ def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame) -> DataFrame:
     value_cols = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
     n = F.length("alias_key")
     bands = dictionary.withColumn("band", F.explode(F.sequence(F.greatest(n - 2, F.lit(0)), n + 2))).withColumn("alias_length", n)
-    near = probe.join(_sized(bands), "band").filter(F.abs(F.col("alias_length") - F.col("band")) <= F.col("most"))
+    near = probe.join(bands, "band").filter(F.abs(F.col("alias_length") - F.col("band")) <= F.col("most"))
     near = near.withColumn("distance", F.when(F.col("most") == 2, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
     best = near.groupBy(*keyed.columns).agg(F.min_by(F.struct(*value_cols), F.struct("distance", "ord")).alias("v"))
     return best.select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
@@ -54,7 +44,7 @@ def resolve_symbol_guard(keyed: DataFrame, elements: DataFrame) -> DataFrame:
     """The rows whose core word has a capital and is an element's symbol, case and all: the element's default isotope."""
     core = core_token(F.col("phrase"))
     own = elements.select(F.col("symbol").alias("core"), F.col("z").alias("entity_id"), F.col("default_mass_number").alias("mass_number"))
-    hit = keyed.withColumn("core", core).filter((F.col("norm") != "") & (F.col("core") != F.lower("core"))).join(_sized(own), "core").drop("core")
+    hit = keyed.withColumn("core", core).filter((F.col("norm") != "") & (F.col("core") != F.lower("core"))).join(own, "core").drop("core")
     return hit.withColumn("assumed", F.lit(True)).withColumn("match_kind", F.lit("exact"))
 
 
@@ -66,33 +56,44 @@ def element_keys(elements: DataFrame, variants: DataFrame) -> DataFrame:
 
 def resolve_isotope(keyed: DataFrame, elements: DataFrame, variants: DataFrame) -> DataFrame:
     """The rows that say an element and a mass number of 1 to 3 digits in either order; stripped key first, then norm."""
-    keys = _sized(element_keys(elements, variants))
-
-    def parse(c: str) -> DataFrame:
-        head, tail = (F.regexp_extract(c, r"^([a-z]+)\s*([0-9]{1,3})$", g) for g in (1, 2))
-        first, second = (F.regexp_extract(c, r"^([0-9]{1,3})\s*([a-z]+)$", g) for g in (1, 2))
-        named = keyed.withColumn("name_key", F.when(head != "", head).otherwise(second)).withColumn("mass_number", F.when(head != "", tail).otherwise(first).cast("int"))
-        return named.filter("name_key <> ''").join(keys, "name_key").drop("name_key").withColumnRenamed("z", "entity_id")
-
-    one = parse("stripped")
-    two = parse("norm").join(one.select("phrase"), "phrase", "left_anti")
-    return one.unionByName(two.select(one.columns)).withColumn("assumed", F.lit(False)).withColumn("match_kind", F.lit("isotope"))
+    found = resolve_isotope_parts(keyed, elements, variants).filter("iso is not null")
+    return found.select(*keyed.columns, "iso.*", F.lit("isotope").alias("match_kind"))
 
 
 def lookup_entity(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     """found with the catalogue's columns of its entity_id; unknown entities get nulls."""
-    return found.join(_sized(catalogue.withColumnRenamed("id", "entity_id")), "entity_id", "left")
-
-
-def cascade(keyed: DataFrame, tiers: list) -> DataFrame:
-    """The first tier's hit for each phrase. A tier is a function of the rows that all before have left."""
-    left, hits = keyed, []
-    for tier in tiers:
-        hit = tier(left)
-        hits.append(hit)
-        left = left.join(hit.select("phrase"), "phrase", "left_anti")
-    columns = ["phrase", "entity_id", *[c for c in ("mass_number", "assumed") if c in hits[0].columns], "match_kind"]
-    return reduce(DataFrame.unionByName, [h.select(columns) for h in hits])
+    return found.join(catalogue.withColumnRenamed("id", "entity_id"), "entity_id", "left")
+
+
+def cascade(keyed: DataFrame, lookups: list[tuple[str, Column, DataFrame]], dictionary: DataFrame) -> DataFrame:
+    """The first hit of each phrase: lookups (kind, key, table with the key first) in order, then the column iso if
+    there is one, then the fuzzy tier for the rest.
+
+    The equality tiers are left joins of one pass, which Spark broadcasts where the tables are small."""
+    values = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
+    iso = [F.when(F.col("iso").isNotNull(), F.struct(F.col("iso.entity_id").alias("entity_id"), F.col("iso.mass_number").alias("mass_number"), F.col("iso.assumed").alias("assumed"), F.lit("isotope").alias("match_kind")))] if "iso" in keyed.columns else []
+    rows = keyed
+    for i, (kind, key, table) in enumerate(lookups):
+        own = table.select(F.col(table.columns[0]).alias(f"_k{i}"), F.struct(*values, F.lit(kind).alias("match_kind")).alias(f"_v{i}"))
+        rows = rows.withColumn(f"_k{i}", key).join(own, f"_k{i}", "left")
+    rows = rows.select(*keyed.columns, F.coalesce(*[f"_v{i}" for i in range(len(lookups))], *iso).alias("v")).persist()
+    near = resolve_fuzzy(rows.filter("v is null").drop("v"), dictionary)
+    return rows.filter("v is not null").select("phrase", "v.*").unionByName(near.select("phrase", *values, "match_kind"))
+
+
+def resolve_isotope_parts(keyed: DataFrame, elements: DataFrame, variants: DataFrame) -> DataFrame:
+    """keyed with iso, struct<entity_id, mass_number, assumed>, of a phrase that says an isotope, else null."""
+    keys = element_keys(elements, variants)
+    rows = keyed
+    for c in ("stripped", "norm"):
+        head, tail = (F.regexp_extract(c, r"^([a-z]+)\s*([0-9]{1,3})$", g) for g in (1, 2))
+        first, second = (F.regexp_extract(c, r"^([0-9]{1,3})\s*([a-z]+)$", g) for g in (1, 2))
+        mass = F.when(head != "", tail).otherwise(first).try_cast("int")
+        own = keys.select(F.col("name_key").alias("_name"), F.col("z").alias("_z"))
+        rows = rows.withColumn("_name", F.nullif(F.when(head != "", head).otherwise(second), F.lit(""))).withColumn("_mass", mass).join(own, "_name", "left")
+        value = F.when(F.col("_z").isNotNull(), F.struct(F.col("_z").alias("entity_id"), F.col("_mass").alias("mass_number"), F.lit(False).alias("assumed")))
+        rows = rows.withColumn(f"_iso_{c}", value).drop("_name", "_mass", "_z")
+    return rows.withColumn("iso", F.coalesce("_iso_stripped", "_iso_norm")).drop("_iso_stripped", "_iso_norm")
 
 
 def _distinct(phrases: DataFrame, phrase_col: str) -> DataFrame:
@@ -101,20 +102,20 @@ def _distinct(phrases: DataFrame, phrase_col: str) -> DataFrame:
 
 def resolve_material(phrases: DataFrame, dictionary: DataFrame, catalogue: DataFrame, phrase_col: str = "phrase") -> DataFrame:
     """Distinct phrases that resolve: phrase, entity_id, name, kind, match_kind."""
-    found = cascade(_distinct(phrases, phrase_col), [lambda k: resolve_exact(k, dictionary), lambda k: resolve_normalized(k, dictionary), lambda k: resolve_fuzzy(k, dictionary)])
+    exact = dictionary.drop("ord")
+    lookups = [("exact", F.col("norm"), exact), ("normalized", F.when(F.col("stripped") != F.col("norm"), F.col("stripped")), exact)]
+    found = cascade(_distinct(phrases, phrase_col), lookups, dictionary)
     return lookup_entity(found, catalogue).filter("name is not null").select("phrase", "entity_id", "name", "kind", "match_kind")
 
 
 def resolve_particle(phrases: DataFrame, dictionary: DataFrame, catalogue: DataFrame, elements: DataFrame, variants: DataFrame, phrase_col: str = "phrase", electron_id: int = seed.ELECTRON) -> DataFrame:
     """Distinct phrases that resolve: phrase, entity_id, symbol, name, mass_number, isotope, isotope_assumed, match_kind."""
-    tiers = [
-        lambda k: resolve_symbol_guard(k, elements),
-        lambda k: resolve_exact(k, dictionary),
-        lambda k: resolve_normalized(k, dictionary),
-        lambda k: resolve_isotope(k, elements, variants),
-        lambda k: resolve_fuzzy(k, dictionary),
-    ]
-    found = lookup_entity(cascade(_distinct(phrases, phrase_col), tiers), catalogue).filter("name is not null")
+    core = core_token(F.col("phrase"))
+    symbols = elements.select("symbol", F.col("z").alias("entity_id"), F.col("default_mass_number").alias("mass_number"), F.lit(True).alias("assumed"))
+    exact = dictionary.drop("ord")
+    rows = resolve_isotope_parts(_distinct(phrases, phrase_col), elements, variants)
+    lookups = [("exact", F.when(core != F.lower(core), core), symbols), ("exact", F.col("norm"), exact), ("normalized", F.when(F.col("stripped") != F.col("norm"), F.col("stripped")), exact)]
+    found = lookup_entity(cascade(rows, lookups, dictionary), catalogue).filter("name is not null")
     label = isotope_label(F.col("mass_number"), F.col("symbol"), F.col("entity_id") == electron_id)
     return found.select("phrase", "entity_id", "symbol", "name", "mass_number", label.alias("isotope"), F.col("assumed").alias("isotope_assumed"), "match_kind")
 
