@@ -184,7 +184,7 @@ def test_language_edges(spark):
 
 
 def test_model_sums_to_one():
-    model = language.Model([("a", g, n) for g, n in (("    x", 3), ("   xy", 2), ("  xy ", 2), ("   x ", 1))])
+    model = language.Model(["a"] * 4, ["    x", "   xy", "  xy ", "   x "], np.array([3, 2, 2, 1]))
     context = model._codes(np.array([[ord(" ")] * 4], np.uint32))
     every = np.arange(len(model.alphabet) + 1, dtype=np.uint64)
     keys = model._key(np.column_stack([np.repeat(context, len(every), 0), every]))

@@ -166,8 +166,8 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
             q, weight = shared.value
             total = np.zeros((q.shape[1], n_words))
             for batch in batches:
-                for lo in range(0, len(batch), 2000):
-                    _, _, owner, word, w = _passages(batch.column(1).slice(lo, 2000).to_pylist(), weight, passage, False)
+                for lo in range(0, len(batch), 1000):
+                    _, _, owner, word, w = _passages(batch.column(1).slice(lo, 1000).to_pylist(), weight, passage, False)
                     if len(owner):
                         w = w / np.sqrt(_sums(w * w, owner))[owner]
                         latent = np.ascontiguousarray(_sums(q[word] * w[:, None], owner).T)
