@@ -96,5 +96,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+OP4 = """WITH l AS (SELECT conv_id, max(turn) AS pos, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1),
+p AS (SELECT c.conv_id, c.turn, c.role, c.text, pos, answer, coalesce(o.answer_, '') AS other FROM conversations c LEFT JOIN l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer AS answer_ FROM l) o USING (conv_id)),
+r AS (SELECT conv_id, turn, turn = pos AS swapped, pos IS NULL OR answer = other OR turn < pos AS shared, answer, other, concat('<|', role, '|>\n', text, '<|end|>\n') AS a, concat('<|', role, '|>\n', CASE WHEN turn = pos THEN other ELSE text END, '<|end|>\n') AS b FROM p)
+SELECT conv_id, CAST(count(*) FILTER (shared) AS INT) AS prompt_turns, coalesce(string_agg(a, '' ORDER BY turn) FILTER (shared), '') AS prompt, coalesce(string_agg(a, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
+coalesce(string_agg(b, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected, coalesce(max(concat('14:', 22 + length(answer))) FILTER (swapped AND NOT shared), '') AS chosen_mask, coalesce(max(concat('14:', 22 + length(other))) FILTER (swapped AND NOT shared), '') AS rejected_mask FROM r GROUP BY 1"""
+
+OP6 = """WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS g FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY g) AS last FROM d)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN n >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 1000 AND page_id < last THEN last END AS refers_to FROM m"""
+
+OP10 = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: hash(w[i:i+4]))) WHEN len(w) > 0 THEN [hash(w)] ELSE [] END AS s FROM w),
+f AS (SELECT s, min(doc_id) AS first, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s HAVING len(s) > 0), u AS (SELECT first, n, unnest(s) AS h FROM f),
+i AS (SELECT x.first AS a, y.first AS b, x.n AS na, y.n AS nb, count(*) AS k FROM u x JOIN u y ON x.h = y.h AND x.first <> y.first GROUP BY ALL),
+links AS (SELECT a, b FROM i WHERE 100 * k >= 85 * (na + nb - k)), reach(a, b) AS (SELECT first, first FROM f UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a), c AS (SELECT a, min(b) AS root FROM reach GROUP BY 1),
+o AS (SELECT doc_id, len(s.s) AS n_shingles, coalesce(root, doc_id) AS component_id FROM (SELECT doc_id, list_sort(s) AS s FROM s) s LEFT JOIN f ON f.s = s.s LEFT JOIN c ON c.a = f.first)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The operators whose rows SQL expresses; tests/llm hold the others against brute force, round trips and held-out rows."""
+    return {"op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10}
