@@ -16,7 +16,7 @@ def _entities(pairs: DataFrame, field: str, resolver, extra: list[str]) -> DataF
     long = pairs.select("id", F.posexplode(F.arrays_zip(F.col(f"predicted.{field}").alias("p"), F.col(f"expected.{field}").alias("g"))).alias("k", "x"))
     long = long.select("id", F.col("x.p").alias("p"), F.col("x.g").alias("g"))
     phrases = long.select(F.explode(F.array("p.match", "g.match")).alias("phrase"))
-    found = resolver(phrases).select("phrase", F.struct("entity_id", *extra).alias("e")).persist()
+    found = resolver(phrases).select("phrase", F.struct("entity_id", *extra).alias("e"))
     both = long.join(found.select(F.col("phrase").alias("_p"), F.col("e").alias("pe")), F.col("p.match") == F.col("_p"), "left").join(found.select(F.col("phrase").alias("_g"), F.col("e").alias("ge")), F.col("g.match") == F.col("_g"), "left")
     by_entity = F.col("pe") == F.col("ge")
     if extra:

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.tables import saved
 from ..functions.text import WORD, bounds, fold_unit, match_spans, number_text, overlaps, token_ngrams
 from .resolve import resolve_material, resolve_particle
 
@@ -280,15 +281,18 @@ def extract_intents(q: DataFrame, particle_resolver, material_resolver, rules: R
 
     Rows of null text get empty slots. The intent's program stays null; named programs are the column programs."""
     rules = rules or Rules()
-    base = with_numbers(q.select("id", F.coalesce("text", F.lit("")).alias("text")), rules).persist()  # read by three branches
-    mentions = particle_mentions(base.select("id", "text"), particle_resolver).persist()
+    base = with_numbers(q.select("id", F.coalesce("text", F.lit("")).alias("text")), rules)
+    base = saved(base, "numbers")  # read by three branches
+    mentions = particle_mentions(base.select("id", "text"), particle_resolver)
     none = "array<struct<start:int,k:int,end:int,match:string,entity_id:int,symbol:string,name:string,mass_number:int,isotope:string,isotope_assumed:boolean,match_kind:string>>"
     rows = base.join(mentions, "id", "left").withColumn("_particles", F.coalesce("particles", F.array().cast(none))).drop("particles")
     target_span = F.when(F.col("_target").isNull(), F.array().cast("array<struct<start:int,end:int>>")).otherwise(bounds(F.array("_target")))
-    rows = rows.withColumn("claimed", F.concat(bounds(F.col("_particles")), bounds(F.col("_energies")), target_span))
+    # read by the material pass and by the final join
+    rows = saved(rows.withColumn("claimed", F.concat(bounds(F.col("_particles")), bounds(F.col("_energies")), target_span)), "particles")
     found = material_mentions(rows.select("id", "text", "claimed"), material_resolver, rules)
     none = "array<struct<start:int,end:int,match:string,entity_id:int,name:string,kind:string,match_kind:string>>"
     rows = rows.join(found, "id", "left").withColumn("_materials", F.coalesce("materials", F.array().cast(none))).drop("materials")
+    rows = saved(rows, "mentions")
     p, m, e = F.col("_particles"), F.col("_materials"), F.col("_energies")
     inverse = F.col("quantity").isin(FROM_RANGE, FROM_POWER)
     incomplete = (F.size(p) == 0) | (F.size(m) == 0) | F.when(inverse, F.col("_target").isNull()).otherwise(F.size(e) == 0)
@@ -314,6 +318,6 @@ def seed_resolvers(spark) -> tuple:
     from .dictionary import build_catalogue, build_particle_catalogue, material_dictionary, particle_dictionary
 
     elements, variants = seed.elements(spark), seed.element_variants(spark)
-    particles, materials = particle_dictionary(spark).persist(), material_dictionary(spark).persist()
+    particles, materials = saved(particle_dictionary(spark), "particle-dictionary"), saved(material_dictionary(spark), "material-dictionary")
     particle_catalogue, catalogue = build_particle_catalogue(elements), build_catalogue(elements, seed.compounds(spark))
     return (lambda p: resolve_particle(p, particles, particle_catalogue, elements, variants)), (lambda p: resolve_material(p, materials, catalogue))

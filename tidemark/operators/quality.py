@@ -172,7 +172,7 @@ def record_ids(records: DataFrame) -> DataFrame:
 
 def validation_report(lines: DataFrame, vocabulary: DataFrame, min_count: int = 100) -> DataFrame:
     """One row: count, errors, ok (no errors), passed (ok and count at least min_count)."""
-    records = data_lines(lines).persist()
+    records = data_lines(lines)
     errors = violations(records).select(F.lit(1).alias("e"))
     errors = errors.unionByName(records.filter("json is null").select(F.lit(1).alias("e")))
     errors = errors.unionByName(unknown_tags(record_tags(records), vocabulary).select(F.lit(1).alias("e")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import seed
+from ..functions.tables import saved
 from ..functions.text import fold_name
 from . import curves as C
 from .extract import FROM_POWER, FROM_RANGE, POWER
@@ -74,11 +75,12 @@ def compute_requests(intents: DataFrame, particle_resolver, material_resolver, c
 
     intents: (request_id, intent). particles: (id, atomic_mass); materials: (id, density). error_scope is request, leg or
     null. Stopping-power requests do not compute ranges."""
-    cells = C.curve_cells(curves).persist()
-    checked = structural_errors(resolved_entities(intents, particle_resolver, material_resolver)).persist()
+    cells = saved(C.curve_cells(curves), "cells")
+    checked = saved(structural_errors(resolved_entities(intents, particle_resolver, material_resolver)), "checked")
     failed = checked.filter("request_error is not null").select("request_id", F.col("intent.quantity").alias("quantity"), F.col("request_error").alias("error"), F.lit("request").alias("error_scope"))
     legs = fan_out(checked.filter("request_error is null"), keys, names, programs_of)
-    legs = legs.join(particles.select(F.col("id").alias("particle_id"), "atomic_mass"), "particle_id", "left").join(materials.select(F.col("id").alias("material_id"), "density"), "material_id", "left").persist()
+    legs = legs.join(particles.select(F.col("id").alias("particle_id"), "atomic_mass"), "particle_id", "left").join(materials.select(F.col("id").alias("material_id"), "density"), "material_id", "left")
+    legs = saved(legs, "legs")
     quantity = F.col("intent.quantity")
     mass = F.when(F.col("mass_number") > 1, F.col("atomic_mass")).otherwise(F.col("mass_number"))
     forward = legs.filter(~quantity.isin(FROM_RANGE, FROM_POWER)).select("*", F.posexplode("intent.energies").alias("pos", "e"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import seed
+from ..functions.tables import saved
 from ..functions.text import core_token, isotope_label, normalize_text, strip_noise
 
 def with_keys(phrases: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def cascade(keyed: DataFrame, lookups: list[tuple[str, Column, DataFrame]], dict
     for i, (kind, key, table) in enumerate(lookups):
         own = table.select(F.col(table.columns[0]).alias(f"_k{i}"), F.struct(*values, F.lit(kind).alias("match_kind")).alias(f"_v{i}"))
         rows = rows.withColumn(f"_k{i}", key).join(own, f"_k{i}", "left")
-    rows = rows.select(*keyed.columns, F.coalesce(*[f"_v{i}" for i in range(len(lookups))], *iso).alias("v")).persist()
+    rows = saved(rows.select(*keyed.columns, F.coalesce(*[f"_v{i}" for i in range(len(lookups))], *iso).alias("v")), "resolved")
     near = resolve_fuzzy(rows.filter("v is null").drop("v"), dictionary)
     return rows.filter("v is not null").select("phrase", "v.*").unionByName(near.select("phrase", *values, "match_kind"))
 

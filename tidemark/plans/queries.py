@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import seed
 from ..functions import text as T
+from ..functions.tables import saved
 from ..operators import curves as C, dictionary as D, evaluate as E, extract as X, quality as Q, requests as R, resolve as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -580,7 +581,8 @@ def power_curves(spark, sf_dir) -> DataFrame:
 
 def computed(spark, sf_dir) -> DataFrame:
     resolvers = X.seed_resolvers(spark)
-    i = X.extract_intents(requests(spark, sf_dir).select("id", "text"), *resolvers).select(F.col("id").alias("request_id"), "intent").persist()  # read by both resolutions
+    i = X.extract_intents(requests(spark, sf_dir).select("id", "text"), *resolvers).select(F.col("id").alias("request_id"), "intent")
+    i = saved(i, "intents")  # read by both resolutions
     particles = seed.elements(spark).select(F.col("z").alias("id"), F.col("default_mass_number").cast("double").alias("atomic_mass"))
     materials = spark.createDataFrame([(276, 1.0), (223, 1.2), (906, 1.7)], "id int, density double")
     return R.compute_requests(i, *resolvers, power_curves(spark, sf_dir), particles, materials, seed.program_keys(spark), seed.program_names(spark), seed.programs_of(spark))
