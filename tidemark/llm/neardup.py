@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import mix, saved, string_parts, word_hashes, word_spans
+from .base import forget, mix, saved, string_parts, word_hashes, word_spans
 
 
 @dataclass(frozen=True)
@@ -217,12 +217,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = saved(table_keys(classes, banding).repartition("key"), "keys")
     shared = saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "shared")
     members = saved(keys.join(shared, "key", "left_semi"), "members")
+    forget(keys, shared)
+    raw = members
     touched = members.select("id").distinct()
     picked = docs.withColumn("__id", F.col(id_col).cast("long"))
     sets = saved(full_sets(picked.join(touched.withColumnRenamed("id", "__id"), "__id", "left_semi"), id_col, text_col, width).dropDuplicates(["id"]), "sets")
     alone = sets.select("id", F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
     members = members.join(alone.groupBy("id").agg(F.count(F.lit(1)).alias("own")), "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     members = saved(members.filter((F.col("size") - F.col("own")) * 100 >= F.col("size") * percent), "linkable")
+    forget(raw)
     roots = links = None
     for r in range(rounds + 1):  # the last one stays with the hubs of the one before, which all members have met
         now = members.withColumn("root", F.col("id"))
@@ -241,6 +244,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         links = found if links is None else links.unionByName(found)
         roots = saved(components(links), "components")
+    forget(members, sets)
     labels = least
     if roots is not None:
         labels = least.join(roots.withColumnRenamed("node", "first"), "first", "left").withColumn("first", F.coalesce("root", "first")).drop("root")
