@@ -111,6 +111,13 @@ def _sums(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1]), axis=0)
 
 
+def _latent(basis: np.ndarray, owner: np.ndarray, word: np.ndarray, w: np.ndarray) -> Iterator[np.ndarray]:
+    """Each latent coordinate of all passages; the basis has a row for each coordinate, which fits the nearest cache."""
+    n = int(owner[-1]) + 1 if len(owner) else 0
+    for row in basis:
+        yield np.bincount(owner, row[word] * w, n)
+
+
 def document_frequencies(hits: DataFrame, n_words: int) -> np.ndarray:
     """In how many documents each benchmark word stands."""
 
@@ -160,19 +167,18 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
     own = _item_matrix(items, idf) * np.sqrt(item_weight)
 
     def product(basis: np.ndarray) -> np.ndarray:
-        shared = spark.sparkContext.broadcast((basis.astype(np.float32), idf.astype(np.float32)))
+        shared = spark.sparkContext.broadcast((np.ascontiguousarray(basis.T), idf.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, weight = shared.value
-            total = np.zeros((q.shape[1], n_words))
+            total = np.zeros((len(q), n_words))
             for batch in batches:
                 for lo in range(0, len(batch), 1000):
                     _, _, owner, word, w = _passages(batch.column(1).slice(lo, 1000).to_pylist(), weight, passage, False)
                     if len(owner):
                         w = w / np.sqrt(_sums(w * w, owner))[owner]
-                        latent = np.ascontiguousarray(_sums(q[word] * w[:, None], owner).T)
-                        for k in range(len(total)):
-                            total[k] += np.bincount(word, latent[k][owner] * w, n_words)
+                        for k, latent in enumerate(_latent(q, owner, word, w)):
+                            total[k] += np.bincount(word, latent[owner] * w, n_words)
             at = np.flatnonzero(total.any(axis=0))
             for lo in range(0, len(at), 500):
                 part = np.ascontiguousarray(total[:, at[lo : lo + 500]].T).astype(np.float32)
@@ -247,7 +253,7 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
     for i, w in enumerate(items.words):
         tf[i, w] = 1.0
     latent_items = (tf * idf) @ vectors
-    shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), vectors.astype(np.float32), _normal(latent_items).T.astype(np.float32), np.linalg.norm(latent_items, axis=1).astype(np.float32)))
+    shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.ascontiguousarray(vectors.T), _normal(latent_items).T.astype(np.float32), np.linalg.norm(latent_items, axis=1).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight, v, targets, lengths = shared.value
@@ -263,7 +269,7 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
                     continue
                 row, start, used = row[near], start[near], near[owner]
                 owner, word, w = np.unique(owner[used], return_inverse=True)[1], word[used], w[used]
-                latent = _sums(v[word] * w[:, None], owner)
+                latent = np.stack(list(_latent(v, owner, word, w)), axis=1).astype(np.float32)
                 size = np.linalg.norm(latent, axis=1)
                 similar = _normal(latent) @ targets
                 p, item = np.nonzero((similar >= cosine) & (size[:, None] >= 0.5 * lengths[None, :]))
