@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .base import NOT_ALNUM, mix, saved, string_parts, word_hashes, word_spans
+from .base import NOT_ALNUM, forget, mix, saved, string_parts, word_hashes, word_spans
 
 
 class Items:
@@ -242,7 +242,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         df = document_frequencies(hits, len(items.vocabulary))
         idf = weights(items, df, n_docs, rare_words, rare_share)
         vectors = singular_vectors(hits, items, idf, len(items.ids) + extra_rank, passage, float(n_docs))
-        found.append(_decided(hits, items, idf, vectors, passage, cosine, share, density, answer_words, answer_share))
+        pairs = _decided(hits, items, idf, vectors, passage, cosine, share, density, answer_words, answer_share)
+        found.append(saved(pairs, "leaks"))
+        forget(hits)
     if not found:
         return spark.createDataFrame([], "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_found boolean")
     return reduce(DataFrame.unionByName, found)
