@@ -191,6 +191,20 @@ def test_model_sums_to_one():
     assert abs(np.exp(model._logs(5, keys)).sum() - 1) < 1e-5
 
 
+def test_language_keeps_every_gram_and_language(spark):
+    rng = random.Random(5)
+    kinds = {"one": "bdfg", "two": "klmn", "rare": "prst"}
+    vocabulary = {k: ["".join(rng.choice(c) + rng.choice("aeiou") for _ in range(3)) for _ in range(300)] for k, c in kinds.items()}
+    rows = [(i, prose(rng, 30, vocabulary[k]), k) for i, k in enumerate(["one", "two"] * 100 + ["rare"] * 8)]
+    rows += [(7, rows[7][1], "two"), (None, "pirate", "rare"), (300, None, "one"), (301, "12", None), (302, "\U00020000 日", "two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = [sorted(map(tuple, language.identify(df, max_grams=n).collect()), key=str) for n in (200, 250_000)]
+    assert len(few) == len(all_) == len(rows)
+    for x, y in zip(few, all_, strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-4 and x[4] == y[4]
+    assert {r[2] for r in few if r[0] is not None and 200 <= r[0] < 208} == {"rare"}
+
+
 # --- decontamination
 def test_lcs():
     a, b = np.array([1, 2, 3, 4]), np.array([1, 9, 1, 2, 9, 3, 4, 1, 4])

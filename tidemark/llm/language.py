@@ -1,8 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language's model predicts every letter and the end of each word from the up to four characters before
-it in the word. Counts are taken by Spark over all training rows; the driver turns the summed counts, kept
-within `max_grams`, into one sorted array of n-gram hashes per order with a log-probability per language.
+it in the word. Counts are taken by Spark over all training rows. Up to `max_grams` n-grams the driver turns them into one
+sorted array of n-gram hashes per order with a log-probability per language, which is broadcast; more of them stay
+in written tables (`Tables`) that are joined to the n-grams of the documents' words. Both hold every n-gram.
 Documents go to the language of lowest cross-entropy per character.
 """
 
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .base import mix, saved
 
@@ -161,22 +162,153 @@ class Model:
         return np.add.reduceat(logs, at, axis=0)
 
 
-def train_model(train: DataFrame, text_col: str, lang_col: str, max_grams: int = 250_000) -> Model | None:
-    """A model of all non-null languages of train. Of the n-grams at most max_grams stay: those of the highest counts."""
+class Tables:
+    """The probabilities of `Model` where the n-grams are too many to broadcast: for each order a written table of the
+    shares that n-grams have of their own, and one of the weights with which contexts hand on to the order below."""
+
+    def __init__(self, counts: DataFrame, ready: int):
+        """At hand (`keys`, `logs`) are the log-probabilities of the `ready` n-grams of the highest counts."""
+        self.langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # a row a language
+
+        def points_of(grams: pa.Array) -> np.ndarray:
+            return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
+
+        def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found, inverse = np.unique(points_of(batch.column(0)), return_inverse=True)
+                n = np.bincount(inverse.ravel(), np.repeat(batch.column(1).to_numpy(), ORDER).astype(float))
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["letter", "n"])
+
+        seen = counts.select("gram", "n").mapInArrow(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
+        alphabet = np.sort(np.array([r.letter for r in seen.orderBy(F.desc("n"), "letter").limit((1 << BITS) - 2).collect()], np.uint32))
+        place = {k: i for i, k in enumerate(self.langs)}
+
+        def keys_of(points: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
+            return Model._key(np.where(alphabet[at] == points, at + 1, 0).astype(np.uint64)).astype(np.int64)
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([place[x] for x in batch.column(0).to_pylist()], pa.int32()), pa.array(keys_of(points_of(batch.column(1)))), batch.column(2)], names=["lang", "key", "n"])
+
+        self.keys_of, self.size = keys_of, len(alphabet) + 1
+        self.shares, self.backs = {}, {}
+        rows = counts.select("lang", "gram", "n").mapInArrow(keyed, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        for k in range(ORDER, 0, -1):
+            rows = saved(rows if k == ORDER else rows.groupBy("lang", self._suffix(k).alias("key")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
+            if k == ORDER:
+                often = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(ready).select("key")
+            sizes = rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # a row a language
+            discounts = {r.lang: min(0.95, max(0.1, r.once / max(1, r.once + 2 * r.twice))) for r in sizes}
+            discount = F.element_at(F.create_map(*[F.lit(x) for pair in discounts.items() for x in pair]), F.col("lang"))
+            of = Window.partitionBy("lang", "head")  # a context has no more n-grams than the alphabet has letters
+            told = rows.withColumns({"head": F.shiftright("key", BITS), "d": discount}).withColumns({"total": F.sum("n").over(of), "types": F.count(F.lit(1)).over(of)})
+            share, back = (F.col("n") - F.col("d")) / F.col("total"), F.col("d") * F.col("types") / F.col("total")
+            told = saved(told.select("lang", "key", "head", share.alias("share"), back.alias("back")), f"shares-{k}")
+            self.shares[k] = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("share"))
+            self.backs[k] = told.groupBy("lang", "head").agg(F.first("back").alias("back")).groupBy("head").agg(F.map_from_entries(F.collect_list(F.struct("lang", "back"))).alias("back"))
+        found = self.probabilities(often).toArrow().combine_chunks()  # `ready` rows
+        keys = found["key"].to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.logs = keys[order], np.log(found["p"].combine_chunks().flatten().to_numpy()).reshape(-1, len(self.langs))[order].astype(np.float32)
+
+    @staticmethod
+    def _suffix(k: int) -> Column:
+        return F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1))
+
+    def probabilities(self, keys: DataFrame) -> DataFrame:
+        """key, p: the probabilities of distinct 5-grams in each language, from the lowest order up."""
+        wanted = {ORDER: keys}
+        for k in range(ORDER - 1, 0, -1):
+            wanted[k] = wanted[k + 1].select(self._suffix(k).alias("key")).distinct()
+        below = None
+        for k in range(1, ORDER + 1):
+            rows = wanted[k].withColumns({"head": F.shiftright("key", BITS), "tail": self._suffix(k - 1)})
+            rows = rows.join(self.backs[k], "head", "left").join(self.shares[k], "key", "left")
+            rows = rows.withColumn("lower", F.array_repeat(F.lit(1 / self.size), len(self.langs))) if below is None else rows.join(below, "tail")
+            p = F.transform(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)), lambda i: F.coalesce(F.try_element_at("back", i), F.lit(1.0)) * F.get("lower", i) + F.coalesce(F.try_element_at("share", i), F.lit(0.0)))
+            found = saved(rows.select("key", p.alias("p")), f"probabilities-{k}")
+            below = found.select(F.col("key").alias("tail"), F.col("p").alias("lower"))
+        return found
+
+    def word_logs(self, words: DataFrame) -> DataFrame:
+        """word, logs: log-probabilities of distinct words in each language."""
+        keys_of = self.keys_of
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, len(batch), 2000):
+                    part = batch.column(0).slice(lo, 2000)
+                    windows, owner = _windows(part.to_pylist())
+                    yield pa.RecordBatch.from_arrays([part.take(pa.array(owner)), pa.array(keys_of(windows))], names=["word", "key"])
+
+        windows = words.mapInArrow(run, "word string, key long")
+        p = self.probabilities(windows.select("key").distinct())
+        return windows.join(p, "key").groupBy("word").agg(F.array(*[F.sum(F.log(F.get("p", F.lit(i)))) for i in range(len(self.langs))]).alias("logs"))
+
+
+def train_model(train: DataFrame, text_col: str, lang_col: str, max_grams: int = 250_000) -> Model | Tables | None:
+    """A model of all non-null languages of train with all their n-grams, in tables where those are over max_grams."""
     counts = saved(gram_counts(train.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "grams")
-    sizes = counts.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).collect()  # 1000 rows at most
-    least, rows = 1001, 0
-    for r in sizes:
-        rows += r.rows
-        if rows > max_grams:
-            break
-        least = r.n
-    kept = counts.filter(F.col("n") >= least).select("lang", "gram", "n").limit(max_grams).toArrow()
-    return Model(kept["lang"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_numpy()) if kept.num_rows else None
-
-
-def cross_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Model | None) -> DataFrame:
+    n = counts.count()
+    if n > max_grams:
+        return Tables(counts, max_grams)
+    kept = counts.select("lang", "gram", "n").toArrow()
+    return Model(kept["lang"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_numpy()) if n else None
+
+
+def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Tables) -> DataFrame:
+    """`cross_entropies` where only the model's frequent n-grams are broadcast: words that have others are joined."""
+    n_langs = len(model.langs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.logs))
+    keys_of = model.keys_of
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, logs = shared.value
+        index: dict[str, int] = {}
+        scores, whole = np.zeros((0, n_langs)), np.zeros(0, bool)
+        for batch in batches:
+            for lo in range(0, len(batch), 400):
+                part = batch.slice(lo, 400)
+                texts = [words_of(t) for t in part.column(len(id_cols) + 1).to_pylist()]
+                if len(index) > CACHE_WORDS:
+                    index, scores, whole = {}, scores[:0], whole[:0]
+                if fresh := [w for w in {w for t in texts for w in t} if w not in index]:
+                    index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
+                    windows, owner = _windows(fresh)
+                    own = keys_of(windows)
+                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+                    starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
+                    full = np.logical_and.reduceat(keys[at] == own, starts)
+                    scores = np.concatenate([scores, np.where(full[:, None], np.add.reduceat(logs[at].astype(float), starts), 0)])
+                    whole = np.concatenate([whole, full])
+                numbers = part.column(len(id_cols)).to_pylist()
+                place, chars, word, n, sums = [], [], [], [], []
+                for r, words in enumerate(texts):
+                    found = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+                    rest = Counter(words[i] for i in np.flatnonzero(~whole[found]))
+                    place += [r] * (1 + len(rest))
+                    chars += [sum(map(len, words)) + len(words)] * (1 + len(rest))
+                    word += [f"#{numbers[r]}", *rest]  # no word, and not the same one for all rows
+                    n += [0, *rest.values()]
+                    sums += [scores[found].sum(axis=0), *[np.zeros(n_langs)] * len(rest)]
+                ids = [part.column(k).take(pa.array(place, pa.int64())) for k in range(len(id_cols) + 1)]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(place) + 1, dtype=np.int32) * n_langs), pa.array(np.concatenate(sums) if sums else np.zeros(0)))
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(chars, pa.int64()), pa.array(word, pa.string()), pa.array(n, pa.int64()), lists], names=[*id_cols, "_row", "chars", "word", "n", "sums"])
+
+    chosen = docs.select(*id_cols, F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    rows = saved(chosen.mapInArrow(run, f"{ddl}, chars long, word string, n long, sums array<double>"), "sums")
+    logs = model.word_logs(rows.filter("n > 0").select("word").distinct())
+    total = [F.sum(F.get("sums", F.lit(i)) + F.col("n") * F.coalesce(F.get("logs", F.lit(i)), F.lit(0.0))) for i in range(n_langs)]
+    ce = F.array(*[-x / F.greatest(F.col("chars"), F.lit(1)) for x in total])
+    return rows.join(logs, "word", "left").groupBy("_row", *id_cols, "chars").agg(ce.alias("ce")).select(*id_cols, "chars", "ce")
+
+
+def cross_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Model | Tables | None) -> DataFrame:
     """The id columns, chars (letters and word ends predicted) and ce, the nats per character in each language."""
+    if isinstance(model, Tables):
+        return _joined_entropies(docs, id_cols, text_col, model)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # within max_grams
     n_langs = len(model.langs) if model else 0
