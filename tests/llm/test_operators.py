@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import htmltext, language, packing, pii, queries, secrets
 from tidemark.llm.base import NOT_ALNUM, string_parts, word_hashes, word_spans
 from tidemark.llm.chat import format_preferences
-from tidemark.llm.decontaminate import lcs, leaks
+from tidemark.llm.decontaminate import dense, lcs, leaks
 from tidemark.llm.media import from_png, media_columns, payload_of, to_png
 from tidemark.llm.neardup import components, near_duplicates, shingle_sets
 from tidemark.llm.spans import joined
@@ -211,6 +211,31 @@ def test_lcs():
     assert lcs(a, b) == (4, 2, 6) and lcs(a, np.array([7, 8]))[0] == 0
 
 
+def test_dense_matches_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(150):
+        a, b = rng.integers(0, 5, rng.integers(2, 9)), rng.integers(0, 5, rng.integers(1, 16))
+        at = np.cumsum(rng.integers(1, 4, len(b)))
+        best = 0
+        for s, e in itertools.combinations(range(len(b) + 1), 2):
+            n = lcs(a, b[s:e])[0]
+            if n >= 0.5 * len(a) and n >= 0.6 * (at[e - 1] - at[s] + 1) and lcs(a[-2:], b[s:e])[0] >= 1:
+                best = max(best, n)
+        assert dense(a, a[-2:], b, at, 0.5 * len(a), 0.6, 1) == best
+
+
+def test_leaks_without_first_words(spark):
+    rng = random.Random(4)
+    items = [(k, prose(rng, 30)) for k in range(8)]
+    rows = []
+    for k, text in items:
+        own = text.split()  # the first words are gone from the copy and stand far before it
+        rows.append((k, " ".join([prose(rng, 40), *own[:5], prose(rng, 22), *own[5:], prose(rng, 40)])))
+    rows += [(100 + k, prose(rng, 120)) for k in range(40)]
+    got = {(r.doc_id, r.item_id): r.lcs_words for r in leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(k, k) for k, _ in items} and min(got.values()) >= 25
+
+
 def test_leaks_are_found_and_clean_rows_left(spark):
     rng = random.Random(8)
     items = [(k, prose(rng, rng.choice([15, 30, 55]))) for k in range(20)] + [(50, None), (51, "")]

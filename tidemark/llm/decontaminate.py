@@ -224,13 +224,51 @@ def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return n, first, last
 
 
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each place of b the place from which on it is lost to matching (below 0: never). The longest common
+    subsequence of a and b[s:e] is e - s less the places in [s, e) whose value is s or more (semi-local combing)."""
+    m, n = len(a), len(b)
+    rising = a[::-1]
+    across, down = np.arange(m), m + np.arange(n)
+    for d in range(m + n - 1):  # cells (i, j) of i + j = d, i falling
+        lo, hi = max(0, d - n + 1), min(m - 1, d)
+        k, j = slice(m - 1 - hi, m - lo), slice(d - hi, d - lo + 1)
+        x, y = across[k].copy(), down[j]
+        turn = (rising[k] == b[j]) | (x > y)
+        across[k], down[j] = np.where(turn, y, x), np.where(turn, x, y)
+    return down - m
+
+
+def dense(a: np.ndarray, answer: np.ndarray, b: np.ndarray, at: np.ndarray, need: float, density: float, answer_need: float) -> int:
+    """The most words of a that b[s:e] has in order, over all s and e where those are `need` or more and `density` or
+    more of the extent by the word positions `at`, and b[s:e] has `answer_need` or more of answer; 0 without any."""
+    n = len(b)
+    lost, missed = _kernel(a, b), _kernel(answer, b)
+    losses, misses = np.zeros(n, np.int64), np.zeros(n, np.int64)  # by e - 1, of places from s on
+    first = [np.flatnonzero(x >= 0) for x in (lost, missed)]
+    by_start = [dict(zip(x[f].tolist(), f.tolist(), strict=True)) for x, f in zip((lost, missed), first, strict=True)]
+    best = 0
+    for s in range(n - 1, -1, -1):
+        if s in by_start[0]:
+            losses[by_start[0][s] :] += 1
+        if s in by_start[1]:
+            misses[by_start[1][s] :] += 1
+        to = int(np.searchsorted(at, at[s] + len(a) / density, "left"))
+        size = np.arange(1, to - s + 1)
+        common = size - losses[s:to]
+        good = (common >= need) & (common >= density * (at[s:to] - at[s] + 1)) & (size - misses[s:to] >= answer_need)
+        if good.any():
+            best = max(best, int(common[good].max()))
+    return best
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, extra_rank: int = 24, cosine: float = 0.35, share: float = 0.7, density: float = 0.6, answer_words: int = 5, answer_share: float = 0.6, rare_words: int = 12, rare_share: float = 0.01, block_items: int = 256, block_words: int = 16_000) -> DataFrame:
     """doc_id, item_id, cosine, lcs_words, item_words, answer_found: one row for each document and item it leaks.
 
     A pair is a leak if a passage's latent cosine to the item is `cosine` or more, its latent length at least half the
-    item's, and, around that passage, a common
-    subsequence of `share` or more of the item's words, at least `density` of its extent in the text, holds
-    `answer_share` or more of the item's last `answer_words` words. Words are runs of letters and digits, ASCII case
+    item's, and, around that passage, some stretch
+    of text has `share` or more of the item's words in order, those are at least `density` of it, and it holds
+    `answer_share` or more of the item's last `answer_words` words; lcs_words is the most of any such stretch. Words are runs of letters and digits, ASCII case
     folded. Null and empty texts and items leak nothing; repeated rows give the pair once; empty tables give no rows.
     Other columns are ignored, whatever their names.
     """
@@ -283,21 +321,27 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
                     list_ = np.frombuffer(part.column(1)[r].as_py(), "<u4").reshape(-1, 2)
                     a = own.words[it]
                     answer, need = a[-answer_words:], share * len(a)
-                    done = -1
-                    for cos, at in sorted(places, key=lambda x: x[1]):
-                        if at < done:
+                    reach = int(len(a) / density) + 1  # no stretch is longer
+                    places.sort(key=lambda x: x[1])
+                    most, lo_at = 0, 0
+                    while lo_at < len(places):
+                        begin = end = places[lo_at][1]
+                        while lo_at < len(places) and places[lo_at][1] <= begin + max(passage, reach // 2):
+                            end = places[lo_at][1]
+                            lo_at += 1
+                        near = list_[(list_[:, 0] >= max(0, begin - reach)) & (list_[:, 0] < end + passage + reach)]
+                        near = near[np.isin(near[:, 1], a)].astype(np.int64)
+                        if np.isin(a, near[:, 1]).sum() < need:
                             continue
-                        reach = max(passage, 2 * len(a))
-                        near = list_[(list_[:, 0] >= max(0, at - reach)) & (list_[:, 0] < at + passage + reach)]
-                        done = at + reach // 2
-                        if len(np.intersect1d(near[:, 1], a)) < share * len(np.unique(a)):
+                        n, first, last = lcs(a, near[:, 1])
+                        if n < need or n <= most:
                             continue
-                        n, first, last = lcs(a, near[:, 1].astype(np.int64))
-                        extent = int(near[last, 0]) - int(near[first, 0]) + 1 if n else 1
-                        ends = lcs(answer, near[max(0, first) : last + 1, 1].astype(np.int64))[0] >= answer_share * len(answer) if n else False
-                        if n >= need and n >= density * extent and ends:
-                            out.append((r, it, max(c for c, _ in places), n, len(a), ends))
-                            break
+                        extent = int(near[last, 0]) - int(near[first, 0]) + 1
+                        if not (n >= density * extent and lcs(answer, near[first : last + 1, 1])[0] >= answer_share * len(answer)):
+                            n = dense(a, answer, near[:, 1], near[:, 0], need, density, answer_share * len(answer))
+                        most = max(most, n)
+                    if most:
+                        out.append((r, it, max(c for c, _ in places), most, len(a), True))
                 if out:
                     r, it, c, n, m, e = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(own.ids[list(it)]), pa.array(c, pa.float64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(e)], names=["doc_id", "item_id", "cosine", "lcs_words", "item_words", "answer_found"])
