@@ -236,6 +236,15 @@ def test_leaks_without_first_words(spark):
     assert set(got) == {(k, k) for k, _ in items} and min(got.values()) >= 25
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(n - 1)) + " often") for k, n in enumerate([30, 65, 300, 450, 600, 900])]
+    rows = [(k, f"{prose(rng, 50)} {text} {prose(rng, 50)}") for k, text in items] + [(100 + k, prose(rng, 60) + " often") for k in range(300)]
+    for blocks in (256, 5):
+        got = {(r.doc_id, r.item_id) for r in leaks(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_items=blocks).collect()}
+        assert got == {(k, k) for k, _ in items}
+
+
 def test_leaks_are_found_and_clean_rows_left(spark):
     rng = random.Random(8)
     items = [(k, prose(rng, rng.choice([15, 30, 55]))) for k in range(20)] + [(50, None), (51, "")]

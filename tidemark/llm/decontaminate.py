@@ -2,7 +2,7 @@
 
 Documents are cut into overlapping passages. Passages are TF-IDF vectors over the words of the benchmark, with
 document frequencies over all documents; a distributed randomised singular value decomposition gives a latent
-space, in which every passage is compared with every benchmark item by cosine. Candidates are then decided on whole
+space, in which every passage is compared with every passage of the benchmark items by cosine. Candidates are then decided on whole
 texts: a longest common subsequence of words long enough, dense enough, and the item's answer (its last words) in it.
 
 Large benchmarks are taken in blocks of at most `block_items` items and `block_words` words, so what is broadcast is bounded.
@@ -21,12 +21,16 @@ from .base import NOT_ALNUM, forget, mix, saved, string_parts, word_hashes, word
 
 
 class Items:
-    """One block of benchmark items: sorted distinct word hashes, and each item as indexes into them."""
+    """One block of benchmark items: sorted distinct word hashes, and each item as indexes into them; `pieces` are its
+    passages of at most `passage` words, of about equal length, and `item_of` their items."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray]):
+    def __init__(self, ids: list[int], words: list[np.ndarray], passage: int):
         self.ids = np.array(ids, np.int64)
         self.vocabulary = np.unique(np.concatenate(words))
         self.words = [np.searchsorted(self.vocabulary, w) for w in words]
+        cut = [np.array_split(w, -(-len(w) // passage)) for w in self.words]
+        self.pieces = [p for c in cut for p in c]
+        self.item_of = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
@@ -42,23 +46,25 @@ def words_of(texts: list[str]) -> list[np.ndarray]:
     return found
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_items: int, block_words: int) -> Iterator[Items]:
-    """Items in blocks; rows come to the driver one after the other and only one block is held."""
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, block_items: int, block_words: int, passage: int) -> Iterator[Items]:
+    """Items in blocks of at most block_items pieces; rows come to the driver one after the other and only one block is held."""
     ids: list[int] = []
     words: list[np.ndarray] = []
-    size = 0
+    size = pieces = 0
     rows = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).distinct()
     for item, text in rows.orderBy(*rows.columns).toLocalIterator():
         own = words_of([text])[0] if text else []
         if len(own):
-            if ids and (len(ids) == block_items or size + len(own) > block_words):
-                yield Items(ids, words)
-                ids, words, size = [], [], 0
+            more = -(-len(own) // passage)
+            if ids and (pieces + more > block_items or size + len(own) > block_words):
+                yield Items(ids, words, passage)
+                ids, words, size, pieces = [], [], 0, 0
             ids.append(item)
             words.append(own)
             size += len(own)
+            pieces += more
     if ids:
-        yield Items(ids, words)
+        yield Items(ids, words, passage)
 
 
 def hit_lists(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
@@ -136,10 +142,10 @@ def document_frequencies(hits: DataFrame, n_words: int) -> np.ndarray:
 
 
 def weights(items: Items, df: np.ndarray, n_docs: int, rare_words: int, rare_share: float) -> np.ndarray:
-    """Inverse document frequencies of the words in less than `rare_share` of the documents and of each item's
+    """Inverse document frequencies of the words in less than `rare_share` of the documents and of each piece's
     `rare_words` rarest ones, however frequent those are; 0 for the other words."""
     used = df < rare_share * n_docs
-    for w in items.words:
+    for w in items.pieces:
         own = np.unique(w)
         used[own[np.argsort(df[own], kind="stable")[:rare_words]]] = True
     return np.where(used, np.log(1 + (n_docs + 1) / (df + 1)), 0.0)
@@ -150,8 +156,8 @@ def _normal(matrix: np.ndarray) -> np.ndarray:
 
 
 def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
-    tf = np.zeros((len(items.ids), len(items.vocabulary)))
-    for i, w in enumerate(items.words):
+    tf = np.zeros((len(items.pieces), len(items.vocabulary)))
+    for i, w in enumerate(items.pieces):
         np.add.at(tf[i], w, 1.0)
     return _normal(tf * idf)
 
@@ -265,8 +271,8 @@ def dense(a: np.ndarray, answer: np.ndarray, b: np.ndarray, at: np.ndarray, need
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, extra_rank: int = 24, cosine: float = 0.35, share: float = 0.7, density: float = 0.6, answer_words: int = 5, answer_share: float = 0.6, rare_words: int = 12, rare_share: float = 0.01, block_items: int = 256, block_words: int = 16_000) -> DataFrame:
     """doc_id, item_id, cosine, lcs_words, item_words, answer_found: one row for each document and item it leaks.
 
-    A pair is a leak if a passage's latent cosine to the item is `cosine` or more, its latent length at least half the
-    item's, and, around that passage, some stretch
+    A pair is a leak if a passage's latent cosine to one of the item's passages is `cosine` or more, its latent length at
+    least half of that one's, and, around that passage, some stretch
     of text has `share` or more of the item's words in order, those are at least `density` of it, and it holds
     `answer_share` or more of the item's last `answer_words` words; lcs_words is the most of any such stretch. Words are runs of letters and digits, ASCII case
     folded. Null and empty texts and items leak nothing; repeated rows give the pair once; empty tables give no rows.
@@ -274,12 +280,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """
     spark = docs.sparkSession
     found: list[DataFrame] = []
-    for items in blocks_of(benchmark, item_col, item_text_col, block_items, block_words):
+    for items in blocks_of(benchmark, item_col, item_text_col, block_items, block_words, passage):
         hits = saved(hit_lists(docs, items, id_col, text_col), "hits")
         n_docs = max(1, hits.count())
         df = document_frequencies(hits, len(items.vocabulary))
         idf = weights(items, df, n_docs, rare_words, rare_share)
-        vectors = singular_vectors(hits, items, idf, len(items.ids) + extra_rank, passage, float(n_docs))
+        vectors = singular_vectors(hits, items, idf, len(items.pieces) + extra_rank, passage, float(n_docs))
         pairs = _decided(hits, items, idf, vectors, passage, cosine, share, density, answer_words, answer_share)
         found.append(saved(pairs, "leaks"))
         forget(hits)
@@ -289,8 +295,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray, passage: int, cosine: float, share: float, density: float, answer_words: int, answer_share: float) -> DataFrame:
-    tf = np.zeros((len(items.ids), len(items.vocabulary)))
-    for i, w in enumerate(items.words):
+    tf = np.zeros((len(items.pieces), len(items.vocabulary)))
+    for i, w in enumerate(items.pieces):
         tf[i, w] = 1.0
     latent_items = (tf * idf) @ vectors
     shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.ascontiguousarray(vectors.T), _normal(latent_items).T.astype(np.float32), np.linalg.norm(latent_items, axis=1).astype(np.float32)))
@@ -303,7 +309,7 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
                 row, start, owner, word, w = _passages(part.column(1).to_pylist(), weight, passage, True)
                 if not len(owner):
                     continue
-                # a passage shorter than half of an item's vector cannot hold most of the item
+                # a passage shorter than half of a piece's vector cannot hold most of the piece
                 near = _sums(w * w, owner) >= (0.5 * lengths.min()) ** 2
                 if not near.any():
                     continue
@@ -314,7 +320,7 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
                 similar = _normal(latent) @ targets
                 p, item = np.nonzero((similar >= cosine) & (size[:, None] >= 0.5 * lengths[None, :]))
                 best: dict[tuple[int, int], list] = {}
-                for pi, it in zip(p.tolist(), item.tolist(), strict=True):
+                for pi, it in zip(p.tolist(), own.item_of[item].tolist(), strict=True):
                     best.setdefault((int(row[pi]), it), []).append((float(similar[pi, it]), int(start[pi])))
                 out: list[tuple] = []
                 for (r, it), places in best.items():
