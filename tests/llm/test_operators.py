@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -356,8 +357,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 def test_page_text(spark):
     rows = [(k, f"http://h.example/{k}", PAGE) for k in range(3)] + [(10, None, None), (11, "http://h.example/", ""), (12, "::bad", "<p>plain"), (13, "http://o.example", "<body><div class=nav>Menu</div><div id=x>Body <i>text</i></div></body>"), (14, "http://h.example/q", "no tags &amp; 1 < 2"), (0, "http://h.example/0", PAGE)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1)).withColumn("slot", F.lit(2))
-    for limit in (50_000, 0):  # templates broadcast, and joined
-        got = [(r.page_id, r.text, r.n_chars) for r in htmltext.extract(df, broadcast_hosts=limit).collect()]
+    for limit in (500_000, 0):  # templates broadcast, and joined
+        got = [(r.page_id, r.text, r.n_chars) for r in htmltext.extract(df, broadcast_nodes=limit).collect()]
         text = dict((i, t) for i, t, _ in got)
         assert text[1] == "Head & more\n\nOne two three four\n\nFive © <six>\n\na\n\nb"
         assert (text[10], text[11], text[12], text[13], text[14]) == ("", "", "plain", "Body text", "no tags & 1 < 2")
@@ -365,11 +366,49 @@ def test_page_text(spark):
     assert htmltext.extract(df.limit(0)).isEmpty()
 
 
-def test_template_without_semantic_tags(spark):
-    page = '<html><body><div class="top"><p>Links {0}</p></div><div class="c"><div class="story"><p>Story {0} is long enough to be the main text of this page.</p><p>More {1}</p></div></div><div class="low">Low</div></body></html>'
-    df = spark.createDataFrame([(k, "http://t.example/p", page.format(k, k * 7)) for k in range(8)], "page_id long, url string, html string")
-    found = {r.host: r.slot for r in htmltext.templates(htmltext.tokens(df, "page_id", "url", "html"), 0.7).collect()}
-    assert found["t.example"].endswith("div.story")
+@pytest.mark.parametrize("html,text", [
+    ("<p title=it's>Hello world, I don't stop.</p>", "Hello world, I don't stop."), ('<p data-q=5">Hi</p>', "Hi"), ('<p a="x>one</p><p>two</p>', "one\n\ntwo"),
+    ('<h1>T</h1><div class="legal-analysis"><p>Long text.</p></div>', "T\n\nLong text."), ('<div class="social history">Text</div>', "Text"),
+    ("a < b and c > d <b", "a < b and c > d <b"), ("x<script>if(a<b)</script>y<style>p</STYLE >z", "x\n\ny\n\nz"), ("<p>three<!-- q", "three"), ("a<!-->b<!-- > -->c", "abc"),
+    ("<ul><li>a<li>b</ul><table><tr><td>1<td>2<tr><td>3</table>", "a\n\nb\n\n1\n\n2\n\n3"), ("<div hidden>no</div><p>y<span hidden>n<b>o</b></span>es", "yes"),
+    ("<article class=teaser>Short.</article><div><p>" + "A long story. " * 20 + "</p></div>", ("A long story. " * 20).strip()),
+])
+def test_tags_and_attributes(html, text):
+    assert htmltext.text_of(html, None) == text
+
+
+@pytest.mark.parametrize("html", ["<a " * 20_000, "<div>" * 20_000 + "x", '<a b="1" ' * 10_000 + 'c=">"', '<p a="x>' * 20_001, "</div>" * 20_000 + "<div><p></b>" * 20_000, "<span hidden><b>" * 10_000, "<!--" * 20_000, "&" * 60_000])
+def test_long_pages_take_linear_time(html):
+    start = time.perf_counter()
+    htmltext.text_of(html, None)
+    assert time.perf_counter() - start < 8
+
+
+def test_templates_decide_without_semantic_tags(spark):
+    pages = queries.table(spark, "/root/testdata/sf0.01", "pages")
+    want = {r.page_id: r.text for r in htmltext.extract(pages).collect()}
+    plain = F.replace(F.regexp_replace("html", "<(/?)(?:article|nav|footer|main)>", "<$1div>"), F.lit('class="ad"'), F.lit('class="q"'))
+    got = {r.page_id: r.text for r in htmltext.extract(pages.withColumn("html", plain)).collect()}
+    assert sum(got[k] == want[k] for k in want) >= 0.95 * len(want)
+
+
+def test_templates_match_brute_force(spark):
+    page = '<html><body><div class="top"><p>Links {0}</p></div><div class="c"><h1>Head {1}</h1><div class="lead">Lead of some length that {0} has.</div><div class="story"><p>Story {0} is long enough to be the main text of this page.</p><p>More {1}</p></div></div><div class="low">Low</div></body></html>'
+    rows = [(k, "http://t.example/p", page.format(k, k * 7) if k % 4 else "<body><div class=other>Other</div>") for k in range(16)] + [(1, "http://t.example/p", page.format(1, 7))]
+    found = htmltext.tokens(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), "page_id", "url", "html").collect()
+    vectors = {}
+    for n, (_, _, html) in enumerate(rows):
+        for t, x in htmltext.Page(html).tokens().items():
+            vectors.setdefault(t, {})[n] = x[3]
+    by_sum, by_vector = {}, {}
+    for r in found:
+        by_sum.setdefault(r.vector, set()).add(r.token)
+        by_vector.setdefault(tuple(sorted(vectors[r.token].items())), set()).add(r.token)
+    assert sorted(map(sorted, by_sum.values())) == sorted(map(sorted, by_vector.values()))
+    nodes = {n.token: n.keep for n in htmltext.templates(spark.createDataFrame(found)).first().nodes}
+    assert set(nodes) == {t for t, v in vectors.items() if len(v) * 2 >= len(rows) and set(v.values()) == {1}}
+    assert htmltext.text_of(rows[1][2], nodes) == "Head 7\n\nLead of some length that 1 has.\n\nStory 1 is long enough to be the main text of this page.\n\nMore 7"
+    assert htmltext.text_of(rows[0][2], nodes) == "Other"
 
 
 # --- media and archives
