@@ -176,7 +176,7 @@ def test_language_on_held_out_rows(spark):
 def test_language_edges(spark):
     rng = random.Random(1)
     rows = [(k, prose(rng, 30, ["ka", "kato", "toka"] if k % 2 else ["zuri", "rizu", "zu"]), "one" if k % 2 else "two") for k in range(60)]
-    rows += [(100, None, "one"), (101, "", None), (102, "12 !?", "one"), (103, "kato toka", None), (104, "日本語" * 50, None), (105, "k" * 5000, None)]
+    rows += [(100, None, "one"), (101, "", None), (102, "12 !? ½ ² ①", "one"), (103, "kato toka", None), (104, "日本語" * 50, None), (105, "k" * 5000, None)]
     got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert len(got) == len(rows) and all(got[k].lang_pred == "und" and got[k].score == 0 and got[k].rejected for k in (100, 101, 102))
     assert got[103].lang_pred == "one" and got[104].lang_pred in ("one", "two")
@@ -184,12 +184,47 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()} == {"und"}
 
 
-def test_model_sums_to_one():
-    model = language.Model(["a"] * 4, ["    x", "   xy", "  xy ", "   x "], np.array([3, 2, 2, 1]))
-    context = model._codes(np.array([[ord(" ")] * 4], np.uint32))
-    every = np.arange(len(model.alphabet) + 1, dtype=np.uint64)
-    keys = model._key(np.column_stack([np.repeat(context, len(every), 0), every]))
-    assert abs(np.exp(model._logs(5, keys)).sum() - 1) < 1e-5
+def kneser_ney(counts, alphabet):
+    """p(gram) of interpolated Kneser-Ney over 5-grams, straight from its definition."""
+    tables = {5: dict(counts)}
+    for k in range(4, 0, -1):
+        tables[k] = {}
+        for g in tables[k + 1]:
+            tables[k][g[1:]] = tables[k].get(g[1:], 0) + 1
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (alphabet + 1)
+        own = {x: n for x, n in tables[k].items() if x[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        d = language._discount(sum(n == 1 for n in tables[k].values()), sum(n == 2 for n in tables[k].values()))
+        return (max(own.get(g, 0) - d, 0) + d * len(own) * p(g[1:])) / sum(own.values())
+
+    return p
+
+
+def test_model_matches_kneser_ney(spark):
+    rng = random.Random(2)
+    counts = {k: {} for k in "ab"}
+    for _ in range(300):
+        k, w = rng.choice("ab"), "".join(rng.choice("xyzé\U00020000") for _ in range(rng.randrange(1, 7)))
+        for i in range(len(w) + 1):
+            g = ("    " + w + " ")[i : i + 5]
+            counts[k][g] = counts[k].get(g, 0) + 1
+    rows = [(k, g, n) for k, own in counts.items() for g, n in own.items()]
+    alphabet = len({g[-1] for _, g, _ in rows})
+    tables = language.Tables(spark.createDataFrame(rows, "lang string, gram string, n long"))
+    model = language.Model(tables)
+    words = ["x", "xyz", "zzzzzzz", "q", "éx", "yq\U00020000x", "xyxyxyxyxy"]
+    want = [[sum(np.log(kneser_ney(counts[k], alphabet)(("    " + w + " ")[i : i + 5])) for i in range(len(w) + 1)) for k in "ab"] for w in words]
+    assert np.allclose(model.score(words), want, atol=1e-4)
+    joined_logs = {r.word: r.logs for r in tables.word_logs(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert np.allclose([joined_logs[w] for w in words], want, atol=1e-9)
+    every = [("xyzé\U00020000 ?"[j]) for j in range(7)]
+    p = kneser_ney(counts["a"], alphabet)
+    assert abs(sum(p("  xy" + c) for c in every) - 1) < 1e-9
 
 
 def test_language_keeps_every_gram_and_language(spark):
@@ -199,7 +234,7 @@ def test_language_keeps_every_gram_and_language(spark):
     rows = [(i, prose(rng, 30, vocabulary[k]), k) for i, k in enumerate(["one", "two"] * 100 + ["rare"] * 8)]
     rows += [(7, rows[7][1], "two"), (None, "pirate", "rare"), (300, None, "one"), (301, "12", None), (302, "\U00020000 日", "two")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    few, all_ = [sorted(map(tuple, language.identify(df, max_grams=n).collect()), key=str) for n in (200, 250_000)]
+    few, all_ = [sorted(map(tuple, language.identify(df, max_cells=n).collect()), key=str) for n in (3000, 16_000_000)]
     assert len(few) == len(all_) == len(rows)
     for x, y in zip(few, all_, strict=True):
         assert x[:3] == y[:3] and abs(x[3] - y[3]) < 1e-4 and x[4] == y[4]

@@ -1,9 +1,9 @@
 """Language identification with interpolated Kneser-Ney character models.
 
 Each language's model predicts every letter and the end of each word from the up to four characters before
-it in the word. Counts are taken by Spark over all training rows. Up to `max_grams` n-grams the driver turns them into one
-sorted array of n-gram hashes per order with a log-probability per language, which is broadcast; more of them stay
-in written tables (`Tables`) that are joined to the n-grams of the documents' words. Both hold every n-gram.
+it in the word. Counts, discounts and probabilities are grouped sums and joins on Spark over all n-grams of all training
+rows, none left out (`Tables`). Up to `max_cells` numbers the tables are broadcast as sorted hash arrays (`Model`); beyond,
+only the most frequent n-grams are, and words with others are joined to the tables.
 Documents go to the language of lowest cross-entropy per character.
 """
 
@@ -17,17 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import mix, saved
+from .base import forget, mix, saved
 
-ORDER, BITS = 5, 12
+ORDER = 5
 _WORD = re.compile(r"[^\W\d_]+")
 #: Distinct words of which a task keeps scores or counts at a time.
 CACHE_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased. A word of over 64 letters stands as its successive parts of 64."""
+    """Runs of letters, lower-cased; numerals such as ½ are no letters. A word of over 64 letters stands as its successive
+    parts of 64."""
     found = _WORD.findall(text.lower()) if text else []
+    if found and not "".join(found).isalpha():
+        found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
     if any(len(w) > 64 for w in found):
         found = [w[i : i + 64] for w in found for i in range(0, len(w), 64)]
     return found
@@ -78,190 +81,158 @@ def gram_counts(train: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-class Model:
-    """Sorted hash arrays of one order after the other; `score` gives log-probabilities of words in all languages."""
-
-    def __init__(self, langs: list[str], grams: list[str], counts: np.ndarray):
-        """Rows of language, n-gram and count, as columns."""
-        self.langs = sorted(set(langs))
-        own = np.array([self.langs.index(x) for x in langs], np.int32)
-        points = np.frombuffer("".join(grams).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
-        letters, inverse = np.unique(points, return_inverse=True)
-        seen = np.bincount(inverse.ravel(), np.repeat(counts, ORDER).astype(float))
-        self.alphabet = np.sort(letters[np.lexsort((letters, -seen))[: (1 << BITS) - 2]])
-        size, n_langs = len(self.alphabet) + 1, len(self.langs)
-        keys = self._key(self._codes(points))
-        tops = [keys[own == k] for k in range(n_langs)]
-        amounts = [counts[own == k].astype(float) for k in range(n_langs)]
-        tables = {ORDER: list(zip(tops, amounts, strict=True))}
-        for k in range(ORDER - 1, 0, -1):
-            tables[k] = []
-            for keys, _ in tables[k + 1]:
-                suffixes, n = np.unique(np.unique(keys) & np.uint64((1 << BITS * k) - 1), return_counts=True)
-                tables[k].append((suffixes, n.astype(float)))
-        self.grams, self.logp, self.contexts, self.back = {}, {}, {}, {}
-        lower = np.full((1, n_langs), 1 / size)
-        for k in range(1, ORDER + 1):
-            union = np.unique(np.concatenate([t[0] for t in tables[k]] + ([np.zeros(1, np.uint64)] if k == 1 else [])))
-            heads = np.unique(union >> np.uint64(BITS))
-            p = np.repeat(lower, len(union), 0) if k == 1 else lower[np.searchsorted(below, union & np.uint64((1 << BITS * (k - 1)) - 1))]
-            back = np.ones((len(heads), n_langs))
-            for i, (keys, n) in enumerate(tables[k]):
-                keys, inverse = np.unique(keys, return_inverse=True)
-                n = np.bincount(inverse, n)
-                once, twice = (n == 1).sum(), (n == 2).sum()
-                discount = min(0.95, max(0.1, once / max(1, once + 2 * twice)))
-                of = np.searchsorted(heads, keys >> np.uint64(BITS))
-                total, types = np.bincount(of, n, len(heads)), np.bincount(of, minlength=len(heads))
-                back[total > 0, i] = (discount * types / np.maximum(total, 1))[total > 0]
-                p[:, i] *= back[np.searchsorted(heads, union >> np.uint64(BITS)), i]
-                p[np.searchsorted(union, keys), i] += (n - discount) / total[of]
-            self.grams[k], self.logp[k] = self._hashed(union, np.log(p))
-            self.contexts[k], self.back[k] = self._hashed(heads, np.log(back))
-            lower, below = p, union
+def _hashes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window, by order k - 1: the hash of its last k letters, and that of those without the last one."""
+    grams, heads = np.empty((len(windows), ORDER), np.uint64), np.empty((len(windows), ORDER), np.uint64)
+    gram, head = mix(windows[:, -1].astype(np.uint64) + np.uint64(1)), np.full(len(windows), np.uint64(0x5851F42D4C957F2D))
+    grams[:, 0], heads[:, 0] = gram, head
+    for k in range(1, ORDER):
+        letter = windows[:, ORDER - 1 - k].astype(np.uint64) + np.uint64(1)
+        gram, head = mix(gram * np.uint64(0xD6E8FEB86659FD93) + letter), mix(head * np.uint64(0xD6E8FEB86659FD93) + letter)
+        grams[:, k], heads[:, k] = gram, head
+    return grams, heads
 
-    @staticmethod
-    def _hashed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = mix(keys + np.uint64(1))
-        order = np.argsort(hashes)
-        return hashes[order], values[order].astype(np.float32)
 
-    def _codes(self, points: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == points, at + 1, 0).astype(np.uint64)
+G, C = [f"g{k}" for k in range(1, ORDER + 1)], [f"c{k}" for k in range(1, ORDER + 1)]
 
-    @staticmethod
-    def _key(codes: np.ndarray) -> np.ndarray:
-        key = np.zeros(len(codes), np.uint64)
-        for k in range(codes.shape[1]):
-            key = (key << np.uint64(BITS)) | codes[:, k]
-        return key
 
-    @staticmethod
-    def _find(hashes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = mix(keys + np.uint64(1))
-        at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-        return at, hashes[at] == h
-
-    def _logs(self, k: int, keys: np.ndarray) -> np.ndarray:
-        at, hit = self._find(self.grams[k], keys)
-        out = self.logp[k][at]
-        miss = np.flatnonzero(~hit)
-        if len(miss):
-            if k == 1:
-                out[miss] = self.logp[1][self._find(self.grams[1], np.zeros(1, np.uint64))[0]]
-            else:
-                context, known = self._find(self.contexts[k], keys[miss] >> np.uint64(BITS))
-                out[miss] = np.where(known[:, None], self.back[k][context], 0) + self._logs(k - 1, keys[miss] & np.uint64((1 << BITS * (k - 1)) - 1))
-        return out
+def _hash_columns(windows: np.ndarray) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(x[:, k]).view(np.int64)) for x in _hashes(windows) for k in range(ORDER)]
 
-    def score(self, words: list[str]) -> np.ndarray:
-        windows, owner = _windows(words)
-        logs = self._logs(ORDER, self._key(self._codes(windows)))
-        at = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-        return np.add.reduceat(logs, at, axis=0)
+
+def _longs(names: list[str]) -> str:
+    return ", ".join(f"{c} long" for c in names)
 
 
 class Tables:
-    """The probabilities of `Model` where the n-grams are too many to broadcast: for each order a written table of the
-    shares that n-grams have of their own, and one of the weights with which contexts hand on to the order below."""
+    """The models of all languages as written tables: `grams[k]` (key, p) has the smoothed probability of each known
+    n-gram of k letters in each language, `backs[k]` (key, back) the weight with which each known context hands on to
+    order k - 1. Counts and discounts are taken by language and order over all n-grams; a language that does not know a
+    context hands on all of it."""
 
-    def __init__(self, counts: DataFrame, ready: int):
-        """At hand (`keys`, `logs`) are the log-probabilities of the `ready` n-grams of the highest counts."""
+    def __init__(self, counts: DataFrame):
+        """counts: lang, gram, n."""
         self.langs = sorted(r.lang for r in counts.select("lang").distinct().collect())  # a row a language
-
-        def points_of(grams: pa.Array) -> np.ndarray:
-            return np.frombuffer("".join(grams.to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
-
-        def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found, inverse = np.unique(points_of(batch.column(0)), return_inverse=True)
-                n = np.bincount(inverse.ravel(), np.repeat(batch.column(1).to_numpy(), ORDER).astype(float))
-                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int64)), pa.array(n.astype(np.int64))], names=["letter", "n"])
-
-        seen = counts.select("gram", "n").mapInArrow(letters, "letter long, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-        alphabet = np.sort(np.array([r.letter for r in seen.orderBy(F.desc("n"), "letter").limit((1 << BITS) - 2).collect()], np.uint32))
+        n_langs = len(self.langs)
         place = {k: i for i, k in enumerate(self.langs)}
 
-        def keys_of(points: np.ndarray) -> np.ndarray:
-            at = np.minimum(np.searchsorted(alphabet, points), len(alphabet) - 1)
-            return Model._key(np.where(alphabet[at] == points, at + 1, 0).astype(np.uint64)).astype(np.int64)
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([place[x] for x in batch.column(0).to_pylist()], pa.int32()), pa.array(keys_of(points_of(batch.column(1)))), batch.column(2)], names=["lang", "key", "n"])
-
-        self.keys_of, self.size = keys_of, len(alphabet) + 1
-        self.shares, self.backs = {}, {}
-        rows = counts.select("lang", "gram", "n").mapInArrow(keyed, "lang int, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        for k in range(ORDER, 0, -1):
-            rows = saved(rows if k == ORDER else rows.groupBy("lang", self._suffix(k).alias("key")).agg(F.count(F.lit(1)).alias("n")), f"grams-{k}")
-            if k == ORDER:
-                often = rows.groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(ready).select("key")
+                points = np.frombuffer("".join(batch.column(1).to_pylist()).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER)
+                yield pa.RecordBatch.from_arrays([pa.array([place[x] for x in batch.column(0).to_pylist()], pa.int32()), batch.column(2), *_hash_columns(points)], names=["lang", "n", *G, *C])
+
+        self.counts = {ORDER: saved(counts.select("lang", "gram", "n").mapInArrow(hashed, f"lang int, n long, {_longs(G + C)}"), f"counts-{ORDER}")}
+        for k in range(ORDER - 1, 0, -1):  # below the highest order, an n-gram counts once for each letter before it
+            self.counts[k] = saved(self.counts[k + 1].groupBy("lang", *G[:k], *C[:k]).agg(F.count(F.lit(1)).alias("n")), f"counts-{k}")
+        self.size = self.counts[1].select("g1").distinct().count() + 1  # letters, and one for all unknown ones
+        self.grams, self.backs = {}, {}
+        for k in range(1, ORDER + 1):
+            rows = self.counts[k]
             sizes = rows.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect()  # a row a language
-            discounts = {r.lang: min(0.95, max(0.1, r.once / max(1, r.once + 2 * r.twice))) for r in sizes}
-            discount = F.element_at(F.create_map(*[F.lit(x) for pair in discounts.items() for x in pair]), F.col("lang"))
-            of = Window.partitionBy("lang", "head")  # a context has no more n-grams than the alphabet has letters
-            told = rows.withColumns({"head": F.shiftright("key", BITS), "d": discount}).withColumns({"total": F.sum("n").over(of), "types": F.count(F.lit(1)).over(of)})
-            share, back = (F.col("n") - F.col("d")) / F.col("total"), F.col("d") * F.col("types") / F.col("total")
-            told = saved(told.select("lang", "key", "head", share.alias("share"), back.alias("back")), f"shares-{k}")
-            self.shares[k] = told.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("lang", "share"))).alias("share"))
-            self.backs[k] = told.groupBy("lang", "head").agg(F.first("back").alias("back")).groupBy("head").agg(F.map_from_entries(F.collect_list(F.struct("lang", "back"))).alias("back"))
-        found = self.probabilities(often).toArrow().combine_chunks()  # `ready` rows
-        keys = found["key"].to_numpy()
-        order = np.argsort(keys)
-        self.keys, self.logs = keys[order], np.log(found["p"].combine_chunks().flatten().to_numpy()).reshape(-1, len(self.langs))[order].astype(np.float32)
+            discount = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, _discount(r.once, r.twice))]), F.col("lang"))
+            of = Window.partitionBy("lang", C[k - 1])  # a context has no more n-grams than there are letters
+            told = rows.withColumn("d", discount).withColumns({"total": F.sum("n").over(of), "types": F.count(F.lit(1)).over(of)})
+            by_lang = lambda value, none: F.array(*[F.coalesce(F.max(F.when(F.col("lang") == i, value)), F.lit(none)) for i in range(n_langs)])
+            self.backs[k] = saved(told.groupBy(F.col(C[k - 1]).alias("key")).agg(by_lang(F.col("d") * F.col("types") / F.col("total"), 1.0).alias("back")), f"backs-{k}")
+            shares = told.groupBy(F.col(G[k - 1]).alias("key"), F.col(C[k - 1]).alias("head"), F.col(G[k - 2] if k > 1 else C[0]).alias("tail")).agg(by_lang((F.col("n") - F.col("d")) / F.col("total"), 0.0).alias("share"))
+            shares = shares.join(self.backs[k].withColumnRenamed("key", "head"), "head")
+            if k == 1:
+                shares = shares.withColumn("lower", F.array_repeat(F.lit(1 / self.size), n_langs))
+            else:
+                shares = shares.join(self.grams[k - 1].select(F.col("key").alias("tail"), F.col("p").alias("lower")), "tail")
+            p = F.zip_with("share", F.zip_with("back", "lower", lambda x, y: x * y), lambda x, y: x + y)
+            self.grams[k] = saved(shares.select("key", p.alias("p")), f"grams-{k}")
 
-    @staticmethod
-    def _suffix(k: int) -> Column:
-        return F.col("key").bitwiseAND(F.lit((1 << BITS * k) - 1))
-
-    def probabilities(self, keys: DataFrame) -> DataFrame:
-        """key, p: the probabilities of distinct 5-grams in each language, from the lowest order up."""
-        wanted = {ORDER: keys}
-        for k in range(ORDER - 1, 0, -1):
-            wanted[k] = wanted[k + 1].select(self._suffix(k).alias("key")).distinct()
-        below = None
-        for k in range(1, ORDER + 1):
-            rows = wanted[k].withColumns({"head": F.shiftright("key", BITS), "tail": self._suffix(k - 1)})
-            rows = rows.join(self.backs[k], "head", "left").join(self.shares[k], "key", "left")
-            rows = rows.withColumn("lower", F.array_repeat(F.lit(1 / self.size), len(self.langs))) if below is None else rows.join(below, "tail")
-            p = F.transform(F.sequence(F.lit(0), F.lit(len(self.langs) - 1)), lambda i: F.coalesce(F.try_element_at("back", i), F.lit(1.0)) * F.get("lower", i) + F.coalesce(F.try_element_at("share", i), F.lit(0.0)))
-            found = saved(rows.select("key", p.alias("p")), f"probabilities-{k}")
-            below = found.select(F.col("key").alias("tail"), F.col("p").alias("lower"))
-        return found
+    def cells(self) -> int:
+        """Numbers that the model holds."""
+        return sum(t.count() for t in [*self.grams.values(), *self.backs.values()]) * (len(self.langs) + 2)
 
     def word_logs(self, words: DataFrame) -> DataFrame:
-        """word, logs: log-probabilities of distinct words in each language."""
-        keys_of = self.keys_of
+        """word, logs: log-probabilities of distinct words in each language, by joins."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, len(batch), 2000):
                     part = batch.column(0).slice(lo, 2000)
                     windows, owner = _windows(part.to_pylist())
-                    yield pa.RecordBatch.from_arrays([part.take(pa.array(owner)), pa.array(keys_of(windows))], names=["word", "key"])
+                    yield pa.RecordBatch.from_arrays([part.take(pa.array(owner)), *_hash_columns(windows)], names=["word", *G, *C])
+
+        windows = saved(words.mapInArrow(run, f"word string, {_longs(G + C)}"), "windows")
+        rows = windows.select(*G, *C).distinct()
+        for k in range(1, ORDER + 1):
+            grams = self.grams[k].select(F.col("key").alias(G[k - 1]), F.col("p").alias(f"p{k}"))
+            backs = self.backs[k].select(F.col("key").alias(C[k - 1]), F.col("back").alias(f"b{k}"))
+            rows = rows.join(grams, G[k - 1], "left").join(backs, C[k - 1], "left")
+        p = F.array_repeat(F.lit(1 / self.size), len(self.langs))
+        for k in range(1, ORDER + 1):
+            lower = F.zip_with(F.coalesce(f"b{k}", F.array_repeat(F.lit(1.0), len(self.langs))), p, lambda x, y: x * y)
+            p = F.coalesce(f"p{k}", lower)
+        known = rows.select(G[-1], F.transform(p, lambda x: F.log(x)).alias("logs"))
+        sums = F.array(*[F.sum(F.get("logs", F.lit(i))) for i in range(len(self.langs))])
+        return windows.select("word", G[-1]).join(known, G[-1]).groupBy("word").agg(sums.alias("logs"))
+
+    def frequent(self, n: int) -> DataFrame:
+        """key, p of the n most frequent n-grams of the highest order, ties by key."""
+        often = self.counts[ORDER].groupBy(F.col(G[-1]).alias("key")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n).select("key")
+        return self.grams[ORDER].join(often, "key", "left_semi")
+
+    def forget(self) -> None:
+        forget(*self.counts.values(), *self.grams.values(), *self.backs.values())
+
+
+def _discount(once: int, twice: int) -> float:
+    """The discount of a language and order from its n-grams of count 1 and 2."""
+    return min(0.95, max(0.1, once / max(1, once + 2 * twice)))
+
+
+def _sorted(rows: DataFrame, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of a table (key, numbers) and the logarithms of its numbers."""
+    found = rows.toArrow().combine_chunks()
+    keys = found.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.log(found.column(1).combine_chunks().flatten().to_numpy()).astype(np.float32).reshape(-1, n_langs)[order]
 
-        windows = words.mapInArrow(run, "word string, key long")
-        p = self.probabilities(windows.select("key").distinct())
-        return windows.join(p, "key").groupBy("word").agg(F.array(*[F.sum(F.log(F.get("p", F.lit(i)))) for i in range(len(self.langs))]).alias("logs"))
+
+class Model:
+    """`Tables` as sorted hash arrays, for each order one of n-grams and one of contexts."""
+
+    def __init__(self, tables: Tables):
+        self.langs, self.size = tables.langs, tables.size
+        self.grams, self.backs = [{k: _sorted(t, len(self.langs)) for k, t in x.items()} for x in (tables.grams, tables.backs)]
+
+    @staticmethod
+    def _find(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+        return table[1][at], table[0][at] == keys
+
+    def _logs(self, k: int, grams: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        if not k:
+            return np.full((len(grams), len(self.langs)), -np.log(self.size), np.float32)
+        out, hit = self._find(self.grams[k], grams[:, k - 1])
+        if len(miss := np.flatnonzero(~hit)):
+            back, known = self._find(self.backs[k], heads[miss, k - 1])
+            out[miss] = np.where(known[:, None], back, 0) + self._logs(k - 1, grams[miss], heads[miss])
+        return out
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of words in all languages."""
+        windows, owner = _windows(words)
+        logs = self._logs(ORDER, *_hashes(windows))
+        return np.add.reduceat(logs, np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1]), axis=0)
 
 
-def train_model(train: DataFrame, text_col: str, lang_col: str, max_grams: int = 250_000) -> Model | Tables | None:
-    """A model of all non-null languages of train with all their n-grams, in tables where those are over max_grams."""
+def train_model(train: DataFrame, text_col: str, lang_col: str) -> Tables | None:
+    """The models of all non-null languages of train, with all their n-grams; None without any."""
     counts = saved(gram_counts(train.filter(F.col(lang_col).isNotNull()), text_col, lang_col), "grams")
-    n = counts.count()
-    if n > max_grams:
-        return Tables(counts, max_grams)
-    kept = counts.select("lang", "gram", "n").toArrow()
-    return Model(kept["lang"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_numpy()) if n else None
+    model = None if counts.isEmpty() else Tables(counts)
+    forget(counts)
+    return model
 
 
-def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Tables) -> DataFrame:
-    """`cross_entropies` where only the model's frequent n-grams are broadcast: words that have others are joined."""
+def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Tables, ready: int) -> DataFrame:
+    """`cross_entropies` where only the model's `ready` most frequent n-grams are broadcast: words with others are joined."""
     n_langs = len(model.langs)
-    shared = docs.sparkSession.sparkContext.broadcast((model.keys, model.logs))
-    keys_of = model.keys_of
+    shared = docs.sparkSession.sparkContext.broadcast(_sorted(model.frequent(ready), n_langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, logs = shared.value
@@ -276,7 +247,7 @@ def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model:
                 if fresh := [w for w in {w for t in texts for w in t} if w not in index]:
                     index.update(zip(fresh, range(len(index), len(index) + len(fresh)), strict=True))
                     windows, owner = _windows(fresh)
-                    own = keys_of(windows)
+                    own = _hashes(windows)[0][:, -1]
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
                     full = np.logical_and.reduceat(keys[at] == own, starts)
@@ -305,13 +276,12 @@ def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model:
     return rows.join(logs, "word", "left").groupBy("_row", *id_cols, "chars").agg(ce.alias("ce")).select(*id_cols, "chars", "ce")
 
 
-def cross_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model: Model | Tables | None) -> DataFrame:
+def cross_entropies(docs: DataFrame, id_cols: list[str], text_col: str, tables: Tables | None, max_cells: int) -> DataFrame:
     """The id columns, chars (letters and word ends predicted) and ce, the nats per character in each language."""
-    if isinstance(model, Tables):
-        return _joined_entropies(docs, id_cols, text_col, model)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # within max_grams
-    n_langs = len(model.langs) if model else 0
+    if tables and tables.cells() > max_cells:
+        return _joined_entropies(docs, id_cols, text_col, tables, max_cells // (2 * len(tables.langs) + 4))
+    shared = docs.sparkSession.sparkContext.broadcast(Model(tables) if tables else None)  # within max_cells
+    n_langs = len(tables.langs) if tables else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, index, scores = shared.value, {}, np.zeros((0, n_langs + 1), np.float32)
@@ -356,7 +326,7 @@ def _fitted(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_part: int = 2, parts: int = 4, max_grams: int = 250_000, slack: float = 1.25) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_part: int = 2, parts: int = 4, max_cells: int = 16_000_000, slack: float = 1.25) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected of every row.
 
     Rows whose crc32(id as text) mod `parts` is `held_out_part` are never learned from. Of the rest, those of the last
@@ -369,8 +339,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
     calibration = max(k for k in range(parts) if k != held_out_part)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.cast("int").alias("fold"))
-    model = train_model(rows.filter(~F.col("fold").isin(held_out_part, calibration)), "text", "lang", max_grams)
-    scored = saved(cross_entropies(rows, ["doc_id", "lang", "fold"], "text", model), "entropies")
+    model = train_model(rows.filter(~F.col("fold").isin(held_out_part, calibration)), "text", "lang")
+    scored = saved(cross_entropies(rows, ["doc_id", "lang", "fold"], "text", model, max_cells), "entropies")
+    if model:
+        model.forget()
     names = F.array(*map(F.lit, model.langs)) if model else F.array().cast("array<string>")
     best = F.array_min("ce")
     ranked = scored.withColumn("best", best).withColumn("pred", F.when(F.col("chars") > 0, F.get(names, F.array_position("ce", best).cast("int") - 1)))
