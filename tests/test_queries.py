@@ -1,9 +1,10 @@
 """Every registered query against its SQL on the smallest tables."""
 
-import math
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from tidemark.plans.queries import ORACLE, QUERIES
@@ -21,11 +22,11 @@ def db():
 
 def rows(frame):
     def plain(x):
-        if x is None or isinstance(x, float) and math.isnan(x):
+        if x is None or pd.api.types.is_scalar(x) and pd.isna(x):
             return None
         if type(x).__name__ in ("float", "float64", "Decimal"):
             return round(float(x), 6)
-        return int(x) if type(x).__name__ in ("int64", "int32") else str(x)
+        return int(x) if isinstance(x, int | np.integer) and not isinstance(x, bool) else str(x)
 
     return sorted(map(repr, frame[sorted(frame.columns)].map(plain).itertuples(index=False, name=None)))
 

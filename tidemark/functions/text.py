@@ -36,7 +36,9 @@ def normalize_text(c: Column) -> Column:
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
     folded = F.translate(F.when(F.rlike(c, F.lit(wide)), spelled).otherwise(c), FOLD_FROM, FOLD_TO)
     plain = F.lower(F.regexp_replace(folded, "[̀-ͯ]", ""))
-    return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    other = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    ascii_key = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.when(F.octet_length(c) == F.char_length(c), ascii_key).otherwise(other)
 
 
 def isotope_label(mass: Column, symbol: Column, electron: Column | None = None) -> Column:
@@ -73,40 +75,70 @@ def number_text(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c.cast("decimal(30,6)").cast("string"), r"0+$", ""), r"\.$", "")
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with value evaluated once; what a lambda uses is otherwise evaluated again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, kind: str, zero: Column, step, block: int = 128) -> Column:
+    """array<kind>: what a left fold over an array gives on its way, in time about linear in its length.
+
+    step(acc, x) returns the next acc and what x adds, an array<kind>. The fold goes by blocks: appending to one long array
+    would copy it for every element."""
+    none = F.array().cast(f"array<{kind}>")
+    blocks = bound(items, lambda every: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(every) - 1) / block), F.lit(0)).cast("int")), lambda b: F.slice(every, b * block + 1, F.lit(block))))
+
+    def inner(s: Column, x: Column) -> Column:
+        acc, more = step(s["acc"], x)
+        return F.struct(acc.alias("acc"), F.concat(s["out"], more.cast(f"array<{kind}>")).alias("out"))
+
+    start = F.array(F.struct(zero.alias("acc"), none.alias("out")))
+    folded = F.aggregate(blocks, start, lambda s, blk: F.array_append(s, F.aggregate(blk, F.struct(F.element_at(s, -1)["acc"].alias("acc"), none.alias("out")), inner)))
+    return F.flatten(F.transform(folded, lambda s: s["out"]))
+
+
 def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
     """array<struct<text,start,end,groups>> of all matches in reading order; offsets in characters, ends exclusive.
 
-    The pattern must not match the empty string. Groups without a match are empty strings."""
+    The pattern must not match the empty string. Groups without a match are empty strings. Time is about linear in text
+    and matches."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
     rows = F.arrays_zip(whole.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), *parts)
-    kind = "array<struct<text:string,start:int,end:int,groups:array<string>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    kind = "struct<text:string,start:int,end:int,groups:array<string>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        start = (acc["at"] + F.length(x["gap"])).cast("int")
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = (at + F.length(x["gap"])).cast("int")
         end = (start + F.length(x["m"])).cast("int")
         own = F.array(*[x[f"g{g}"] for g in groups]) if groups else F.array().cast("array<string>")
-        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(x["m"].alias("text"), start.alias("start"), end.alias("end"), own.alias("groups"))).alias("found"))
+        return end, F.array(F.struct(x["m"].alias("text"), start.alias("start"), end.alias("end"), own.alias("groups")))
 
-    return F.when(F.size(whole) > 0, F.aggregate(rows, zero, step, lambda acc: acc["found"])).otherwise(F.array().cast(kind))
+    found = running(rows, kind, F.lit(0), step)
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 WORD = r"\p{L}[\p{L}0-9-]*"
 
 
 def token_ngrams(text: Column, tokens: Column, most: int = 3) -> Column:
-    """array<struct<n,phrase,start,end>> of all windows of 1 to `most` of the tokens; the phrase is the text's own slice."""
-
-    def windows(n: int) -> Column:
-        def one(i: Column) -> Column:
-            start, end = F.get(tokens, i)["start"], F.get(tokens, i + (n - 1))["end"]
-            return F.struct(F.lit(n).alias("n"), F.substring(text, start + 1, end - start).alias("phrase"), start.alias("start"), end.alias("end"))
-
-        kind = "array<struct<n:int,phrase:string,start:int,end:int>>"
-        return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(0), F.size(tokens) - n), one)).otherwise(F.array().cast(kind))
-
-    return F.flatten(F.array(*[windows(n) for n in range(1, most + 1)]))
+    """array<struct<n,phrase,start,end>> of all windows of 1 to `most` of the tokens of match_spans(text, WORD); the phrase
+    is the text's own slice, put together from tokens and the gaps between them."""
+    kind = "array<struct<n:int,phrase:string,start:int,end:int>>"
+
+    def windows(b: Column, n: int) -> Column:
+        def one(x: Column) -> Column:
+            parts = [x["t0"]["text"]]
+            for k in range(1, n):
+                parts += [x[f"s{k}"], x[f"t{k}"]["text"]]
+            return F.struct(F.lit(n).alias("n"), F.concat(*parts).alias("phrase"), x["t0"]["start"].alias("start"), x[f"t{n - 1}"]["end"].alias("end"))
+
+        many = F.greatest(F.size(b["tokens"]) - (n - 1), F.lit(0))
+        own = lambda name, k: F.slice(b[name], F.lit(k + 1), many)
+        zipped = F.arrays_zip(*[own("tokens", k).alias(f"t{k}") for k in range(n)], *[own("gaps", k).alias(f"s{k}") for k in range(1, n)])
+        return F.transform(zipped, one).cast(kind)
+
+    both = F.struct(tokens.alias("tokens"), F.split(text, WORD, -1).alias("gaps"))
+    return bound(both, lambda b: F.flatten(F.array(*[windows(b, n) for n in range(1, most + 1)])))
 
 
 def overlaps(span: Column, claimed: Column) -> Column:
