@@ -96,9 +96,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-OP4 = """WITH l AS (SELECT conv_id, max(turn) AS pos, arg_max(text, turn) AS answer FROM conversations WHERE role = 'assistant' GROUP BY 1),
-p AS (SELECT c.conv_id, c.turn, c.role, c.text, pos, answer, coalesce(o.answer_, '') AS other FROM conversations c LEFT JOIN l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer AS answer_ FROM l) o USING (conv_id)),
-r AS (SELECT conv_id, turn, turn = pos AS swapped, pos IS NULL OR answer = other OR turn < pos AS shared, answer, other, concat('<|', role, '|>\n', text, '<|end|>\n') AS a, concat('<|', role, '|>\n', CASE WHEN turn = pos THEN other ELSE text END, '<|end|>\n') AS b FROM p)
+OP4 = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations), l AS (SELECT conv_id, max(turn) AS pos, arg_max(text, turn) AS answer FROM t WHERE role = 'assistant' GROUP BY 1),
+p AS (SELECT c.conv_id, c.turn, c.role, c.text, pos, answer, coalesce(o.answer_, '') AS other FROM t c LEFT JOIN l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer AS answer_ FROM l) o USING (conv_id)),
+r AS (SELECT conv_id, turn, turn = pos AS swapped, pos IS NULL OR answer = other OR turn < pos AS shared, answer, other, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS a, concat('<|', role, '|>', chr(10), CASE WHEN turn = pos THEN other ELSE text END, '<|end|>', chr(10)) AS b FROM p)
 SELECT conv_id, CAST(count(*) FILTER (shared) AS INT) AS prompt_turns, coalesce(string_agg(a, '' ORDER BY turn) FILTER (shared), '') AS prompt, coalesce(string_agg(a, '' ORDER BY turn) FILTER (NOT shared), '') AS chosen,
 coalesce(string_agg(b, '' ORDER BY turn) FILTER (NOT shared), '') AS rejected, coalesce(max(concat('14:', 22 + length(answer))) FILTER (swapped AND NOT shared), '') AS chosen_mask, coalesce(max(concat('14:', 22 + length(other))) FILTER (swapped AND NOT shared), '') AS rejected_mask FROM r GROUP BY 1"""
 
