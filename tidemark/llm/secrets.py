@@ -7,10 +7,9 @@ to all rows. Everything is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .base import work_path
+from .base import free_name, work_path
 from .spans import SPAN, Rule, all_matches, masked
 
 # fixed patterns
@@ -19,20 +18,22 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 BASE = [Rule("assign", ASSIGN, 2, lambda m, g: F.length(g) >= 6), Rule("access", ACCESS), Rule("hex", HEX)]
 ADDED = [
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    # to the end mark, or with the lines of key text that follow where there is none
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,}+){0,500}+)"),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("prefixed", r"(?<![A-Za-z0-9_])(?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9-]{20,}+"),
 ]
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 
 
 def _ledger(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of the ledger, none where it is not there yet. It holds places and kinds of findings, never their text."""
     schema = f"blob string, rule_version string, spans {SPAN}"
     spark = docs.sparkSession
-    try:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], schema)
 
 
 def scan_unseen(docs: DataFrame, ledger: str, id_col: str, text_col: str, rules: list[Rule], rule_version: str) -> DataFrame:
@@ -45,11 +46,12 @@ def scan_unseen(docs: DataFrame, ledger: str, id_col: str, text_col: str, rules:
     held = rows.join(own, (F.col("blob") == F.col("b")) & F.col("id").eqNullSafe(F.col("first")), "left_semi")
     found = held.select("blob", F.lit(rule_version).alias("rule_version"), all_matches(F.col("text"), rules).alias("spans"))
     found.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
-    return _ledger(docs, ledger).filter(F.col("rule_version") == rule_version)
+    # scans that ran at the same time may both have added a blob
+    return _ledger(docs, ledger).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
 
 def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
-    """doc_id, blob and spans (start, rank, end, kind, text; code points, end exclusive) of every row.
+    """doc_id, blob and spans (start, rank, end, kind; code points, end exclusive) of every row.
 
     ledger is the path of a table that earlier scans have left, or of a new one. A null text is the empty blob; repeated
     rows and equal texts are scanned once and all get the findings; an empty table gives no rows. Spans come by start,
@@ -64,11 +66,15 @@ def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", tex
 
 
 def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every secret replaced by its kind in brackets; other columns stay as they are."""
+    """docs with every secret replaced by its kind in brackets.
+
+    Other columns stay as they are, whatever their names; null texts stay null, repeated rows stay repeated, an empty table
+    stays empty."""
     path = ledger or work_path(docs.sparkSession, "ledger")
     findings = scan_unseen(docs, path, id_col, text_col, BASE + ADDED, RULE_VERSION).filter(F.size("spans") > 0)
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    hit = findings.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    joined = docs.withColumn("__of", F.sha2(text.cast("binary"), 256)).join(hit, F.col("__of") == F.col("__blob"), "left")
-    spans = F.coalesce("__spans", F.array().cast(SPAN))
-    return joined.withColumn(text_col, F.when(F.size(spans) > 0, masked(text, spans)).otherwise(F.col(text_col))).drop("__of", "__blob", "__spans")
+    of, blob, spans = (free_name(docs, c) for c in ("_of", "_blob", "_spans"))
+    hit = findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
+    found = docs.withColumn(of, F.sha2(text.cast("binary"), 256)).join(hit, F.col(of) == F.col(blob), "left")
+    own = F.coalesce(spans, F.array().cast(SPAN))
+    return found.withColumn(text_col, F.when(F.size(own) > 0, masked(text, own)).otherwise(F.col(text_col))).drop(of, blob, spans)
