@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .base import NOT_ALNUM, forget, mix, saved, string_parts, word_hashes, word_spans
@@ -39,7 +40,7 @@ class Items:
 
 def words_of(texts: list[str]) -> list[np.ndarray]:
     found: list[np.ndarray] = []
-    for lo, hi, data, offsets in string_parts(pa.array(texts, pa.string())):
+    for lo, hi, data, offsets in string_parts(pc.utf8_lower(pa.array(texts, pa.string()))):
         starts, ends, row = word_spans(data, offsets, NOT_ALNUM)
         hashes = word_hashes(data, starts, ends)
         found += np.split(hashes, np.searchsorted(row, np.arange(1, hi - lo)))
@@ -77,7 +78,7 @@ def hit_lists(docs: DataFrame, items: Items, id_col: str, text_col: str) -> Data
         quick = np.zeros(1 << table_bits, bool)
         quick[own.vocabulary >> np.uint64(64 - table_bits)] = True
         for batch in batches:
-            for lo, hi, data, offsets in string_parts(batch.column(1)):
+            for lo, hi, data, offsets in string_parts(pc.utf8_lower(batch.column(1))):
                 starts, ends, row = word_spans(data, offsets, NOT_ALNUM)
                 hashes = word_hashes(data, starts, ends)
                 maybe = np.flatnonzero(quick[hashes >> np.uint64(64 - table_bits)])
@@ -155,58 +156,76 @@ def _normal(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(np.linalg.norm(matrix, axis=-1, keepdims=True), 1e-12)
 
 
-def _item_matrix(items: Items, idf: np.ndarray) -> np.ndarray:
-    tf = np.zeros((len(items.pieces), len(items.vocabulary)))
-    for i, w in enumerate(items.pieces):
-        np.add.at(tf[i], w, 1.0)
-    return _normal(tf * idf)
+def _piece_words(items: Items, idf: np.ndarray, counted: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Piece, word and TF-IDF weight (counted) or IDF weight (once a word) of the pieces' words."""
+    owner = np.repeat(np.arange(len(items.pieces)), [len(p) for p in items.pieces])
+    word = np.concatenate(items.pieces)
+    key, n = np.unique(owner * len(idf) + word, return_counts=True)
+    owner, word = key // len(idf), key % len(idf)
+    return owner, word, idf[word] * (n if counted else 1)
 
 
-def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int, passage: int, item_weight: float, power_steps: int = 0) -> np.ndarray:
-    """A basis of the leading right singular space of the TF-IDF matrix of all passages and the benchmark items.
+def _product(owner: np.ndarray, word: np.ndarray, w: np.ndarray, basis: np.ndarray, n_words: int) -> np.ndarray:
+    """A'(A basis) of the rows of A that owner, word and weight give, each of length 1; the basis has a row a coordinate."""
+    total = np.zeros((len(basis), n_words))
+    if len(owner):
+        w = w / np.maximum(np.sqrt(np.bincount(owner, w * w)), 1e-12)[owner]
+        for k, latent in enumerate(_latent(basis, owner, word, w)):
+            total[k] = np.bincount(word, latent[owner] * w, n_words)
+    return total
 
-    A sketch A'(A W) with random W is summed over tasks, orthonormalised on the driver (vocabulary x rank, bounded by
-    the block), and sharpened by `power_steps` more passes. Each item counts as `item_weight` passages, so an item that
-    the corpus holds once is not lost among its frequent words."""
+
+def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int, oversampling: int, power_steps: int, passage: int) -> np.ndarray:
+    """A basis (vocabulary x rank) of the leading right singular space of the TF-IDF matrix of all passages and the
+    benchmark items' passages.
+
+    A sketch A'(A W) with random W of `oversampling` more columns is summed over tasks, orthonormalised on the driver
+    (vocabulary x columns, bounded by the block), sharpened by `power_steps` more products and cut to `rank` by the
+    singular values of the last one. The benchmark's passages together weigh as much as those of the corpus."""
     n_words, spark = len(idf), hits.sparkSession
-    rank = min(rank, n_words)
-    own = _item_matrix(items, idf) * np.sqrt(item_weight)
+    columns = min(rank + oversampling, n_words)
+    own = _piece_words(items, idf, True)
 
     def product(basis: np.ndarray) -> np.ndarray:
         shared = spark.sparkContext.broadcast((np.ascontiguousarray(basis.T), idf.astype(np.float32)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, weight = shared.value
-            total = np.zeros((len(q), n_words))
+            total, rows = np.zeros((len(q), n_words)), 0
             for batch in batches:
                 for lo in range(0, len(batch), 1000):
                     _, _, owner, word, w = _passages(batch.column(1).slice(lo, 1000).to_pylist(), weight, passage, False)
-                    if len(owner):
-                        w = w / np.sqrt(_sums(w * w, owner))[owner]
-                        for k, latent in enumerate(_latent(q, owner, word, w)):
-                            total[k] += np.bincount(word, latent[owner] * w, n_words)
+                    total += _product(owner, word, w, q, n_words)
+                    rows += int(owner[-1]) + 1 if len(owner) else 0
             at = np.flatnonzero(total.any(axis=0))
             for lo in range(0, len(at), 500):
                 part = np.ascontiguousarray(total[:, at[lo : lo + 500]].T).astype(np.float32)
                 bounds = np.arange(len(part) + 1, dtype=np.int32) * part.shape[1]
                 yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 500]), pa.ListArray.from_arrays(pa.array(bounds), pa.array(part.ravel()))], names=["word", "row"])
+            if rows:  # the number of passages stands in a row of its own
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([[float(rows)]], pa.list_(pa.float32()))], names=["word", "row"])
 
         def add(key: tuple, table: pa.Table) -> pa.Table:
             rows = np.stack(table.column("row").to_numpy())
-            return pa.table({"word": table.column("word")[:1], "row": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+            return pa.table({"word": table.column("word")[:1], "row": pa.array([rows.sum(axis=0, dtype=float)], pa.list_(pa.float64()))})
 
         # a row a word and task, so a group is as large as the number of tasks
         parts = hits.mapInArrow(run, "word long, row array<float>").groupBy("word").applyInArrow(add, "word long, row array<double>")
-        out = own.T @ (own @ basis)
-        for r in parts.toLocalIterator():  # vocabulary x rank numbers
-            out[r.word] += r.row
-        return out
-
-    seeds = mix(np.arange(n_words * rank, dtype=np.uint64) + np.uint64(1))
-    basis = np.where(seeds & np.uint64(1), 1.0, -1.0).reshape(n_words, rank)
-    for _ in range(1 + power_steps):
+        out, n_rows = np.zeros((n_words, columns)), 0.0
+        for r in parts.toLocalIterator():  # vocabulary x columns numbers
+            if r.word < 0:
+                n_rows = r.row[0]
+            else:
+                out[r.word] = r.row
+        return out + max(1.0, n_rows) / len(items.pieces) * _product(*own, np.ascontiguousarray(basis.T), n_words).T
+
+    seeds = mix(np.arange(n_words * columns, dtype=np.uint64) + np.uint64(1))
+    basis = np.where(seeds & np.uint64(1), 1.0, -1.0).reshape(n_words, columns)
+    for _ in range(power_steps + 1):
         basis = np.linalg.qr(product(basis))[0]
-    return basis
+    small = basis.T @ product(basis)  # A'A in the basis
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    return basis @ turn[:, np.argsort(-values)[:rank]]
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -268,14 +287,15 @@ def dense(a: np.ndarray, answer: np.ndarray, b: np.ndarray, at: np.ndarray, need
     return best
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, extra_rank: int = 24, cosine: float = 0.35, share: float = 0.7, density: float = 0.6, answer_words: int = 5, answer_share: float = 0.6, rare_words: int = 12, rare_share: float = 0.01, block_items: int = 256, block_words: int = 16_000) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", passage: int = 64, rank: int = 128, oversampling: int = 16, power_steps: int = 1, cosine: float = 0.35, share: float = 0.7, density: float = 0.6, answer_words: int = 5, answer_share: float = 0.6, rare_words: int = 12, rare_share: float = 0.01, block_items: int = 20_000, block_words: int = 60_000) -> DataFrame:
     """doc_id, item_id, cosine, lcs_words, item_words, answer_found: one row for each document and item it leaks.
 
     A pair is a leak if a passage's latent cosine to one of the item's passages is `cosine` or more, its latent length at
-    least half of that one's, and, around that passage, some stretch
+    least half of that one's (items of 12 or fewer words meet passages of 12 words, those of 3 or fewer passages of 4), and,
+    around that passage, some stretch
     of text has `share` or more of the item's words in order, those are at least `density` of it, and it holds
-    `answer_share` or more of the item's last `answer_words` words; lcs_words is the most of any such stretch. Words are runs of letters and digits, ASCII case
-    folded. Null and empty texts and items leak nothing; repeated rows give the pair once; empty tables give no rows.
+    `answer_share` or more of the item's last `answer_words` words; lcs_words is the most of any such stretch. Words are runs of letters and digits,
+    lower-cased. Null and empty texts and items leak nothing; repeated rows give the pair once; empty tables give no rows.
     Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
@@ -285,7 +305,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         n_docs = max(1, hits.count())
         df = document_frequencies(hits, len(items.vocabulary))
         idf = weights(items, df, n_docs, rare_words, rare_share)
-        vectors = singular_vectors(hits, items, idf, len(items.pieces) + extra_rank, passage, float(n_docs))
+        vectors = singular_vectors(hits, items, idf, rank, oversampling, power_steps, passage)
         pairs = _decided(hits, items, idf, vectors, passage, cosine, share, density, answer_words, answer_share)
         found.append(saved(pairs, "leaks"))
         forget(hits)
@@ -295,33 +315,36 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray, passage: int, cosine: float, share: float, density: float, answer_words: int, answer_share: float) -> DataFrame:
-    tf = np.zeros((len(items.pieces), len(items.vocabulary)))
-    for i, w in enumerate(items.pieces):
-        tf[i, w] = 1.0
-    latent_items = (tf * idf) @ vectors
+    owner, word, w = _piece_words(items, idf, False)
+    latent_items = np.stack([np.bincount(owner, row[word] * w, len(items.pieces)) for row in np.ascontiguousarray(vectors.T)], axis=1)
     shared = hits.sparkSession.sparkContext.broadcast((items, idf.astype(np.float32), np.ascontiguousarray(vectors.T), _normal(latent_items).T.astype(np.float32), np.linalg.norm(latent_items, axis=1).astype(np.float32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weight, v, targets, lengths = shared.value
+        words = np.array([len(p) for p in own.pieces])
+        classes = [(passage, words > 12), (12, (words > 3) & (words <= 12)), (4, words <= 3)]  # short pieces meet short passages
+        widths = [(width, np.flatnonzero(own_class)) for width, own_class in classes if own_class.any()]
         for batch in batches:
             for lo in range(0, len(batch), 400):
                 part = batch.slice(lo, 400)
-                row, start, owner, word, w = _passages(part.column(1).to_pylist(), weight, passage, True)
-                if not len(owner):
-                    continue
-                # a passage shorter than half of a piece's vector cannot hold most of the piece
-                near = _sums(w * w, owner) >= (0.5 * lengths.min()) ** 2
-                if not near.any():
-                    continue
-                row, start, used = row[near], start[near], near[owner]
-                owner, word, w = np.unique(owner[used], return_inverse=True)[1], word[used], w[used]
-                latent = np.stack(list(_latent(v, owner, word, w)), axis=1).astype(np.float32)
-                size = np.linalg.norm(latent, axis=1)
-                similar = _normal(latent) @ targets
-                p, item = np.nonzero((similar >= cosine) & (size[:, None] >= 0.5 * lengths[None, :]))
+                lists = part.column(1).to_pylist()
                 best: dict[tuple[int, int], list] = {}
-                for pi, it in zip(p.tolist(), own.item_of[item].tolist(), strict=True):
-                    best.setdefault((int(row[pi]), it), []).append((float(similar[pi, it]), int(start[pi])))
+                for width, chosen in widths:
+                    row, start, owner, word, w = _passages(lists, weight, width, True)
+                    if not len(owner):
+                        continue
+                    # a passage shorter than half of a piece's vector cannot hold most of the piece
+                    near = _sums(w * w, owner) >= (0.5 * lengths[chosen].min()) ** 2
+                    if not near.any():
+                        continue
+                    row, start, used = row[near], start[near], near[owner]
+                    owner, word, w = np.unique(owner[used], return_inverse=True)[1], word[used], w[used]
+                    latent = np.stack(list(_latent(v, owner, word, w)), axis=1).astype(np.float32)
+                    size = np.linalg.norm(latent, axis=1)
+                    similar = _normal(latent) @ targets[:, chosen]
+                    p, piece = np.nonzero((similar >= cosine) & (size[:, None] >= 0.5 * lengths[chosen][None, :]))
+                    for pi, k, it in zip(p.tolist(), piece.tolist(), own.item_of[chosen[piece]].tolist(), strict=True):
+                        best.setdefault((int(row[pi]), it), []).append((float(similar[pi, k]), int(start[pi])))
                 out: list[tuple] = []
                 for (r, it), places in best.items():
                     list_ = np.frombuffer(part.column(1)[r].as_py(), "<u4").reshape(-1, 2)
