@@ -9,17 +9,23 @@ from pyarrow import fs
 
 
 class Rolling:
-    """Writes files in `folder` one after the other; a file is under a temporary name until it is complete.
+    """Writes files in `folder` one after the other; a file is under a temporary name, another one for each attempt, until
+    it is complete.
 
-    Names hold a random part per attempt, so a task that runs again never meets the files of its first attempt; only
-    files that the committed index or manifest names count."""
+    With `attempt_names` the final names hold the attempt too, so a task that runs again never meets the files of its
+    first attempt. Without, a second attempt puts the same bytes under the same name. Only files that the committed index
+    or manifest names count."""
 
-    def __init__(self, folder: str, stem: str, suffix: str, limit: int):
+    def __init__(self, folder: str, stem: str, suffix: str, limit: int, attempt_names: bool = True):
         self.system, self.folder = fs.FileSystem.from_uri(folder)
         self.system.create_dir(self.folder, recursive=True)
-        self.stem, self.suffix, self.limit = f"{stem}-{uuid.uuid4().hex[:8]}", suffix, limit
+        self.attempt = uuid.uuid4().hex[:8]
+        self.stem, self.suffix, self.limit = f"{stem}-{self.attempt}" if attempt_names else stem, suffix, limit
         self.number, self.size, self.out = 0, 0, None
 
+    def _temporary(self) -> str:
+        return os.path.join(self.folder, f"{self.name}.{self.attempt}.tmp")
+
     @property
     def name(self) -> str:
         return f"{self.stem}-{self.number:05d}{self.suffix}"
@@ -27,7 +33,7 @@ class Rolling:
     def write(self, data: bytes) -> tuple[str, int]:
         """Appends data whole; returns the file and the offset it stands at."""
         if self.out is None:
-            self.out = self.system.open_output_stream(os.path.join(self.folder, self.name + ".tmp"))
+            self.out = self.system.open_output_stream(self._temporary())
         at = self.size
         self.out.write(data)
         self.size += len(data)
@@ -43,7 +49,13 @@ class Rolling:
         self.out.write(tail)
         self.out.close()
         done = self.name
-        self.system.move(os.path.join(self.folder, done + ".tmp"), os.path.join(self.folder, done))
+        final = os.path.join(self.folder, done)
+        try:
+            self.system.move(self._temporary(), final)
+        except OSError:  # stores that do not replace: an earlier attempt has put the same bytes there
+            if self.system.get_file_info(final).type != fs.FileType.File:
+                raise
+            self.system.delete_file(self._temporary())
         self.out, self.size, self.number = None, 0, self.number + 1
         return done
 

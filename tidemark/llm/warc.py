@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer and its reader.
 
-Records are range-sorted by id, each task writes its range to gzip files that roll by compressed size, under
-temporary names until complete; the manifest, a table with a row for each file, is what commits them. Headers and
-digests are made anew from the payloads, so equal tables give equal records.
+Records are range-sorted by id, each range is written to gzip files that roll by compressed size, under temporary names
+until complete; the manifest, a table with a row for each file, is what commits them. Ranges come from exact sums of
+bytes over id intervals, headers and digests are made anew from the payloads, so equal tables give equal files of equal
+names, however their rows are dealt.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .base import saved, work_path
+from .base import forget, saved, work_path
 from .files import Ranges, Rolling, uri
 
 DATE = "2024-01-01T00:00:00Z"
@@ -35,6 +37,34 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_by
     return rows.withColumn("digest", digest).join(revisits, ["id", "digest"], "left")
 
 
+def id_ranges(sizes: DataFrame, target_bytes: int, parts: int = 1024, most_parts: int = 1_000_000) -> list[int]:
+    """The first ids of ranges of about target_bytes each, from rows (id, bytes); a single id is never split.
+
+    Bytes are summed over equal intervals of the ids, four for each range; intervals that are too heavy, as where ids are
+    not even, are cut again, up to 64 of them a round. The driver sees sums of intervals only."""
+    told = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("bytes").alias("bytes")).first()
+    if told.lo is None:
+        return []
+    parts = min(most_parts, max(parts, 4 * told.bytes // target_bytes))
+    todo, weights = [(told.lo, told.hi)], {}
+    while todo:
+        cuts = [(lo, hi, max(1, -(-(hi - lo + 1) // parts))) for lo, hi in todo]
+        interval = F.coalesce(*[F.when(F.col("id").between(lo, hi), F.expr(f"named_struct('first', {lo}L + (id - ({lo}L)) div {width}L * {width}L, 'width', {width}L)")) for lo, hi, width in cuts])
+        found = sizes.select(interval.alias("i"), "bytes").filter("i is not null").groupBy("i").agg(F.sum("bytes").alias("bytes")).select("i.*", "bytes").collect()  # at most parts rows for each heavy interval
+        heavy = [r for r in found if r.bytes > 2 * target_bytes and r.width > 1]
+        heavy = heavy if len(heavy) <= 64 else []  # so many are even enough
+        again = {r.first for r in heavy}
+        weights |= {r.first: r.bytes for r in found if r.first not in again}
+        todo = [(r.first, r.first + r.width - 1) for r in heavy]
+    firsts, held = [], target_bytes
+    for first in sorted(weights):
+        if held >= target_bytes:
+            firsts.append(first)
+            held = 0
+        held += weights[first]
+    return firsts
+
+
 def _record(kind: str, page: int | None, url: str, payload: bytes, digest: bytes, refers: int | None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
@@ -53,7 +83,19 @@ def _member(record: bytes, level: int) -> bytes:
     return pack.compress(record) + pack.flush()
 
 
-def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, file_bytes: int = 32 << 20, level: int = 5) -> DataFrame:
+def _range_of(firsts: list[int]):
+    """The range of an id among ranges of these first ids."""
+    bounds = np.array(firsts, np.int64)
+
+    @F.pandas_udf("int")
+    def find(ids: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(bounds, ids.fillna(bounds[0]).astype("int64").to_numpy(), "right") - 1, 0)
+        return pd.Series(at.astype("int32"))
+
+    return find
+
+
+def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, file_bytes: int = 32 << 20, level: int = 5, range_bytes: int = 64 << 20) -> DataFrame:
     """Writes a record for every row; returns the manifest: file, bytes, records.
 
     A null payload is empty, a null or empty url gives no target line (line ends in urls become spaces), a null id an empty record id.
@@ -61,8 +103,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = Rolling(folder, f"part-{TaskContext.get().partitionId():06d}", ".warc.gz", file_bytes)
-        records = 0
+        out, of, records = None, None, 0
 
         def ended() -> pa.RecordBatch:
             size = out.size
@@ -70,7 +111,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
         for batch in batches:
             for lo in range(0, len(batch), 200):
-                for page, url, html, refers in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                for page, url, html, refers, part in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                    if part != of:
+                        if out is not None and out.out is not None:
+                            yield ended()
+                        out, of, records = Rolling(folder, f"part-{part:06d}", ".warc.gz", file_bytes, False), part, 0
                     payload = html.encode()
                     kind = "revisit" if refers is not None and len(payload) >= least_bytes else "response"
                     out.write(_member(_record(kind, page, " ".join((url or "").split()), payload, hashlib.sha1(payload).digest(), refers), level))
@@ -78,12 +123,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
                     if out.full():
                         yield ended()
                         records = 0
-        if out.out is not None:
+        if out is not None and out.out is not None:
             yield ended()
 
     rows = planned(pages, id_col, url_col, html_col, least_bytes)
-    ranged = rows.repartitionByRange(F.col("id")).sortWithinPartitions("id", "url", "html")
-    return saved(ranged.select("id", "url", "html", "refers_to").mapInArrow(run, "file string, bytes long, records long"), "manifest")
+    sizes = saved(rows.select("id", F.octet_length("html").cast("long").alias("bytes")), "sizes")
+    firsts = id_ranges(sizes.filter("id is not null"), range_bytes)
+    forget(sizes)
+    part = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col("id"))) - 1) if firsts else F.lit(0)
+    if len(firsts) > 64:  # many ranges: a search in a broadcast table of their first ids
+        part = _range_of(firsts)(F.col("id"))
+    rows = rows.withColumn("part", F.coalesce(part.cast("int"), F.lit(0)))  # null ids go first
+    ranged = rows.repartition(max(1, min(len(firsts), 20_000)), "part").sortWithinPartitions("part", "id", "url", "html")
+    return saved(ranged.select("id", "url", "html", "refers_to", "part").mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
 def _page(urn: str) -> int | None:
@@ -132,7 +184,7 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
                     raise ValueError(f"{name} has not {records} records")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    spread = manifest.repartition(F.col("file"))  # files of bounded size, one read each
+    spread = manifest.repartition(max(1, min(manifest.count(), 20_000)), "file")  # files of bounded size, one read each
     return spread.mapInArrow(run, "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long")
 
 
