@@ -119,7 +119,7 @@ def metadata(places: DataFrame, folder: str) -> DataFrame:
 
 def features(places: DataFrame, folder: str) -> DataFrame:
     """digest and what the stored bytes give: sizes, digests, the checksum of the last 64 samples and a feature string
-    (image size, sample sum and sum of squares)."""
+    (image size, sample sum and sum of squares, sum of samples by place, and the means of 16 equal parts in turn)."""
     names = ["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
@@ -136,7 +136,9 @@ def features(places: DataFrame, folder: str) -> DataFrame:
                     if own != digest:
                         raise ValueError(f"{shard} at {offset} does not hold {digest}")
                     samples = np.frombuffer(payload, np.uint8).astype(np.uint64)
-                    feature = f"png:{width}x{height}x{bits}:{int(samples.sum())}:{int((samples * samples).sum())}"
+                    placed = int((samples * np.arange(1, len(samples) + 1, dtype=np.uint64)).sum())
+                    means = "".join(f"{int(part.sum()) // len(part):02x}" for part in np.array_split(samples, 16))
+                    feature = f"png:{width}x{height}x{bits}:{int(samples.sum())}:{int((samples * samples).sum())}:{placed}:{means}"
                     out.append((digest, len(payload), own, zlib.crc32(payload[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
@@ -147,10 +149,12 @@ def features(places: DataFrame, folder: str) -> DataFrame:
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of every row with the features of its stored payload and the metadata columns of its header.
 
-    Equal texts share one payload and so all values but the id. Repeated rows come back as often as they stand.
+    shard, offset and length say where the payload stands. Equal texts share one payload and so all values but the id.
+    Repeated rows come back as often as they stand; null and empty texts are 64 zero bytes; an empty table gives no rows.
     """
     where = uri(folder or work_path(docs.sparkSession, "media"))
     index = store(docs, where, id_col, text_col)
     places = saved(locations(index), "places")
-    told = saved(features(places, where).join(metadata(places, where).select("digest", "width", "height"), "digest"), "features")
+    told = features(places, where).join(metadata(places, where).drop("bits"), "digest")
+    told = saved(told, "features")
     return index.drop("shard", "offset", "length").join(told, "digest")
