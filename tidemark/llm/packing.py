@@ -212,23 +212,31 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, with_ids: bool = False, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 0, with_ids: bool = False, group_rows: int = 100_000, broadcast_groups: int = 2_000_000) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids) of each piece.
 
     A document's ids are those of the vocabulary file, then end_id; a null or empty text is end_id alone. Every id
     lies in exactly one piece; pieces of a sequence follow each other without gaps from offset 0. Repeated rows are
-    packed as often as they stand, ties get any order among equal pieces; an empty table gives no rows. Other
-    columns are ignored, whatever their names.
-    """
-    cut = saved(pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)))
-    counts = saved(cut.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
+    packed as often as they stand, ties get any order among equal pieces; an empty table gives no rows; very long texts
+    give many pieces. Other columns are ignored, whatever their names.
+
+    Pieces are ranked among those of their length; a length with many pieces (most are of `capacity`) is dealt into groups
+    of about `group_rows`, so no task sorts all of them."""
+    cut = saved(pieces(docs, vocabulary, id_col, text_col, capacity, end_id, with_ids), "pieces")
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    hot = {length: -(-n // group_rows) for length, n in histogram.items() if n > group_rows}
+    groups = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in hot.items() for x in pair]), F.col("length")), F.lit(1)) if hot else F.lit(1)
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), groups))
     spark = docs.sparkSession
     rows = plan(histogram, capacity) or [(0, 0, 0, 1, 0, 0)]
     assign = spark.createDataFrame(rows, "length long, first_rank long, n long, each long, first_sequence long, first_offset long")
-    before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
-    ranked = cut.withColumn("row", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("row") + F.col("before"))  # capacity * salts rows at most
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start")) - 1
+    ranked = cut.withColumn("rank", rank)
+    if hot:
+        counts = cut.filter(F.col("length").isin(list(hot))).groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
+        before = saved(counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before")), "groups")
+        before = F.broadcast(before) if sum(hot.values()) <= broadcast_groups else before  # about 50 MB
+        ranked = ranked.join(before, ["length", "salt"], "left").withColumn("rank", F.col("rank") + F.coalesce("before", F.lit(0)))
     a = F.broadcast(assign.withColumnRenamed("length", "of"))  # as many rows as the plan has, bounded by capacity
     placed = ranked.join(a, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n")))
     at = F.col("rank") - F.col("first_rank")
