@@ -15,13 +15,19 @@ def test_stages(spark):
     kept = stages["language_id"](spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() >= 0.95 * len(rows)
     junk = docs.limit(1).select((F.lit(-5)).cast("long").alias("doc_id"), F.lit("123 !").alias("text"), "lang", "source", "n_chars")
+    # of one id and of none, rows are told apart by their texts
+    odd = spark.createDataFrame([(None, "123 !"), (min(rows), "456 ?"), (None, None)], "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    judged = stages["language_id"](spark, docs.unionByName(odd).withColumn("_key", F.lit("x")), SF)
+    assert judged.count() == kept.count() and judged.filter(f"doc_id = {min(rows)}").count() == 1 and judged.columns == [*docs.columns, "_key"]
     copy = docs.orderBy("doc_id").limit(1).withColumn("doc_id", F.lit(10**6).cast("long"))
     more = docs.unionByName(junk).unionByName(copy)
     assert stages["language_id"](spark, more, SF).filter("doc_id = -5").isEmpty()
     once = stages["minhash_near_dedup"](spark, more, SF)
     assert once.columns == docs.columns and once.filter(f"doc_id = {10**6}").isEmpty() and once.filter(f"doc_id = {min(rows)}").count() == 1
     leaked = table(spark, SF, "benchmark").limit(3).select((F.col("item_id") + 10**7).alias("doc_id"), F.concat(F.lit("x y z "), "text", F.lit(" w")).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"))
-    clean = stages["benchmark_decontamination"](spark, docs.unionByName(leaked), SF)
+    nameless = leaked.withColumn("doc_id", F.lit(None).cast("long"))
+    clean = stages["benchmark_decontamination"](spark, docs.unionByName(leaked).unionByName(nameless), SF)
+    assert clean.filter("doc_id is null").isEmpty()
     assert clean.filter(f"doc_id >= {10**7}").isEmpty() and clean.count() >= 0.9 * len(rows)
     secret = copy.withColumn("text", F.lit("so password=hunter2hunter2 ends"))
     masked = stages["secret_scans"](spark, docs.unionByName(secret), SF)
@@ -31,6 +37,13 @@ def test_stages(spark):
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(rows)
 
 
+def test_empty_tables(spark):
+    docs = table(spark, SF, "documents").limit(0)
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.isEmpty() and (name == "packing" or out.columns == docs.columns)
+
+
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)

@@ -326,8 +326,8 @@ def _fitted(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_part: int = 2, parts: int = 4, max_cells: int = 16_000_000, slack: float = 1.25) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every row.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_part: int = 2, parts: int = 4, max_cells: int = 16_000_000, slack: float = 1.25, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected (and the columns `carry`) of every row.
 
     Rows whose crc32(id as text) mod `parts` is `held_out_part` are never learned from. Of the rest, those of the last
     other remainder calibrate, the others train. lang_pred is the language of lowest cross-entropy (ties: the first by
@@ -338,9 +338,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
     calibration = max(k for k in range(parts) if k != held_out_part)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.cast("int").alias("fold"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), fold.cast("int").alias("fold"), *[F.col(c).alias(f"carry{k}") for k, c in enumerate(carry)])
     model = train_model(rows.filter(~F.col("fold").isin(held_out_part, calibration)), "text", "lang")
-    scored = saved(cross_entropies(rows, ["doc_id", "lang", "fold"], "text", model, max_cells), "entropies")
+    scored = saved(cross_entropies(rows, ["doc_id", "lang", "fold", *[f"carry{k}" for k in range(len(carry))]], "text", model, max_cells), "entropies")
     if model:
         model.forget()
     names = F.array(*map(F.lit, model.langs)) if model else F.array().cast("array<string>")
@@ -355,4 +355,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     limit = F.coalesce(*[F.when(F.col("pred") == k, F.lit(q * slack)) for k, q in limits.items()], F.lit(float("inf")))
     score = 1 / (1 + F.exp(-(F.lit(float(a)) * F.col("margin") + F.lit(float(b)))))
     none = F.col("pred").isNull()
-    return ranked.select("doc_id", F.coalesce(F.col("fold") == held_out_part, F.lit(True)).alias("held_out"), F.coalesce("pred", F.lit("und")).alias("lang_pred"), F.when(none, 0.0).otherwise(score).alias("score"), (none | (F.col("best") > limit)).alias("rejected"))
+    return ranked.select("doc_id", F.coalesce(F.col("fold") == held_out_part, F.lit(True)).alias("held_out"), F.coalesce("pred", F.lit("und")).alias("lang_pred"), F.when(none, 0.0).otherwise(score).alias("score"), (none | (F.col("best") > limit)).alias("rejected"), *[F.col(f"carry{k}").alias(c) for k, c in enumerate(carry)])
