@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, near-dedup, benchmark decontamination, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is written as
-Parquet and read again. All but the last return the columns of documents. Rows are told apart by doc_id.
+Parquet and read again. All but the last return the columns of documents. Columns beside doc_id, text, lang and n_chars are
+carried along, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -9,53 +10,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import secrets
-from tidemark.llm.base import saved
+from tidemark.llm.base import forget, free_name, saved
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.language import identify
 from tidemark.llm.neardup import near_duplicates
 from tidemark.llm.packing import pack
 from tidemark.llm.queries import table, vocabulary
 
-#: Up to so many ids (8 MB) are broadcast; beyond, an anti join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Up to so many keys (8 MB) are broadcast; beyond, an anti join shuffles.
+BROADCAST_KEYS = 1_000_000
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs less the rows whose doc_id is in ids."""
-    ids = saved(ids.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of each row's id and text, which null ids have too, and its name."""
+    name = free_name(docs, "_key")
+    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+
+
+def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """docs less the rows whose column `name` is in keys."""
+    keys = saved(keys.select(name).distinct(), "gone")
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, name, "left_anti").select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
-    return without(docs, identify(docs).filter("rejected"))
+    """Rows whose language is rejected go, as do null, empty and letterless texts. Rows of one id are judged each by its
+    text; repeated rows go or stay together."""
+    rows, key = keyed(docs)
+    return without(rows, identify(rows, carry=(key,)).filter("rejected"), key).select(docs.columns)
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, 0.8 or more) the document of the smallest id stays; of rows
-    that repeat an id, one stays."""
+    that repeat an id, one stays. Null and empty texts are like nothing and stay; so do rows of null id."""
     groups = saved(near_duplicates(docs, percent=80), "groups")
-    kept = without(docs, groups.filter(~F.col("kept")))
+    kept = without(docs, groups.filter(~F.col("kept")), "doc_id")
     repeated = groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return without(kept, repeated).unionByName(once)
+    return without(kept, repeated, "doc_id").unionByName(once)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
-    return without(docs, leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Rows that hold a benchmark passage go, those of null id too. Null and empty texts stay, as do other texts of an id
+    that leaks; an empty benchmark takes nothing."""
+    rows, key = keyed(docs)
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key))
+    return without(rows, found, key).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced by their kinds; all documents stay."""
+    """Secrets in the texts are replaced by their kinds and n_chars follows; all rows stay, null texts as they are."""
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training sequences."""
+    """The training sequences; null and empty texts are an end mark alone, repeated rows are packed as often as they stand."""
     return pack(docs, vocabulary())
 
 
@@ -73,6 +85,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, saved(stage(spark, docs, sf_dir), name)
+        if k:
+            forget(before)
     return docs
