@@ -6,7 +6,7 @@ the curve and a logarithmic bucket, so a probe looks at a few cells and never at
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CURVE = ["program_id", "particle_id", "material_id"]
 PER_DECADE, SMALLEST = 4, 1e-12
@@ -93,9 +93,13 @@ def cumulative_range(cells: DataFrame) -> DataFrame:
     return cells.select(*CURVE, F.col("e1").alias("energy"), F.col("r1").alias("csda_range"), "range_is_relative")
 
 
-def calculate_multi(points: DataFrame, programs: DataFrame, cells: DataFrame) -> DataFrame:
+def calculate_multi(points: DataFrame, programs: DataFrame, cells: DataFrame, most_programs: int = 1000) -> DataFrame:
     """The lookup for every program of a small table (program_id); a point that a program cannot answer has an error."""
-    every = points.drop("program_id").join(F.broadcast(programs.select("program_id").distinct()))  # a handful of programs
+    ids = [r.program_id for r in programs.select("program_id").distinct().limit(most_programs + 1).collect()]
+    if len(ids) > most_programs:
+        raise ValueError(f"more than {most_programs} programs")
+    kind = programs.schema["program_id"].dataType
+    every = points.drop("program_id").withColumn("program_id", F.explode(F.array(*map(F.lit, sorted(ids))).cast(T.ArrayType(kind))))
     out = lookup_stopping_power(every, cells)
     return out.withColumn("error", F.when(F.col("stopping_power").isNull(), "no value on this curve"))
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tables import saved
-from ..functions.text import WORD, bounds, fold_unit, match_spans, number_text, overlaps, token_ngrams
+from ..functions.text import WORD, bound, bounds, fold_unit, match_spans, number_text, overlaps, token_ngrams
 from .resolve import resolve_material, resolve_particle
 
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
@@ -133,12 +133,13 @@ def extract_measurements(text: Column) -> Column:
         told = convert_suffixed_unit(number.cast("double"), m["groups"][1], suffix)
         return F.struct(told["value"].alias("value"), told["unit"].alias("unit"), suffix.isNotNull().alias("per_nucleon"), m["start"].alias("start"), m["end"].alias("end"))
 
-    lists, singles = (match_spans(text, p, (1, 2, 3, 4)) for p in (ENERGY_LIST, ENERGY))
-    of_lists = F.flatten(F.transform(lists, lambda m: F.transform(F.filter(F.split(m["groups"][0], f"(?i){SEPARATOR}"), lambda x: x != ""), lambda x: one(x, m))))
-    alone = F.transform(F.filter(singles, lambda m: ~overlaps(m, bounds(lists))), lambda m: one(m["groups"][0], m))
-    every = F.concat(of_lists.cast(ENERGIES), alone.cast(ENERGIES))
-    placed = F.transform(every, lambda e, i: F.struct(e["start"].alias("start"), i.alias("i"), e.alias("e")))
-    return F.when(F.rlike(text, F.lit(ENERGY)), F.transform(F.array_sort(placed), lambda x: x["e"])).otherwise(F.array()).cast(ENERGIES)
+    def every(lists: Column) -> Column:
+        of_lists = F.flatten(F.transform(lists, lambda m: F.transform(F.filter(F.split(m["groups"][0], f"(?i){SEPARATOR}"), lambda x: x != ""), lambda x: one(x, m))))
+        alone = F.transform(F.filter(match_spans(text, ENERGY, (1, 2, 3, 4)), lambda m: ~overlaps(m, lists)), lambda m: one(m["groups"][0], m))
+        placed = F.transform(F.concat(of_lists.cast(ENERGIES), alone.cast(ENERGIES)), lambda e, i: F.struct(e["start"].alias("start"), i.alias("i"), e.alias("e")))
+        return F.transform(F.array_sort(placed), lambda x: x["e"])
+
+    return F.when(F.rlike(text, F.lit(ENERGY)), bound(match_spans(text, ENERGY_LIST, (1, 2, 3, 4)), every)).otherwise(F.array()).cast(ENERGIES)
 
 
 def _first_span(text: Column, pattern: str) -> tuple[Column, Column]:

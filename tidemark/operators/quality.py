@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.tables import saved
+
 # fixed values
 QUANTITIES = ["stoppingPower", "csdaRange", "energyFromRange", "energyFromStp"]
 COMPARE_DIMS = ["none", "material", "particle", "program", "energy"]
@@ -172,12 +174,17 @@ def record_ids(records: DataFrame) -> DataFrame:
 
 def validation_report(lines: DataFrame, vocabulary: DataFrame, min_count: int = 100) -> DataFrame:
     """One row: count, errors, ok (no errors), passed (ok and count at least min_count)."""
-    records = data_lines(lines)
-    errors = violations(records).select(F.lit(1).alias("e"))
-    errors = errors.unionByName(records.filter("json is null").select(F.lit(1).alias("e")))
-    errors = errors.unionByName(unknown_tags(record_tags(records), vocabulary).select(F.lit(1).alias("e")))
-    errors = errors.unionByName(duplicate_ids(record_ids(records)).select(F.lit(1).alias("e")))
-    total = records.agg(F.count("json").alias("count")).crossJoin(errors.agg(F.count(F.lit(1)).alias("errors")))  # one row each
+    json = F.col("json")
+    rows = lines.filter(~F.rlike("value", F.lit(DATA_LINE))).select(F.try_parse_json(F.trim("value")).alias("json"))
+    v = F.try_variant_get(json, "$.id", "variant")
+    told = rows.select(json.isNotNull().alias("good"), F.when(json.isNotNull(), F.size(example_issues(json))).otherwise(1).alias("n"), F.try_variant_get(json, "$.tags", "array<string>").alias("tags"), F.when(_is(v, "STRING"), _text(v)).alias("id"))
+    told = saved(told, "validated")  # parsed once, read three times
+    own = told.agg(F.count_if("good").alias("count"), F.sum("n").alias("errors"))
+    tags = told.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("errors"))
+    tags = tags.join(vocabulary, "tag", "left_anti").agg(F.sum("errors").alias("errors"))
+    twice = told.filter("id is not null").groupBy("id").agg((F.count(F.lit(1)) - 1).alias("errors")).agg(F.sum("errors").alias("errors"))
+    every = own.unionByName(tags, allowMissingColumns=True).unionByName(twice, allowMissingColumns=True)
+    total = every.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"), F.coalesce(F.sum("errors"), F.lit(0)).alias("errors"))
     return total.withColumn("ok", F.col("errors") == 0).withColumn("passed", F.col("ok") & (F.col("count") >= min_count))
 
 

@@ -109,6 +109,7 @@ def compute_requests(intents: DataFrame, particle_resolver, material_resolver, c
 
 def nest_results(results: DataFrame) -> DataFrame:
     """request_id, quantity, series: array of legs in order, each with its points in order."""
+    results = saved(results, "results")  # read by two branches
     keep = ["label", "particle_id", "material_id", "program_id", "program_name"]
     point: Column = F.when(F.col("pos").isNotNull() & F.col("error").isNull(), F.struct("pos", "energy", "stopping_power", "csda_range"))
     legs = results.filter("leg is not null").groupBy("request_id", "quantity", "leg", *keep).agg(F.max("error").alias("error"), F.array_sort(F.collect_list(point)).alias("points"))

@@ -27,16 +27,47 @@ def resolve_normalized(keyed: DataFrame, dictionary: DataFrame) -> DataFrame:
     return resolve_by_key(keyed.filter("stripped <> norm"), dictionary, "stripped", "normalized")
 
 
+def _cut(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
+    """Start and length of the i-th of `parts` nearly equal segments of n characters, the longer ones last."""
+    base, rest = F.floor(n / parts).cast("int"), n % parts
+    return i * base + F.greatest(F.lit(0), i - (parts - rest)), base + F.when(i >= parts - rest, 1).otherwise(0)
+
+
 def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame) -> DataFrame:
     """The rows whose stripped key is within 1 edit (2 from 7 characters on, none below 3) of an alias: the nearest, of
-    equals the one of the lowest ord. The join is on the key's length, with each alias at the lengths that it may meet."""
+    equals the one of the lowest ord.
+
+    An alias in one segment more than there may be edits leaves one of them whole, shifted by at most as many places. So
+    aliases are joined by segment, length and number of edits, and phrases meet only those that share a segment."""
     size = F.length("stripped")
-    probe = keyed.filter((F.col("norm") != "") & (size >= 3)).withColumn("band", size).withColumn("most", F.when(size >= 7, 2).otherwise(1))
     value_cols = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
-    n = F.length("alias_key")
-    bands = dictionary.withColumn("band", F.explode(F.sequence(F.greatest(n - 2, F.lit(0)), n + 2))).withColumn("alias_length", n)
-    near = probe.join(bands, "band").filter(F.abs(F.col("alias_length") - F.col("band")) <= F.col("most"))
-    near = near.withColumn("distance", F.when(F.col("most") == 2, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
+    n, seg = F.length("alias_key"), "struct<most:int,n:int,i:int,part:string>"
+
+    def of_alias(most: int) -> Column:
+        def one(i: Column) -> Column:
+            start, length = _cut(n, F.lit(most + 1), i)
+            return F.struct(F.lit(most).alias("most"), n.alias("n"), i.alias("i"), F.substring("alias_key", start + 1, length).alias("part"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(most)), one).cast(f"array<{seg}>")
+
+    def of_phrase(most: int) -> Column:
+        steps = [(d, i, shift) for d in range(-most, most + 1) for i in range(most + 1) for shift in range(-most, most + 1)]
+
+        def one(x: Column) -> Column:
+            of = size + x["d"]
+            start, length = _cut(of, F.lit(most + 1), x["i"])
+            start = start + x["shift"]
+            part = F.when((start >= 0) & (start + length <= size), F.substring("stripped", start + 1, length))
+            return F.struct(F.lit(most).alias("most"), of.alias("n"), x["i"].alias("i"), part.alias("part"))
+
+        every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in steps])
+        return F.array_distinct(F.filter(F.transform(every, one), lambda x: x["part"].isNotNull())).cast(f"array<{seg}>")
+
+    none = F.array().cast(f"array<{seg}>")
+    aliases = dictionary.withColumn("seg", F.explode(F.concat(F.when(n.between(2, 7), of_alias(1)).otherwise(none), F.when(n >= 5, of_alias(2)).otherwise(none))))
+    probe = keyed.filter((F.col("norm") != "") & (size >= 3)).withColumn("seg", F.explode(F.when(size >= 7, of_phrase(2)).otherwise(of_phrase(1))))
+    near = probe.join(aliases, "seg")
+    near = near.withColumn("distance", F.when(F.col("seg.most") == 2, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
     best = near.groupBy(*keyed.columns).agg(F.min_by(F.struct(*value_cols), F.struct("distance", "ord")).alias("v"))
     return best.select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
 

@@ -6,14 +6,16 @@ label. Curves come from `part`, probes from `lineitem`, scored predictions from
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import seed
 from ..functions import text as T
-from ..functions.tables import saved
+from ..functions.tables import saved, shared_dir
 from ..operators import curves as C, dictionary as D, evaluate as E, extract as X, quality as Q, requests as R, resolve as V
+from ..sources import io as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -124,7 +126,7 @@ def drop_ambiguous(spark, sf_dir):
 @query("""WITH t AS (SELECT p_name AS alias, p_partkey AS entity_id, 0 AS tier, p_partkey AS seq FROM part UNION ALL
 SELECT concat(p_name, ' ', p_size % 3), p_size, 1, p_partkey FROM part WHERE p_size > 25 UNION ALL SELECT p_name, 1000000 + p_partkey, 2, p_partkey FROM part WHERE p_size < 10),
 g AS (SELECT alias AS alias_key, arg_max(entity_id, tier * 1000000000 + seq) AS entity_id, min(tier * 1000000000 + seq) AS f FROM t GROUP BY 1)
-SELECT alias_key, entity_id, row_number() OVER (ORDER BY f) - 1 AS ord FROM g""")
+SELECT alias_key, entity_id, f // 1000000000 * 1099511627776 + f % 1000000000 AS ord FROM g""")
 def dictionary_layers(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("seq", F.col("p_partkey"))
     one = p.select(F.col("p_name").alias("alias"), F.col("p_partkey").cast("long").alias("entity_id"), "seq")
@@ -178,7 +180,7 @@ def typos(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {RESOLVED} SELECT p_partkey, p.phrase, entity_id, match_kind FROM (SELECT p_partkey, {TYPO} AS phrase FROM part) p LEFT JOIN r USING (phrase)")
 def resolve_cascade(spark, sf_dir):
-    d = part_dictionary(spark, sf_dir).persist()
+    d = saved(part_dictionary(spark, sf_dir), "dictionary")
     phrases = typos(spark, sf_dir)
     found = V.resolve_material(phrases, d, d.select(F.col("entity_id").alias("id"), F.col("alias_key").alias("name"), F.lit("part").alias("kind")))
     return V.resolve_all(phrases, found.select("phrase", "entity_id", "match_kind")).select("p_partkey", "phrase", "entity_id", "match_kind")
@@ -187,7 +189,7 @@ def resolve_cascade(spark, sf_dir):
 def _tier(name: str):
     @query(f"WITH {RESOLVED} SELECT phrase, entity_id FROM r WHERE match_kind = '{name}'")
     def run(spark, sf_dir):
-        d = part_dictionary(spark, sf_dir).persist()
+        d = saved(part_dictionary(spark, sf_dir), "dictionary")
         keyed = V.with_keys(typos(spark, sf_dir).select("phrase").distinct())
         exact = V.resolve_exact(keyed, d)
         if name == "exact":
@@ -287,11 +289,11 @@ def material_mentions(spark, sf_dir):
     return m.select("id", "pos", "m.match", "m.entity_id", "m.match_kind")
 
 
-@query(f"WITH {spans_sql('documents', 'doc_id', '[0-9]+')} SELECT doc_id, k, start FROM spans s WHERE NOT EXISTS (SELECT 1 FROM spans c WHERE c.doc_id = s.doc_id AND c.k % 2 = 0 AND c.start < s.start + length(s.text) + 40 AND s.start < c.start + length(c.text) + 40 AND c.k <> s.k)")
+@query(f"WITH {spans_sql('documents', 'doc_id', '[0-9]+')} SELECT doc_id, k, start FROM spans s WHERE k % 2 = 1 AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.doc_id = s.doc_id AND c.k % 2 = 0 AND c.start < s.start + length(s.text) + 40 AND s.start < c.start + length(c.text) + 40 AND c.k <> s.k)")
 def drop_overlaps(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", T.match_spans(F.col("text"), "[0-9]+").alias("m"))
     wide = F.transform("m", lambda x, k: F.struct(k.alias("k"), x["start"].alias("start"), (x["end"] + 40).alias("end")))
-    d = d.withColumn("w", wide).withColumn("s", F.filter("w", lambda s: ~F.exists(F.filter("w", lambda c: (c["k"] % 2 == 0) & (c["k"] != s["k"])), lambda c: (s["start"] < c["end"]) & (c["start"] < s["end"]))))
+    d = d.withColumn("w", wide).withColumn("s", X.drop_overlaps(F.filter("w", lambda s: s["k"] % 2 == 1), F.filter("w", lambda c: c["k"] % 2 == 0)))
     return d.select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.k").cast("long").alias("k"), F.col("s.start").cast("long").alias("start"))
 
 
@@ -631,3 +633,70 @@ def structural_errors(spark, sf_dir):
     one = lambda e: F.array(F.struct(F.lit(0).alias("k"), e.cast("int").alias("entity_id")))
     i = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), intent.alias("intent"), one(F.when(case == 1, seed.ELECTRON).otherwise(1)).alias("particles"), one(F.when(case == 2, F.lit(None)).otherwise(276)).alias("materials"))
     return R.structural_errors(i).select("request_id", "request_error")
+
+
+# --- sources and sinks: what is written is read again
+def _place(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written_lines(spark, sf_dir) -> str:
+    path = _place(spark, "lines")
+    labelled_lines(spark, sf_dir).repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(path)
+    return path
+
+
+@query(f"WITH {LINES} SELECT CASE WHEN d <> 5 THEN id END AS id, CASE WHEN d <> 5 THEN CASE d WHEN 9 THEN ' ' ELSE 'range' END END AS text, CASE WHEN d <> 5 THEN tag END AS tag, d = 5 AS malformed FROM l WHERE d NOT IN (6, 7)")
+def labelled_jsonl(spark, sf_dir):
+    r = S.read_labelled_jsonl(spark, written_lines(spark, sf_dir), "id string, text string, tags array<string>")
+    return r.select("id", "text", F.get("tags", F.lit(0)).alias("tag"), F.col("_corrupt").isNotNull().alias("malformed"))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS line_no, event_id % 10 = 6 AS note FROM events")
+def numbered_lines(spark, sf_dir):
+    return S.read_numbered_lines(spark, written_lines(spark, sf_dir)).select("line_no", (F.col("value") == "# note").alias("note"))
+
+
+@query("SELECT DISTINCT p_brand AS entity_id, p_brand AS name, p_name AS alias FROM part")
+def dictionary_json(spark, sf_dir):
+    p, path = table(spark, sf_dir, "part"), _place(spark, "entities")
+    S.write_dictionary(p.select(F.col("p_brand").alias("id"), F.col("p_brand").alias("name")).distinct(), p.select(F.col("p_name").alias("alias_key"), F.col("p_brand").alias("entity_id")).distinct(), path)
+    return S.read_dictionary_json(spark, path, multi_line=False).select("entity_id", "name", "alias")
+
+
+@query("SELECT DISTINCT 1 AS program_id, 'one' AS program, CAST(substr(p_brand, 7) AS INT) AS id, concat('Water ', substr(p_brand, 7)) AS name FROM part")
+def curve_listing(spark, sf_dir):
+    path = _place(spark, "curves")
+    part_curves(spark, sf_dir).drop("range0").write.parquet(path)
+    curves = S.read_curves(spark, path)
+    own = curves.select(F.col("material_id").alias("id")).distinct().withColumn("name", F.concat(F.lit("WATER_"), F.col("id").cast("string")))
+    names = spark.createDataFrame([(1, "one"), (2, "two")], "id int, name string")
+    listed = S.programs(names, spark.createDataFrame([(2,)], "id int")).select(F.col("id").alias("program_id"), F.col("name").alias("program"))
+    return S.supported(curves, own, "material_id").join(listed, "program_id").select("program_id", "program", "id", "name")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def results_written(spark, sf_dir):
+    path = _place(spark, "results")
+    S.write_results(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), path, ["event_type"])
+    return spark.read.schema("event_id long, event_type string, value double").parquet(path).select("event_id", "event_type", "value")
+
+
+# --- the other kinds of requests
+KINDS = f"""CASE event_type
+ WHEN 'click' THEN concat('what proton energy gives a stopping power of ', {N}, ' MeV/cm in ', {MATERIAL}, '?')
+ WHEN 'view' THEN concat('range of 5 MeV and ', {N}, ' MeV protons in ', {MATERIAL})
+ WHEN 'purchase' THEN concat('range of ', {N}, ' MeV protons in water and gold')
+ WHEN 'signup' THEN concat('range of ', {N}, ' MeV protons in ', {MATERIAL}, ' with PSTAR and MSTAR')
+ ELSE concat('at what rate are ', {N}, ' MeV protons slowed down in ', {MATERIAL}) END"""
+
+
+@query(f"""SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'energyFromStp' WHEN 'error' THEN 'stoppingPower' ELSE 'csdaRange' END AS quantity,
+CASE event_type WHEN 'view' THEN 'energy' WHEN 'purchase' THEN 'material' WHEN 'signup' THEN 'program' ELSE 'none' END AS compare_dim, CASE event_type WHEN 'click' THEN 'inverse' WHEN 'error' THEN 'indirect' ELSE 'direct' END AS source,
+CASE event_type WHEN 'error' THEN 'slowed down' END AS idiom, CASE event_type WHEN 'click' THEN concat({N}, ' MeV/cm') END AS target, CASE event_type WHEN 'purchase' THEN 'water|gold' ELSE {MATERIAL} END AS materials,
+CASE event_type WHEN 'signup' THEN 'pstar|mstar' ELSE '' END AS programs FROM events""")
+def intent_kinds(spark, sf_dir):
+    q = table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{KINDS} AS text")
+    i = X.extract_intents(q, *X.seed_resolvers(spark))
+    target = F.when(F.col("intent.target").isNotNull(), F.concat_ws(" ", T.number_text(F.col("intent.target.value")), F.col("intent.target.unit")))
+    return i.select("id", "intent.quantity", "intent.compare_dim", "source", "idiom", target.alias("target"), F.array_join("intent.materials.match", "|").alias("materials"), F.array_join("programs", "|").alias("programs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..operators.curves import CURVE
 from ..operators.dictionary import export_dictionary
@@ -13,19 +13,27 @@ def read_labelled_jsonl(spark: SparkSession, path: str, schema: str) -> DataFram
     """Records of the lines that are neither blank nor comments; malformed ones have null fields and stand in `_corrupt`."""
     lines = spark.read.text(path).filter(~F.rlike("value", F.lit(DATA_LINE)))
     parsed = F.from_json(F.trim("value"), f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.select(parsed.alias("r")).select("r.*")
+    rows = lines.select(parsed.alias("r")).select("r.*")
+    return rows.select(*[F.when(F.col("_corrupt").isNull(), F.col(c)).alias(c) for c in rows.columns[:-1]], "_corrupt")
 
 
 def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line_no (from 1, in the file's order) and value. Lines are numbered where they are read: zipWithIndex counts each
-    partition once and shuffles nothing."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(rows, "line_no long, value string")
-
-
-def read_dictionary_json(spark: SparkSession, path: str) -> DataFrame:
-    """alias, entity_id and the entities' other fields of a JSON array of {id, name, …, aliases[]}."""
-    rows = spark.read.option("multiLine", True).json(path)
+    """line_no (from 1, by file name and place in the file) and value.
+
+    Lines of a block of a file follow each other in one task, so a line's number is that of the block's first line and its
+    distance to it: only the blocks, a row each, are counted and summed up; lines are not shuffled."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")  # one row a block
+    blocks = blocks.select(F.col("file").alias("_file"), F.col("block").alias("_block"), (before + 1 - F.col("first")).alias("_shift"))
+    own = lines.join(blocks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return own.select((F.col("at") + F.col("_shift")).alias("line_no"), "value")
+
+
+def read_dictionary_json(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """alias, entity_id and the entities' other fields of a JSON array of {id, name, …, aliases[]}, or of a line for each
+    entity, as write_dictionary leaves them, where multi_line is false."""
+    rows = spark.read.option("multiLine", multi_line).json(path)
     return rows.withColumn("alias", F.explode_outer("aliases")).drop("aliases").withColumnRenamed("id", "entity_id")
 
 
