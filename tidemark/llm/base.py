@@ -3,7 +3,6 @@ tables, and vectorised word spans and hashes over Arrow string buffers."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.tables import shared_dir
+
 M1 = np.uint64(0xBF58476D1CE4E5B9)
 M2 = np.uint64(0x94D049BB133111EB)
 POWER = 0x9E3779B97F4A7C15 | 1
@@ -18,21 +19,6 @@ POWER = 0x9E3779B97F4A7C15 | 1
 CHUNK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; set here only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = jvm_dir.get() if jvm_dir.isDefined() else None
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        spark.sparkContext.setCheckpointDir(where)
-        where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where.rstrip("/")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
