@@ -181,7 +181,7 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
 
     A sketch A'(A W) with random W of `oversampling` more columns is summed over tasks, orthonormalised on the driver
     (vocabulary x columns, bounded by the block), sharpened by `power_steps` more products and cut to `rank` by the
-    singular values of the last one. The benchmark's passages together weigh as much as those of the corpus."""
+    singular values that the last of them shows, so the corpus is read power_steps + 1 times. The benchmark's passages together weigh as much as those of the corpus."""
     n_words, spark = len(idf), hits.sparkSession
     columns = min(rank + oversampling, n_words)
     own = _piece_words(items, idf, True)
@@ -221,11 +221,13 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
 
     seeds = mix(np.arange(n_words * columns, dtype=np.uint64) + np.uint64(1))
     basis = np.where(seeds & np.uint64(1), 1.0, -1.0).reshape(n_words, columns)
-    for _ in range(power_steps + 1):
-        basis = np.linalg.qr(product(basis))[0]
-    small = basis.T @ product(basis)  # A'A in the basis
-    values, turn = np.linalg.eigh((small + small.T) / 2)
-    return basis @ turn[:, np.argsort(-values)[:rank]]
+    basis = np.linalg.qr(product(basis))[0]
+    for _ in range(power_steps):
+        basis, held = np.linalg.qr(sharper := product(basis))[0], basis
+        small = held.T @ sharper  # A'A in the basis before: its values say which directions lead
+        turn = np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]
+        leading = np.linalg.qr(sharper @ turn[:, :rank])[0]
+    return leading if power_steps else basis[:, :rank]
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
