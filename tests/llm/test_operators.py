@@ -9,6 +9,7 @@ import re
 import time
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -358,6 +359,19 @@ def test_secrets(spark, tmp_path):
     assert added == "prefixed:2:30"
 
 
+def test_secrets_match_their_sql(spark, tmp_path):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "aB3+/c9Z" * 8 + "\n-----END RSA PRIVATE KEY-----"
+    jwt = ".".join(["eyJ" + "aB0_" * 4, "b-C1" * 4, "Zz9-" * 3])
+    texts = SECRET_TEXTS + [f"é {key}{key} 日", "-----BEGIN PRIVATE KEY-----\n" + "aB3+/c9Z" * 8 + "\nend", f"{jwt} {jwt};x{jwt} token={jwt}", "ghp_" + "a1B2" * 6 + " xoxb-" + "1a-" * 9 + ",sk_live_" + "q" * 20 + " aghp_" + "z" * 30]
+    docs_of(spark, list(enumerate(texts)) + [(3, texts[3])]).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op3_secret_blob_ledger(spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(queries.OP3).df()[list(got.columns)]
+    rows = lambda frame: sorted(map(repr, frame.astype(str).itertuples(index=False, name=None)))
+    assert rows(got) == rows(want) and {"private_key", "jwt", "prefixed", "access"} <= set(re.findall("[a-z_]+", ",".join(got.spans)))
+
+
 def luhn(digits):
     return sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(map(int, reversed(digits)))) % 10 == 0
 

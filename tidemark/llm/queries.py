@@ -96,6 +96,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+# (kind, pattern, group that is the span, group whose length counts, least length); what stands before a span is a group of its own
+OP3_RULES = [
+    ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 2, 6),
+    ("access", r"(AKIA[A-Z0-9]+)", 1, 1, 20),
+    ("hex", r"([0-9a-f]+)", 1, 1, 24),
+    ("private_key", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*))", 1, 1, 0),
+    ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 1, 0),
+    ("prefixed", r"(?:^|[^A-Za-z0-9_])((?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9-]{20,})", 1, 1, 0),
+]
+
+
+def _op3_sql() -> str:
+    """Starts are running sums of the lengths of matches and of the gaps that a split leaves."""
+    parts = []
+    for rank, (kind, pattern, span, counted, least) in enumerate(OP3_RULES):
+        p = "'" + pattern.replace("'", "''") + "'"
+        parts.append(f"SELECT k, {rank} AS rank, '{kind}' AS kind, {least} AS least, unnest(range(len(m))) AS i, unnest(m) AS m, unnest(g) AS g, unnest(c) AS c, unnest(gaps[:len(m)]) AS gap FROM (SELECT k, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {span}) AS g, regexp_extract_all(text, {p}, {counted}) AS c, string_split_regex(text, {p}) AS gaps FROM t)")
+    return f"""WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents), u AS ({" UNION ALL ".join(parts)}),
+e AS (SELECT *, CAST(sum(length(gap) + length(m)) OVER (PARTITION BY k, rank ORDER BY i) AS BIGINT) AS stop FROM u),
+s AS (SELECT k, rank, stop - length(g) AS start, concat(kind, ':', stop - length(g), ':', stop) AS span FROM e WHERE length(c) >= least),
+f AS (SELECT k, count(*) FILTER (rank = 0) AS n0, count(*) FILTER (rank = 1) AS n1, count(*) FILTER (rank = 2) AS n2, string_agg(span, ',' ORDER BY start, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM s GROUP BY k)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN f USING (k)"""
+
+
+OP3 = _op3_sql()
+
 OP4 = r"""WITH t AS (SELECT conv_id, turn, regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g') AS role, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS text FROM conversations), l AS (SELECT conv_id, max(turn) AS pos, arg_max(text, turn) AS answer FROM t WHERE role = 'assistant' GROUP BY 1),
 p AS (SELECT c.conv_id, c.turn, c.role, c.text, pos, answer, coalesce(o.answer_, '') AS other FROM t c LEFT JOIN l USING (conv_id) LEFT JOIN (SELECT conv_id - 1 AS conv_id, answer AS answer_ FROM l) o USING (conv_id)),
 r AS (SELECT conv_id, turn, turn = pos AS swapped, pos IS NULL OR answer = other OR turn < pos AS shared, answer, other, concat('<|', role, '|>', chr(10), text, '<|end|>', chr(10)) AS a, concat('<|', role, '|>', chr(10), CASE WHEN turn = pos THEN other ELSE text END, '<|end|>', chr(10)) AS b FROM p)
@@ -116,4 +142,4 @@ SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o"""
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL expresses; tests/llm hold the others against brute force, round trips and held-out rows."""
-    return {"op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10}
+    return {"op3_secret_blob_ledger": OP3, "op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10}
