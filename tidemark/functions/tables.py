@@ -27,3 +27,10 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by its keys to all cores if its files are fewer splits than that, as is a small file of one row group: costly
+    columns would otherwise be worked out by one task. Larger tables stay as they lie and are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

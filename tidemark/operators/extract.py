@@ -168,7 +168,7 @@ def extract_stp_target(text: Column) -> Column:
 
 def drop_overlaps(spans: Column, claimed: Column) -> Column:
     """The spans that meet none of the claimed ones."""
-    return F.filter(spans, lambda s: ~overlaps(s, claimed))
+    return bound(claimed, lambda c: F.filter(spans, lambda s: ~overlaps(s, c)))
 
 
 def program_mentions(text: Column) -> Column:
@@ -213,6 +213,7 @@ def particle_mentions(q: DataFrame, resolver) -> DataFrame:
 
     Lists count if all of two or more members resolve; then heads outside of lists; then names outside of both."""
     members = particle_candidates(q).select("id", "pass", "start", "end", F.posexplode("members").alias("k", "m")).select("id", "pass", "start", "end", "k", F.col("m.phrase").alias("phrase"), F.col("m.start").alias("at"), F.col("m.end").alias("till"))
+    members = saved(members, "members")  # the resolver reads it as well
     found = members.join(resolver(members.select("phrase")), "phrase", "left")
     entry = F.struct(F.col("at").alias("start"), "k", F.col("till").alias("end"), F.trim("phrase").alias("match"), "entity_id", "symbol", "name", "mass_number", "isotope", "isotope_assumed", "match_kind")
     each = found.repartition("id").groupBy("id", "pass", "start", "end").agg(F.min(F.col("entity_id").isNotNull()).alias("good"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("own"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import seed
 from ..functions import text as T
-from ..functions.tables import saved, shared_dir
+from ..functions.tables import saved, shared_dir, spread
 from ..operators import curves as C, dictionary as D, evaluate as E, extract as X, quality as Q, requests as R, resolve as V
 from ..sources import io as S
 
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *keys: str) -> DataFrame:
+    """A table whose texts are costly to work on."""
+    return spread(table(spark, sf_dir, name), *keys)
+
+
 def query(sql: str | None = None):
     """Registers a query under its function's name, with its SQL."""
 
@@ -51,13 +56,13 @@ SHORTEST = "regexp_replace(regexp_replace(CAST(CAST(round({0}, 6) AS DECIMAL(30,
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{TEXT} AS text", f"{N} AS n", f"{MATERIAL} AS material", "event_type", "user_id")
+    return texts(spark, sf_dir, "events", "event_id").selectExpr("event_id AS id", f"{TEXT} AS text", f"{N} AS n", f"{MATERIAL} AS material", "event_type", "user_id")
 
 
 # --- text columns
 @query(r"SELECT doc_id, trim(regexp_replace(lower(strip_accents(text)), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM documents")
 def normalize_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+    return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
 PHRASE = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' beam targets' WHEN 1 THEN ' Ions' WHEN 2 THEN 's' ELSE ' gas' END)"
@@ -97,7 +102,7 @@ spans AS (SELECT {keys}, k - 1 AS k, m[k] AS text, CAST(list_sum(list_transform(
 
 @query(f"WITH {spans_sql('documents', 'doc_id', '[0-9]+')} SELECT doc_id, k, text, start, start + length(text) AS stop FROM spans")
 def match_spans(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.match_spans(F.col("text"), "[0-9]+")).alias("k", "m"))
+    d = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", F.posexplode(T.match_spans(F.col("text"), "[0-9]+")).alias("k", "m"))
     return d.select("doc_id", F.col("k").cast("long").alias("k"), "m.text", F.col("m.start").cast("long").alias("start"), F.col("m.end").cast("long").alias("stop"))
 
 
@@ -106,7 +111,7 @@ w AS (SELECT conv_id, turn, k, start, start + length(text) AS stop, lead(start +
 g AS (SELECT conv_id, turn, 1 AS n, start, stop FROM w UNION ALL SELECT conv_id, turn, 2, start, stop2 FROM w WHERE stop2 IS NOT NULL UNION ALL SELECT conv_id, turn, 3, start, stop3 FROM w WHERE stop3 IS NOT NULL)
 SELECT conv_id, turn, n, count(*) AS phrases, CAST(sum(stop - start) AS BIGINT) AS chars, CAST(sum(start) AS BIGINT) AS starts FROM g GROUP BY ALL""")
 def token_ngrams(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", T.match_spans(F.col("text"), T.WORD).alias("tokens"))
+    c = texts(spark, sf_dir, "conversations", "conv_id", "turn").select("conv_id", "turn", "text", T.match_spans(F.col("text"), T.WORD).alias("tokens"))
     g = c.select("conv_id", "turn", F.explode(T.token_ngrams(F.col("text"), F.col("tokens"))).alias("g"))
     return g.groupBy("conv_id", "turn", "g.n").agg(F.count(F.lit(1)).alias("phrases"), F.sum(F.length("g.phrase")).alias("chars"), F.sum(F.col("g.start").cast("long")).alias("starts"))
 
@@ -257,7 +262,7 @@ SUFFIXED = "concat(user_id, ', and ', user_id + 1, CASE event_type WHEN 'click'
 @query("""SELECT event_id, k AS pos, CASE event_type WHEN 'click' THEN round((user_id + k) / 1000.0, 6) WHEN 'view' THEN (user_id + k) * 1000.0 ELSE CAST(user_id + k AS DOUBLE) END AS value,
 CASE event_type WHEN 'click' THEN 'MeV/u' WHEN 'error' THEN 'keV' ELSE 'MeV/nucl' END AS unit FROM events, (VALUES (0), (1)) v(k)""")
 def suffixed_units(spark, sf_dir):
-    m = table(spark, sf_dir, "events").selectExpr("event_id", f"{SUFFIXED} AS text").select("event_id", F.posexplode(X.extract_measurements(F.col("text"))).alias("pos", "e"))
+    m = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id", f"{SUFFIXED} AS text").select("event_id", F.posexplode(X.extract_measurements(F.col("text"))).alias("pos", "e"))
     return m.select("event_id", "pos", "e.value", "e.unit")
 
 
@@ -291,7 +296,7 @@ def material_mentions(spark, sf_dir):
 
 @query(f"WITH {spans_sql('documents', 'doc_id', '[0-9]+')} SELECT doc_id, k, start FROM spans s WHERE k % 2 = 1 AND NOT EXISTS (SELECT 1 FROM spans c WHERE c.doc_id = s.doc_id AND c.k % 2 = 0 AND c.start < s.start + length(s.text) + 40 AND s.start < c.start + length(c.text) + 40 AND c.k <> s.k)")
 def drop_overlaps(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", T.match_spans(F.col("text"), "[0-9]+").alias("m"))
+    d = texts(spark, sf_dir, "documents", "doc_id").select("doc_id", T.match_spans(F.col("text"), "[0-9]+").alias("m"))
     wide = F.transform("m", lambda x, k: F.struct(k.alias("k"), x["start"].alias("start"), (x["end"] + 40).alias("end")))
     d = d.withColumn("w", wide).withColumn("s", X.drop_overlaps(F.filter("w", lambda s: s["k"] % 2 == 1), F.filter("w", lambda c: c["k"] % 2 == 0)))
     return d.select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.k").cast("long").alias("k"), F.col("s.start").cast("long").alias("start"))
@@ -299,7 +304,7 @@ def drop_overlaps(spark, sf_dir):
 
 @query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'pstar|mstar' WHEN 1 THEN 'geant4' ELSE '' END AS programs, CASE WHEN user_id % 3 = 0 THEN 'program' ELSE 'energy' END AS compare_dim FROM events")
 def programs(spark, sf_dir):
-    e = table(spark, sf_dir, "events").selectExpr("event_id", "concat('10 and 20 MeV protons ', CASE user_id % 3 WHEN 0 THEN 'with PSTAR, MSTAR and pstar' WHEN 1 THEN 'in Geant4' ELSE 'with icru49' END) AS text")
+    e = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id", "concat('10 and 20 MeV protons ', CASE user_id % 3 WHEN 0 THEN 'with PSTAR, MSTAR and pstar' WHEN 1 THEN 'in Geant4' ELSE 'with icru49' END) AS text")
     e = e.select("event_id", X.program_mentions(F.col("text")).alias("p"), X.extract_measurements(F.col("text")).alias("e"))
     none = F.array().cast("array<string>")
     return e.select("event_id", F.array_join("p", "|").alias("programs"), X.decide_compare_dim(F.col("p"), F.col("e"), none, none).alias("compare_dim"))
@@ -328,7 +333,7 @@ VOCABULARY = ["direct", "indirect", "inverse", "unused"]
 
 
 def labelled_lines(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("d", F.col("event_id") % 10)
+    e = texts(spark, sf_dir, "events", "event_id").withColumn("d", F.col("event_id") % 10)
     line = F.lit(GOOD)
     parts = {
         "ID": F.concat(F.lit("r"), F.floor(F.col("event_id") / 4).cast("string")),
@@ -696,7 +701,7 @@ CASE event_type WHEN 'view' THEN 'energy' WHEN 'purchase' THEN 'material' WHEN '
 CASE event_type WHEN 'error' THEN 'slowed down' END AS idiom, CASE event_type WHEN 'click' THEN concat({N}, ' MeV/cm') END AS target, CASE event_type WHEN 'purchase' THEN 'water|gold' ELSE {MATERIAL} END AS materials,
 CASE event_type WHEN 'signup' THEN 'pstar|mstar' ELSE '' END AS programs FROM events""")
 def intent_kinds(spark, sf_dir):
-    q = table(spark, sf_dir, "events").selectExpr("event_id AS id", f"{KINDS} AS text")
+    q = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id AS id", f"{KINDS} AS text")
     i = X.extract_intents(q, *X.seed_resolvers(spark))
     target = F.when(F.col("intent.target").isNotNull(), F.concat_ws(" ", T.number_text(F.col("intent.target.value")), F.col("intent.target.unit")))
     return i.select("id", "intent.quantity", "intent.compare_dim", "source", "idiom", target.alias("target"), F.array_join("intent.materials.match", "|").alias("materials"), F.array_join("programs", "|").alias("programs"))
