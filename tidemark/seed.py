@@ -129,7 +129,7 @@ ELEMENTS = """
 """
 
 # fixed values: names that also stand for an element
-ELEMENT_VARIANTS = "aluminum 13, sulphur 16, cesium 55, wolfram 74"
+ELEMENT_VARIANTS = [("aluminum", 13), ("sulphur", 16), ("cesium", 55), ("wolfram", 74)]
 
 # fixed values: material number and name of compounds
 COMPOUNDS = """
@@ -285,59 +285,59 @@ COMPOUNDS = """
 """
 
 # fixed values: other names of materials, by material number
-MATERIAL_NAMES = """
-276 water, liquid water, h2o
-277 water vapor, water vapour, steam
-104 air
-223 pmma, lucite, perspex, plexiglas, plexiglass, acrylic
-227 teflon, ptfe
-222 mylar, pet, polyester
-179 kapton
-219 lexan, makrolon, polycarbonate
-232 pvc
-221 polyethylene
-226 polystyrene
-225 polypropylene
-906 graphite
-169 glass, pyrex
-245 quartz, silica, fused silica, silicon dioxide
-106 alumina, sapphire, aluminium oxide, aluminum oxide
-261 tissue, soft tissue
-201 muscle, muscle tissue, skeletal muscle
-202 striated muscle
-103 adipose tissue, adipose, fat
-190 lung, lung tissue
-120 bone, cortical bone
-119 compact bone
-123 brain
-250 skin
-118 blood
-99 a150, a 150
-144 concrete
-252 nai, sodium iodide
-141 csi
-185 lif
-213 paraffin
-"""
+MATERIAL_NAMES = {
+    276: ["water", "liquid water", "h2o"],
+    277: ["water vapor", "water vapour", "steam"],
+    104: ["air"],
+    223: ["pmma", "lucite", "perspex", "plexiglas", "plexiglass", "acrylic"],
+    227: ["teflon", "ptfe"],
+    222: ["mylar", "pet", "polyester"],
+    179: ["kapton"],
+    219: ["lexan", "makrolon", "polycarbonate"],
+    232: ["pvc"],
+    221: ["polyethylene"],
+    226: ["polystyrene"],
+    225: ["polypropylene"],
+    906: ["graphite"],
+    169: ["glass", "pyrex"],
+    245: ["quartz", "silica", "fused silica", "silicon dioxide"],
+    106: ["alumina", "sapphire", "aluminium oxide", "aluminum oxide"],
+    261: ["tissue", "soft tissue"],
+    201: ["muscle", "muscle tissue", "skeletal muscle"],
+    202: ["striated muscle"],
+    103: ["adipose tissue", "adipose", "fat"],
+    190: ["lung", "lung tissue"],
+    120: ["bone", "cortical bone"],
+    119: ["compact bone"],
+    123: ["brain"],
+    250: ["skin"],
+    118: ["blood"],
+    99: ["a150", "a 150"],
+    144: ["concrete"],
+    252: ["nai", "sodium iodide"],
+    141: ["csi"],
+    185: ["lif"],
+    213: ["paraffin"],
+}
 
 # fixed values: particles whose isotope the name settles; particle number, mass number, names
-PARTICLE_NAMES = """
-1 1 proton, protons, p, p+, 1H
-1 2 deuteron, deuterons, d, 2H, deuterium
-1 3 triton, tritons, t, 3H, tritium
-2 4 alpha, alphas, alpha particle, alpha particles, α, 4He
-2 3 helion, 3He
-1001 0 electron, electrons, e-, e⁻, beta, β, beta minus
-"""
+PARTICLE_NAMES = [
+    (1, 1, ["proton", "protons", "p", "p+", "1H"]),
+    (1, 2, ["deuteron", "deuterons", "d", "2H", "deuterium"]),
+    (1, 3, ["triton", "tritons", "t", "3H", "tritium"]),
+    (2, 4, ["alpha", "alphas", "alpha particle", "alpha particles", "α", "4He"]),
+    (2, 3, ["helion", "3He"]),
+    (1001, 0, ["electron", "electrons", "e-", "e⁻", "beta", "β", "beta minus"]),
+]
 
 # fixed values: folded program name and program number
-PROGRAM_KEYS = "ASTAR 1, PSTAR 2, ESTAR 3, MSTAR 4, ICRU73 6, ICRU49 7, ICRU 7, DEFAULT 100, BETHE 100, BETHEEXT 101, LIBDEDX 100"
+PROGRAM_KEYS = [("ASTAR", 1), ("PSTAR", 2), ("ESTAR", 3), ("MSTAR", 4), ("ICRU73", 6), ("ICRU49", 7), ("ICRU", 7), ("DEFAULT", 100), ("BETHE", 100), ("BETHEEXT", 101), ("LIBDEDX", 100)]
 
 # fixed values: program number and shown name
-PROGRAM_NAMES = "1 ASTAR, 2 PSTAR, 3 ESTAR, 4 MSTAR, 6 ICRU73, 7 ICRU49, 100 Bethe, 101 Bethe-ext"
+PROGRAM_NAMES = [(1, "ASTAR"), (2, "PSTAR"), (3, "ESTAR"), (4, "MSTAR"), (6, "ICRU73"), (7, "ICRU49"), (100, "Bethe"), (101, "Bethe-ext")]
 
 # fixed values: particle number (0: any other), programs in order of preference
-PROGRAMS_OF = "1 2 7 100, 2 1 7 100, 0 4 6 100"
+PROGRAMS_OF = {1: [2, 7, 100], 2: [1, 7, 100], 0: [4, 6, 100]}
 
 
 def elements(spark: SparkSession) -> DataFrame:
@@ -346,7 +346,7 @@ def elements(spark: SparkSession) -> DataFrame:
 
 
 def element_variants(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n, int(z)) for n, z in (x.split() for x in ELEMENT_VARIANTS.split(", "))], "variant string, z int")
+    return spark.createDataFrame(ELEMENT_VARIANTS, "variant string, z int")
 
 
 def compounds(spark: SparkSession) -> DataFrame:
@@ -356,25 +356,25 @@ def compounds(spark: SparkSession) -> DataFrame:
 
 def material_names(spark: SparkSession) -> DataFrame:
     """alias, entity_id, seq in the order given."""
-    pairs = [(n, int(i)) for i, names in (x.split(" ", 1) for x in MATERIAL_NAMES.strip().splitlines()) for n in names.split(", ")]
+    pairs = [(n, i) for i, names in MATERIAL_NAMES.items() for n in names]
     return spark.createDataFrame([(n, i, k) for k, (n, i) in enumerate(pairs)], "alias string, entity_id int, seq long")
 
 
 def particle_names(spark: SparkSession) -> DataFrame:
     """alias, entity_id, mass_number, seq in the order given."""
-    rows = [(n, int(i), int(a)) for i, a, names in (x.split(" ", 2) for x in PARTICLE_NAMES.strip().splitlines()) for n in names.split(", ")]
+    rows = [(n, i, a) for i, a, names in PARTICLE_NAMES for n in names]
     return spark.createDataFrame([(n, i, a, k) for k, (n, i, a) in enumerate(rows)], "alias string, entity_id int, mass_number int, seq long")
 
 
 def program_keys(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, int(i)) for k, i in (x.split() for x in PROGRAM_KEYS.split(", "))], "program_key string, program_id int")
+    return spark.createDataFrame(PROGRAM_KEYS, "program_key string, program_id int")
 
 
 def program_names(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(int(i), n) for i, n in (x.split() for x in PROGRAM_NAMES.split(", "))], "program_id int, program_name string")
+    return spark.createDataFrame(PROGRAM_NAMES, "program_id int, program_name string")
 
 
 def programs_of(spark: SparkSession) -> DataFrame:
     """for_particle (0: any other), pos, program_id; the first is the automatic one."""
-    rows = [(int(p), k, int(i)) for p, *own in (x.split() for x in PROGRAMS_OF.split(", ")) for k, i in enumerate(own)]
+    rows = [(p, k, i) for p, own in PROGRAMS_OF.items() for k, i in enumerate(own)]
     return spark.createDataFrame(rows, "for_particle int, pos int, program_id int")
