@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ M2 = np.uint64(0x94D049BB133111EB)
 POWER = 0x9E3779B97F4A7C15 | 1
 #: Texts are worked on in groups of about this many bytes, so that a task's memory does not follow the batch size.
 CHUNK_BYTES = 1 << 20
+#: Arrow batches hold about so many bytes at most: a batch stands in the executor's direct memory and in the Python worker's.
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def work_path(spark: SparkSession, name: str) -> str:
@@ -24,10 +28,22 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of about BATCH_BYTES at most within, whatever the session has."""
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out
