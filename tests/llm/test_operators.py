@@ -22,6 +22,7 @@ from tidemark.llm.decontaminate import dense, lcs, leaks
 from tidemark.llm.media import from_png, media_columns, payload_of, to_png
 from tidemark.llm.neardup import components, near_duplicates, shingle_sets
 from tidemark.llm.spans import all_matches, joined, masked
+from tidemark.llm.suffixes import remove_repeats
 from tidemark.llm.warc import archive
 
 SF = "/root/testdata/sf0.001"
@@ -555,3 +556,77 @@ def test_archives_are_deterministic(spark, tmp_path):
     assert 8 <= len(firsts) <= 12 and firsts[0] == 0
     at = warc._range_of(firsts)
     assert [r[0] for r in spark.createDataFrame([(-1,), (0,), (firsts[3],), (firsts[3] - 1,), (10**16,), (None,)], "id long").select(at("id")).collect()] == [0, 0, 3, 2, len(firsts) - 1, 0]
+
+
+# --- repeated byte strings
+def brute_repeats(rows, threshold):
+    """Per (id, text): bytes, removed, spans, digest of what stays."""
+    seen, out = set(), {}
+    for i, text in rows:
+        raw = (text or "").encode()
+        gone = np.zeros(len(raw) + 1, bool)
+        for s in range(len(raw) - threshold + 1):
+            if raw[s : s + threshold] in seen:
+                gone[s : s + threshold] = True
+            seen.add(raw[s : s + threshold])
+        kept = bytes(np.frombuffer(raw, np.uint8)[~gone[:-1]])
+        out[i, text] = (len(raw), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest())
+    return out
+
+
+def repeats_of(df, threshold=100):
+    return sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, threshold=threshold).collect())
+
+
+@pytest.mark.parametrize("threshold", [100, 33, 5])
+def test_repeats_match_brute_force(spark, threshold):
+    rng = random.Random(9)
+    line, base = prose(rng, 14), prose(rng, 400)
+    rows = [(None, line + "x" + line), (1, base), (2, None), (3, ""), (4, "é" * 70), (5, "é" * 70 + "b"), (6, "a" * 300), (7, "ab" * 200), (8, line[:99]), (9, line[:100])]
+    for k in range(10, 60):
+        own = base.split() if k % 3 else prose(rng, 60).split()
+        for _ in range(rng.randrange(4)):
+            own[rng.randrange(len(own))] = rng.choice(WORDS)
+        cut = rng.randrange(40)
+        rows.append((k, " ".join(own)[cut:] + rng.choice(["", line, " " + line + prose(rng, 3)])))
+    want = brute_repeats(rows, threshold)
+    got = repeats_of(docs_of(spark, rows[::-1]).repartition(5), threshold)
+    assert got == sorted((i is None, i, *want[i, t]) for i, t in rows)
+
+
+def test_repeats_in_long_texts_and_at_the_ends_of_partitions(spark):
+    rng = random.Random(3)
+    long = prose(rng, 600_000)  # more than two stretches
+    rows = [(2, long), (1, long[1_048_500:1_048_900]), (5, "q" + long[2_097_000:2_097_400]), (3, "z" * 4000)]
+    want = brute_repeats(sorted(rows), 100)
+    assert len(long) > 2_200_000 and repeats_of(docs_of(spark, rows)) == sorted((False, i, *want[i, t]) for i, t in rows)
+    # one window in all texts: its group is dealt to many partitions
+    same = [(k, f"{k:04d}" + "".join(rng.choice("0123456789") for _ in range(3)) + "m" * 100 + f"{k * 7919 % 10007:05d}") for k in range(300)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = repeats_of(docs_of(spark, same))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = brute_repeats(same, 100)
+    assert got == sorted((False, i, *want[i, t]) for i, t in same)
+
+
+def test_repeats_edges(spark):
+    assert remove_repeats(docs_of(spark, [])).isEmpty()
+    text = prose(random.Random(1), 60)
+    twice = repeats_of(docs_of(spark, [(1, text), (1, text), (1, text + "!"), (None, None)]))
+    assert len(twice) == 4 and [r[3] for r in twice].count(0) >= 2 and any(r[3] for r in twice)  # rows of equal id and text are one text
+    with pytest.raises(ValueError):
+        remove_repeats(docs_of(spark, []), threshold=0)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    got, want = queries.queries()[name](spark, SF).toPandas(), con.execute(queries.oracle_sql()[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    plain = [sorted(map(repr, x[columns].astype(object).where(x[columns].notna(), None).itertuples(index=False, name=None))) for x in (got, want)]
+    assert plain[0] == plain[1]

@@ -15,6 +15,7 @@ from .media import media_columns
 from .neardup import near_duplicates
 from .packing import pack
 from .spans import joined, of_kinds
+from .suffixes import remove_repeats
 from .warc import archive
 
 
@@ -91,8 +92,12 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup]
+    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup, op13_suffix_radix_dedup]
     return {f.__name__: f for f in own}
 
 
@@ -140,6 +145,14 @@ o AS (SELECT doc_id, len(s.s) AS n_shingles, coalesce(root, doc_id) AS component
 SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM o"""
 
 
+OP13 = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents), w AS (SELECT doc_id, unnest(range(0, len(b) // 2 - 99)) AS i, b FROM d),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY substr(b, 2 * i + 1, 200) ORDER BY doc_id, i) > 1 AS again FROM w), g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM f WHERE again),
+h AS (SELECT doc_id, i, sum(CASE WHEN before + 100 >= i THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM g), s AS (SELECT doc_id, k, min(i) AS lo, max(i) + 100 AS hi FROM h GROUP BY 1, 2),
+p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS prev FROM s),
+r AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans, max(hi) AS tail, string_agg(substr(b, 2 * prev + 1, 2 * (lo - prev)), '' ORDER BY lo) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, len(b) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(concat(coalesce(kept, ''), substr(b, 2 * coalesce(tail, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL expresses; tests/llm hold the others against brute force, round trips and held-out rows."""
-    return {"op3_secret_blob_ledger": OP3, "op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10}
+    return {"op3_secret_blob_ledger": OP3, "op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10, "op13_suffix_radix_dedup": OP13}
