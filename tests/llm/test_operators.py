@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import htmltext, language, packing, pii, queries, secrets, warc
+from tidemark.llm import htmltext, language, merkle, packing, pii, queries, secrets, warc
 from tidemark.llm.base import NOT_ALNUM, string_parts, word_hashes, word_spans
 from tidemark.llm.chat import format_preferences
 from tidemark.llm.decontaminate import dense, lcs, leaks
@@ -620,6 +620,56 @@ def test_repeats_edges(spark):
         remove_repeats(docs_of(spark, []), threshold=0)
 
 
+# --- Merkle manifest
+def hexed(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_manifest(rows):
+    """(id, leaf, subroot, root, proof) of rows (id, lang, text), in order of their languages and ids."""
+    value = lambda x: "-" if x is None else f"{len(str(x).encode())}:{x}"
+    leaves = [(lang, i, hexed(value(i), value(lang), value(text))) for i, lang, text in rows]
+    leaves.sort(key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1] is not None, r[1] or 0, r[2]))
+
+    def climb(nodes):
+        paths, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, i in enumerate(at):
+                run = nodes[i // 8 * 8 : i // 8 * 8 + 8]
+                paths[k] += run[: i % 8] + run[i % 8 + 1 :]
+            nodes, at = [hexed(*nodes[k : k + 8]) for k in range(0, len(nodes), 8)], [i // 8 for i in at]
+        return nodes[0] if nodes else None, paths
+
+    groups = [list(g) for _, g in itertools.groupby(leaves, key=lambda r: r[0])]
+    tops = [climb([x for _, _, x in g]) for g in groups]
+    root, above = climb([t for t, _ in tops])
+    return [(i, x, top, root, hexed(*path, *up)) for g, (top, paths), up in zip(groups, tops, above, strict=True) for (_, i, x), path in zip(g, paths, strict=True)]
+
+
+@pytest.mark.parametrize("block_levels", [1, 2, 4])
+def test_manifest_matches_brute_force(spark, block_levels):
+    rng = random.Random(4)
+    sizes = {None: 1, "a": 700, "b": 65, "é": 64, "c": 9, "B": 513, "": 3} | {f"l{k}": rng.randrange(1, 30) for k in range(5)}
+    rows = [(rng.choice([k, k, None, 3]), lang, rng.choice(["Text", "tExt é", "", None, "low"])) for lang, n in sizes.items() for k in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    for name in ("grp", "pos", "node", "path", "width", "block", "id"):
+        df = df.withColumn(name, F.lit("clash"))
+    out = merkle.manifest(df, {"text": F.lower("text")}, fields=("doc_id", "lang", "text"), block_levels=block_levels)
+    got = out.select("doc_id", "leaf", "subroot", "root", "proof_sha256").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute_manifest(rows)))
+    changed = sum(t is not None and t != t.lower() for _, _, t in rows)
+    assert out.filter("not verified").count() == changed and out.filter("verified <> (folded_root = root)").isEmpty()
+    assert merkle.manifest(df, fields=("doc_id", "lang", "text"), block_levels=block_levels).filter("not verified").isEmpty()
+
+
+def test_manifest_edges(spark):
+    df = spark.createDataFrame([(1, "en", None)], "doc_id long, lang string, text string")
+    r = merkle.manifest(df, fields=("doc_id", "lang", "text")).first()
+    assert r.leaf == r.subroot == r.root == r.folded_root == hexed("1:12:en-") and r.proof_sha256 == hexed() and r.verified
+    assert merkle.manifest(df.limit(0), fields=("doc_id", "lang", "text")).isEmpty()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()

@@ -12,6 +12,7 @@ from .decontaminate import leaks
 from .htmltext import extract
 from .language import identify
 from .media import media_columns
+from .merkle import manifest
 from .neardup import near_duplicates
 from .packing import pack
 from .spans import joined, of_kinds
@@ -92,12 +93,19 @@ def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op11_butterfly_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, a third of which are held against texts whose capitals were lost."""
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest(table(spark, sf_dir, "documents"), {"text": F.when(hit, lowered).otherwise(F.col("text"))})
+
+
 def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup, op13_suffix_radix_dedup]
+    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup, op11_butterfly_merkle_manifest, op13_suffix_radix_dedup]
     return {f.__name__: f for f in own}
 
 
@@ -153,6 +161,36 @@ r AS (SELECT doc_id, sum(hi - lo) AS n, count(*) AS spans, max(hi) AS tail, stri
 SELECT doc_id, len(b) // 2 AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(concat(coalesce(kept, ''), substr(b, 2 * coalesce(tail, 0) + 1)))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)"""
 
 
+def _op11_sql(depth: int = 8, group_depth: int = 4) -> str:
+    """Trees of up to 8 ** depth rows a group and 8 ** group_depth groups, a level a table; a level of one node is the top."""
+    value = lambda c: f"coalesce(concat(strlen(CAST({c} AS VARCHAR)), ':', {c}), '-')"
+    head = "concat(" + ", ".join(value(c) for c in ("doc_id", "source", "lang", "n_chars")) + ", "
+    parts = [
+        "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))) AS t)",
+        "d AS (SELECT *, xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 3 = 0 AS hit FROM documents, crc)",
+        f"l AS (SELECT doc_id, lang, sha256({head}{value('text')})) AS leaf, sha256({head}{value('(CASE WHEN hit THEN translate(text, ' + repr('ABCDEFGHIJKLMNOPQRSTUVWXYZ') + ', ' + repr('abcdefghijklmnopqrstuvwxyz') + ') ELSE text END)')})) AS f0 FROM d)",
+        "t0 AS (SELECT lang AS k, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, leaf AS node FROM l)",
+        "r0 AS (SELECT doc_id, lang, leaf, f0 AS f, '' AS proof, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM l)",
+    ]
+
+    def climb(t: str, r: str, k: int, key: str) -> None:
+        side = lambda rows: f"coalesce(string_agg(node, '') OVER (PARTITION BY k, p // 8 ORDER BY p ROWS BETWEEN {rows}), '')"
+        parts.append(f"s{t}{k} AS (SELECT k, p, node, count(*) OVER (PARTITION BY k) AS n, {side('UNBOUNDED PRECEDING AND 1 PRECEDING')} AS a, {side('1 FOLLOWING AND UNBOUNDED FOLLOWING')} AS b FROM {t}{k})")
+        parts.append(f"{t}{k + 1} AS (SELECT k, p // 8 AS p, CASE WHEN any_value(n) = 1 THEN any_value(node) ELSE sha256(string_agg(node, '' ORDER BY p)) END AS node FROM s{t}{k} GROUP BY k, p // 8)")
+        parts.append(f"{r}{k + 1} AS (SELECT r.* REPLACE (CASE WHEN n = 1 THEN f ELSE sha256(concat(a, f, b)) END AS f, concat(proof, a, b) AS proof, r.p // 8 AS p) FROM {r}{k} r JOIN s{t}{k} s ON s.k IS NOT DISTINCT FROM r.{key} AND s.p = r.p)")
+
+    for k in range(depth):
+        climb("t", "r", k, "lang")
+    parts.append(f"g0 AS (SELECT 0 AS k, row_number() OVER (ORDER BY k NULLS FIRST) - 1 AS p, node, k AS lang FROM t{depth})")
+    parts.append(f"q0 AS (SELECT doc_id, r.lang, leaf, f, proof, g.p, 0 AS one, node AS subroot FROM r{depth} r JOIN g0 g ON g.lang IS NOT DISTINCT FROM r.lang)")
+    for k in range(group_depth):
+        climb("g", "q", k, "one")
+    return "WITH " + ",\n".join(parts) + f"\nSELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = node AS verified FROM q{group_depth}, g{group_depth}"
+
+
+OP11 = _op11_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL expresses; tests/llm hold the others against brute force, round trips and held-out rows."""
-    return {"op3_secret_blob_ledger": OP3, "op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10, "op13_suffix_radix_dedup": OP13}
+    return {"op3_secret_blob_ledger": OP3, "op4_preference_formatting": OP4, "op6_warc_sharded_writer": OP6, "op10_minhash_neardup": OP10, "op11_butterfly_merkle_manifest": OP11, "op13_suffix_radix_dedup": OP13}
