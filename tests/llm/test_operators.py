@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import htmltext, language, merkle, packing, pii, queries, secrets, warc
+from tidemark.llm import htmltext, language, merkle, packing, pii, queries, secrets, warc, whitening
 from tidemark.llm.base import NOT_ALNUM, string_parts, word_hashes, word_spans
 from tidemark.llm.chat import format_preferences
 from tidemark.llm.decontaminate import dense, lcs, leaks
@@ -670,6 +670,66 @@ def test_manifest_edges(spark):
     assert merkle.manifest(df.limit(0), fields=("doc_id", "lang", "text")).isEmpty()
 
 
+# --- whitening
+@pytest.mark.parametrize("kind", ["random", "clusters", "low rank", "diagonal", "one", "graded"])
+def test_eigenvectors(kind):
+    rng = np.random.default_rng(2)
+    n = 1 if kind == "one" else 40
+    q = np.linalg.qr(rng.standard_normal((n, n)))[0]
+    values = {"random": rng.random(n), "clusters": np.repeat([5.0, 5.0 - 1e-13, 2.0, 1.0], n // 4 or 1)[:n], "low rank": np.r_[rng.random(min(n, 6)), np.zeros(max(0, n - 6))], "diagonal": np.arange(n) + 1.0, "one": np.ones(1), "graded": 10.0 ** -np.arange(n) * 1e9 + 1}[kind]
+    a = np.diag(values) if kind == "diagonal" else (q * values) @ q.T
+    a = (a + a.T) / 2
+    count = min(n, 32)
+    found, vectors = whitening.eigenvectors(a, count)
+    want = np.linalg.eigvalsh(a)[::-1][:count]
+    scale = np.abs(want).max()
+    assert np.abs(found - want).max() <= 1e-13 * scale
+    assert np.abs(vectors @ vectors.T - np.eye(count)).max() < 1e-13
+    assert np.abs(a @ vectors.T - vectors.T * found).max() < 1e-12 * scale
+
+
+def brute_whiten(rows, components=32):
+    """x, n, deviations and the eigen-decomposition of the usable rows."""
+    good = [(i, v) for i, v in rows if v and all(c is not None and np.isfinite(c) for c in v)]
+    x = [[int(np.floor(64 * np.float64(np.float32(c)))) + 10**6 for c in v] for _, v in good]
+    n, sums = len(x), [sum(c) for c in zip(*x, strict=True)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(r, sums, strict=True)) for r in x]
+    centred = np.array([[c - s / n for c, s in zip(r, sums, strict=True)] for r in x])
+    e, v = np.linalg.eigh(centred.T @ centred / n)
+    return [i for i, _ in good], n, deviation, centred, e[::-1], v.T[::-1], np.trace(centred.T @ centred / n)
+
+
+def test_whitening_matches_brute_force(spark):
+    rng = np.random.default_rng(5)
+    mix = rng.standard_normal((40, 40)) * np.linspace(0.05, 2, 40)
+    rows = [(int(k), [float(np.float32(c)) for c in rng.standard_normal(40) @ mix + 3]) for k in range(400)]
+    rows += [(7, rows[7][1])] * 150 + [(None, rows[8][1]), (900, None), (901, []), (902, [1.0] * 39 + [float("nan")]), (903, [1.0] * 39 + [None]), (904, [float("-inf")] + [1.0] * 39)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    for name in ("id", "x", "component", "n", "white"):
+        df = df.withColumn(name, F.lit("clash"))
+    got = whitening.whiten(df).collect()
+    ids, n, deviation, centred, e, v, trace = brute_whiten(rows)
+    assert len(got) == 32 * n and {r.n for r in got} == {n} and {r.component for r in got} == set(range(1, 33)) and len({r.identity_error for r in got}) == 1
+    assert sorted((r.vec_id or -1, r.deviation) for r in got if r.component == 1) == sorted((i or -1, x) for i, x in zip(ids, deviation, strict=True))
+    assert max(r.identity_error for r in got) < 1e-10
+    by = {(r.vec_id, r.component): r for r in got}
+    for k in range(32):
+        want = centred @ v[k] / np.sqrt(e[k])
+        own = np.array([by[i, k + 1].whitened for i in ids])
+        assert min(np.abs(own - want).max(), np.abs(own + want).max()) < 1e-7
+        assert abs(by[ids[0], k + 1].explained - e[k] / trace) < 1e-12
+
+
+def test_whitening_edges(spark):
+    schema = "vec_id long, embedding array<float>"
+    of = lambda rows: whitening.whiten(spark.createDataFrame(rows, schema)).collect()
+    assert of([]) == [] and of([(1, None)]) == [] and of([(1, [1.0, 2.0])]) == [] and of([(1, [1.0, 2.0])] * 9) == []
+    two = of([(1, [0.0, 5.0, 1.0]), (2, [2.0, 5.0, 1.0]), (3, [1.0])])  # one direction varies, other lengths go
+    assert sorted((r.vec_id, r.component, r.n, round(abs(r.whitened), 9), round(r.explained, 9)) for r in two) == [(1, 1, 2, 1.0, 1.0), (2, 1, 2, 1.0, 1.0)] and two[0].deviation == 2 * 128**2 // 2
+    huge = of([(1, [1e9]), (2, [-1e9]), (3, [0.0])])
+    assert {r.deviation for r in huge} == {0, None} or all(r.deviation is None or r.deviation >= 0 for r in huge)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()

@@ -18,6 +18,7 @@ from .packing import pack
 from .spans import joined, of_kinds
 from .suffixes import remove_repeats
 from .warc import archive
+from .whitening import whiten
 
 
 def vocabulary() -> str:
@@ -100,12 +101,16 @@ def op11_butterfly_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFram
     return manifest(table(spark, sf_dir, "documents"), {"text": F.when(hit, lowered).otherwise(F.col("text"))})
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup, op11_butterfly_merkle_manifest, op13_suffix_radix_dedup]
+    own = [op1_template_html_text, op2_media_tar_shards, op3_secret_blob_ledger, op4_preference_formatting, op5_latent_decontamination, op6_warc_sharded_writer, op7_cutting_stock_packing, op8_pii_boosting, op9_kneser_ney_language, op10_minhash_neardup, op11_butterfly_merkle_manifest, op12_embedding_whitening, op13_suffix_radix_dedup]
     return {f.__name__: f for f in own}
 
 
