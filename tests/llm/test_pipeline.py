@@ -47,3 +47,47 @@ def test_empty_tables(spark):
 def test_run(spark):
     out = P.run(spark, SF)
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset", "length"} <= set(out.columns)
+
+
+def brute_kept(rows, percent=80):
+    """The (id, text) rows that near-dedup keeps, as a multiset: links by full sets, per component the least text of the least id."""
+    import hashlib
+    import itertools
+
+    from test_operators import sets_of
+
+    nodes = sorted({r for r in rows if r[0] is not None}, key=repr)
+    root = {n: n for n in nodes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = {n: sets_of(n[1]) for n in nodes}
+    for a, b in itertools.combinations(nodes, 2):
+        inter = len(sets[a] & sets[b])
+        if inter and 100 * inter >= percent * (len(sets[a]) + len(sets[b]) - inter):
+            root[find(a)] = find(b)
+    digest = lambda t: hashlib.sha256(b"-" if t is None else b":" + t.encode()).digest()
+    least = {}
+    for n in nodes:
+        least.setdefault(find(n), []).append((n[0], digest(n[1]), n))
+    return sorted([min(v)[2] for v in least.values()] + [r for r in rows if r[0] is None], key=repr)
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    import random
+
+    from test_operators import prose
+
+    rng = random.Random(8)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (3, b + " y"), (4, c), (4, c), (5, None), (5, None), (6, ""), (None, a), (None, a), (7, c + " z"), (7, prose(rng, 9)), (1, a.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"), F.lit("x").alias("_key"))
+    stage = dict(P.STAGES)["minhash_near_dedup"]
+    out = stage(spark, df.repartition(3), SF)
+    assert out.columns == df.columns and sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == brute_kept(rows)
+    once = [(k, t) for k, (_, t) in enumerate(rows)]
+    plain = spark.createDataFrame(once, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(5).cast("long").alias("n_chars"))
+    assert sorted(((r.doc_id, r.text) for r in stage(spark, plain, SF).collect()), key=repr) == brute_kept(once)

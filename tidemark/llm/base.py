@@ -9,6 +9,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.tables import shared_dir
@@ -39,11 +40,19 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(BATCH_SETTING, before)
 
 
+def holding(df: DataFrame, *broadcasts: Broadcast) -> DataFrame:
+    """df, whose broadcasts go once `saved` has written it: executors would keep them through all later stages."""
+    df.held = broadcasts
+    return df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, lost executors lose nothing."""
     path = work_path(df.sparkSession, name)
     with small_batches(df.sparkSession):
         df.write.parquet(path)
+    for b in getattr(df, "held", ()):
+        b.destroy()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

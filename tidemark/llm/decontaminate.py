@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .base import NOT_ALNUM, forget, mix, saved, string_parts, word_hashes, word_spans
+from .base import NOT_ALNUM, forget, holding, mix, saved, string_parts, word_hashes, word_spans
 
 
 class Items:
@@ -91,7 +91,7 @@ def hit_lists(docs: DataFrame, items: Items, id_col: str, text_col: str) -> Data
                 full = np.flatnonzero(np.diff(cuts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(full)), pa.array([raw[cuts[i] : cuts[i + 1]] for i in full], pa.binary())], names=["id", "hits"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, hits binary")
+    return holding(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "id long, hits binary"), shared)
 
 
 def _passages(lists: list[bytes], weight: np.ndarray, width: int, overlap: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -217,6 +217,7 @@ def singular_vectors(hits: DataFrame, items: Items, idf: np.ndarray, rank: int,
                 n_rows = r.row[0]
             else:
                 out[r.word] = r.row
+        shared.destroy()
         return out + max(1.0, n_rows) / len(items.pieces) * _product(*own, np.ascontiguousarray(basis.T), n_words).T
 
     seeds = mix(np.arange(n_words * columns, dtype=np.uint64) + np.uint64(1))
@@ -378,4 +379,6 @@ def _decided(hits: DataFrame, items: Items, idf: np.ndarray, vectors: np.ndarray
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(own.ids[list(it)]), pa.array(c, pa.float64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(e)], names=["doc_id", "item_id", "cosine", "lcs_words", "item_words", "answer_found"])
 
     pairs = hits.mapInArrow(run, "doc_id long, item_id long, cosine double, lcs_words long, item_words long, answer_found boolean")
-    return pairs.dropDuplicates(["doc_id", "item_id"])
+    # of two texts of one id, or two items of one id, the pair of the larger figures
+    largest = F.max(F.struct("lcs_words", "item_words", "cosine", "answer_found")).alias("m")
+    return holding(pairs.groupBy("doc_id", "item_id").agg(largest).select("doc_id", "item_id", "m.cosine", "m.lcs_words", "m.item_words", "m.answer_found"), shared)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .base import forget, mix, saved
+from .base import forget, holding, mix, saved
 
 ORDER = 5
 _WORD = re.compile(r"[^\W\d_]+")
@@ -269,7 +269,7 @@ def _joined_entropies(docs: DataFrame, id_cols: list[str], text_col: str, model:
 
     chosen = docs.select(*id_cols, F.monotonically_increasing_id().alias("_row"), F.col(text_col).cast("string"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    rows = saved(chosen.mapInArrow(run, f"{ddl}, chars long, word string, n long, sums array<double>"), "sums")
+    rows = saved(holding(chosen.mapInArrow(run, f"{ddl}, chars long, word string, n long, sums array<double>"), shared), "sums")
     logs = model.word_logs(rows.filter("n > 0").select("word").distinct())
     total = [F.sum(F.get("sums", F.lit(i)) + F.col("n") * F.coalesce(F.get("logs", F.lit(i)), F.lit(0.0))) for i in range(n_langs)]
     ce = F.array(*[-x / F.greatest(F.col("chars"), F.lit(1)) for x in total])
@@ -308,7 +308,7 @@ def cross_entropies(docs: DataFrame, id_cols: list[str], text_col: str, tables:
 
     chosen = docs.select(*id_cols, F.col(text_col).cast("string"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{ddl}, chars long, ce array<double>")
+    return holding(chosen.mapInArrow(run, f"{ddl}, chars long, ce array<double>"), shared)
 
 
 def _fitted(bins: list[tuple[float, int, int]]) -> tuple[float, float]:

@@ -201,15 +201,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(two, "b").join(one, "a").filter(inter * 100 >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, rounds: int = 3, recall: float = 0.9999) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row.
+def text_digest(text_col: str) -> Column:
+    """Tells the texts of one id apart; null and empty are two."""
+    return F.unhex(F.sha2(F.when(F.col(text_col).isNull(), F.lit("-")).otherwise(F.concat(F.lit(":"), F.col(text_col).cast("string"))).cast("binary"), 256))
+
+
+def repeated_ids(docs: DataFrame, id_col: str) -> DataFrame:
+    """The non-null ids that several rows have."""
+    ids = docs.select(F.col(id_col).cast("long").alias("id")).filter("id is not null")
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, width: int = 5, rounds: int = 3, recall: float = 0.9999, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row (with `by_text` also stays, and the digest of the text
+    where some ids repeat).
 
     Words are runs of non-space bytes, A-Z lower-cased; the set is the distinct `width`-word shingles, or the whole
     sequence where there are fewer words. Rows whose intersection is `percent` or more of the union are linked;
-    component_id is the smallest id reachable, kept marks that row. Null, empty and blank texts have size 0 and are
-    linked with nothing. Equal texts (and equal sets) always share a component. Repeated rows come back as often as they
-    stand. A null id gives a null component and is kept. Other columns are ignored, whatever their names.
+    component_id is the smallest id reachable, kept marks the rows of that id. Null, empty and blank texts have size 0 and
+    are linked with nothing. Equal texts (and equal sets) always share a component. Repeated rows come back as often as
+    they stand. Texts of one id are each linked by their own words, as those of different ids are; of each component one
+    text `stays`, that of the smallest digest among those of the smallest id. A row of null id has the component of its set if other
+    rows have that set, else a null one; it is kept and stays. Very long texts are worked on whole; an empty table gives no rows. Other columns are ignored, whatever their
+    names.
     """
+    digest = text_digest(text_col)
+    names = ["doc_id", "n_shingles", "component_id", "kept"]
+    repeated = saved(repeated_ids(docs, id_col), "repeated")
+    if repeated.isEmpty():
+        linked = linked_texts(docs, id_col, text_col, percent, width, rounds, recall)
+        return linked.select(*names, *[F.lit(None).cast("binary").alias("digest"), F.col("kept").alias("stays")] * by_text)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), digest.alias("digest"))
+    rows = rows.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    for seed in range(99):  # texts of repeated ids get numbers of their own that nothing else has
+        node = F.when(F.col("again"), F.xxhash64(F.lit(seed), "id", "digest")).otherwise(F.col("id"))
+        nodes = saved(rows.select(node.alias("node"), "id", "digest").distinct(), "nodes")
+        if nodes.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            break
+        forget(nodes)
+    linked = linked_texts(rows.select(node.alias("node"), "_text"), "node", "_text", percent, width, rounds, recall)
+    linked = saved(linked.select(F.col("doc_id").alias("node"), "n_shingles", F.col("component_id").alias("root")), "linked")
+    some = linked.filter("node is not null").join(nodes, "node")
+    least = some.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("least"))
+    joined = some.join(least, "root").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least.id").alias("component_id"), (F.col("id") == F.col("least.id")).alias("kept"), "digest", (F.struct("id", "digest") == F.col("least")).alias("stays"))
+    none = F.lit(None).cast("long")
+    bare = linked.filter("node is null").join(least, "root", "left").select(none.alias("doc_id"), "n_shingles", F.col("least.id").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("binary").alias("digest"), F.lit(True).alias("stays"))
+    return joined.unionByName(bare).select(*names, *["digest", "stays"] * by_text)
+
+
+def linked_texts(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int, rounds: int, recall: float) -> DataFrame:
+    """`near_duplicates` where each id has one text."""
     banding = Banding.for_threshold(percent / 100, recall)
     sig = saved(signatures(docs, id_col, text_col, width, banding.hashes), "signatures")
     least = saved(sig.filter("size > 0 and id is not null").groupBy("size", "s1", "s2").agg(F.min("id").alias("first")), "classes")
