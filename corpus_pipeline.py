@@ -13,24 +13,24 @@ from tidemark.llm import secrets
 from tidemark.llm.base import forget, free_name, saved
 from tidemark.llm.decontaminate import leaks
 from tidemark.llm.language import identify
-from tidemark.llm.neardup import near_duplicates
+from tidemark.llm.neardup import near_duplicates, text_digest
 from tidemark.llm.packing import pack
 from tidemark.llm.queries import table, vocabulary
 
-#: Up to so many keys (8 MB) are broadcast; beyond, an anti join shuffles.
-BROADCAST_KEYS = 1_000_000
+#: Up to so many keys (about 16 MB) are broadcast; beyond, an anti join shuffles.
+BROADCAST_KEYS = 200_000
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a key of each row's id and text, which null ids have too, and its name."""
+    """docs with the digest of each row's id and text, which null ids have too, and its name."""
     name = free_name(docs, "_key")
-    return docs.withColumn(name, F.xxhash64("doc_id", "text")), name
+    return docs.withColumn(name, F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).cast("binary"), text_digest("text")), 256))), name
 
 
 def without(docs: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     """docs less the rows whose column `name` is in keys."""
     keys = saved(keys.select(name).distinct(), "gone")
-    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, name, "left_anti").select(docs.columns)
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, name, "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,23 +41,37 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, 0.8 or more) the document of the smallest id stays; of rows
-    that repeat an id, one stays. Null and empty texts are like nothing and stay; so do rows of null id."""
-    groups = saved(near_duplicates(docs, percent=80), "groups")
-    kept = without(docs, groups.filter(~F.col("kept")), "doc_id")
-    repeated = groups.filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 and doc_id is not null").select("doc_id")
-    if repeated.isEmpty():
+    """Of each group of near-duplicates (five-word shingles, 0.8 or more) the text of the smallest id stays, of several of
+    that id the one of the smallest digest, of rows that repeat id and text one. Null and empty texts are like nothing and
+    stay; so do rows of null id."""
+    groups = saved(near_duplicates(docs, percent=80, by_text=True), "groups")
+    gone = groups.filter("not stays")
+    if groups.filter("digest is not null").isEmpty():  # each id has one row
+        kept = without(docs, gone, "doc_id")
+        forget(groups)
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return without(kept, repeated, "doc_id").unionByName(once)
+    rows, key = keyed(docs)
+    kept = without(rows, keyed_groups(gone).withColumnRenamed("_key", key), key)
+    copies = keyed_groups(groups.filter("stays and doc_id is not null")).groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = saved(copies.select(F.col("_key").alias(key)), "copies")
+    if not copies.isEmpty():
+        once = kept.join(copies, key, "left_semi").dropDuplicates([key])
+        kept = kept.join(copies, key, "left_anti").unionByName(once)
+    return kept.select(docs.columns)
+
+
+def keyed_groups(groups: DataFrame) -> DataFrame:
+    """The keys of `keyed` of rows of near_duplicates."""
+    return groups.select(F.unhex(F.sha2(F.concat(F.col("doc_id").cast("string").cast("binary"), F.col("digest")), 256)).alias("_key"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark passage go, those of null id too. Null and empty texts stay, as do other texts of an id
     that leaks; an empty benchmark takes nothing."""
-    rows, key = keyed(docs)
-    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col=key).select(F.col("doc_id").alias(key))
-    return without(rows, found, key).select(docs.columns)
+    number = free_name(docs, "_number")
+    rows = docs.withColumn(number, F.xxhash64("doc_id", "text"))
+    found = leaks(rows, table(spark, sf_dir, "benchmark"), id_col=number).select(F.col("doc_id").alias(number))
+    return without(rows, found, number).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
