@@ -14,13 +14,29 @@ def resolvers(spark):
 
 
 def test_normalize(spark):
-    cases = {"  WATER ": "water", "Bone, Cortical (ICRP)": "bone cortical icrp", "carbon-13": "carbon 13", "TISSUE_EQUIVALENT_GAS": "tissue equivalent gas", "¹²C": "12c", "²⁰Ne": "20ne", "α": "α", "Café": "cafe", "": "", "ﬁne½": "fine1 2"}
+    cases = {"  WATER ": "water", "Bone, Cortical (ICRP)": "bone cortical icrp", "carbon-13": "carbon 13", "TISSUE_EQUIVALENT_GAS": "tissue equivalent gas", "¹²C": "12c", "²⁰Ne": "20ne", "α": "α", "Café": "cafe", "": "", "ﬁne½": "fine1 2", "Ά Ёлка й": "α елка и"}
     rows = spark.createDataFrame([(k,) for k in cases], "x string").select("x", T.normalize_text(F.col("x")).alias("n")).collect()
     assert {r.x: r.n for r in rows} == cases
     again = spark.createDataFrame([(v,) for v in cases.values()], "x string").filter(T.normalize_text(F.col("x")) != F.col("x"))
     assert again.isEmpty()
 
 
+def test_every_code_point_decomposes(spark):
+    import unicodedata
+
+    less = lambda s: "".join(x for x in unicodedata.normalize("NFKD", s) if not 0x300 <= ord(x) <= 0x36F)
+    points = [cp for cp in range(1, 0x110000) if unicodedata.category(chr(cp)) not in ("Cn", "Cs", "Co")]
+    df = spark.createDataFrame([(cp, f"x{chr(cp)}y") for cp in points], "cp int, c string").repartition(4)
+    rows = df.select("cp", F.lower(T.decompose(F.col("c"))).alias("folded"), T.normalize_text(F.col("c")).alias("norm")).collect()
+    assert len(rows) == len(points) > 140_000
+    assert [r.cp for r in rows if r.folded != less(f"x{chr(r.cp)}y").lower()] == []
+    key = lambda s: " ".join("".join(x if unicodedata.category(x)[0] in "LN" else " " for x in s).split())
+    other = [r.cp for r in rows if r.norm != key(less(f"x{chr(r.cp)}y").lower())]
+    assert not [cp for cp in other if spark._jvm.java.lang.Character.isDefined(cp)]  # letters that the JVM does not know yet
+    both = spark.createDataFrame([("각 Å ｶﾞ",), (unicodedata.normalize("NFD", "각 Å ｶﾞ"),), ("\ue000각 Å  ｶﾞ",)], "c string")
+    assert both.select(T.normalize_text(F.col("c")).alias("k")).distinct().count() == 1
+
+
 def test_spans_are_offsets_of_the_text(spark):
     text = "é 12 and 345\U0001F600 6"
     found = spark.createDataFrame([(text,)], "x string").select(T.match_spans(F.col("x"), "[0-9]+").alias("m")).first().m

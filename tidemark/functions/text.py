@@ -3,40 +3,63 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column, functions as F
 
 
-def _folds() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters and digits whose compatibility decomposition is one base character, and those with more."""
-    one, to, many = [], [], []
-    for cp in [*range(0xA1, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2100, 0x2180), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+MARKS = "[\u0300-\u036f]"
+HANGUL = ("\uac00", "\ud7a3")
+#: Characters of several letters stand for a moment as private-use ones, which are no letters and so separate words anyway.
+PRIVATE = ("\ue000", "\uf8ff")
+LEADS, VOWELS, TAILS = ("".join(map(chr, range(lo, lo + n))) for lo, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+@cache
+def decompositions() -> tuple[str, str, list[str]]:
+    """Every code point with a compatibility decomposition, what one character takes its place, and what the private-use ones
+    among those stand for. Hangul syllables are left to arithmetic; accents are left out."""
+    ones, to, many = [], [], []
+    for cp in range(0xA0, 0x30000):
         c = chr(cp)
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
-        if base == c or not base:
+        if HANGUL[0] <= c <= HANGUL[1] or 0x300 <= cp <= 0x36F or 0xD800 <= cp <= 0xDFFF:
             continue
-        if len(base) == 1:
-            one.append(c)
-            to.append(base)
-        else:
-            many.append((c, base))
-    return "".join(one), "".join(to), many
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+        if base != c:
+            ones.append(c)
+            to.append(base if len(base) == 1 else chr(ord(PRIVATE[0]) + len(many)))
+            many += [base] * (len(base) != 1)
+    return "".join(ones), "".join(to), many
+
+
+def decompose(c: Column) -> Column:
+    """c by compatibility decomposition (NFKD) without the accents U+0300 to U+036F; private-use characters become spaces."""
+    ones, to, many = decompositions()
+    spelled = F.split(F.lit("\n".join(many)), "\n", -1)  # a literal array
+    private, syllable = "[" + "-".join(PRIVATE) + "]", "-".join(HANGUL)
+
+    def spell(x: Column) -> Column:
+        at = F.ascii(x) - ord(HANGUL[0])
+        tail = at % 28
+        parts = [F.substring(F.lit(LEADS), F.floor(at / 588).cast("int") + 1, F.lit(1)), F.substring(F.lit(VOWELS), F.floor(at % 588 / 28).cast("int") + 1, F.lit(1)), F.when(tail > 0, F.substring(F.lit(TAILS), tail, F.lit(1))).otherwise("")]
+        return F.when(x.between(*HANGUL), F.concat(*parts)).when(x.between(*PRIVATE), F.get(spelled, F.ascii(x) - ord(PRIVATE[0]))).otherwise(x)
+
+    plain = F.when(F.rlike(c, F.lit(private)), F.regexp_replace(c, private, " ")).otherwise(c)
+    short = F.translate(plain, ones, to)
+    whole = F.when(F.rlike(short, F.lit(private[:-1] + syllable + "]")), F.array_join(F.transform(F.split(short, ""), spell), "")).otherwise(short)
+    return F.regexp_replace(whole, MARKS, "")
 
 
-FOLD_FROM, FOLD_TO, FOLD_MANY = _folds()
 # fixed values: words that say nothing about the entity, from the longest way to say them
 NOISE = "ions ion nuclei nucleus particles particle beam beams projectile projectiles target targets gas absorber medium".split()
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
 
 
 def normalize_text(c: Column) -> Column:
-    """Lower-case key without accents: super- and subscript digits become digits, other runs than letters and digits one space."""
-    wide = "[" + "".join(x for x, _ in FOLD_MANY) + "]"
-    table = F.create_map(*[F.lit(x) for pair in FOLD_MANY for x in pair])
-    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
-    folded = F.translate(F.when(F.rlike(c, F.lit(wide)), spelled).otherwise(c), FOLD_FROM, FOLD_TO)
-    plain = F.lower(F.regexp_replace(folded, "[̀-ͯ]", ""))
-    other = F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " "))
+    """Lower-case key without accents, of any script: characters stand in their compatibility decomposition (super- and
+    subscript digits become digits, ligatures letters, Hangul syllables their parts), other runs than letters and digits
+    become one space."""
+    other = F.trim(F.regexp_replace(F.lower(decompose(c)), r"[^\p{L}\p{N}]+", " "))
     ascii_key = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
     return F.when(F.octet_length(c) == F.char_length(c), ascii_key).otherwise(other)
 

@@ -65,6 +65,23 @@ def normalize_text(spark, sf_dir):
     return texts(spark, sf_dir, "documents", "doc_id").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
 
 
+WORD_OF = "CASE p_partkey % 5 WHEN 0 THEN 'Ά Σίγμα ἀθῆναι' WHEN 1 THEN 'Ёлка й КИЇВ' WHEN 2 THEN 'Crème Brûlée Ångström' WHEN 3 THEN 'Ὕδωρ Ωμέγα' ELSE 'Йод Ў' END"
+SYLLABLES = "list_reduce(list_transform(string_split(x, ''), lambda c: CASE WHEN unicode(c) BETWEEN 44032 AND 55203 THEN concat(chr(4352 + (unicode(c) - 44032) // 588), chr(4449 + (unicode(c) - 44032) % 588 // 28), CASE WHEN (unicode(c) - 44032) % 28 > 0 THEN chr(4519 + (unicode(c) - 44032) % 28) ELSE '' END) ELSE c END), lambda a, b: concat(a, b))"
+
+
+@query(rf"""WITH t AS (SELECT p_partkey, strip_accents(concat(p_name, ' ', chr(CAST(44032 + p_partkey % 11172 AS INT)), chr(CAST(44032 + p_partkey * 7 % 11172 AS INT)), '-', {WORD_OF})) AS x FROM part)
+SELECT p_partkey, trim(regexp_replace(lower({SYLLABLES}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS norm FROM t""")
+def normalize_scripts(spark, sf_dir):
+    """Greek, Cyrillic, accented Latin and all Hangul syllables."""
+
+    def syllable(of: str) -> str:
+        code = f"(44032 + {of} % 11172)"
+        return f"decode(unhex(concat(hex(224 + {code} div 4096), hex(128 + {code} div 64 % 64), hex(128 + {code} % 64))), 'UTF-8')"
+
+    p = table(spark, sf_dir, "part").selectExpr("p_partkey", f"concat(p_name, ' ', {syllable('p_partkey')}, {syllable('p_partkey * 7')}, '-', {WORD_OF}) AS text")
+    return p.select("p_partkey", T.normalize_text(F.col("text")).alias("norm"))
+
+
 PHRASE = "concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' beam targets' WHEN 1 THEN ' Ions' WHEN 2 THEN 's' ELSE ' gas' END)"
 NOISY = "|".join(T.NOISE)
 
