@@ -21,12 +21,41 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get().rstrip("/")
 
 
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: several branches read it, plans stay short, and nothing is lost
     with an executor."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex[:12]}"
+    path = _place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def bucketed(df: DataFrame, name: str, *keys: str, dealt: bool = False) -> DataFrame:
+    """df written to the shared folder in buckets of its keys. Joins and groups by those keys (and more) read it as it lies,
+    without an exchange, also after rows were exploded or looked up in broadcast tables. `dealt` says that df comes from
+    such tables itself and needs no exchange before it is written."""
+    spark = df.sparkSession
+    path, n = _place(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = "tidemark_" + path.rpartition("/")[2].replace("-", "_")
+    (df if dealt else df.repartition(n, *keys)).write.bucketBy(n, *keys).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out.saved_at, out.saved_as = path, table
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of `saved` or `bucketed` that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        if hasattr(df, "saved_as"):
+            spark.sql(f"DROP TABLE IF EXISTS {df.saved_as}")
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -120,23 +120,32 @@ def running(items: Column, kind: str, zero: Column, step, block: int = 128) -> C
     return F.flatten(F.transform(folded, lambda s: s["out"]))
 
 
+#: Characters that mark matches and their groups; Unicode keeps them out of texts.
+MARK, PART = "\ufdd0", "\ufdd1"
+
+
 def match_spans(text: Column, pattern: str, groups: tuple[int, ...] = ()) -> Column:
     """array<struct<text,start,end,groups>> of all matches in reading order; offsets in characters, ends exclusive.
 
-    The pattern must not match the empty string. Groups without a match are empty strings. Time is about linear in text
-    and matches."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups]
-    rows = F.arrays_zip(whole.alias("m"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), *parts)
+    The pattern must not match the empty string. Groups without a match are empty strings. One pass of the pattern marks
+    matches and groups, so it runs once over a text, whatever the groups; time is about linear in text and matches. The
+    noncharacters U+FDD0 and U+FDD1 come back as U+FFFD."""
     kind = "struct<text:string,start:int,end:int,groups:array<string>>"
+    record = MARK + "$0" + "".join(f"{PART}${g}" for g in groups) + MARK
+    clean = F.when(F.rlike(text, F.lit(f"[{MARK}{PART}]")), F.translate(text, MARK + PART, "\ufffd\ufffd")).otherwise(text)
+    pieces = F.split(F.regexp_replace(clean, F.lit(pattern), F.lit(record)), MARK, -1)  # gap, match, gap, match, ..., gap
+
+    def rows(p: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(p) - 3, F.lit(2))
+        return F.when(F.size(p) > 2, F.transform(places, lambda i: F.struct(F.length(F.get(p, i)).alias("gap"), F.split(F.get(p, i + 1), PART, -1).alias("m"))))
 
     def step(at: Column, x: Column) -> tuple[Column, Column]:
-        start = (at + F.length(x["gap"])).cast("int")
-        end = (start + F.length(x["m"])).cast("int")
-        own = F.array(*[x[f"g{g}"] for g in groups]) if groups else F.array().cast("array<string>")
-        return end, F.array(F.struct(x["m"].alias("text"), start.alias("start"), end.alias("end"), own.alias("groups")))
+        start = (at + x["gap"]).cast("int")
+        whole = F.get(x["m"], F.lit(0))
+        end = (start + F.length(whole)).cast("int")
+        return end, F.array(F.struct(whole.alias("text"), start.alias("start"), end.alias("end"), F.slice(x["m"], F.lit(2), F.lit(max(len(groups), 1))).alias("groups")))
 
-    found = running(rows, kind, F.lit(0), step)
+    found = running(bound(pieces, rows), kind, F.lit(0), step)
     return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(f"array<{kind}>"))
 
 

@@ -6,13 +6,14 @@ phrase of the whole table and come back by id.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.tables import saved
-from ..functions.text import WORD, bound, bounds, fold_unit, match_spans, number_text, overlaps, token_ngrams
-from .resolve import resolve_material, resolve_particle
+from ..functions.tables import bucketed, saved, shared_dir
+from ..functions.text import WORD, bound, bounds, fold_unit, match_spans, normalize_text, number_text, overlaps, running, strip_noise, token_ngrams
+from .resolve import resolve_all, resolve_material, resolve_particle, segment_places
 
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 RANGE, POWER, FROM_RANGE, FROM_POWER = "csdaRange", "stoppingPower", "energyFromRange", "energyFromStp"
@@ -181,65 +182,183 @@ def decide_compare_dim(programs: Column, energies: Column, materials: Column, pa
     return F.when(two(programs), "program").when(two(energies), "energy").when(two(materials), "material").when(two(particles), "particle").otherwise("none")
 
 
-def particle_candidates(q: DataFrame) -> DataFrame:
-    """id, pass (1 lists, 2 heads, 3 names), span and members (phrase, start, end) of every candidate of a table (id, text)."""
-    text = F.col("text")
-    member = "array<struct<phrase:string,start:int,end:int>>"
+MEMBER = "array<struct<phrase:string,start:int,end:int>>"
+CANDIDATES = f"array<struct<pass:int,start:int,end:int,members:{MEMBER}>>"
+
+
+def particle_candidates(text: Column) -> Column:
+    """array<struct<pass (1 lists, 2 heads, 3 names), start, end, members (phrase, start, end)>> of every candidate."""
 
     def own(m: Column) -> Column:
-        return F.array(F.struct(m["text"].alias("phrase"), m["start"].alias("start"), m["end"].alias("end"))).cast(member)
+        return F.array(F.struct(m["text"].alias("phrase"), m["start"].alias("start"), m["end"].alias("end"))).cast(MEMBER)
 
     def members(m: Column) -> Column:
         list_ = m["groups"][0]
         parts, gaps = F.split(list_, f"(?i){SEPARATOR}", -1), F.regexp_extract_all(list_, F.lit(f"(?i)({SEPARATOR})"), F.lit(1))
-        zero = F.struct(m["start"].cast("int").alias("at"), F.array().cast(member).alias("found"))
         zipped = F.zip_with(parts, gaps, lambda p, g: F.struct(p.alias("p"), F.coalesce(F.length(g), F.lit(0)).alias("gap")))
 
-        def step(acc: Column, x: Column) -> Column:
-            end = acc["at"] + F.length(x["p"])
-            return F.struct((end + x["gap"]).cast("int").alias("at"), F.array_append(acc["found"], F.struct(x["p"].alias("phrase"), acc["at"].alias("start"), end.cast("int").alias("end"))).alias("found"))
+        def step(at: Column, x: Column) -> tuple[Column, Column]:
+            end = at + F.length(x["p"])
+            return (end + x["gap"]).cast("int"), F.array(F.struct(x["p"].alias("phrase"), at.alias("start"), end.cast("int").alias("end")))
 
-        return F.filter(F.aggregate(zipped, zero, step, lambda acc: acc["found"]), lambda x: x["phrase"] != "")
+        return F.filter(running(zipped, MEMBER[6:-1], m["start"].cast("int"), step), lambda x: x["phrase"] != "")
 
     def candidates(p: int, pattern: str, groups: tuple[int, ...]) -> Column:
         return F.transform(match_spans(text, pattern, groups), lambda m: F.struct(F.lit(p).alias("pass"), m["start"].alias("start"), m["end"].alias("end"), (members(m) if p == 1 else own(m)).alias("members")))
 
-    every = F.concat(candidates(1, PARTICLE_LIST, (1,)), candidates(2, PARTICLE_HEAD, ()), candidates(3, NAMED_PARTICLE, ()))
-    return q.select("id", F.explode(every).alias("c")).select("id", "c.*")
+    return F.concat(candidates(1, PARTICLE_LIST, (1,)), candidates(2, PARTICLE_HEAD, ()), candidates(3, NAMED_PARTICLE, ())).cast(CANDIDATES)
 
 
-def particle_mentions(q: DataFrame, resolver) -> DataFrame:
-    """id, particles: accepted mentions in reading order. resolver maps a table (phrase) to its resolved phrases.
+def _lookup(rows: DataFrame, resolver) -> DataFrame:
+    return resolve_all(rows, saved(resolver(rows.select("phrase")), "resolved-phrases"))
 
-    Lists count if all of two or more members resolve; then heads outside of lists; then names outside of both."""
-    members = particle_candidates(q).select("id", "pass", "start", "end", F.posexplode("members").alias("k", "m")).select("id", "pass", "start", "end", "k", F.col("m.phrase").alias("phrase"), F.col("m.start").alias("at"), F.col("m.end").alias("till"))
-    members = saved(members, "members")  # the resolver reads it as well
-    found = members.join(resolver(members.select("phrase")), "phrase", "left")
+
+def accepted_particles(rows: DataFrame, resolver) -> DataFrame:
+    """id, particles of rows (id, candidates) that several branches may read. If rows lie in buckets of id, as do those of
+    `bucketed`, only distinct phrases are shuffled."""
+    members = rows.select("id", F.explode("candidates").alias("c")).select("id", "c.pass", "c.start", "c.end", F.posexplode("c.members").alias("k", "m"))
+    members = members.select("id", "pass", "start", "end", "k", F.col("m.phrase").alias("phrase"), F.col("m.start").alias("at"), F.col("m.end").alias("till"))
     entry = F.struct(F.col("at").alias("start"), "k", F.col("till").alias("end"), F.trim("phrase").alias("match"), "entity_id", "symbol", "name", "mass_number", "isotope", "isotope_assumed", "match_kind")
-    each = found.repartition("id").groupBy("id", "pass", "start", "end").agg(F.min(F.col("entity_id").isNotNull()).alias("good"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("own"))
+    each = _lookup(members, resolver).groupBy("id", "pass", "start", "end").agg(F.min(F.col("entity_id").isNotNull()).alias("good"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(entry)).alias("own"))
     each = each.filter(F.col("good") & ((F.col("pass") != 1) | (F.col("n") >= 2)))
-    rows = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "end", "own"))).alias("c"))
+    found = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "end", "own"))).alias("c"))
     of = lambda p: F.filter("c", lambda x: x["pass"] == p)
-    rows = rows.withColumn("_lists", of(1)).withColumn("_heads", drop_overlaps(of(2), bounds(F.col("_lists"))))
-    rows = rows.withColumn("_names", drop_overlaps(of(3), F.concat(bounds(F.col("_lists")), bounds(F.col("_heads")))))
-    return rows.select("id", F.array_sort(F.flatten(F.transform(F.concat("_lists", "_heads", "_names"), lambda x: x["own"]))).alias("particles"))
+    found = found.withColumn("_lists", of(1)).withColumn("_heads", drop_overlaps(of(2), bounds(F.col("_lists"))))
+    found = found.withColumn("_names", drop_overlaps(of(3), F.concat(bounds(F.col("_lists")), bounds(F.col("_heads")))))
+    return found.select("id", F.array_sort(F.flatten(F.transform(F.concat("_lists", "_heads", "_names"), lambda x: x["own"]))).alias("particles"))
 
 
-def material_mentions(q: DataFrame, resolver, rules: Rules | None = None) -> DataFrame:
-    """id, materials of a table (id, text, claimed): the longest resolvable phrases outside of claimed spans, from the left."""
+def particle_mentions(q: DataFrame, resolver) -> DataFrame:
+    """id, particles: accepted mentions in reading order. resolver maps a table (phrase) to its resolved phrases.
+
+    Lists count if all of two or more members resolve; then heads outside of lists; then names outside of both."""
+    return accepted_particles(bucketed(q.select("id", particle_candidates(F.col("text")).alias("candidates")), "candidates", "id"), resolver)
+
+
+class PhraseIndex:
+    """What a window of words must look like to resolve to an alias: its key is one, noise aside, or it keeps one of the segments
+    of an alias that is misspelt. Held as sets of literals, so it is built for dictionaries of up to `most` aliases only."""
+
+    def __init__(self, aliases: set[str], segments: set[str]):
+        self.aliases, self.segments = sorted(aliases) or [""], sorted(segments) or [""]
+        self.first_words = sorted({k.split(" ")[0] for k in aliases} | {k + "s" for k in aliases if " " not in k}) or [""]
+        self.longest = max(map(len, aliases), default=0)
+
+    @classmethod
+    def of(cls, dictionary: DataFrame, most: int = 2000) -> PhraseIndex | None:
+        rows = dictionary.select("alias_key").distinct().limit(most + 1).collect()
+        if len(rows) > most:
+            return None
+        keys = {final_sigma(r.alias_key) for r in rows}
+        segments = set()
+        for k in keys:
+            for edits in [1] * (2 <= len(k) <= 7) + [2] * (len(k) >= 5):
+                base, rest, at = len(k) // (edits + 1), len(k) % (edits + 1), 0
+                for i in range(edits + 1):
+                    size = base + (i >= edits + 1 - rest)
+                    segments.add(f"{edits}:{len(k)}:{i}:{k[at : at + size]}")
+                    at += size
+        return cls(keys, segments)
+
+    def may_be_misspelt(self, stripped: Column) -> Column:
+        """A phrase of this key keeps a segment of an alias where that can be. The places for each length are one literal."""
+        tags = {t.rpartition(":")[0] for t in self.segments}
+        table: list[list[dict]] = []
+        for size in range(self.longest + 3):
+            edits, places = 2 if size >= 7 else 1, {}
+            for d, i, shift in segment_places(edits) if size >= 3 else []:
+                base, rest = divmod(size + d, edits + 1)
+                start, length = i * base + max(0, i - (edits + 1) + rest) + shift, base + (i >= edits + 1 - rest)
+                tag = f"{edits}:{size + d}:{i}"
+                if tag in tags and start >= 0 and start + length <= size:
+                    places[start, length, tag] = {"at": start + 1, "size": length, "tag": tag + ":"}
+            table.append(list(places.values()))
+        every = F.from_json(F.lit(json.dumps(table)), "array<array<struct<at:int,size:int,tag:string>>>")
+        return F.coalesce(F.exists(F.get(every, F.length(stripped)), lambda p: F.concat(p["tag"], F.substring(stripped, p["at"], p["size"])).isin(self.segments)), F.lit(False))
+
+
+def final_sigma(key):
+    """A key (Column or str) with one kind of sigma; which of two a lower-cased word ends in depends on what follows."""
+    return F.translate(key, "ς", "σ") if isinstance(key, Column) else key.replace("ς", "σ")
+
+
+def material_windows(q: DataFrame, rules: Rules | None = None, index: PhraseIndex | None = None) -> DataFrame:
+    """id, n, phrase, start, end of a table (id, text): the windows of one to `longest_phrase` words that may resolve. Without an index
+    all of them; with one, those that are an alias, noise aside, and those of several words that are close to one."""
     rules = rules or Rules()
-    tokens = match_spans(F.col("text"), WORD)
-    grams = q.withColumn("_tokens", tokens).select("id", F.explode(drop_overlaps(token_ngrams(F.col("text"), F.col("_tokens"), rules.longest_phrase), F.col("claimed"))).alias("g")).select("id", "g.*")
-    short = (F.col("n") == 1) & (F.lower("phrase").isin(rules.stop_words) | (F.length("phrase") < 3))
-    grams = grams.filter(~short)
-    found = grams.join(resolver(grams.select("phrase")), "phrase")
+    grams = q.select("id", F.explode(token_ngrams(F.col("text"), match_spans(F.col("text"), WORD), rules.longest_phrase)).alias("g")).select("id", "g.*")
+    grams = grams.filter(~((F.col("n") == 1) & (F.lower("phrase").isin(rules.stop_words) | (F.length("phrase") < 3))))
+    if index is None:
+        return grams
+    # a generated column is worked out once; one of a projection would be again wherever the filter names it
+    once = lambda df, name, c: df.withColumn(name, F.explode(F.array(c)))
+    grams = once(grams, "_key", final_sigma(normalize_text(F.col("phrase"))))
+    close = (F.col("n") > 1) & (F.length(F.regexp_replace("phrase", r"\s", "")) >= 4)
+    begins = F.substring_index("_key", " ", 1).isin(index.first_words)
+    grams = once(grams, "_stripped", F.when(begins | close, strip_noise(F.col("_key"))))
+    hit = F.col("_key").isin(index.aliases) | F.col("_stripped").isin(index.aliases)
+    return grams.filter(F.coalesce(hit, F.lit(False)) | ((F.col("n") > 1) & index.may_be_misspelt(F.col("_stripped")))).select("id", "n", "phrase", "start", "end")
+
+
+def longest_first(spans: Column, most: int, kind: str) -> Column:
+    """Of spans (n, start, end, ...) those of the most words first, from the left, that overlap none taken before, by start.
+
+    Spans of n words are gone through once with the next free place, between those of more words that are taken already;
+    time is about linear in the spans."""
+    tagged = f"struct<start:int,end:int,fixed:boolean,x:{kind}>"
+    none = F.array().cast(f"array<{kind}>")
+
+    def level(taken: Column, n: int) -> Column:
+        def tag(xs: Column, fixed: bool) -> Column:
+            return F.transform(xs, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(fixed).alias("fixed"), x.alias("x"))).cast(f"array<{tagged}>")
+
+        def swept(both: Column) -> Column:
+            ahead = F.reverse(running(F.reverse(both), "int", F.lit(2**31 - 1), lambda acc, x: (F.when(x["fixed"], x["start"]).otherwise(acc), F.array(acc))))
+            pairs = F.zip_with(both, ahead, lambda x, a: F.struct(x.alias("s"), a.alias("ahead")))
+
+            def step(free: Column, p: Column) -> tuple[Column, Column]:
+                s = p["s"]
+                ok = s["fixed"] | ((s["start"] >= free) & (s["end"] <= p["ahead"]))
+                return F.when(ok, F.greatest(free, s["end"])).otherwise(free), F.when(ok, F.array(s["x"])).otherwise(none)
+
+            return running(pairs, kind, F.lit(0), step)
+
+        return bound(F.array_sort(F.concat(tag(taken, True), tag(F.filter(spans, lambda x: x["n"] == n), False))), swept)
+
+    taken = none
+    for n in range(most, 0, -1):
+        taken = level(taken, n)
+    return taken
+
+
+FOUND = "struct<start:int,end:int,n:int,match:string,entity_id:int,name:string,kind:string,match_kind:string>"
+
+
+def accepted_materials(windows: DataFrame, resolver, rules: Rules | None = None) -> DataFrame:
+    """id, materials of windows (id, n, phrase, start, end). If they lie in buckets of id, only distinct phrases are shuffled."""
+    rules = rules or Rules()
+    found = _lookup(windows, resolver).filter("match_kind is not null")
     found = found.filter((F.col("match_kind") != "fuzzy") | (F.col("n") > 1) & (F.length(F.regexp_replace("phrase", r"\s", "")) >= 4))
-    entry = F.struct((-F.col("n")).alias("rank"), "start", "end", F.col("phrase").alias("match"), "entity_id", "name", "kind", "match_kind")
-    rows = found.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("c"))
-    kind = "array<struct<rank:int,start:int,end:int,match:string,entity_id:int,name:string,kind:string,match_kind:string>>"
-    chosen = F.aggregate("c", F.array().cast(kind), lambda acc, x: F.when(overlaps(x, acc), acc).otherwise(F.array_append(acc, x)))
-    by_start = F.array_sort(F.transform(chosen, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["match"].alias("match"), x["entity_id"].alias("entity_id"), x["name"].alias("name"), x["kind"].alias("kind"), x["match_kind"].alias("match_kind"))))
-    return rows.select("id", by_start.alias("materials"))
+    entry = F.struct("start", "end", "n", F.col("phrase").alias("match"), "entity_id", "name", "kind", "match_kind")
+    taken = found.groupBy("id").agg(F.collect_list(entry).cast(f"array<{FOUND}>").alias("c"))
+    plain = F.transform(longest_first(F.col("c"), rules.longest_phrase, FOUND), lambda x: F.struct(*[x[k].alias(k) for k in ("start", "end", "match", "entity_id", "name", "kind", "match_kind")]))
+    return taken.select("id", plain.alias("materials"))
+
+
+def unclaimed(windows: DataFrame, claims: DataFrame) -> DataFrame:
+    """windows that overlap none of the spans of their id in claims (id, claimed)."""
+    own = windows.join(claims, "id", "left")
+    free = F.coalesce(~F.exists("claimed", lambda c: (F.col("start") < c["end"]) & (c["start"] < F.col("end"))), F.lit(True))
+    return own.filter(free).drop("claimed")
+
+
+def material_mentions(q: DataFrame, resolver, rules: Rules | None = None) -> DataFrame:
+    """id, materials of a table (id, text, claimed): the longest resolvable phrases outside of claimed spans, from the left.
+
+    A resolver that has an `index` decides by it which windows are looked up at all, so what is shuffled follows the hits
+    and not the words."""
+    windows = bucketed(material_windows(q, rules, getattr(resolver, "index", None)), "windows", "id")
+    return accepted_materials(bucketed(unclaimed(windows, q.select("id", "claimed")), "free-windows", "id", dealt=True), resolver, rules)
 
 
 def flag_total_energy(energies: Column, particles: Column) -> Column:
@@ -279,22 +398,24 @@ def with_numbers(q: DataFrame, rules: Rules | None = None) -> DataFrame:
 
 
 def extract_intents(q: DataFrame, particle_resolver, material_resolver, rules: Rules | None = None) -> DataFrame:
-    """id, intent (struct), source, idiom, incomplete, programs of each row of q (id, text); ids are unique.
+    """id, intent (struct), source, idiom, incomplete, programs and entities of each row of q (id, text); ids are unique.
 
-    Rows of null text get empty slots. The intent's program stays null; named programs are the column programs."""
+    Rows of null text get empty slots. The intent's program stays null; named programs are the column programs. entities
+    are the resolved particles and materials, in the order of the intent's. Each text is read once, by a narrow stage;
+    what is found stands in buckets of id from then on."""
     rules = rules or Rules()
     base = with_numbers(q.select("id", F.coalesce("text", F.lit("")).alias("text")), rules)
-    base = saved(base, "numbers")  # read by three branches
-    mentions = particle_mentions(base.select("id", "text"), particle_resolver)
+    base = bucketed(base.withColumn("candidates", particle_candidates(F.col("text"))).drop("text"), "slots", "id")
+    windows = bucketed(material_windows(q.select("id", "text"), rules, getattr(material_resolver, "index", None)), "windows", "id")
+    mentions = accepted_particles(base.select("id", "candidates"), particle_resolver)
     none = "array<struct<start:int,k:int,end:int,match:string,entity_id:int,symbol:string,name:string,mass_number:int,isotope:string,isotope_assumed:boolean,match_kind:string>>"
-    rows = base.join(mentions, "id", "left").withColumn("_particles", F.coalesce("particles", F.array().cast(none))).drop("particles")
+    rows = base.drop("candidates").join(mentions, "id", "left").withColumn("_particles", F.coalesce("particles", F.array().cast(none))).drop("particles")
+    rows = bucketed(rows, "particles", "id", dealt=True)  # read by the material pass and by the final join
     target_span = F.when(F.col("_target").isNull(), F.array().cast("array<struct<start:int,end:int>>")).otherwise(bounds(F.array("_target")))
-    # read by the material pass and by the final join
-    rows = saved(rows.withColumn("claimed", F.concat(bounds(F.col("_particles")), bounds(F.col("_energies")), target_span)), "particles")
-    found = material_mentions(rows.select("id", "text", "claimed"), material_resolver, rules)
+    claims = rows.select("id", F.concat(bounds(F.col("_particles")), bounds(F.col("_energies")), target_span).alias("claimed"))
+    found = accepted_materials(unclaimed(windows, claims), material_resolver, rules)
     none = "array<struct<start:int,end:int,match:string,entity_id:int,name:string,kind:string,match_kind:string>>"
     rows = rows.join(found, "id", "left").withColumn("_materials", F.coalesce("materials", F.array().cast(none))).drop("materials")
-    rows = saved(rows, "mentions")
     p, m, e = F.col("_particles"), F.col("_materials"), F.col("_energies")
     inverse = F.col("quantity").isin(FROM_RANGE, FROM_POWER)
     incomplete = (F.size(p) == 0) | (F.size(m) == 0) | F.when(inverse, F.col("_target").isNull()).otherwise(F.size(e) == 0)
@@ -311,15 +432,34 @@ def extract_intents(q: DataFrame, particle_resolver, material_resolver, rules: R
         assumption_notes(e, p).alias("assumptions"),
         score_confidence(F.col("source"), fuzzy, F.col("incomplete"), rules).alias("confidence"),
     )
-    return rows.select("id", intent.alias("intent"), "source", "idiom", "incomplete", "programs")
+    of = lambda xs, names: F.transform(xs, lambda x, k: F.struct(k.alias("k"), *[x[c].alias(c) for c in names]))
+    entities = F.struct(of(p, ("entity_id", "name", "mass_number", "isotope")).alias("particles"), of(m, ("entity_id", "name")).alias("materials"))
+    return rows.select("id", intent.alias("intent"), "source", "idiom", "incomplete", "programs", entities.alias("entities"))
+
+
+class SeedResolver:
+    """A resolver of phrases over a dictionary, with the index of its aliases."""
+
+    def __init__(self, dictionary: DataFrame, resolve):
+        self.dictionary, self.resolve, self.index = dictionary, resolve, PhraseIndex.of(dictionary)
+
+    def __call__(self, phrases: DataFrame) -> DataFrame:
+        return self.resolve(phrases, self.dictionary)
+
+
+_SEEDS: dict[tuple, tuple] = {}
 
 
 def seed_resolvers(spark) -> tuple:
-    """Particle and material resolvers over the seed dictionaries."""
+    """Particle and material resolvers over the seed dictionaries, which are written once a session and shared folder."""
     from .. import seed
     from .dictionary import build_catalogue, build_particle_catalogue, material_dictionary, particle_dictionary
 
-    elements, variants = seed.elements(spark), seed.element_variants(spark)
-    particles, materials = saved(particle_dictionary(spark), "particle-dictionary"), saved(material_dictionary(spark), "material-dictionary")
-    particle_catalogue, catalogue = build_particle_catalogue(elements), build_catalogue(elements, seed.compounds(spark))
-    return (lambda p: resolve_particle(p, particles, particle_catalogue, elements, variants)), (lambda p: resolve_material(p, materials, catalogue))
+    session = (spark.sparkContext.applicationId, shared_dir(spark))
+    if session not in _SEEDS:
+        elements, variants = seed.elements(spark), seed.element_variants(spark)
+        particles, materials = saved(particle_dictionary(spark), "particle-dictionary"), saved(material_dictionary(spark), "material-dictionary")
+        particle_catalogue, catalogue = build_particle_catalogue(elements), build_catalogue(elements, seed.compounds(spark))
+        _SEEDS.clear()
+        _SEEDS[session] = (SeedResolver(particles, lambda p, d: resolve_particle(p, d, particle_catalogue, elements, variants)), SeedResolver(materials, lambda p, d: resolve_material(p, d, catalogue)))
+    return _SEEDS[session]

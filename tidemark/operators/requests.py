@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import seed
-from ..functions.tables import saved
+from ..functions.tables import bucketed, saved
 from ..functions.text import fold_name
 from . import curves as C
 from .extract import FROM_POWER, FROM_RANGE, POWER
+from .resolve import resolve_all
 
 
 def choose_program(rows: DataFrame, keys: DataFrame, programs_of: DataFrame) -> DataFrame:
@@ -40,12 +41,15 @@ def structural_errors(intents: DataFrame, electron_id: int = seed.ELECTRON) -> D
     return intents.withColumn("request_error", error.cast("string"))
 
 
-def resolved_entities(intents: DataFrame, particle_resolver, material_resolver) -> DataFrame:
-    """intents (request_id, intent) with particles and materials: the resolved mentions in order, nulls where none."""
+def resolved_entities(intents: DataFrame, particle_resolver=None, material_resolver=None) -> DataFrame:
+    """intents (request_id, intent) with particles and materials: the resolved mentions in order, nulls where none. What the
+    extraction has resolved (entities) is taken as it is; otherwise the intent's phrases are resolved."""
+    if "entities" in intents.columns:
+        return intents.select("request_id", "intent", "entities.particles", "entities.materials")
     out = intents
     for field, resolver, columns in (("particles", particle_resolver, ["entity_id", "name", "mass_number", "isotope"]), ("materials", material_resolver, ["entity_id", "name"])):
         long = intents.select("request_id", F.posexplode(F.col(f"intent.{field}.match")).alias("k", "phrase"))
-        found = long.join(resolver(long.select("phrase")), "phrase", "left")
+        found = resolve_all(long, saved(resolver(long.select("phrase")), "resolved-phrases"))
         own = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias(field))
         out = out.join(own, "request_id", "left")
     return out
@@ -73,14 +77,15 @@ def fan_out(rows: DataFrame, keys: DataFrame, names: DataFrame, programs_of: Dat
 def compute_requests(intents: DataFrame, particle_resolver, material_resolver, curves: DataFrame, particles: DataFrame, materials: DataFrame, keys: DataFrame, names: DataFrame, programs_of: DataFrame, version: str = "1") -> DataFrame:
     """The long result: one row for each point of each leg, or one row with an error.
 
-    intents: (request_id, intent). particles: (id, atomic_mass); materials: (id, density). error_scope is request, leg or
+    intents: (request_id, intent and, from the extraction, entities; without those the resolvers are asked). Legs stand in
+    buckets of the request, so no request is shuffled again. particles: (id, atomic_mass); materials: (id, density). error_scope is request, leg or
     null. Stopping-power requests do not compute ranges."""
     cells = saved(C.curve_cells(curves), "cells")
-    checked = saved(structural_errors(resolved_entities(intents, particle_resolver, material_resolver)), "checked")
+    checked = bucketed(structural_errors(resolved_entities(intents, particle_resolver, material_resolver)), "checked", "request_id")
     failed = checked.filter("request_error is not null").select("request_id", F.col("intent.quantity").alias("quantity"), F.col("request_error").alias("error"), F.lit("request").alias("error_scope"))
     legs = fan_out(checked.filter("request_error is null"), keys, names, programs_of)
     legs = legs.join(particles.select(F.col("id").alias("particle_id"), "atomic_mass"), "particle_id", "left").join(materials.select(F.col("id").alias("material_id"), "density"), "material_id", "left")
-    legs = saved(legs, "legs")
+    legs = bucketed(legs, "legs", "request_id", dealt=True)
     quantity = F.col("intent.quantity")
     mass = F.when(F.col("mass_number") > 1, F.col("atomic_mass")).otherwise(F.col("mass_number"))
     forward = legs.filter(~quantity.isin(FROM_RANGE, FROM_POWER)).select("*", F.posexplode("intent.energies").alias("pos", "e"))
@@ -109,7 +114,7 @@ def compute_requests(intents: DataFrame, particle_resolver, material_resolver, c
 
 def nest_results(results: DataFrame) -> DataFrame:
     """request_id, quantity, series: array of legs in order, each with its points in order."""
-    results = saved(results, "results")  # read by two branches
+    results = bucketed(results, "results", "request_id")  # both groupings read it as it lies
     keep = ["label", "particle_id", "material_id", "program_id", "program_name"]
     point: Column = F.when(F.col("pos").isNotNull() & F.col("error").isNull(), F.struct("pos", "energy", "stopping_power", "csda_range"))
     legs = results.filter("leg is not null").groupBy("request_id", "quantity", "leg", *keep).agg(F.max("error").alias("error"), F.array_sort(F.collect_list(point)).alias("points"))

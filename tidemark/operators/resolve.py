@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import seed
 from ..functions.tables import saved
 from ..functions.text import core_token, isotope_label, normalize_text, strip_noise
 
+
 def with_keys(phrases: DataFrame) -> DataFrame:
     """phrase with norm (its key) and stripped (the key without noise words)."""
     return phrases.withColumn("norm", normalize_text(F.col("phrase"))).withColumn("stripped", strip_noise(F.col("norm")))
@@ -33,43 +36,89 @@ def _cut(n: Column, parts: Column, i: Column) -> tuple[Column, Column]:
     return i * base + F.greatest(F.lit(0), i - (parts - rest)), base + F.when(i >= parts - rest, 1).otherwise(0)
 
 
-def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The rows whose stripped key is within 1 edit (2 from 7 characters on, none below 3) of an alias: the nearest, of
-    equals the one of the lowest ord.
+SEGMENT = "struct<most:int,n:int,i:int,part:string>"
+
+
+def alias_segments(alias: Column, most: int) -> Column:
+    """The most + 1 segments of an alias, of which `most` edits leave one whole."""
+    n = F.length(alias)
+
+    def one(i: Column) -> Column:
+        start, length = _cut(n, F.lit(most + 1), i)
+        return F.struct(F.lit(most).alias("most"), n.alias("n"), i.alias("i"), F.substring(alias, start + 1, length).alias("part"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(most)), one).cast(f"array<{SEGMENT}>")
 
-    An alias in one segment more than there may be edits leaves one of them whole, shifted by at most as many places. So
-    aliases are joined by segment, length and number of edits, and phrases meet only those that share a segment."""
-    size = F.length("stripped")
-    value_cols = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
-    n, seg = F.length("alias_key"), "struct<most:int,n:int,i:int,part:string>"
 
-    def of_alias(most: int) -> Column:
-        def one(i: Column) -> Column:
-            start, length = _cut(n, F.lit(most + 1), i)
-            return F.struct(F.lit(most).alias("most"), n.alias("n"), i.alias("i"), F.substring("alias_key", start + 1, length).alias("part"))
+def segment_places(most: int) -> list[tuple[int, int, int]]:
+    """(d, i, shift): where in a phrase segment i of an alias that is d longer may stand within `most` edits: those places
+    where the edits before the segment and those after it can add up (Pass-Join's multi-match-aware selection, Li et al.
+    2011)."""
+    places = []
+    for d in range(-most, most + 1):
+        for i in range(most + 1):
+            places += [(d, i, shift) for shift in range(max(-i, -d - (most - i)), min(i, -d + (most - i)) + 1)]
+    return places
 
-        return F.transform(F.sequence(F.lit(0), F.lit(most)), one).cast(f"array<{seg}>")
 
-    def of_phrase(most: int) -> Column:
-        steps = [(d, i, shift) for d in range(-most, most + 1) for i in range(most + 1) for shift in range(-most, most + 1)]
+def phrase_segments(phrase: Column, most: int) -> Column:
+    """The parts of a phrase that may be a segment of an alias within `most` edits."""
+    size, steps = F.length(phrase), segment_places(most)
 
-        def one(x: Column) -> Column:
-            of = size + x["d"]
-            start, length = _cut(of, F.lit(most + 1), x["i"])
-            start = start + x["shift"]
-            part = F.when((start >= 0) & (start + length <= size), F.substring("stripped", start + 1, length))
-            return F.struct(F.lit(most).alias("most"), of.alias("n"), x["i"].alias("i"), part.alias("part"))
+    def one(x: Column) -> Column:
+        of = size + x["d"]
+        start, length = _cut(of, F.lit(most + 1), x["i"])
+        start = start + x["shift"]
+        part = F.when((start >= 0) & (start + length <= size), F.substring(phrase, start + 1, length))
+        return F.struct(F.lit(most).alias("most"), of.alias("n"), x["i"].alias("i"), part.alias("part"))
 
-        every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in steps])
-        return F.array_distinct(F.filter(F.transform(every, one), lambda x: x["part"].isNotNull())).cast(f"array<{seg}>")
+    every = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(shift).alias("shift")) for d, i, shift in steps])
+    return F.array_distinct(F.filter(F.transform(every, one), lambda x: x["part"].isNotNull())).cast(f"array<{SEGMENT}>")
 
-    none = F.array().cast(f"array<{seg}>")
-    aliases = dictionary.withColumn("seg", F.explode(F.concat(F.when(n.between(2, 7), of_alias(1)).otherwise(none), F.when(n >= 5, of_alias(2)).otherwise(none))))
-    probe = keyed.filter((F.col("norm") != "") & (size >= 3)).withColumn("seg", F.explode(F.when(size >= 7, of_phrase(2)).otherwise(of_phrase(1))))
-    near = probe.join(aliases, "seg")
-    near = near.withColumn("distance", F.when(F.col("seg.most") == 2, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
-    best = near.groupBy(*keyed.columns).agg(F.min_by(F.struct(*value_cols), F.struct("distance", "ord")).alias("v"))
-    return best.select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
+
+def deletions(c: Column, most: int) -> Column:
+    """All strings that c becomes when up to `most` characters are left out. Strings within `most` edits share one."""
+
+    def without(x: Column) -> Column:
+        return F.when(F.length(x) > 0, F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.concat(F.left(x, k - 1), F.substr(x, k + 1)))).otherwise(F.array().cast("array<string>"))
+
+    found = F.array(c)
+    for _ in range(most):
+        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, without))))
+    return found
+
+
+def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame, hot_segment: int = 2000) -> DataFrame:
+    """The rows whose stripped key is within 1 edit (2 from 7 characters on, none below 3) of an alias: the nearest, of
+    equals the one of the lowest ord.
+
+    One edit: the strings that alias and phrase become without one character are joined; few aliases have one in common
+    (at most length times alphabet). Two edits: an alias in three segments leaves one of them whole, so aliases and
+    phrases are joined by segment, length and place. Aliases of a family may share a segment: of those segments that more than
+    `hot_segment` aliases have, aliases and phrases are joined by what they become without up to two characters instead,
+    so no bucket grows with the family."""
+    value_cols = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
+    size, n = F.length("stripped"), F.length("alias_key")
+    probe = keyed.filter((F.col("norm") != "") & (size >= 3)).select("stripped").distinct()
+    short, long = probe.filter(size < 7), probe.filter(size >= 7)
+    aliases = dictionary.select("alias_key").distinct()
+    by_key = lambda df, c, most: df.select(c, F.explode(deletions(F.col(c), most)).alias("key"))
+    pairs = [by_key(short, "stripped", 1).join(by_key(aliases.filter(n.between(2, 7)), "alias_key", 1), "key").select("stripped", "alias_key")]
+    segments = aliases.filter(n >= 5).select("alias_key", F.explode(alias_segments(F.col("alias_key"), 2)).alias("seg"))
+    probes = long.select("stripped", F.explode(phrase_segments(F.col("stripped"), 2)).alias("seg"))
+    hot = segments.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_segment).select("seg")
+    if aliases.count() > hot_segment and not (hot := saved(hot, "hot-segments")).isEmpty():
+        often = by_key(long.join(probes.join(hot, "seg", "left_semi").select("stripped").distinct(), "stripped", "left_semi"), "stripped", 2)
+        family = by_key(aliases.join(segments.join(hot, "seg", "left_semi").select("alias_key").distinct(), "alias_key", "left_semi"), "alias_key", 2)
+        pairs.append(often.join(family, "key").select("stripped", "alias_key"))
+        segments, probes = (x.join(hot, "seg", "left_anti") for x in (segments, probes))
+    pairs.append(probes.join(segments, "seg").select("stripped", "alias_key"))
+    near = pairs[0]
+    for p in pairs[1:]:
+        near = near.unionByName(p)
+    near = near.distinct().withColumn("distance", F.when(size >= 7, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
+    best = near.join(dictionary, "alias_key").groupBy("stripped").agg(F.min_by(F.struct(*value_cols), F.struct("distance", "ord")).alias("v"))
+    return keyed.filter((F.col("norm") != "") & (size >= 3)).join(best, "stripped").select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
 
 
 def resolve_symbol_guard(keyed: DataFrame, elements: DataFrame) -> DataFrame:
@@ -152,6 +201,59 @@ def resolve_particle(phrases: DataFrame, dictionary: DataFrame, catalogue: DataF
     return found.select("phrase", "entity_id", "symbol", "name", "mass_number", label.alias("isotope"), F.col("assumed").alias("isotope_assumed"), "match_kind")
 
 
-def resolve_all(phrases: DataFrame, resolved: DataFrame, phrase_col: str = "phrase") -> DataFrame:
-    """phrases with the columns of resolved (distinct phrases); rows that did not resolve keep nulls."""
-    return phrases.join(resolved.withColumnRenamed("phrase", phrase_col), phrase_col, "left")
+#: Resolved phrases of so many rows and bytes at most are broadcast.
+LOOKUP_ROWS, LOOKUP_BYTES = 200_000, 16 << 20
+#: Beyond that, phrases that have more than one in so many rows are told apart.
+HEAVY_SHARE = 1000
+
+
+def resolve_all(phrases: DataFrame, resolved: DataFrame, phrase_col: str = "phrase", lookup_rows: int = LOOKUP_ROWS, heavy_share: int = HEAVY_SHARE) -> DataFrame:
+    """phrases with the columns of resolved (distinct phrases); rows that did not resolve keep nulls.
+
+    A table of resolved phrases within LOOKUP_ROWS and LOOKUP_BYTES is broadcast, so rows stay where they are. Otherwise phrases
+    with more than one in `heavy_share` of the rows, which are fewer than that, meet their own broadcast lookup and only
+    the rest is shuffled: a phrase that most rows have makes no slow task. Null phrases meet nothing."""
+    resolved = resolved.withColumnRenamed("phrase", phrase_col)
+    if not hasattr(resolved, "saved_at"):
+        resolved = saved(resolved, "resolved-phrases")
+    rows, size = resolved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(phrase_col)), F.lit(0))).first()
+    if rows <= lookup_rows and size <= LOOKUP_BYTES:
+        return phrases.join(F.broadcast(resolved), phrase_col, "left")
+    counts = saved(phrases.filter(F.col(phrase_col).isNotNull()).groupBy(phrase_col).agg(F.count(F.lit(1)).alias("_n")), "phrase-counts")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    heavy = F.broadcast(saved(counts.filter(F.col("_n") * heavy_share > total).select(phrase_col), "heavy-phrases"))  # fewer than heavy_share rows
+    found = F.broadcast(saved(resolved.join(heavy, phrase_col, "left_semi"), "heavy-resolved"))
+    often = phrases.join(heavy, phrase_col, "left_semi").join(found, phrase_col, "left")
+    rest = phrases.join(heavy, phrase_col, "left_anti")
+    none = rest.filter(F.col(phrase_col).isNull()).select(*phrases.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in resolved.schema.fields if f.name != phrase_col])
+    return often.unionByName(rest.filter(F.col(phrase_col).isNotNull()).join(resolved, phrase_col, "left")).unionByName(none)
+
+
+def dictionary_version(*tables: DataFrame) -> str:
+    """A digest of the rows of the tables, whatever their order: number, sum and exclusive or of the rows' hashes."""
+    parts = []
+    for t in tables:
+        columns = sorted(t.columns)
+        own = t.select(F.xxhash64(F.lit(",".join(columns)), *columns).alias("h"))
+        r = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+        parts.append(f"{r.n}:{r.s}:{r.x}")
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:32]
+
+
+def resolve_with_ledger(phrases: DataFrame, resolver, ledger: str, version: str, phrase_col: str = "phrase") -> DataFrame:
+    """Distinct phrases that resolve, as resolver gives them. The ledger, a table (folder) by dictionary version, has every phrase that
+    was ever asked, found or not; only phrases that it lacks for this version are resolved, and join it. One run writes at
+    a time; a run that fails leaves the ledger as it was."""
+    spark = phrases.sparkSession
+    asked = saved(phrases.select(F.col(phrase_col).alias("phrase")).filter("phrase is not null").distinct(), "asked")
+    place = f"{ledger.rstrip('/')}/version={version}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    known = spark.read.parquet(place) if files.exists(folder) else None
+    fresh = asked if known is None else saved(asked.join(known.select("phrase"), "phrase", "left_anti"), "fresh")
+    if known is None or not fresh.isEmpty():
+        found = resolver(fresh)
+        columns = [c for c in found.columns if c != "phrase"]
+        fresh.join(found, "phrase", "left").select("phrase", *columns).write.mode("append").parquet(place)
+        known = spark.read.parquet(place)
+    return known.join(asked, "phrase", "left_semi").filter("match_kind is not null")

@@ -303,9 +303,9 @@ def particle_mentions(spark, sf_dir):
     return m.select("id", "pos", "p.match", "p.entity_id", "p.mass_number", "p.isotope_assumed")
 
 
-@query(f"WITH {REQUESTS} SELECT id, 0 AS pos, material AS match, material_id AS entity_id, 'exact' AS match_kind FROM q WHERE event_type NOT IN ('signup')")
+@query(f"WITH {REQUESTS} SELECT id, CASE event_type WHEN 'signup' THEN 1 ELSE 0 END AS pos, material AS match, material_id AS entity_id, 'exact' AS match_kind FROM q UNION ALL SELECT id, 0, 'helium', 2, 'exact' FROM q WHERE event_type = 'signup'")
 def material_mentions(spark, sf_dir):
-    q = requests(spark, sf_dir).filter("event_type <> 'signup'")
+    q = requests(spark, sf_dir)
     words = F.concat(T.bounds(T.match_spans(F.col("text"), X.NAMED_PARTICLE)), T.bounds(T.match_spans(F.col("text"), X.PARTICLE_HEAD)), T.bounds(T.match_spans(F.col("text"), X.ENERGY)), T.bounds(T.match_spans(F.col("text"), X.LENGTH_TARGET)))
     m = X.material_mentions(q.select("id", "text", words.alias("claimed")), X.seed_resolvers(spark)[1]).select("id", F.posexplode("materials").alias("pos", "m"))
     return m.select("id", "pos", "m.match", "m.entity_id", "m.match_kind")
@@ -596,17 +596,17 @@ GRID = "SELECT DISTINCT CAST(p_size AS DOUBLE) * 12 AS e FROM part"
 
 def power_curves(spark, sf_dir) -> DataFrame:
     grid = table(spark, sf_dir, "part").select((F.col("p_size").cast("double") * 12).alias("energy")).distinct()
-    ids = [(g, p, m) for g in (1, 2, 4) for p in (1, 2, 6) for m in (276, 223, 104, 906)]
+    ids = [(g, p, m) for g in (1, 2, 4, 7) for p in (1, 2, 6) for m in (276, 223, 104, 906)]
     keys = spark.createDataFrame(ids, "program_id int, particle_id int, material_id int")
     a = (F.col("program_id") * 10 + F.col("particle_id") + F.col("material_id") / 100) * 1.0000371  # no value ends in a tie of rounding
-    rows = grid.crossJoin(F.broadcast(keys))  # 50 energies, 36 curves
+    rows = grid.crossJoin(F.broadcast(keys))  # 50 energies, 48 curves
     return rows.select("program_id", "particle_id", "material_id", "energy", (a * F.pow("energy", F.lit(-0.8))).alias("stopping_power"), (F.pow("energy", F.lit(1.8)) / (1.8 * a)).alias("range0"))
 
 
-def computed(spark, sf_dir) -> DataFrame:
+def computed(spark, sf_dir, q: DataFrame | None = None) -> DataFrame:
     resolvers = X.seed_resolvers(spark)
-    i = X.extract_intents(requests(spark, sf_dir).select("id", "text"), *resolvers).select(F.col("id").alias("request_id"), "intent")
-    i = saved(i, "intents")  # read by both resolutions
+    q = requests(spark, sf_dir).select("id", "text") if q is None else q
+    i = X.extract_intents(q, *resolvers).select(F.col("id").alias("request_id"), "intent", "entities")
     particles = seed.elements(spark).select(F.col("z").alias("id"), F.col("default_mass_number").cast("double").alias("atomic_mass"))
     materials = spark.createDataFrame([(276, 1.0), (223, 1.2), (906, 1.7)], "id int, density double")
     return R.compute_requests(i, *resolvers, power_curves(spark, sf_dir), particles, materials, seed.program_keys(spark), seed.program_names(spark), seed.programs_of(spark))
@@ -722,3 +722,29 @@ def intent_kinds(spark, sf_dir):
     i = X.extract_intents(q, *X.seed_resolvers(spark))
     target = F.when(F.col("intent.target").isNotNull(), F.concat_ws(" ", T.number_text(F.col("intent.target.value")), F.col("intent.target.unit")))
     return i.select("id", "intent.quantity", "intent.compare_dim", "source", "idiom", target.alias("target"), F.array_join("intent.materials.match", "|").alias("materials"), F.array_join("programs", "|").alias("programs"))
+
+
+ASKED = f"""CASE event_type
+ WHEN 'click' THEN concat('what proton energy gives a stopping power of ', {N}, ' MeV/cm in ', {MATERIAL}, '?')
+ WHEN 'view' THEN concat('range of 24 MeV and ', {N}, ' MeV protons in ', {MATERIAL})
+ WHEN 'purchase' THEN concat('range of ', {N}, ' MeV protons in water and PMMA')
+ WHEN 'signup' THEN concat('range of ', {N}, ' MeV protons in ', {MATERIAL}, ' with PSTAR and MSTAR')
+ ELSE concat('at what rate are ', {N}, ' MeV protons slowed down in ', {MATERIAL}) END"""
+
+
+@query(f"""WITH {REQUESTS}, g AS (SELECT min(e) AS lo, max(e) AS hi FROM ({GRID})),
+legs AS (SELECT id, event_type, n, material_id, 0 AS leg, 2 AS program_id, CAST(n AS DOUBLE) AS e, n BETWEEN lo AND hi AS good FROM q, g WHERE event_type = 'error'
+UNION ALL SELECT id, event_type, n, material_id, 0, 2, 24.0, n BETWEEN lo AND hi FROM q, g WHERE event_type = 'view' UNION ALL SELECT id, event_type, n, material_id, 0, 2, n, true FROM q, g WHERE event_type = 'view' AND n BETWEEN lo AND hi
+UNION ALL SELECT id, event_type, n, CASE k WHEN 0 THEN 276 ELSE 223 END, k, 2, n, n BETWEEN lo AND hi FROM q, g, (VALUES (0), (1)) v(k) WHERE event_type = 'purchase'
+UNION ALL SELECT id, event_type, n, material_id, k, CASE k WHEN 0 THEN 2 WHEN 1 THEN 7 ELSE 100 END, n, k < 2 AND n BETWEEN lo AND hi FROM q, g, (VALUES (0), (1), (2)) v(k) WHERE event_type = 'signup'
+UNION ALL SELECT id, event_type, n, material_id, 0, 2, NULL, NULL FROM q WHERE event_type = 'click'),
+ab AS (SELECT *, (program_id * 10 + 1 + material_id / 100.0) * 1.0000371::DOUBLE AS a, n / CASE material_id WHEN 276 THEN 1.0 WHEN 223 THEN 1.2 WHEN 906 THEN 1.7 END AS v FROM legs),
+iv AS (SELECT *, CASE WHEN event_type = 'click' THEN pow(v / a, -1 / 0.8) ELSE e END AS energy FROM ab),
+ok AS (SELECT *, CASE WHEN event_type = 'click' THEN coalesce(energy BETWEEN lo * (1 - 1e-12) AND hi * (1 + 1e-12), false) ELSE good END AS fine FROM iv, g)
+SELECT id AS request_id, leg, program_id, material_id, CASE WHEN fine THEN round(energy, 5) END AS energy, CASE WHEN fine THEN round(CASE WHEN event_type = 'click' THEN v ELSE a * pow(energy, -0.8) END, 5) END AS stopping_power,
+CASE WHEN fine AND event_type NOT IN ('click', 'error') THEN round(pow(energy, 1.8) / (1.8 * a), 5) END AS csda_range, NOT fine AS failed FROM ok""")
+def compute_kinds(spark, sf_dir):
+    """Inverse stopping power, and comparisons of energies, materials and programs, from text to numbers."""
+    c = computed(spark, sf_dir, texts(spark, sf_dir, "events", "event_id").selectExpr("event_id AS id", f"{ASKED} AS text"))
+    rounded = [F.round(k, 5).alias(k) for k in ("energy", "stopping_power", "csda_range")]
+    return c.select("request_id", "leg", "program_id", "material_id", *rounded, F.col("error").isNotNull().alias("failed"))
