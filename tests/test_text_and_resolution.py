@@ -115,3 +115,110 @@ def test_numbers_on_a_stream(spark, tmp_path):
     run = stream_numbers(stream).select("id", "quantity", F.size("_energies").alias("n")).writeStream.format("memory").queryName("slots").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(r.id, r.quantity) for r in spark.table("slots").collect()} == {(1, "stoppingPower"), (2, "csdaRange")}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_fuzzy_matches_brute_force(spark, hot):
+    import random
+
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abc ") for _ in range(n)).strip()
+    aliases = sorted({letters(rng.randrange(2, 14)) for _ in range(120)} | {"family" + letters(5) for _ in range(40)})
+
+    def changed(text):
+        out = list(text)
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(out) + 1)
+            out[k : k + rng.randrange(2)] = rng.choice(["", "b", "x"])
+        return "".join(out)
+
+    phrases = sorted({changed(rng.choice(aliases)) for _ in range(300)} | {"ab", "family", ""})
+    want = {}
+    for p in phrases:
+        close = [(distance(p, a), k) for k, a in enumerate(aliases)] if len(p) >= 3 else []
+        if close := [x for x in close if x[0] <= (2 if len(p) >= 7 else 1)]:
+            want[p] = min(close)[1]
+    d = spark.createDataFrame([(a, k, k) for k, a in enumerate(aliases)], "alias_key string, entity_id int, ord long")
+    keyed = spark.createDataFrame([(p, p, p) for p in phrases], "phrase string, norm string, stripped string")
+    assert {r.phrase: r.entity_id for r in V.resolve_fuzzy(keyed, d, hot).collect()} == want
+
+
+def test_a_family_of_aliases_meets_in_small_buckets(spark):
+    """A segment that all aliases share is not joined on; what is has a bound that the family does not move."""
+    for n in (500, 2000):
+        family = spark.range(n).select(F.concat(F.lit("polymethyl"), F.lpad(F.conv(F.col("id") * 7919 % 46656, 10, 36), 4, "0")).alias("alias_key"))
+        keys = family.select(F.explode(V.deletions(F.col("alias_key"), 2)).alias("key")).groupBy("key").count()
+        assert keys.agg(F.max("count")).first()[0] <= 36 * 36
+        segments = family.select(F.explode(V.alias_segments(F.col("alias_key"), 2)).alias("seg")).groupBy("seg").count()
+        assert segments.agg(F.max("count")).first()[0] == n
+
+
+def test_frequent_phrases_are_not_shuffled(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 10 > 0, "protons").when(F.col("id") % 20 == 0, F.concat(F.lit("x"), F.col("id"))).alias("phrase"))
+    found = spark.createDataFrame([("protons", 1), ("x20", 2), ("x40", 3)], "phrase string, entity_id int")
+    want = {(p, e): n for p, e, n in [("protons", 1, 3600), (None, None, 200), ("x20", 2, 1), ("x40", 3, 1)]}
+    for lookup_rows in (100, 0):
+        got = V.resolve_all(rows, found, lookup_rows=lookup_rows, heavy_share=100)
+        counts = {(r.phrase, r.entity_id): r["count"] for r in got.filter("phrase is null or entity_id is not null").groupBy("phrase", "entity_id").count().collect()}
+        assert counts == want and got.count() == 4000
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 3  # what most rows have is looked up where the rows are
+
+
+def test_ledger_resolves_phrases_once(spark, tmp_path):
+    asked = []
+
+    def resolver(phrases):
+        asked.extend(r.phrase for r in phrases.collect())
+        return phrases.filter("phrase like 'a%'").select("phrase", F.lit(7).alias("entity_id"), F.lit("exact").alias("match_kind"))
+
+    of = lambda *xs: spark.createDataFrame([(x,) for x in xs], "phrase string")
+    run = lambda version, *xs: sorted(r.phrase for r in V.resolve_with_ledger(of(*xs), resolver, str(tmp_path / "ledger"), version).collect())
+    assert run("v1", "a", "b", "a", None) == ["a"] and sorted(asked) == ["a", "b"]
+    assert run("v1", "b", "a2", "a") == ["a", "a2"] and sorted(asked) == ["a", "a2", "b"]
+    assert run("v1", "b", "b") == [] and len(asked) == 3
+    assert run("v2", "b") == [] and len(asked) == 4
+    d = of("x", "y")
+    assert V.dictionary_version(d) == V.dictionary_version(of("y", "x")) != V.dictionary_version(of("x", "y", "y"))
+
+
+def test_rows_of_overlapping_spans_match_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    span = lambda far, most: (lambda s: (s, s + rng.randrange(most)))(rng.randrange(far))
+    spans = [(k, *span(400, 30)) for k in (1, 2, None) for _ in range(150)] + [(3, 5, 9), (3, 5, 9), (1, 0, 400)]
+    claims = [(k, *span(400, 12)) for k in (1, 2) for _ in range(25)] + [(4, 0, 9), (3, 9, 12), (None, 50, 50)]
+    hit = lambda s: s[1] < s[2] and any(c[0] == s[0] and c[1] < c[2] and c[1] < s[2] and s[1] < c[2] for c in claims)
+    frames = [spark.createDataFrame(x, "doc long, start int, end int") for x in (spans, claims)]
+    for width in (7, 64, 4096):
+        got = X.drop_overlapping_rows(*frames, ["doc"], width)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr(s) for s in spans if not hit(s))
+
+
+def test_longest_spans_first_match_brute_force(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = []
+    for k in range(60):
+        starts = sorted(rng.sample(range(60), rng.randrange(25)))
+        rows.append((k, [(s, s + 4 * n - 1, n) for s in starts for n in rng.sample([1, 2, 3], rng.randrange(4))]))
+    kind = "struct<start:int,end:int,n:int>"
+    df = spark.createDataFrame(rows, f"k int, c array<{kind}>")
+    got = {r.k: [tuple(x) for x in r.c] for r in df.select("k", X.longest_first(F.col("c"), 3, kind).alias("c")).collect()}
+    for k, spans in rows:
+        taken = []
+        for s in sorted(spans, key=lambda x: (-x[2], x[0])):
+            if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
+                taken.append(s)
+        assert got[k] == sorted(taken), k

@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import bucketed, saved, shared_dir
 from ..functions.text import WORD, bound, bounds, fold_unit, match_spans, normalize_text, number_text, overlaps, running, strip_noise, token_ngrams
@@ -172,6 +172,29 @@ def drop_overlaps(spans: Column, claimed: Column) -> Column:
     return bound(claimed, lambda c: F.filter(spans, lambda s: ~overlaps(s, c)))
 
 
+def drop_overlapping_rows(spans: DataFrame, claimed: DataFrame, keys: list[str], width: int = 4096) -> DataFrame:
+    """spans (keys, start, end, ...) that overlap none of claimed (keys, start, end), as rows; empty spans overlap nothing.
+
+    Both are cut at every `width` characters, so a key with very many spans is dealt over many tasks. In a bin spans and
+    claims are passed once in order of position: a piece is hit if, of the claims that begin before it ends, one ends after
+    it begins. No pair of span and claim is formed. Rows that repeat are judged once and come back as often as they stand."""
+    keyed = lambda df: df.select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).filter("start < end").distinct()
+
+    def pieces(df: DataFrame, is_claim: bool) -> DataFrame:
+        cut = df.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
+        lo, hi = F.greatest("start", F.col("_bin") * width), F.least("end", (F.col("_bin") + 1) * width)
+        # a claim counts from where it begins, a piece asks at its end; where both are equal the piece asks first
+        at, reach = (lo, hi) if is_claim else (hi, lo)
+        return cut.select(*keys, "_bin", at.alias("_at"), F.lit(is_claim).alias("_claim"), reach.alias("_reach"), "start", "end").distinct()
+
+    both = pieces(keyed(spans), False).unionByName(pieces(keyed(claimed), True))
+    passed = Window.partitionBy(*keys, "_bin").orderBy("_at", "_claim").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.withColumn("_last", F.max(F.when(F.col("_claim"), F.col("_reach"))).over(passed))
+    hit = ends.filter(~F.col("_claim") & (F.col("_last") > F.col("_reach"))).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("start").alias("_start"), F.col("end").alias("_end")).distinct()
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("start") == F.col("_start"), F.col("end") == F.col("_end")]
+    return spans.join(hit, on, "left_anti")
+
+
 def program_mentions(text: Column) -> Column:
     """Distinct program names, lower-cased."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(PROGRAMS), F.lit(1)))

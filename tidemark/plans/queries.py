@@ -187,8 +187,9 @@ def dictionary_drift(spark, sf_dir):
 # --- resolution
 TYPO = """CASE p_partkey % 7 WHEN 0 THEN p_name WHEN 1 THEN concat(p_name, ' ions') WHEN 2 THEN concat(substr(p_name, 1, 1), substr(p_name, 3)) WHEN 3 THEN concat('x', p_name)
  WHEN 4 THEN upper(p_name) WHEN 5 THEN concat(p_name, 'qz targets') ELSE concat('qqq ', p_name) END"""
-RESOLVED = f"""d AS (SELECT p_name AS alias_key, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS entity_id FROM (SELECT DISTINCT p_name FROM part)),
-ph AS (SELECT DISTINCT {TYPO} AS phrase FROM part), b AS (SELECT phrase, lower(phrase) AS norm, regexp_replace(lower(phrase), '( ({NOISY}))+$', '') AS s FROM ph),
+def resolved_sql(phrases: str) -> str:
+    return f"""d AS (SELECT p_name AS alias_key, CAST(row_number() OVER (ORDER BY p_name) AS INT) AS entity_id FROM (SELECT DISTINCT p_name FROM part)),
+ph AS ({phrases}), b AS (SELECT phrase, lower(phrase) AS norm, regexp_replace(lower(phrase), '( ({NOISY}))+$', '') AS s FROM ph),
 k AS (SELECT phrase, norm, CASE WHEN length(s) > 3 AND s LIKE '%s' AND s NOT LIKE '%ss' THEN left(s, length(s) - 1) ELSE s END AS stripped FROM b),
 e AS (SELECT k.*, d1.entity_id AS e1, d2.entity_id AS e2 FROM k LEFT JOIN d d1 ON norm = d1.alias_key LEFT JOIN d d2 ON stripped = d2.alias_key AND stripped <> norm),
 f AS (SELECT phrase, arg_min(d.entity_id, levenshtein(stripped, alias_key) * 1000 + d.entity_id) AS e3 FROM e, d WHERE e1 IS NULL AND e2 IS NULL AND length(stripped) >= 3
@@ -196,6 +197,9 @@ f AS (SELECT phrase, arg_min(d.entity_id, levenshtein(stripped, alias_key) * 100
 r AS (SELECT e.phrase, coalesce(e1, e2, e3) AS entity_id, CASE WHEN e1 IS NOT NULL THEN 'exact' WHEN e2 IS NOT NULL THEN 'normalized' WHEN e3 IS NOT NULL THEN 'fuzzy' END AS match_kind FROM e LEFT JOIN f USING (phrase))"""
 
 
+RESOLVED = resolved_sql(f"SELECT DISTINCT {TYPO} AS phrase FROM part")
+
+
 def typos(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{TYPO} AS phrase")
 
@@ -208,6 +212,19 @@ def resolve_cascade(spark, sf_dir):
     return V.resolve_all(phrases, found.select("phrase", "entity_id", "match_kind")).select("p_partkey", "phrase", "entity_id", "match_kind")
 
 
+@query(f"WITH {resolved_sql(f'SELECT DISTINCT {TYPO} AS phrase FROM part UNION SELECT {PHRASE} FROM part')}, one AS (SELECT DISTINCT {TYPO} AS phrase FROM part) SELECT phrase, entity_id, match_kind, phrase IN (SELECT phrase FROM one) AS first_run FROM r WHERE entity_id IS NOT NULL")
+def phrase_ledger(spark, sf_dir):
+    """Two runs over one ledger: the second resolves only phrases that the first has not asked."""
+    d = saved(part_dictionary(spark, sf_dir), "dictionary")
+    catalogue = d.select(F.col("entity_id").alias("id"), F.col("alias_key").alias("name"), F.lit("part").alias("kind"))
+    ledger, version = _place(spark, "ledger"), V.dictionary_version(d)
+    asked = lambda p: V.resolve_material(p, d, catalogue).select("phrase", "entity_id", "match_kind")
+    first = saved(V.resolve_with_ledger(typos(spark, sf_dir), asked, ledger, version).select("phrase").withColumn("first_run", F.lit(True)), "first-run")
+    both = typos(spark, sf_dir).select("phrase").unionByName(table(spark, sf_dir, "part").selectExpr(f"{PHRASE} AS phrase"))
+    found = V.resolve_with_ledger(both, asked, ledger, version)
+    return found.join(first, "phrase", "left").select("phrase", "entity_id", "match_kind", F.coalesce("first_run", F.lit(False)).alias("first_run"))
+
+
 def _tier(name: str):
     @query(f"WITH {RESOLVED} SELECT phrase, entity_id FROM r WHERE match_kind = '{name}'")
     def run(spark, sf_dir):
@@ -319,6 +336,20 @@ def drop_overlaps(spark, sf_dir):
     return d.select("doc_id", F.explode("s").alias("s")).select("doc_id", F.col("s.k").cast("long").alias("k"), F.col("s.start").cast("long").alias("start"))
 
 
+WORDS_AND_NUMBERS = r"""w AS (SELECT doc_id, unnest(range(len(m))) AS k, unnest(m) AS text, unnest(list_transform(g[:len(m)], lambda x: length(x))) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '[A-Z][a-z]+') AS m, regexp_split_to_array(text, '[A-Z][a-z]+') AS g FROM documents)),
+words AS (SELECT doc_id, k, CAST(sum(gap + length(text)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop, length(text) AS n FROM w),
+c AS (SELECT doc_id, unnest(range(len(m))) AS k, unnest(m) AS text, unnest(list_transform(g[:len(m)], lambda x: length(x))) AS gap FROM (SELECT doc_id, regexp_extract_all(text, '[0-9]+') AS m, regexp_split_to_array(text, '[0-9]+') AS g FROM documents)),
+claims AS (SELECT doc_id, CAST(sum(gap + length(text)) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) AS stop, length(text) AS n FROM c)"""
+
+
+@query(f"WITH {WORDS_AND_NUMBERS} SELECT doc_id, stop - n AS start, stop FROM words w WHERE NOT EXISTS (SELECT 1 FROM claims c WHERE c.doc_id = w.doc_id AND c.stop - c.n - 300 < w.stop AND w.stop - w.n < c.stop + 300)")
+def drop_overlapping_rows(spark, sf_dir):
+    """Capitalised words that are not within 300 characters of a number."""
+    d = texts(spark, sf_dir, "documents", "doc_id")
+    of = lambda pattern, wide: d.select("doc_id", F.explode(T.match_spans(F.col("text"), pattern)).alias("m")).select("doc_id", (F.col("m.start") - wide).cast("long").alias("start"), (F.col("m.end") + wide).cast("long").alias("end"))
+    return X.drop_overlapping_rows(of("[A-Z][a-z]+", 0), of("[0-9]+", 300), ["doc_id"]).select("doc_id", "start", F.col("end").alias("stop"))
+
+
 @query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'pstar|mstar' WHEN 1 THEN 'geant4' ELSE '' END AS programs, CASE WHEN user_id % 3 = 0 THEN 'program' ELSE 'energy' END AS compare_dim FROM events")
 def programs(spark, sf_dir):
     e = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id", "concat('10 and 20 MeV protons ', CASE user_id % 3 WHEN 0 THEN 'with PSTAR, MSTAR and pstar' WHEN 1 THEN 'in Geant4' ELSE 'with icru49' END) AS text")
