@@ -49,6 +49,8 @@ def test_violations(spark):
     found = Q.violations(Q.data_lines(lines)).groupBy("record_idx").agg(F.sort_array(F.collect_list("path")).alias("p")).collect()
     got = {r.record_idx: r.p for r in found}
     assert [got.get(k, []) for k in range(len(CASES))] == [sorted(p) for _, p in CASES]
+    rows = lambda df: sorted(map(tuple, df.select("record_idx", "line_no", "path", "message").collect()))
+    assert rows(Q.line_violations(lines)) == rows(Q.violations(Q.data_lines(lines)))
 
 
 def test_numbering_malformed_and_duplicates(spark, tmp_path):
@@ -59,6 +61,7 @@ def test_numbering_malformed_and_duplicates(spark, tmp_path):
     records = Q.data_lines(lines)
     assert {(r.line_no, r.record_idx) for r in records.collect()} == {(2, 0), (4, None), (5, 1), (7, 2)}
     assert [r.line_no for r in Q.duplicate_ids(Q.record_ids(records)).collect()] == [5]
+    assert sorted(map(tuple, Q.line_ids(lines).collect()), key=repr) == sorted(map(tuple, Q.record_ids(records).collect()), key=repr)
     report = Q.validation_report(lines, spark.createDataFrame([("x",)], "tag string"), 1).first()
     assert (report["count"], report.errors, report.ok, report.passed) == (3, 3, False, False)
     own = S.read_labelled_jsonl(spark, str(tmp_path / "f.jsonl"), "id string, text string")

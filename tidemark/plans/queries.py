@@ -409,7 +409,7 @@ dup AS (SELECT line_no, record_idx, id FROM good g WHERE line_no > (SELECT min(l
 
 @query(f"WITH {LINES} SELECT record_idx, line_no, path FROM bad")
 def violations(spark, sf_dir):
-    return Q.violations(Q.data_lines(labelled_lines(spark, sf_dir))).select("record_idx", "line_no", "path")
+    return Q.line_violations(labelled_lines(spark, sf_dir)).select("record_idx", "line_no", "path")
 
 
 @query(f"WITH {LINES} SELECT line_no FROM l WHERE d = 5")
@@ -419,7 +419,7 @@ def malformed(spark, sf_dir):
 
 @query(f"WITH {LINES} SELECT line_no, record_idx, id FROM dup")
 def duplicates(spark, sf_dir):
-    return Q.duplicate_ids(Q.record_ids(Q.data_lines(labelled_lines(spark, sf_dir)))).select("line_no", "record_idx", "id")
+    return Q.duplicate_ids(Q.line_ids(labelled_lines(spark, sf_dir))).select("line_no", "record_idx", "id")
 
 
 @query(f"WITH {LINES} SELECT record_idx, tag FROM good WHERE tag = 'odd'")
