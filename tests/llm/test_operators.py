@@ -360,6 +360,31 @@ def test_secrets(spark, tmp_path):
     assert added == "prefixed:2:30"
 
 
+def test_long_and_odd_private_keys(spark):
+    line = "aB3+/c9Z" * 8
+    dashes = "-----BEGIN PRIVATE KEY-----\n" + "\n".join(["-".join(line)] * 4) + "\n-----END PRIVATE KEY-----"
+    spelled = "-----BEGIN RSA PRIVATE KEY-----\\n" + line + "\\n" + "Qq1=" + "\\n-----END RSA PRIVATE KEY-----"
+    prose = "A file begins with -----BEGIN PRIVATE KEY----- and so on, " + "with plain words " * 60 + "until -----END PRIVATE KEY----- is met."
+    rows = [(1, f"a {dashes} b"), (2, "-----BEGIN OPENSSH PRIVATE KEY-----\n" + (line + "\n") * 700 + "end"), (3, "x " + "-----BEGIN EC PRIVATE KEY-----\n" + (line + "\n") * 30_000 + "-----END EC PRIVATE KEY----- y"), (4, spelled), (5, prose)]
+    got = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert dashes.count("-") > 210
+    assert got == {1: "a [private_key] b", 2: "[private_key]\nend", 3: "x [private_key] y", 4: "[private_key]", 5: prose.replace("-----BEGIN PRIVATE KEY-----", "[private_key]")}
+
+
+@pytest.mark.parametrize("word", ["1", "1 ", "+1-", "a@b.", "GB12", "AZ09 "])
+def test_candidates_take_linear_time(spark, word):
+    took = []
+    for n in (20_000, 80_000):
+        df = spark.createDataFrame([(1, word * (n // len(word)))], "doc_id long, text string")
+        best = []
+        for _ in range(2):
+            start = time.perf_counter()
+            pii.propose(df, "doc_id", "text").select(F.size("candidates")).collect()
+            best.append(time.perf_counter() - start)
+        took.append(min(best))
+    assert took[1] < 12 * took[0] + 1, took
+
+
 def test_secrets_match_their_sql(spark, tmp_path):
     key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "aB3+/c9Z" * 8 + "\n-----END RSA PRIVATE KEY-----"
     jwt = ".".join(["eyJ" + "aB0_" * 4, "b-C1" * 4, "Zz9-" * 3])

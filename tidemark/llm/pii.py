@@ -80,7 +80,7 @@ def _features(s: Column) -> Column:
     flag = lambda c: c.cast("double")
     return F.array(
         F.length(m).cast("double"), count("[^0-9]"), count("[^A-Z]"), count("[^a-z]"), count("[^.]"), count("[^ ()-]"),
-        flag(F.startswith(m, F.lit("+"))), F.when(s["kind"] == "code_like", F.when(_remainder(m) == 1, 1.0).otherwise(0.0)).otherwise(flag(F.contains(m, F.lit("@")))), flag(_luhn(F.concat(F.lit("0"), m))),
+        flag(F.startswith(m, F.lit("+"))), F.when(s["kind"] == "code_like", F.when(_remainder(m) == 1, 1.0).otherwise(0.0)).otherwise(flag(F.contains(m, F.lit("@")))), flag(_is_card(m, m)),
         F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))).cast("double"),
         flag(F.rlike(before, F.lit(CUE))), flag(F.rlike(before, F.lit(r"(mail|contact|write)\W*$"))),
         flag(F.rlike(before, F.lit(r"(card|iban|account|visa)\W*$"))), flag(F.rlike(before, F.lit(r"[\p{L}\p{N}]$"))), flag(F.rlike(after, F.lit(r"[\p{L}\p{N}]"))),

@@ -119,7 +119,7 @@ OP3_RULES = [
     ("assign", r"""((?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 1, 2, 6),
     ("access", r"(AKIA[A-Z0-9]+)", 1, 1, 20),
     ("hex", r"([0-9a-f]+)", 1, 1, 24),
-    ("private_key", r"(-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+)*-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*[A-Za-z0-9+/=]{16,})*))", 1, 1, 0),
+    ("private_key", r"(-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:(?:\s|\\[nr])*(?:[A-Za-z][A-Za-z-]*:\x20[^\n\\]*|[A-Za-z0-9+/=_](?:-?[A-Za-z0-9+/=_]){15,}))*(?:(?:\s|\\[nr])*(?:[A-Za-z0-9+/=_](?:-?[A-Za-z0-9+/=_])*(?:\s|\\[nr])*)?-----END [A-Z ]*?PRIVATE KEY-----)?)", 1, 1, 0),
     ("jwt", r"(?:^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})", 1, 1, 0),
     ("prefixed", r"(?:^|[^A-Za-z0-9_])((?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9-]{20,})", 1, 1, 0),
 ]

@@ -7,6 +7,8 @@ to all rows. Everything is DataFrame functions.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .base import free_name, work_path
@@ -17,13 +19,21 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 BASE = [Rule("assign", ASSIGN, 2, lambda m, g: F.length(g) >= 6), Rule("access", ACCESS), Rule("hex", HEX)]
+# a key's lines: headers, and at least 16 characters of key text with single dashes at most; line breaks may be spelled out
+BREAKS = r"(?:\s|\\[nr])*+"
+KEY_TEXT = r"[A-Za-z0-9+/=_](?:-?[A-Za-z0-9+/=_])"
+PRIVATE_KEY = rf"-----BEGIN [A-Z ]*?PRIVATE KEY-----(?:{BREAKS}(?:[A-Za-z][A-Za-z-]*+:\x20[^\n\\]*+|{KEY_TEXT}{{15,}}+))*+(?:{BREAKS}(?:{KEY_TEXT}*+{BREAKS})?-----END [A-Z ]*?PRIVATE KEY-----)?"
 ADDED = [
-    # to the end mark, or with the lines of key text that follow where there is none
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+){0,200}+-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s*+[A-Za-z0-9+/=]{16,}+){0,500}+)"),
+    # the marks with the lines of key text between them, however many; prose after a mark is none
+    Rule("private_key", PRIVATE_KEY),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
     Rule("prefixed", r"(?<![A-Za-z0-9_])(?:gh[pousr]_|xox[abprs]-|sk_live_)[A-Za-z0-9-]{20,}+"),
 ]
-RULE_VERSION = "3"
+
+
+def version_of(rules: list[Rule]) -> str:
+    """Names a set of rules by what they match, so that findings of others in a ledger are not taken for theirs."""
+    return hashlib.sha256(repr([(r.kind, r.pattern, r.group, getattr(r.keep, "__qualname__", "")) for r in rules]).encode()).hexdigest()[:16]
 
 
 def _ledger(docs: DataFrame, path: str) -> DataFrame:
@@ -50,15 +60,16 @@ def scan_unseen(docs: DataFrame, ledger: str, id_col: str, text_col: str, rules:
     return _ledger(docs, ledger).filter(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
 
 
-def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, rule_version: str = RULE_VERSION) -> DataFrame:
+def scan(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None, rule_version: str | None = None) -> DataFrame:
     """doc_id, blob and spans (start, rank, end, kind; code points, end exclusive) of every row.
 
-    ledger is the path of a table that earlier scans have left, or of a new one. A null text is the empty blob; repeated
-    rows and equal texts are scanned once and all get the findings; an empty table gives no rows. Spans come by start,
+    ledger is the path of a table that earlier scans have left, or of a new one; the rules' version follows from the rules. A null text is the empty blob; repeated
+    rows and equal texts are scanned once and all get the findings; an empty table gives no rows; very long texts are
+    scanned whole. Spans come by start,
     then in the order of the rules. Other columns are ignored, whatever their names.
     """
-    path = ledger or work_path(docs.sparkSession, "ledger")
-    findings = scan_unseen(docs, path, id_col, text_col, rules or BASE + ADDED, rule_version)
+    path, rules = ledger or work_path(docs.sparkSession, "ledger"), rules or BASE + ADDED
+    findings = scan_unseen(docs, path, id_col, text_col, rules, rule_version or version_of(rules))
     blob = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256)
     paths = docs.select(F.col(id_col).cast("long").alias("doc_id"), blob.alias("blob"))
     hit = findings.filter(F.size("spans") > 0).select("blob", "spans")
@@ -71,7 +82,7 @@ def redact(docs: DataFrame, ledger: str | None = None, id_col: str = "doc_id", t
     Other columns stay as they are, whatever their names; null texts stay null, repeated rows stay repeated, an empty table
     stays empty."""
     path = ledger or work_path(docs.sparkSession, "ledger")
-    findings = scan_unseen(docs, path, id_col, text_col, BASE + ADDED, RULE_VERSION).filter(F.size("spans") > 0)
+    findings = scan_unseen(docs, path, id_col, text_col, BASE + ADDED, version_of(BASE + ADDED)).filter(F.size("spans") > 0)
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     of, blob, spans = (free_name(docs, c) for c in ("_of", "_blob", "_spans"))
     hit = findings.select(F.col("blob").alias(blob), F.col("spans").alias(spans))
