@@ -76,6 +76,14 @@ def test_bands_hold_all_rows(spark):
     assert empty.total == 0 and empty.slot_rate is None
 
 
+@pytest.fixture
+def as_dealt(spark):
+    """Small partitions stay as they were dealt."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="module")
 def curves(spark):
     rows = []
@@ -106,6 +114,30 @@ def test_outside_and_bad_points(spark, curves):
     assert [told[k] is None for k in range(4)] == [False, False, False, True]
 
 
+def test_long_curves_are_merged_in_ranges(spark, as_dealt):
+    import random
+
+    rng = random.Random(4)
+    long = [(1, 1, 1, 1 + k / 100, 5.0 * (1 + k / 100) ** -0.8, 0.5) for k in range(20_000)]
+    some = [(1, 1, m, float(e), 3.0 * e**-0.5, None) for m in (2, 3) for e in (1, 2, 5, 9)]
+    grid = spark.createDataFrame(long + some, "program_id int, particle_id int, material_id int, energy double, stopping_power double, range0 double").repartition(4)
+    cells, split = C.curve_cells(grid).persist(), C.long_curve_cells(grid).persist()
+    key = [*C.CURVE, "e0"]
+    both = cells.join(split.select(*key, F.col("e1").alias("f1"), F.col("r0").alias("q0"), F.col("r1").alias("q1"), F.col("last").alias("l"), F.col("range_is_relative").alias("rel")), key, "full")
+    assert both.count() == 20_005 and both.filter("not (e1 = f1 and last = l and range_is_relative = rel and abs(r0 - q0) <= 1e-9 * r1 and abs(r1 - q1) <= 1e-9 * r1) or l is null or last is null").isEmpty()
+    asked = [(1, 1, 1, rng.choice([rng.uniform(0.5, 202), 1.0, 200.99, 50.0])) for _ in range(3000)] + [(1, 1, m, e) for m in (2, 3, 4, None) for e in (0.5, 1.0, 4.0, 9.0, 9.1, float("nan"), None)]
+    points = spark.createDataFrame([(k, *r) for k, r in enumerate(asked)], "k int, program_id int, particle_id int, material_id int, energy double").repartition(3)
+    of = lambda df: {r.k: (r.stopping_power, r.csda_range) for r in df.collect()}
+    near = lambda x, y: (x is None) == (y is None) and (x is None or math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-12))
+    one, two = of(C.lookup_stopping_power(points, cells)), of(C.lookup_stopping_power(points, split, long_curves=True))
+    assert one.keys() == two.keys() and all(near(a, b) for k in one for a, b in zip(one[k], two[k], strict=True))
+    targets = points.withColumn("value", F.col("energy") / 3).drop("energy")
+    one, two = ({r.k: r.energy for r in C.inverse_range(targets, c, long_curves=x).collect()} for c, x in ((cells, False), (split, True)))
+    assert one.keys() == two.keys() and all(near(one[k], two[k]) for k in one)
+    parts = C._stretches(grid, *C.CURVE, "energy").groupBy("material_id", "_part").count().filter("material_id = 1").collect()
+    assert len(parts) >= 3 and max(r["count"] for r in parts) < 12_000  # one curve, several tasks
+
+
 def test_both_branches(spark, curves):
     peak = C.bragg_peak(curves).filter("material_id = 4").first()
     assert peak.peak_energy == 10.0

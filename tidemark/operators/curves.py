@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..functions.tables import saved
+
 CURVE = ["program_id", "particle_id", "material_id"]
 PER_DECADE, SMALLEST = 4, 1e-12
 
@@ -50,6 +52,59 @@ def curve_cells(curves: DataFrame) -> DataFrame:
     return cells.withColumn("r1", F.col("r0") + _part(F.col("e1"))).withColumn("range_is_relative", F.col("base").isNull()).drop("base")
 
 
+def _stretches(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by ranges of its keys and sorted, with the number of the range (_part): a long curve is several ranges of energy."""
+    return saved(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()), "stretches")
+
+
+def long_curve_cells(curves: DataFrame) -> DataFrame:
+    """`curve_cells` of curves of any length: a curve is dealt over tasks by ranges of energy, and the range is a prefix sum
+    of two levels, within a stretch and over the stretches, of which there is a row each."""
+    rows = _stretches(curves.select(*CURVE, "energy", "stopping_power", "range0"), *CURVE, "energy")
+    w = Window.partitionBy(*CURVE, "_part").orderBy("energy")
+    over = Window.partitionBy(*CURVE).orderBy("_part")
+    begins = rows.groupBy(*CURVE, "_part").agg(F.min_by(F.struct("energy", "stopping_power"), "energy").alias("first"))
+    begins = begins.select(*CURVE, "_part", F.lead("first").over(over).alias("_next"))
+    whole = rows.groupBy(*CURVE).agg(F.max("energy").alias("_top"), F.min_by("range0", "energy").alias("base"))
+    ends = rows.join(begins, [*CURVE, "_part"]).join(whole, CURVE)
+    own = ends.select(*CURVE, "_part", "base", "_top", F.col("energy").alias("e0"), F.coalesce(F.lead("energy").over(w), "_next.energy").alias("e1"), F.col("stopping_power").alias("s0"), F.coalesce(F.lead("stopping_power").over(w), "_next.stopping_power").alias("s1"))
+    b = F.when((F.col("s0") > 0) & (F.col("s1") > 0) & (F.col("e0") > 0), F.log(F.col("s1") / F.col("s0")) / F.log(F.col("e1") / F.col("e0")))
+    cells = saved(own.filter("e1 is not null").withColumn("b", b).withColumn("_own", _part(F.col("e1"))), "long-cells")
+    totals = cells.groupBy(*CURVE, "_part").agg(F.sum("_own").alias("_sum"))
+    before = totals.select(*CURVE, "_part", F.coalesce(F.sum("_sum").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"))
+    inside = F.coalesce(F.sum("_own").over(Window.partitionBy(*CURVE, "_part").orderBy("e0").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    out = cells.withColumn("_inside", inside).join(before, [*CURVE, "_part"]).withColumn("r0", F.coalesce("base", F.lit(0.0)) + F.col("_before") + F.col("_inside"))
+    last = F.col("e1") == F.col("_top")
+    return out.select(*CURVE, "e0", "e1", "s0", "s1", last.alias("last"), "b", "r0", (F.col("r0") + F.col("_own")).alias("r1"), F.col("base").isNull().alias("range_is_relative"))
+
+
+def as_of(points: DataFrame, cells: DataFrame, x: str, start: str) -> DataFrame:
+    """points with the struct _cell: of the cells of their curve that begin (column `start`) at or before x the last one,
+    null without any. Points and cells are merged in ranges of curve and place, so a curve with many cells or many points is
+    dealt over tasks, and a point meets one cell. Where a range begins with points, the cell comes from the ranges before,
+    of which there is a row each."""
+    columns = [c for c in cells.columns if c not in CURVE]
+    cell, row = F.struct(*columns), F.struct(*points.columns)
+    none = lambda df, of: F.lit(None).cast(df.select(of.alias("s")).schema["s"].dataType)
+    begins = cells.select(*CURVE, F.col(start).cast("double").alias("_x"), F.lit(0).alias("_kind"), F.lit(0).cast("long").alias("_salt"), cell.alias("_cell"), none(points, row).alias("_row"))
+    asks = points.select(*CURVE, F.col(x).cast("double").alias("_x"), F.lit(1).alias("_kind"), F.xxhash64(*points.columns).alias("_salt"), none(cells, cell).alias("_cell"), row.alias("_row"))
+    merged = _stretches(begins.unionByName(asks), *CURVE, "_x", "_kind", "_salt")
+    seen = Window.partitionBy(*CURVE, "_part").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    tails = merged.groupBy(*CURVE, "_part").agg(F.max_by("_cell", F.when(F.col("_kind") == 0, F.col("_x"))).alias("_tail"))
+    earlier = Window.partitionBy(*CURVE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select(*CURVE, "_part", F.last("_tail", ignorenulls=True).over(earlier).alias("_carried"))
+    found = merged.withColumn("_own", F.last("_cell", ignorenulls=True).over(seen)).filter("_kind = 1").join(carried, [*CURVE, "_part"], "left")
+    return found.select("_row.*", F.coalesce("_own", "_carried").alias("_cell"))
+
+
+def _merged(points: DataFrame, cells: DataFrame, x: str, start: str, inside) -> DataFrame:
+    """What `_probed` gives, by `as_of`; for cells that follow each other by `start`."""
+    columns = [c for c in cells.columns if c not in CURVE]
+    found = as_of(points, cells, x, start)
+    wide = found.select("*", *[F.col(f"_cell.{c}").alias(c) for c in columns]).withColumn("_in", F.coalesce(inside, F.lit(False)))
+    return wide.select(*points.columns, *[F.when(F.col("_in"), F.col(c)).alias(c) for c in columns])
+
+
 def _part(e: Column) -> Column:
     """Range from e0 to e within a cell, in closed form."""
     e0, s0, b = F.col("e0"), F.col("s0"), F.col("b")
@@ -78,11 +133,15 @@ def _probed(probes: DataFrame, cells: DataFrame, x: str, lo: Column, hi: Column,
 CELL = ["e0", "e1", "s0", "s1", "b", "r0", "r1", "last"]
 
 
-def lookup_stopping_power(points: DataFrame, cells: DataFrame, with_range: bool = True) -> DataFrame:
-    """points (curve columns, energy, …) with stopping_power and, if asked, csda_range; null outside of the grid."""
+def lookup_stopping_power(points: DataFrame, cells: DataFrame, with_range: bool = True, long_curves: bool = False) -> DataFrame:
+    """points (curve columns, energy, …) with stopping_power and, if asked, csda_range; null outside of the grid.
+
+    Probes meet the cells of their bucket. Curves of very many cells, or with most of the points, are merged with them in
+    ranges of energy instead (`long_curves`); the rows are the same."""
     e = F.col("energy")
     inside = (e >= F.col("e0")) & ((e < F.col("e1")) | F.col("last") & (e == F.col("e1")))
-    out = _probed(points, cells, "energy", F.col("e0"), F.col("e1"), inside).withColumn("stopping_power", _at_energy(e))
+    found = _merged(points, cells, "energy", "e0", inside) if long_curves else _probed(points, cells, "energy", F.col("e0"), F.col("e1"), inside)
+    out = found.withColumn("stopping_power", _at_energy(e))
     if with_range:
         out = out.withColumn("csda_range", F.col("r0") + _part(e))
     return out.drop(*CELL, *([] if with_range else ["range_is_relative"]))
@@ -104,15 +163,16 @@ def calculate_multi(points: DataFrame, programs: DataFrame, cells: DataFrame, mo
     return out.withColumn("error", F.when(F.col("stopping_power").isNull(), "no value on this curve"))
 
 
-def inverse_range(targets: DataFrame, cells: DataFrame) -> DataFrame:
-    """targets (curve columns, value, …) with the energy whose range is value, or an error."""
+def inverse_range(targets: DataFrame, cells: DataFrame, long_curves: bool = False) -> DataFrame:
+    """targets (curve columns, value, …) with the energy whose range is value, or an error. long_curves as for
+    lookup_stopping_power."""
     v = F.col("value")
     inside = (v >= F.col("r0")) & ((v < F.col("r1")) | F.col("last") & (v == F.col("r1")))
     e0, s0, b = F.col("e0"), F.col("s0"), F.col("b")
     x = (v - F.col("r0")) * s0 / e0
     power = F.when(F.abs(1 - b) < 1e-9, e0 * F.exp(x)).otherwise(e0 * F.pow(1 + x * (1 - b), 1 / (1 - b)))
     linear = e0 + (v - F.col("r0")) * (s0 + F.col("s1")) / 2
-    out = _probed(targets, cells, "value", F.col("r0"), F.col("r1"), inside)
+    out = _merged(targets, cells, "value", "r0", inside) if long_curves else _probed(targets, cells, "value", F.col("r0"), F.col("r1"), inside)
     out = out.withColumn("energy", F.when(b.isNotNull(), power).otherwise(linear)).drop(*CELL, "range_is_relative")
     return out.withColumn("error", F.when(F.col("energy").isNull(), "no energy has this range"))
 

@@ -583,6 +583,13 @@ def lookup_range(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("csda_range", 9).alias("csda_range"))
 
 
+@query(f"WITH {CURVES} SELECT l_orderkey, l_linenumber, l_partkey, round(r0 + CASE WHEN abs(1 - b) < 1e-9 THEN e0 / s0 * ln(x / e0) ELSE e0 / s0 * (pow(x / e0, 1 - b) - 1) / (1 - b) END, 9) AS csda_range FROM x LEFT JOIN cells c ON x.m = c.m AND x >= e0 AND (x < e1 OR last AND x = e1)")
+def lookup_long(spark, sf_dir):
+    """As lookup_range, with curves and probes merged in ranges of energy."""
+    out = C.lookup_stopping_power(probes(spark, sf_dir), C.long_curve_cells(part_curves(spark, sf_dir)), long_curves=True)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("csda_range", 9).alias("csda_range"))
+
+
 @query(f"WITH {CURVES}, v AS (SELECT *, g FROM x, (VALUES (1), (2), (3)) t(g)) SELECT l_orderkey, l_linenumber, l_partkey, g AS program_id, CASE WHEN g < 3 THEN round(g * s0 * pow(x / e0, b), 4) END AS stopping_power, g = 3 OR s0 IS NULL AS failed FROM v LEFT JOIN cells c ON v.m = c.m AND x >= e0 AND (x < e1 OR last AND x = e1)")
 def multi(spark, sf_dir):
     one = part_curves(spark, sf_dir)
