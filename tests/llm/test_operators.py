@@ -583,6 +583,14 @@ def test_archives_are_deterministic(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([(-1,), (0,), (firsts[3],), (firsts[3] - 1,), (10**16,), (None,)], "id long").select(at("id")).collect()] == [0, 0, 3, 2, len(firsts) - 1, 0]
 
 
+@pytest.fixture
+def as_dealt(spark):
+    """Small partitions stay as they were dealt."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 # --- repeated byte strings
 def brute_repeats(rows, threshold):
     """Per (id, text): bytes, removed, spans, digest of what stays."""
@@ -619,20 +627,15 @@ def test_repeats_match_brute_force(spark, threshold):
     assert got == sorted((i is None, i, *want[i, t]) for i, t in rows)
 
 
-def test_repeats_in_long_texts_and_at_the_ends_of_partitions(spark):
+def test_repeats_in_long_texts_and_at_the_ends_of_partitions(spark, as_dealt):
     rng = random.Random(3)
     long = prose(rng, 600_000)  # more than two stretches
     rows = [(2, long), (1, long[1_048_500:1_048_900]), (5, "q" + long[2_097_000:2_097_400]), (3, "z" * 4000)]
     want = brute_repeats(sorted(rows), 100)
     assert len(long) > 2_200_000 and repeats_of(docs_of(spark, rows)) == sorted((False, i, *want[i, t]) for i, t in rows)
-    # one window in all texts: its group is dealt to many partitions
+    # one window in all texts: its group is dealt over partitions
     same = [(k, f"{k:04d}" + "".join(rng.choice("0123456789") for _ in range(3)) + "m" * 100 + f"{k * 7919 % 10007:05d}") for k in range(300)]
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        got = repeats_of(docs_of(spark, same))
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    want = brute_repeats(same, 100)
+    got, want = repeats_of(docs_of(spark, same)), brute_repeats(same, 100)
     assert got == sorted((False, i, *want[i, t]) for i, t in same)
 
 
@@ -672,7 +675,7 @@ def brute_manifest(rows):
 
 
 @pytest.mark.parametrize("block_levels", [1, 2, 4])
-def test_manifest_matches_brute_force(spark, block_levels):
+def test_manifest_matches_brute_force(spark, as_dealt, block_levels):
     rng = random.Random(4)
     sizes = {None: 1, "a": 700, "b": 65, "é": 64, "c": 9, "B": 513, "": 3} | {f"l{k}": rng.randrange(1, 30) for k in range(5)}
     rows = [(rng.choice([k, k, None, 3]), lang, rng.choice(["Text", "tExt é", "", None, "low"])) for lang, n in sizes.items() for k in range(n)]
