@@ -165,3 +165,17 @@ def test_sinks(spark, curves, tmp_path):
     assert "range0" in own.columns and own.count() == curves.count()
     assert {r.name for r in S.supported(own, catalogue, "material_id").collect()} == {"A One", "B"}
     assert [r.id for r in S.programs(catalogue, catalogue.filter("id = 2")).collect()] == [1]
+
+
+def test_nested_results_are_grouped_as_they_lie(spark):
+    from tidemark.operators import requests as R
+
+    rows = [(r, "csdaRange", leg, "l", 1, 2, 3, "p", pos, 1.0 * pos, 2.0, 3.0, None) for r in range(20) for leg in range(2) for pos in range(3)]
+    rows += [(20, "csdaRange", 0, "l", 1, 2, 3, "p", None, None, None, None, "bad leg"), (21, "csdaRange", None, None, None, None, None, None, None, None, None, None, "bad request")]
+    schema = "request_id long, quantity string, leg int, label string, particle_id int, material_id int, program_id int, program_name string, pos int, energy double, stopping_power double, csda_range double, error string"
+    nested = R.nest_results(spark.createDataFrame(rows, schema))
+    plan = nested._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    got = {r.request_id: r for r in nested.collect()}
+    assert len(got) == 22 and [[p.pos for p in s.points] for s in got[3].series] == [[0, 1, 2]] * 2
+    assert got[20].series[0].error == "bad leg" and got[20].series[0].points == [] and got[21].request_error == "bad request" and got[21].series is None
