@@ -532,6 +532,38 @@ def test_templates_match_brute_force(spark):
     assert htmltext.text_of(rows[0][2], nodes) == "Other"
 
 
+LAYOUTS = {  # html of a page's article, and its text, where the letters are texts of its own
+    "lead and end": ("<div class=intro>{a}</div><div class=story><p>{b}</p><p>{c}</p></div><div class=end>{d}</div>", "abcd"),
+    "list after": ("<div class=c><p>{b}</p><ul class=x><li>{a}<li>{d}</ul></div>", "bad"),
+    "list in text": ("<div class=c>{b}<ul class=x><li>{a}<li>{d}</ul></div>", "bad"),
+    "subjects": ("<article><p>{b}</p><div class=legal><p>{a}</p></div><div class=social>{d}</div></article>", "bad"),
+    "constant words": ("<article><p>{b}</p><p>Sign up today for our letter.</p><div class=legal>No advice is given here.</div><p>{c}</p></article>", "bc"),
+    "comments": ("<article><p>{b}</p></article><div class=reader-thoughts><p>{c}</p></div>", "b"),
+    "many boxes": ("<div class=c>" + "".join(f"<div><p>{{b}} {k}</p></div>" for k in range(30)) + "</div>", None),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_articles_of_generated_hosts(spark, name):
+    rng = random.Random(name)
+    layout, want = LAYOUTS[name]
+    texts = [{k: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n)) + "." for k, n in zip("abcd", (9, 80, 40, 8), strict=True)} for _ in range(6)]
+    page = "<html><body><div class=m><a href=/a>Home</a> <a href=/b>About</a></div>{}<div class=z>All of this is ours since 2001.</div><div class=r>\u00a9 2001</div></body></html>"
+    rows = [(k, "http://g.example/p", page.format(layout.format(**t))) for k, t in enumerate(texts)]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k, t in enumerate(texts):
+        assert got[k] == ("\n\n".join(t[x] for x in want) if want else "\n\n".join(f"{t['b']} {n}" for n in range(30)))
+
+
+def test_copies_of_a_page_keep_their_text(spark):
+    page = "<body><div class=m><a href=/>Home</a></div><article><h1>Head</h1><p>{}</p></article></body>"
+    same = page.format("The same story on many pages. " * 5)
+    rows = [(k, "http://g.example/p", same) for k in range(5)] + [(9, "http://g.example/p", page.format("Another story stands here alone."))]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == got[4] == "Head\n\n" + ("The same story on many pages. " * 5).strip()
+    assert got[9].endswith("Another story stands here alone.")
+
+
 # --- media and archives
 def test_png_round_trip():
     for text in (None, "", "a", "é" * 100, "x" * 64, "y" * 100_000):

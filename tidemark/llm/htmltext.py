@@ -1,11 +1,13 @@
 """Main text of web pages by equivalence-class template deduction.
 
 A page's tokens are its block elements, told apart by their way down the tree (tag, class and place among equal
-siblings). Tokens of a host with the same occurrence vector over its pages form an equivalence class; a vector is held
-as a sum of page hashes, so classes come from grouped sums and no vector is gathered. Classes whose tokens stand once a
-page, on half of the host's pages or more, and below tokens of such classes, nest into the host's template. The text
-that the template leaves open lies in slots, each the part of a template node outside of the template nodes below it.
-The slot with the most text outside of links is the main one; `decide` says which others belong to it.
+siblings), and its blocks of text, told apart by their element and words. Tokens of a host with the same occurrence
+vector over its pages form an equivalence class; a vector is held as a sum of page hashes, so classes come from grouped
+sums and no vector is gathered. Classes whose tokens stand once a page, on half of the host's pages or more, and below
+tokens of such classes, nest into the host's template. Text that is a template token itself, on three pages or more, is
+constant and no part of any page's main text. What the template leaves open lies in slots, each the part of a template
+element outside of the template elements below it. The slot with the most varying text outside of links is the main
+one; `decide` says which others belong to it.
 
 Tags such as article and class names such as sidebar are evidence among others: they weigh a slot's text. Elements that
 are no text of the page at all (scripts, forms, nav, footer, aside and hidden ones) are left out beforehand.
@@ -34,11 +36,21 @@ DROPPED = frozenset("nav footer aside form button template svg head menu dialog
 BLOCK_ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "option": ("option",)}
 HEADINGS = frozenset("h1 h2 h3".split())
+#: Words of class names that speak of text.
+STORY = frozenset("abstract article body closing conclusion content end ending entry excerpt intro introduction lead lede opening paragraph standfirst story subtitle summary".split())
+#: What ends a sentence, and begins a line on rights.
+SENTENCE = tuple(".!?\u2026\"\u201d\u00bb\u3002\uff01\uff1f\u0964\u061f")
+RIGHTS = ("©", "(c) ", "(C) ")
+FLOW = frozenset("address blockquote dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre table tbody td tfoot th thead tr ul".split())
+#: Kinds of tokens.
+TEXT, INSIDE, BOX, PAGE = range(4)
 ROLES = frozenset("navigation banner contentinfo complementary search form".split())
 #: Words of class names and ids that speak of boilerplate: the last part of a name, or with neutral parts only.
 STRONG = frozenset("advert adverts advertisement advertising breadcrumb breadcrumbs comments cookies disqus footer masthead menu modal nav navbar navigation newsletter overlay pager pagination popup replies sidebar sponsored subscribe toolbar topbar".split())
-WEAK = frozenset("ad ads aside banner comment consent cookie copyright disclaimer discussion header legal login notice notices notification promo promotion recommended related reply search share sharing signup social sponsor widget".split())
-NEUTRAL = frozenset("area bar block bottom box button buttons container form global icon icons inner item items left link links list outer page post posts right section site slot text the top unit wrap wrapper".split())
+WEAK = frozenset("ad ads aside banner comment consent cookie copyright disclaimer discussion feedback header legal login notice notices notification promo promotion reactions recommended related reply responses search share sharing signup social sponsor thoughts widget".split())
+#: Those that are subjects of articles too: in an article they say nothing, and constant text goes by the template.
+SUBJECTS = frozenset("copyright disclaimer discussion header legal search social".split())
+NEUTRAL = frozenset("area bar block bottom box button buttons container form global icon icons inner item items left link links list outer page post posts reader readers right section site slot text the top unit wrap wrapper".split())
 
 _TAG = re.compile(r"""</?([a-zA-Z][^\s/>]*+)((?:[\s/]++|=?[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]++)?+)?+|=)*+)>""")
 _LOOSE_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)([^>]*+)>")
@@ -54,31 +66,37 @@ def _key(*parts: object) -> int:
 
 
 @lru_cache(8192)
-def _label(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Tag and class without digits, whether class, id or role speak of boilerplate, and whether the element is hidden."""
+def _label(tag: str, attributes: str) -> tuple[str, bool, bool, bool, bool]:
+    """Tag and class without digits, whether class, id or role speak of boilerplate, whether they do so in an article,
+    whether they speak of text, and whether the element is hidden."""
     own: dict[str, str] = {}
     for name, *values in _ATTRIBUTE.findall(attributes):
         own.setdefault(name.lower(), "".join(values).lower())
-    marked = own.get("role", "") in ROLES
+    marked = sure = own.get("role", "") in ROLES
+    story = False
     for names in (own.get("class", ""), own.get("id", "")):
         parts = [_PART.findall(n) for n in names.split()]
         flat = [p for x in parts for p in x]
-        marked |= any(x and x[-1] in STRONG for x in parts)
-        marked |= any(p in STRONG or p in WEAK for p in flat) and all(p in STRONG or p in WEAK or p in NEUTRAL for p in flat)
+        sure |= any(x and x[-1] in STRONG for x in parts)
+        story |= any(p in STORY for p in flat)
+        if all(p in STRONG or p in WEAK or p in NEUTRAL for p in flat):
+            marked |= any(p in STRONG or p in WEAK for p in flat)
+            sure |= any((p in STRONG or p in WEAK) and p not in SUBJECTS for p in flat)
     hidden = "hidden" in own or own.get("aria-hidden") == "true"
-    return tag + "." + " ".join(re.sub(r"\d+", "", own.get("class", "")).split()), marked and tag not in ("html", "body", "main", "article"), hidden
+    told = tag not in ("html", "body", "main", "article")
+    return tag + "." + " ".join(re.sub(r"\d+", "", own.get("class", "")).split()), (marked or sure) and told, sure and told, story, hidden
 
 
 class Node:
     """An open element: its token, whether its text is left out, and what is told of the text in it."""
 
-    __slots__ = ("tag", "token", "parent", "dropped", "marked", "main", "children", "text", "links", "headings")
+    __slots__ = ("tag", "token", "parent", "dropped", "marked", "main", "children", "text", "links", "prose")
 
     def __init__(self, tag: str, token: int, parent: Node | None, dropped: bool, marked: bool):
         self.tag, self.token, self.parent, self.dropped, self.marked = tag, token, parent, dropped, marked
         self.main = tag in ("main", "article") or parent is not None and parent.main
         self.children: dict[str, int] = {}
-        self.text = self.links = self.headings = 0
+        self.text = self.links = self.prose = 0
 
 
 @lru_cache(65536)
@@ -108,15 +126,15 @@ class Page:
                 if text and not node.dropped:
                     self.blocks.append((node, text))
                     node.text += len(text)
-                    node.links += min(linked, len(text))
-                    node.headings += node.tag in HEADINGS
+                    node.links += len(text) if text.startswith(RIGHTS) else min(linked, len(text))
+                    node.prose += node.tag in HEADINGS or node.tag == "p" and text.endswith(SENTENCE)
             linked = 0
 
         def closed() -> None:
             node = stack.pop()
             opened[node.tag] -= 1
             up = node.parent
-            up.text, up.links, up.headings = up.text + node.text, up.links + node.links, up.headings + node.headings
+            up.text, up.links, up.prose = up.text + node.text, up.links + node.links, up.prose + node.prose
 
         def say(end: int) -> None:
             nonlocal linked
@@ -162,7 +180,7 @@ class Page:
                 if tag not in VOID:
                     if quiet:
                         quiet += -1 if ending else 1
-                    elif not ending and match.group(2) and _label(tag, match.group(2))[2]:
+                    elif not ending and match.group(2) and _label(tag, match.group(2))[4]:
                         quiet = 1
                 continue
             ended()
@@ -181,13 +199,14 @@ class Page:
             if tag in VOID:
                 continue
             parent = stack[-1]
-            label, marked, hidden = _label(tag, match.group(2)) if match.group(2) else (tag + ".", False, False)
-            marked |= tag == "header" and not parent.main
+            label, marked, sure, story, hidden = _label(tag, match.group(2)) if match.group(2) else (tag + ".", False, False, False, False)
+            marked = sure if parent.main else marked or tag == "header"
             place = parent.children.get(label, 0)
             parent.children[label] = place + 1
             if tag in IMPLIED or tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
                 place = 0  # rows of a slot
-            node = Node(tag, _below(parent.token, label, min(place, 15)), parent, parent.dropped or hidden or tag in DROPPED, marked)
+            node = Node(tag, _below(parent.token, label, place), parent, parent.dropped or hidden or tag in DROPPED, marked)
+            node.prose += story
             self.nodes.append(node)
             if not match.group(0).endswith("/>"):
                 stack.append(node)
@@ -198,29 +217,42 @@ class Page:
             closed()
 
     def tokens(self) -> dict[int, tuple]:
-        """token: (parent, marked, main, times, text, links, headings) of all elements that are not left out."""
+        """token: (parent, marked, main, times, text, links, prose, kind) of all elements that are not left out and of
+        all blocks of text."""
         out: dict[int, list] = {}
         for n in self.nodes:
             if not n.dropped:
                 own = out.get(n.token)
                 if own is None:
-                    out[n.token] = [n.parent.token if n.parent else -1, n.marked, n.main, 1, n.text, n.links, n.headings]
+                    kind = PAGE if n.tag in ("", "html", "body") else INSIDE if n.tag in FLOW else BOX
+                    out[n.token] = [n.parent.token if n.parent else -1, n.marked, n.main, 1, n.text, n.links, n.prose, kind]
                 else:
                     own[3] += 1
                     own[4] += n.text
                     own[5] += n.links
-                    own[6] += n.headings
+                    own[6] += n.prose
+        for n, text in self.blocks:
+            own = out.setdefault(words_token(n, text), [n.token, False, n.main, 0, 0, 0, 0, TEXT])
+            own[3] += 1
+            own[4] += len(text)
         return out
 
 
+def words_token(node: Node, text: str) -> int:
+    return _key(node.token, text)
+
+
 def decide(tokens: dict[int, tuple]) -> dict[int, bool]:
     """Of each node of a template, whether the text of its slot belongs to the main text.
 
-    tokens: parent, marked, main, pages, text, links, headings. Tokens whose parents are not in the template are no
-    part of it. A slot's text counts less links, a tenth below boilerplate names and twice within article or main; the
-    most is the main slot, ties go to the smaller token. With it go the slots below it that no boilerplate name marks
-    and, outside of it, unmarked slots in the same article or main or, where there is none, those with a heading or
-    with a quarter of the main slot's text a page, half of it outside of links."""
+    tokens: parent, marked, main, pages, text, links, prose, kind. Tokens whose parents are not in the template are no
+    part of it. Text tokens are constant text, which is never kept, unless they are over three quarters of all text:
+    such a host has copies of a page. A slot's varying text counts less links, a tenth below boilerplate names and twice
+    within article or main; the most is the main slot, ties go to the smaller token. A main slot that is a paragraph,
+    list or table stands for the element that holds it. With it go the slots below it that no boilerplate name marks
+    and, outside of it, unmarked slots in the same article or main or, where there is none, those of no other article
+    whose varying text is half outside of links and that have headings, paragraphs of sentences or a name that speaks of text, or a
+    tenth of the main slot's text a page. Lines that begin with a copyright sign count as links."""
     valid: dict[int, tuple] = {}
     marks: dict[int, bool] = {}
     below: dict[int, list[int]] = defaultdict(list)
@@ -232,39 +264,60 @@ def decide(tokens: dict[int, tuple]) -> dict[int, bool]:
         valid[t] = tokens[t]
         marks[t] = tokens[t][1] or marks.get(tokens[t][0], False)
         todo += below[t]
-    own = {t: tuple(x[k] - sum(valid[c][k] for c in below[t] if c in valid) for k in (4, 5, 6)) for t, x in valid.items()}
+    texts = {t: x for t, x in tokens.items() if x[7] == TEXT}
+    for t in texts:
+        valid.pop(t, None)
     if not valid:
         return {}
-    plain = lambda t: max(0, own[t][0] - own[t][1])
-    weight = lambda t: plain(t) * (0.1 if marks[t] else 1) * (2 if valid[t][2] else 1)
-    best = max(valid, key=lambda t: (weight(t), -t))
+    constant: dict[int, int] = defaultdict(int)
+    for x in texts.values():
+        constant[x[0]] += x[4]
+    copies = sum(constant.values()) * 4 > sum(valid[t][4] for t in below[-1] if t in valid) * 3
+    if copies:
+        constant.clear()
+    own = {t: tuple(x[k] - sum(valid[c][k] for c in below[t] if c in valid) for k in (4, 5, 6)) for t, x in valid.items()}
+    varying = {t: max(0, own[t][0] - constant[t]) for t in valid}
+    plain = {t: max(0, varying[t] - own[t][1]) for t in valid}
+    best = max(valid, key=lambda t: (plain[t] * (0.1 if marks[t] else 1) * (2 if valid[t][2] else 1), -t))
+    most = plain[best]
+    rows = max(1, valid[best][3])
+    while valid[best][7] == INSIDE and valid[best][0] in valid:
+        best = valid[best][0]
     line, region, t = set(), None, best  # the main slot with the nodes that it is in, and the outermost article of them
     while t != -1:
         line.add(t)
         region = t if valid[t][2] else region
         t = valid[t][0]
-    keep: dict[int, bool] = {}
+    keep: dict[int, bool] = {t: copies for t in texts}
     state: dict[int, tuple[bool, bool]] = {-1: (False, False)}
     for t, x in valid.items():  # parents first
         bad, inside = state[x[0]]
-        state[t] = bad, inside = bad or x[1] and t not in line, inside or t in (best, region)
-        ample = own[t][2] > 0 or plain(t) * max(1, valid[best][3]) >= 0.25 * plain(best) * max(1, x[3])
-        keep[t] = not bad and (inside or region is None and plain(t) * 2 >= own[t][0] and ample)
+        inside = inside and (x[7] == INSIDE or valid[x[0]][7] != PAGE) or t in (best, region)
+        state[t] = bad, inside = bad or x[1] and t not in line, inside
+        ample = own[t][2] > 0 or plain[t] * rows >= 0.1 * most * max(1, x[3])
+        other = region is None and not x[2] and 0 < varying[t] <= plain[t] * 2 and ample
+        keep[t] = not bad and (inside or other)
     return keep
 
 
 def chosen(page: Page, keep: dict[int, bool]) -> list[str] | None:
-    """The blocks whose innermost template node is kept, less those below a boilerplate name of their own; None where
-    they are less than half of the text that is neither below such names nor in links."""
+    """The blocks whose innermost template node is kept, less those below a boilerplate name of their own and constant
+    ones; None where they are less than half of the text that is neither below such names nor in links. A page of which
+    less than a quarter would be left without constant text is a copy of others and keeps it."""
     good: dict[Node, bool] = {}
     free: dict[Node, bool] = {}
     for n in page.nodes:  # parents first
         up = n.parent
         free[n] = not n.marked and (up is None or free[up])
         good[n] = keep[n.token] if n.token in keep else up is not None and good[up] and not n.marked
-    kept = [text for node, text in page.blocks if good[node]]
-    told = sum(len(text) for node, text in page.blocks if free[node] and node.links * 2 <= node.text)
-    return kept if sum(map(len, kept)) * 2 >= told else None
+    varies = [keep.get(words_token(node, text), True) for node, text in page.blocks]
+    kept = [(text, v) for (node, text), v in zip(page.blocks, varies, strict=True) if good[node]]
+    whole, own = sum(len(text) for text, _ in kept), sum(len(text) for text, v in kept if v)
+    copy = own * 4 < whole
+    told = sum(len(text) for (node, text), v in zip(page.blocks, varies, strict=True) if free[node] and node.links * 2 <= node.text and (v or copy))
+    if (whole if copy else own) * 2 < told:
+        return None
+    return [text for text, v in kept if v or copy]
 
 
 def text_of(html: str | None, keep: dict[int, bool] | None) -> str:
@@ -272,7 +325,7 @@ def text_of(html: str | None, keep: dict[int, bool] | None) -> str:
     page = Page(html or "")
     found = chosen(page, keep) if keep else None
     if found is None:
-        alone = decide({t: x for t, x in page.tokens().items() if x[3] == 1})
+        alone = decide({t: x for t, x in page.tokens().items() if x[3] == 1 and x[7] != TEXT})
         found = chosen(page, alone) or []
     return "\n\n".join(found)
 
@@ -285,17 +338,17 @@ def host_of(url: str | None) -> str:
 
 
 def tokens(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """host, token, parent, marked, main, vector, pages, once, text, links, headings: a row for each token of a host.
+    """host, token, parent, marked, main, vector, pages, once, text, links, prose, kind: a row for each token of a host.
 
     vector is the sum over pages of a hash of page and times, modulo 2^40; once counts the pages that have it just
     once."""
-    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("marked", pa.bool_()), ("main", pa.bool_()), *[(c, pa.int64()) for c in SUMS]])
+    schema = pa.schema([("host", pa.string()), ("token", pa.int64()), ("parent", pa.int64()), ("marked", pa.bool_()), ("main", pa.bool_()), *[(c, pa.int64()) for c in SUMS], ("kind", pa.int8())])
 
     def flush(sums: dict[tuple[str, int], list]) -> Iterator[pa.RecordBatch]:
         keys = list(sums)
         for lo in range(0, len(keys), 20_000):
             part = keys[lo : lo + 20_000]
-            columns = [[k[0] for k in part], [k[1] for k in part], *([sums[k][c] for k in part] for c in range(9))]
+            columns = [[k[0] for k in part], [k[1] for k in part], *([sums[k][c] for k in part] for c in range(10))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
         sums.clear()
 
@@ -306,43 +359,44 @@ def tokens(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
                 for page_id, url, html in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
                     host = host_of(url)
                     h = _key(page_id, url)
-                    for token, (parent, marked, main, times, *told) in Page(html or "").tokens().items():
+                    for token, (parent, marked, main, times, text, links, prose, kind) in Page(html or "").tokens().items():
                         own = sums.get((host, token))
                         if own is None:
-                            own = sums[host, token] = [parent, marked, main, 0, 0, 0, 0, 0, 0]
+                            own = sums[host, token] = [parent, marked, main, 0, 0, 0, 0, 0, 0, kind]
                         own[3] = (own[3] + h * (2 * times - 1)) % (1 << 40)
                         own[4] += 1
                         own[5] += times == 1
-                        for k in range(3):
-                            own[6 + k] += told[k]
+                        own[6] += text
+                        own[7] += links
+                        own[8] += prose
                 if len(sums) > HELD_TOKENS:
                     yield from flush(sums)
         yield from flush(sums)
 
     rows = pages.select(F.col(id_col).cast("string"), F.col(url_col).cast("string"), F.col(html_col).cast("string"))
-    ddl = "host string, token long, parent long, marked boolean, main boolean, " + ", ".join(f"{c} long" for c in SUMS)
+    ddl = "host string, token long, parent long, marked boolean, main boolean, " + ", ".join(f"{c} long" for c in SUMS) + ", kind byte"
     parts = rows.mapInArrow(run, ddl).groupBy("host", "token")
-    return parts.agg(F.first("parent").alias("parent"), F.first("marked").alias("marked"), F.first("main").alias("main"), (F.sum("vector") % F.lit(1 << 40)).alias("vector"), *[F.sum(c).alias(c) for c in SUMS[1:]])
+    return parts.agg(F.first("parent").alias("parent"), F.first("marked").alias("marked"), F.first("main").alias("main"), F.first("kind").alias("kind"), (F.sum("vector") % F.lit(1 << 40)).alias("vector"), *[F.sum(c).alias(c) for c in SUMS[1:]])
 
 
-SUMS = ["vector", "pages", "once", "text", "links", "headings"]
+SUMS = ["vector", "pages", "once", "text", "links", "prose"]
 
 
-def templates(found: DataFrame, share: float = 0.5) -> DataFrame:
+def templates(found: DataFrame, share: float = 0.5, least_pages: int = 3) -> DataFrame:
     """host, nodes: array of (token, keep) of the host's template, from rows of `tokens`.
 
     Tokens that stand once on each page that has them, in classes of equal vectors with `share` of the host's pages or
-    more, make the template; a host has no more of them than pages have tokens / `share`."""
+    more (text tokens on three pages or more), make the template; a host has no more of them than pages have tokens / `share`."""
     size = found.filter("token = 0").select("host", F.col("pages").alias("most"))
-    valid = found.filter("once = pages").join(size, "host").filter(F.col("pages") >= F.col("most") * share)
-    classes = valid.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "parent", "marked", "main", "pages", "text", "links", "headings")).alias("members"))
+    valid = found.filter("once = pages").join(size, "host").filter((F.col("pages") >= F.col("most") * share) & ((F.col("kind") != TEXT) | (F.col("pages") >= least_pages)))
+    classes = valid.groupBy("host", "vector", "pages").agg(F.collect_list(F.struct("token", "parent", "marked", "main", "pages", "text", "links", "prose", "kind")).alias("members"))
     rows = classes.groupBy("host").agg(F.collect_list("members").alias("classes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = []
             for classes in batch.column(1).to_pylist():
-                keep = decide({m["token"]: (m["parent"], m["marked"], m["main"], m["pages"], m["text"], m["links"], m["headings"]) for c in classes for m in c})
+                keep = decide({m["token"]: (m["parent"], m["marked"], m["main"], m["pages"], m["text"], m["links"], m["prose"], m["kind"]) for c in classes for m in c})
                 nodes.append([{"token": t, "keep": k} for t, k in sorted(keep.items())])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.list_(pa.struct([("token", pa.int64()), ("keep", pa.bool_())])))], names=["host", "nodes"])
 
