@@ -251,8 +251,8 @@ def decide(tokens: dict[int, tuple]) -> dict[int, bool]:
     within article or main; the most is the main slot, ties go to the smaller token. A main slot that is a paragraph,
     list or table stands for the element that holds it. With it go the slots below it that no boilerplate name marks
     and, outside of it, unmarked slots in the same article or main or, where there is none, those of no other article
-    whose varying text is half outside of links and that have headings, paragraphs of sentences or a name that speaks of text, or a
-    tenth of the main slot's text a page. Lines that begin with a copyright sign count as links."""
+    whose varying text is half outside of links and that have headings, paragraphs of sentences or a name that speaks of text, or an
+    eighth of the main slot's text a page. Lines that begin with a copyright sign count as links."""
     valid: dict[int, tuple] = {}
     marks: dict[int, bool] = {}
     below: dict[int, list[int]] = defaultdict(list)
@@ -294,7 +294,7 @@ def decide(tokens: dict[int, tuple]) -> dict[int, bool]:
         bad, inside = state[x[0]]
         inside = inside and (x[7] == INSIDE or valid[x[0]][7] != PAGE) or t in (best, region)
         state[t] = bad, inside = bad or x[1] and t not in line, inside
-        ample = own[t][2] > 0 or plain[t] * rows >= 0.1 * most * max(1, x[3])
+        ample = own[t][2] > 0 or plain[t] * rows >= 0.125 * most * max(1, x[3])
         other = region is None and not x[2] and 0 < varying[t] <= plain[t] * 2 and ample
         keep[t] = not bad and (inside or other)
     return keep
