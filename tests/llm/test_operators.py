@@ -615,6 +615,23 @@ def test_archives_are_deterministic(spark, tmp_path):
     assert [r[0] for r in spark.createDataFrame([(-1,), (0,), (firsts[3],), (firsts[3] - 1,), (10**16,), (None,)], "id long").select(at("id")).collect()] == [0, 0, 3, 2, len(firsts) - 1, 0]
 
 
+def test_ranges_of_uneven_ids(spark, tmp_path):
+    rng = random.Random(5)
+    ids = [c + rng.randrange(2000) for c in (rng.randrange(-(2**63), 2**63 - 4000) for _ in range(100)) for _ in range(200)]
+    sizes = spark.createDataFrame([(i, 100) for i in ids] + [(-(2**63), 1), (2**63 - 1, 1), (77, 30_000)], "id long, bytes long")
+    ranges = warc.weighed_ranges(sizes, 1000)
+    firsts = np.array([f for f, _ in ranges])
+    own = np.bincount(np.searchsorted(firsts, ids, "right") - 1, minlength=len(firsts)) * 100
+    assert 1000 <= len(ranges) <= 2300 and own.max() <= 3000
+    assert dict(ranges)[77] == 30 and [k for _, k in ranges if k > 1] == [30]
+    rows = [(None, f"u{k}", "n" * 100) for k in range(300)] + [(5, f"u{k}", "h" * 100) for k in range(300)] + [(k, f"u{k}", "p" * 90) for k in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = warc.write(df, f"file://{tmp_path}", range_bytes=3000)
+    named = [r.file for r in manifest.collect()]
+    assert len([n for n in named if n.startswith("part-000000-")]) == 10 and len(named) > 20
+    assert sorted((r.page_id or -1, r.url) for r in warc.read(manifest, f"file://{tmp_path}").collect()) == sorted((p or -1, u) for p, u, _ in rows)
+
+
 @pytest.fixture
 def as_dealt(spark):
     """Small partitions stay as they were dealt."""

@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,32 +38,59 @@ def planned(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_by
     return rows.withColumn("digest", digest).join(revisits, ["id", "digest"], "left")
 
 
-def id_ranges(sizes: DataFrame, target_bytes: int, parts: int = 1024, most_parts: int = 1_000_000) -> list[int]:
-    """The first ids of ranges of about target_bytes each, from rows (id, bytes); a single id is never split.
+def weighed_ranges(sizes: DataFrame, target_bytes: int, parts: int = 1024, most_parts: int = 1_000_000) -> list[tuple[int, int]]:
+    """(first id, shares) of ranges of about target_bytes each, from rows (id, bytes).
 
-    Bytes are summed over equal intervals of the ids, four for each range; intervals that are too heavy, as where ids are
-    not even, are cut again, up to 64 of them a round. The driver sees sums of intervals only."""
+    Bytes are summed over equal intervals of the ids, four for each range; all intervals that are too heavy, as where
+    ids are not even, are cut again, into as many as their bytes want and `parts` in all at least, in one pass a round.
+    An id that is too heavy by itself is a range of its own, to be dealt to as many shares as its bytes want. The driver
+    sees sums of intervals that hold rows only, a few for each range."""
     told = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("bytes").alias("bytes")).first()
     if told.lo is None:
         return []
-    parts = min(most_parts, max(parts, 4 * told.bytes // target_bytes))
-    todo, weights = [(told.lo, told.hi)], {}
+    todo, weights = [(told.lo, told.hi, told.bytes)], {}
     while todo:
-        cuts = [(lo, hi, max(1, -(-(hi - lo + 1) // parts))) for lo, hi in todo]
-        interval = F.coalesce(*[F.when(F.col("id").between(lo, hi), F.expr(f"named_struct('first', {lo}L + (id - ({lo}L)) div {width}L * {width}L, 'width', {width}L)")) for lo, hi, width in cuts])
-        found = sizes.select(interval.alias("i"), "bytes").filter("i is not null").groupBy("i").agg(F.sum("bytes").alias("bytes")).select("i.*", "bytes").collect()  # at most parts rows for each heavy interval
+        least = max(8, parts // len(todo))
+        widths = [max(1, -(-(hi - lo + 1) // min(most_parts, max(least, 4 * own // target_bytes)))) for lo, hi, own in todo]
+        cuts = sizes.withColumn("i", _interval_of([x[:2] for x in todo], widths)("id")).filter("i.first is not null")
+        found = cuts.groupBy("i").agg(F.sum("bytes").alias("bytes")).select("i.*", "bytes").collect()
         heavy = [r for r in found if r.bytes > 2 * target_bytes and r.width > 1]
-        heavy = heavy if len(heavy) <= 64 else []  # so many are even enough
         again = {r.first for r in heavy}
         weights |= {r.first: r.bytes for r in found if r.first not in again}
-        todo = [(r.first, r.first + r.width - 1) for r in heavy]
-    firsts, held = [], target_bytes
+        ends = [hi for _, hi, _ in todo]
+        todo = sorted((r.first, min(r.first + r.width - 1, ends[bisect_left(ends, r.first)]), r.bytes) for r in heavy)
+    ranges, held = [], target_bytes
     for first in sorted(weights):
-        if held >= target_bytes:
-            firsts.append(first)
+        own = weights[first]
+        if held >= target_bytes or own > 2 * target_bytes:
+            ranges.append((first, own // target_bytes if own > 2 * target_bytes else 1))
             held = 0
-        held += weights[first]
-    return firsts
+        held += own
+    return ranges
+
+
+def id_ranges(sizes: DataFrame, target_bytes: int) -> list[int]:
+    """The first ids of `weighed_ranges`."""
+    return [first for first, _ in weighed_ranges(sizes, target_bytes)]
+
+
+def _interval_of(spans: list[tuple[int, int]], widths: list[int]):
+    """first and width of the interval that an id is in, among spans (lo, hi) in order that are cut by these widths;
+    nulls outside."""
+    lows, highs = (np.array(x, np.int64) for x in zip(*spans, strict=True))
+    steps = np.array([min(w, 2**63 - 1) for w in widths], np.uint64)
+
+    @F.pandas_udf("first long, width long")
+    def find(ids: pd.Series) -> pd.DataFrame:
+        own = ids.to_numpy("int64")
+        at = np.maximum(np.searchsorted(lows, own, "right") - 1, 0)
+        width = steps[at]
+        places = (own.view(np.uint64) - lows[at].view(np.uint64)) // width * width  # whole ids are 64 bits apart at most
+        outside = pd.Series((own < lows[at]) | (own > highs[at]))
+        out = {"first": (lows[at].view(np.uint64) + places).view(np.int64), "width": width.astype(np.int64)}
+        return pd.DataFrame({k: pd.Series(v).astype("Int64").mask(outside) for k, v in out.items()})
+
+    return find
 
 
 def _record(kind: str, page: int | None, url: str, payload: bytes, digest: bytes, refers: int | None) -> bytes:
@@ -84,7 +112,7 @@ def _member(record: bytes, level: int) -> bytes:
 
 
 def _range_of(firsts: list[int]):
-    """The range of an id among ranges of these first ids."""
+    """The range of an id among ranges of these first ids; null ids are in the first."""
     bounds = np.array(firsts, np.int64)
 
     @F.pandas_udf("int")
@@ -95,11 +123,24 @@ def _range_of(firsts: list[int]):
     return find
 
 
+def _share_of(shares: dict[int, int]):
+    """The number of shares of a range."""
+    counts = np.array([shares[n] for n in range(len(shares))], np.int64)
+
+    @F.pandas_udf("long")
+    def find(parts: pd.Series) -> pd.Series:
+        return pd.Series(counts[parts.to_numpy("int64")])
+
+    return find
+
+
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 1000, file_bytes: int = 32 << 20, level: int = 5, range_bytes: int = 64 << 20) -> DataFrame:
     """Writes a record for every row; returns the manifest: file, bytes, records.
 
     A null payload is empty, a null or empty url gives no target line (line ends in urls become spaces), a null id an empty record id.
-    Repeated rows are records of their own. An empty table gives an empty manifest. Other columns are ignored.
+    Repeated rows are records of their own. Rows of null ids, or of one id, that are too many for a range are dealt by
+    hashes of url and payload to several (equal rows, which are one response and revisits of few bytes each, stay together); very long
+    payloads are a record each as any others. An empty table gives an empty manifest. Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +152,11 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
         for batch in batches:
             for lo in range(0, len(batch), 200):
-                for page, url, html, refers, part in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
+                for page, url, html, refers, *part in zip(*(c.to_pylist() for c in batch.slice(lo, 200).columns), strict=True):
                     if part != of:
                         if out is not None and out.out is not None:
                             yield ended()
-                        out, of, records = Rolling(folder, f"part-{part:06d}", ".warc.gz", file_bytes, False), part, 0
+                        out, of, records = Rolling(folder, "part-{:06d}-{:04d}".format(*part), ".warc.gz", file_bytes, False), part, 0
                     payload = html.encode()
                     kind = "revisit" if refers is not None and len(payload) >= least_bytes else "response"
                     out.write(_member(_record(kind, page, " ".join((url or "").split()), payload, hashlib.sha1(payload).digest(), refers), level))
@@ -128,14 +169,19 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 
     rows = planned(pages, id_col, url_col, html_col, least_bytes)
     sizes = saved(rows.select("id", F.octet_length("html").cast("long").alias("bytes")), "sizes")
-    firsts = id_ranges(sizes.filter("id is not null"), range_bytes)
+    ranges = weighed_ranges(sizes.filter("id is not null"), range_bytes) or [(0, 1)]
+    nulls = max(1, (sizes.filter("id is null").agg(F.sum("bytes")).first()[0] or 0) // range_bytes)
     forget(sizes)
-    part = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col("id"))) - 1) if firsts else F.lit(0)
-    if len(firsts) > 64:  # many ranges: a search in a broadcast table of their first ids
-        part = _range_of(firsts)(F.col("id"))
-    rows = rows.withColumn("part", F.coalesce(part.cast("int"), F.lit(0)))  # null ids go first
-    ranged = rows.repartition(max(1, min(len(firsts), 20_000)), "part").sortWithinPartitions("part", "id", "url", "html")
-    return saved(ranged.select("id", "url", "html", "refers_to", "part").mapInArrow(run, "file string, bytes long, records long"), "manifest")
+    part = _range_of([first for first, _ in ranges])(F.col("id"))
+    rows = rows.withColumn("part", F.when(F.col("id").isNotNull(), part + 1).otherwise(F.lit(0)))  # null ids go first
+    shares = {0: nulls} | {n: k for n, (_, k) in enumerate(ranges, 1)}
+    many = [n for n, k in shares.items() if k > 1]  # of records of one id, or of none: dealt by what they hold
+    share = F.lit(0)
+    if many:
+        share = F.pmod(F.xxhash64("url", "html"), _share_of(shares)(F.col("part"))).cast("int")
+    rows = rows.withColumn("share", share)
+    ranged = rows.repartition(max(1, min(sum(shares.values()), 20_000)), "part", "share").sortWithinPartitions("part", "share", "id", "url", "html")
+    return saved(ranged.select("id", "url", "html", "refers_to", "part", "share").mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
 def _page(urn: str) -> int | None:
