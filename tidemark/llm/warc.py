@@ -123,13 +123,12 @@ def _range_of(firsts: list[int]):
     return find
 
 
-def _share_of(shares: dict[int, int]):
-    """The number of shares of a range."""
-    counts = np.array([shares[n] for n in range(len(shares))], np.int64)
+def _looked_up(values: np.ndarray):
+    """What stands in values at the place that a column says."""
 
     @F.pandas_udf("long")
-    def find(parts: pd.Series) -> pd.Series:
-        return pd.Series(counts[parts.to_numpy("int64")])
+    def find(places: pd.Series) -> pd.Series:
+        return pd.Series(values[places.to_numpy("int64")])
 
     return find
 
@@ -174,13 +173,13 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     forget(sizes)
     part = _range_of([first for first, _ in ranges])(F.col("id"))
     rows = rows.withColumn("part", F.when(F.col("id").isNotNull(), part + 1).otherwise(F.lit(0)))  # null ids go first
-    shares = {0: nulls} | {n: k for n, (_, k) in enumerate(ranges, 1)}
-    many = [n for n, k in shares.items() if k > 1]  # of records of one id, or of none: dealt by what they hold
+    counts = np.array([nulls, *(k for _, k in ranges)], np.int64)  # of shares, more than one of too many records of one id, or of none
     share = F.lit(0)
-    if many:
-        share = F.pmod(F.xxhash64("url", "html"), _share_of(shares)(F.col("part"))).cast("int")
-    rows = rows.withColumn("share", share)
-    ranged = rows.repartition(max(1, min(sum(shares.values()), 20_000)), "part", "share").sortWithinPartitions("part", "share", "id", "url", "html")
+    if counts.max() > 1:
+        share = F.pmod(F.xxhash64("url", "html"), _looked_up(counts)(F.col("part"))).cast("int")
+    tasks = min(int(counts.sum()), 20_000)
+    task = _looked_up(np.cumsum(counts) - counts)(F.col("part")) + F.col("share")  # one range or share a task, or evenly more
+    ranged = rows.withColumn("share", share).repartitionById(tasks, (task % tasks).cast("int")).sortWithinPartitions("part", "share", "id", "url", "html")
     return saved(ranged.select("id", "url", "html", "refers_to", "part", "share").mapInArrow(run, "file string, bytes long, records long"), "manifest")
 
 
