@@ -222,3 +222,15 @@ def test_longest_spans_first_match_brute_force(spark):
             if all(s[1] <= t[0] or t[1] <= s[0] for t in taken):
                 taken.append(s)
         assert got[k] == sorted(taken), k
+
+
+def test_plans_hold_the_folding_tables_once(spark):
+    """A fuzzy lookup read its keys ten times, and each read had all tables of the decomposition several times."""
+    table = T.decompositions()[1][:100]
+    copies = lambda df: df._jdf.queryExecution().toString().count(table)
+    phrases = spark.createDataFrame([("Ångströmm",), ("waterr",)], "phrase string")
+    assert copies(phrases.select(T.normalize_text(F.col("phrase")).alias("k"))) <= 4  # parsed, analyzed, optimized, physical
+    d = spark.createDataFrame([("angstrom", 1, 0), ("water", 2, 1)], "alias_key string, entity_id int, ord int")
+    found = V.resolve_fuzzy(V.with_keys(phrases), d)
+    assert copies(found) == 0
+    assert {(r.phrase, r.entity_id) for r in found.collect()} == {("Ångströmm", 1), ("waterr", 2)}

@@ -96,10 +96,11 @@ def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame, hot_segment: int = 20
     (at most length times alphabet). Two edits: an alias in three segments leaves one of them whole, so aliases and
     phrases are joined by segment, length and place. Aliases of a family may share a segment: of those segments that more than
     `hot_segment` aliases have, aliases and phrases are joined by what they become without up to two characters instead,
-    so no bucket grows with the family."""
+    so no bucket grows with the family. keyed is written once, since every branch reads it and a plan would hold what its keys come from as often."""
     value_cols = [c for c in dictionary.columns if c not in ("alias_key", "ord")]
     size, n = F.length("stripped"), F.length("alias_key")
-    probe = keyed.filter((F.col("norm") != "") & (size >= 3)).select("stripped").distinct()
+    asked = saved(keyed.filter((F.col("norm") != "") & (size >= 3)), "asked")
+    probe = asked.select("stripped").distinct()
     short, long = probe.filter(size < 7), probe.filter(size >= 7)
     aliases = dictionary.select("alias_key").distinct()
     by_key = lambda df, c, most: df.select(c, F.explode(deletions(F.col(c), most)).alias("key"))
@@ -118,7 +119,7 @@ def resolve_fuzzy(keyed: DataFrame, dictionary: DataFrame, hot_segment: int = 20
         near = near.unionByName(p)
     near = near.distinct().withColumn("distance", F.when(size >= 7, F.levenshtein("stripped", "alias_key", 2)).otherwise(F.levenshtein("stripped", "alias_key", 1))).filter("distance >= 0")
     best = near.join(dictionary, "alias_key").groupBy("stripped").agg(F.min_by(F.struct(*value_cols), F.struct("distance", "ord")).alias("v"))
-    return keyed.filter((F.col("norm") != "") & (size >= 3)).join(best, "stripped").select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
+    return asked.join(best, "stripped").select(*keyed.columns, "v.*", F.lit("fuzzy").alias("match_kind"))
 
 
 def resolve_symbol_guard(keyed: DataFrame, elements: DataFrame) -> DataFrame:
@@ -178,7 +179,7 @@ def resolve_isotope_parts(keyed: DataFrame, elements: DataFrame, variants: DataF
 
 
 def _distinct(phrases: DataFrame, phrase_col: str) -> DataFrame:
-    return with_keys(phrases.select(F.col(phrase_col).alias("phrase")).filter("phrase is not null").distinct())
+    return saved(with_keys(phrases.select(F.col(phrase_col).alias("phrase")).filter("phrase is not null").distinct()), "keyed")
 
 
 def resolve_material(phrases: DataFrame, dictionary: DataFrame, catalogue: DataFrame, phrase_col: str = "phrase") -> DataFrame:

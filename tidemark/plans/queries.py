@@ -229,7 +229,7 @@ def _tier(name: str):
     @query(f"WITH {RESOLVED} SELECT phrase, entity_id FROM r WHERE match_kind = '{name}'")
     def run(spark, sf_dir):
         d = saved(part_dictionary(spark, sf_dir), "dictionary")
-        keyed = V.with_keys(typos(spark, sf_dir).select("phrase").distinct())
+        keyed = saved(V.with_keys(typos(spark, sf_dir).select("phrase").distinct()), "keyed")
         exact = V.resolve_exact(keyed, d)
         if name == "exact":
             return exact.select("phrase", "entity_id")
