@@ -29,12 +29,16 @@ def data_lines(lines: DataFrame) -> DataFrame:
 
 def record_numbers(lines: DataFrame) -> DataFrame:
     """line_no, record_idx of the good lines."""
-    good = lines.filter(~F.rlike("value", F.lit(DATA_LINE)) & F.try_parse_json(F.trim("value")).isNotNull()).select("line_no")
+    return numbered(saved(_parsed(lines).select("line_no"), "good-lines"))
+
+
+def numbered(good: DataFrame) -> DataFrame:
+    """good (line_no, …; a saved table of the good lines) with record_idx."""
     good = good.withColumn("_block", F.floor(F.col("line_no") / 65536))
     counts = good.groupBy("_block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("_before", F.sum("n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).select("_block", F.coalesce("_before", F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy("_block").orderBy("line_no")) - 1
-    return good.withColumn("_inside", inside).join(before, "_block").select("line_no", (F.col("_inside") + F.col("_before")).alias("record_idx"))
+    return good.withColumn("_inside", inside).join(before, "_block").withColumn("record_idx", F.col("_inside") + F.col("_before")).drop("_block", "_inside", "_before")
 
 
 def malformed_lines(lines: DataFrame) -> DataFrame:
@@ -194,18 +198,20 @@ def _string(v: Column, path: str) -> Column:
 
 
 def _parsed(lines: DataFrame) -> DataFrame:
-    return lines.filter(~F.rlike("value", F.lit(DATA_LINE))).select("line_no", F.try_parse_json(F.trim("value")).alias("json")).filter("json is not null")
+    """line_no, json of the good lines; the generated column is parsed once, one of a projection would be wherever it is named."""
+    return lines.filter(~F.rlike("value", F.lit(DATA_LINE))).select("line_no", F.explode(F.array(F.try_parse_json(F.trim("value")))).alias("json")).filter("json is not null")
 
 
 def line_violations(lines: DataFrame) -> DataFrame:
-    """`violations` straight from lines (line_no, value): what is joined with the records' numbers is the issues, not the texts."""
-    found = _parsed(lines).select("line_no", F.explode(example_issues(F.col("json"))).alias("i"))
-    return found.join(record_numbers(lines), "line_no").select("record_idx", "line_no", "i.path", "i.message")
+    """`violations` straight from lines (line_no, value). Lines are parsed once; what is numbered is the issues, not the texts."""
+    found = saved(_parsed(lines).select("line_no", example_issues(F.col("json")).alias("i")), "issues")
+    return numbered(found).select("record_idx", "line_no", F.explode("i").alias("i")).select("record_idx", "line_no", "i.path", "i.message")
 
 
 def line_ids(lines: DataFrame) -> DataFrame:
-    """`record_ids` straight from lines (line_no, value)."""
-    return _parsed(lines).select("line_no", _string(F.col("json"), "$.id").alias("id")).join(record_numbers(lines), "line_no").select("line_no", "record_idx", "id")
+    """`record_ids` straight from lines (line_no, value), which are parsed once; written, since who looks for repeated ids reads it twice."""
+    found = saved(_parsed(lines).select("line_no", _string(F.col("json"), "$.id").alias("id")), "line-ids")
+    return saved(numbered(found).select("line_no", "record_idx", "id"), "record-ids")
 
 
 def record_tags(records: DataFrame) -> DataFrame:
