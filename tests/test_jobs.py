@@ -6,7 +6,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import curves as C, evaluate as E, quality as Q
+from tidemark.operators import curves as C, evaluate as E, extract as X, quality as Q, resolve as V
+from tidemark.plans.queries import QUERIES
 from tidemark.sources import io as S
 
 GOOD = {"id": "a", "text": "t", "tags": ["x"], "expected": {"quantity": "csdaRange", "compareDim": "none", "particles": [{"match": "p"}], "materials": [{"match": "water"}], "energies": [{"value": 1, "unit": "MeV"}], "assumptions": [], "confidence": 0.5}}
@@ -179,3 +180,52 @@ def test_nested_results_are_grouped_as_they_lie(spark):
     got = {r.request_id: r for r in nested.collect()}
     assert len(got) == 22 and [[p.pos for p in s.points] for s in got[3].series] == [[0, 1, 2]] * 2
     assert got[20].series[0].error == "bad leg" and got[20].series[0].points == [] and got[21].request_error == "bad request" and got[21].series is None
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_text_is_extracted_once(spark):
+    seen = []
+
+    def lengths(t):
+        seen.append(sorted(r.text for r in t.collect()))
+        return t.filter("text <> 'none'").select("id", F.length("text").alias("n"))
+
+    q = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, None), (4, "abc"), (5, ""), (6, "none")], "id long, text string")
+    rows = {r.id: r.n for r in X.each_text(q, lengths).collect()}
+    assert seen == [["", "ab", "abc", "none"]]
+    assert rows == {1: 2, 2: 2, 3: 0, 4: 3, 5: 0, 6: None}
+
+
+def test_tables_of_a_row_for_each_id_are_not_broadcast(spark):
+    """Repeated texts take so little room on disk that Spark would gather millions of rows in the driver."""
+    t = spark.createDataFrame([(1, "range of 5 MeV protons in water"), (2, "how far will 3 MeV carbon ions travel in air")], "id long, text string")
+    found = X.extract_distinct_intents(t, *X.seed_resolvers(spark))
+    assert "BroadcastHashJoin [id" not in plan(found)
+    assert {r.id: [m.match for m in r.intent.materials] for r in found.collect()} == {1: ["water"], 2: ["air"]}
+    points = spark.createDataFrame([(1, 1, 1, 5.0), (2, 1, 1, 50.0)], "leg int, program_id int, particle_id int, energy double")
+    limits = spark.createDataFrame([(1, 1, 1.0, 10.0)], "program_id int, particle_id int, min_energy double, max_energy double")
+    checked = C.check_bounds(points, limits, ["leg"])
+    assert "BroadcastHashJoin [leg" not in plan(checked)
+    assert {r.leg: r.leg_error is None for r in checked.collect()} == {1: True, 2: False}
+    phrases = spark.createDataFrame([("a",), ("b",), (None,)], "phrase string")
+    resolved = spark.createDataFrame([("a", [1, 2])], "phrase string, v array<int>")
+    wide = V.resolve_all(phrases, resolved, lookup_rows=0, heavy_share=1)
+    assert "SortMergeJoin [phrase" in plan(wide)
+    assert {r.phrase: r.v for r in wide.collect()} == {"a": [1, 2], "b": None, None: None}
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(1, '{"id": "a"}'), (2, "# note"), (3, '{"id": '), (4, '{"id": "a"}'), (5, '{"id": 7}')], "line_no long, value string")
+    ids = Q.line_ids(lines)
+    assert "parse_json" not in plan(Q.duplicate_ids(ids))
+    assert [(r.line_no, r.record_idx, r.id) for r in ids.orderBy("line_no").collect()] == [(1, 0, "a"), (4, 1, "a"), (5, 2, None)]
+    assert [r.line_no for r in Q.duplicate_ids(ids).collect()] == [4]
+
+
+@pytest.mark.parametrize("name", ["programs", "material_mentions", "particle_mentions"])
+def test_queries_match_patterns_in_distinct_texts(spark, name):
+    """What is left to do for each row is a lookup by text; patterns were matched in every row, a file's rows in one task."""
+    assert "regexp" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))

@@ -214,7 +214,7 @@ def check_bounds(points: DataFrame, limits: DataFrame, leg: list[str]) -> DataFr
     outside = F.coalesce((e < F.col("min_energy")) | (e > F.col("max_energy")), F.lit(True))
     own = F.when(bad, "energy is not a finite number").when(outside, F.concat(F.lit("energy "), e.cast("string"), F.lit(" is outside of the valid range")))
     failed = rows.select(*leg, own.alias("e")).filter("e is not null").groupBy(*leg).agg(F.min("e").alias("leg_error"))
-    return points.join(failed, leg, "left")
+    return points.join(failed.hint("merge"), leg, "left")
 
 
 def entity_metadata(programs: DataFrame, particles: DataFrame, materials: DataFrame, curves: DataFrame) -> DataFrame:

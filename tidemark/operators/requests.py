@@ -51,7 +51,7 @@ def resolved_entities(intents: DataFrame, particle_resolver=None, material_resol
         long = intents.select("request_id", F.posexplode(F.col(f"intent.{field}.match")).alias("k", "phrase"))
         found = resolve_all(long, saved(resolver(long.select("phrase")), "resolved-phrases"))
         own = found.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("k", *columns))).alias(field))
-        out = out.join(own, "request_id", "left")
+        out = out.join(own.hint("merge"), "request_id", "left")
     return out
 
 
@@ -78,14 +78,14 @@ def compute_requests(intents: DataFrame, particle_resolver, material_resolver, c
     """The long result: one row for each point of each leg, or one row with an error.
 
     intents: (request_id, intent and, from the extraction, entities; without those the resolvers are asked). Legs stand in
-    buckets of the request, so no request is shuffled again. particles: (id, atomic_mass); materials: (id, density). error_scope is request, leg or
+    buckets of the request, so what follows shuffles no request again. particles: (id, atomic_mass); materials: (id, density). error_scope is request, leg or
     null. Stopping-power requests do not compute ranges."""
     cells = saved(C.curve_cells(curves), "cells")
     checked = bucketed(structural_errors(resolved_entities(intents, particle_resolver, material_resolver)), "checked", "request_id")
     failed = checked.filter("request_error is not null").select("request_id", F.col("intent.quantity").alias("quantity"), F.col("request_error").alias("error"), F.lit("request").alias("error_scope"))
     legs = fan_out(checked.filter("request_error is null"), keys, names, programs_of)
     legs = legs.join(particles.select(F.col("id").alias("particle_id"), "atomic_mass"), "particle_id", "left").join(materials.select(F.col("id").alias("material_id"), "density"), "material_id", "left")
-    legs = bucketed(legs, "legs", "request_id", dealt=True)
+    legs = bucketed(legs, "legs", "request_id")  # nothing before needs the buckets of checked, so Spark reads it by file size
     quantity = F.col("intent.quantity")
     mass = F.when(F.col("mass_number") > 1, F.col("atomic_mass")).otherwise(F.col("mass_number"))
     forward = legs.filter(~quantity.isin(FROM_RANGE, FROM_POWER)).select("*", F.posexplode("intent.energies").alias("pos", "e"))
@@ -101,7 +101,7 @@ def compute_requests(intents: DataFrame, particle_resolver, material_resolver, c
     ready = lambda df: df.filter("t.value is not null and t.error is null").withColumn("value", F.col("t.value"))
     by_range = C.inverse_range(ready(of_range), cells).withColumn("csda_range", F.when(F.col("error").isNull(), F.col("value"))).withColumn("pos", F.lit(0))
     solved = C.inverse_stopping_power(ready(of_power).withColumn("side", F.lit(1)).select("request_id", "leg", *C.CURVE, "value", "side"), curves, cells, ["request_id", "leg"])
-    by_power = of_power.join(solved.select("request_id", "leg", "value", "energy", "error"), ["request_id", "leg"]).withColumn("stopping_power", F.when(F.col("error").isNull(), F.col("value"))).withColumn("pos", F.lit(0))
+    by_power = of_power.join(solved.select("request_id", "leg", "value", "energy", "error").hint("merge"), ["request_id", "leg"]).withColumn("stopping_power", F.when(F.col("error").isNull(), F.col("value"))).withColumn("pos", F.lit(0))
     parts = [power, far, bad, missing(of_range), missing(of_power), by_range, by_power]
     columns = {"request_id": None, "leg": None, "pos": "int", "label": None, "particle_id": None, "material_id": None, "program_id": None, "program_name": None, "program_source": None, "dropped_entities": None, "energy": "double", "stopping_power": "double", "csda_range": "double", "error": "string"}
     out = None

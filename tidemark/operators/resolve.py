@@ -211,13 +211,14 @@ HEAVY_SHARE = 1000
 def resolve_all(phrases: DataFrame, resolved: DataFrame, phrase_col: str = "phrase", lookup_rows: int = LOOKUP_ROWS, heavy_share: int = HEAVY_SHARE) -> DataFrame:
     """phrases with the columns of resolved (distinct phrases); rows that did not resolve keep nulls.
 
-    A table of resolved phrases within LOOKUP_ROWS and LOOKUP_BYTES is broadcast, so rows stay where they are. Otherwise phrases
+    A table of resolved phrases within LOOKUP_ROWS and LOOKUP_BYTES, all columns counted, is broadcast, so rows stay where they are. Otherwise phrases
     with more than one in `heavy_share` of the rows, which are fewer than that, meet their own broadcast lookup and only
-    the rest is shuffled: a phrase that most rows have makes no slow task. Null phrases meet nothing."""
+    the rest is shuffled and merged: a phrase that most rows have makes no slow task, and a table that takes little room on disk
+    alone is not gathered by the driver. Null phrases meet nothing."""
     resolved = resolved.withColumnRenamed("phrase", phrase_col)
     if not hasattr(resolved, "saved_at"):
         resolved = saved(resolved, "resolved-phrases")
-    rows, size = resolved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(phrase_col)), F.lit(0))).first()
+    rows, size = resolved.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
     if rows <= lookup_rows and size <= LOOKUP_BYTES:
         return phrases.join(F.broadcast(resolved), phrase_col, "left")
     counts = saved(phrases.filter(F.col(phrase_col).isNotNull()).groupBy(phrase_col).agg(F.count(F.lit(1)).alias("_n")), "phrase-counts")
@@ -227,7 +228,7 @@ def resolve_all(phrases: DataFrame, resolved: DataFrame, phrase_col: str = "phra
     often = phrases.join(heavy, phrase_col, "left_semi").join(found, phrase_col, "left")
     rest = phrases.join(heavy, phrase_col, "left_anti")
     none = rest.filter(F.col(phrase_col).isNull()).select(*phrases.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in resolved.schema.fields if f.name != phrase_col])
-    return often.unionByName(rest.filter(F.col(phrase_col).isNotNull()).join(resolved, phrase_col, "left")).unionByName(none)
+    return often.unionByName(rest.filter(F.col(phrase_col).isNotNull()).join(resolved.hint("merge"), phrase_col, "left")).unionByName(none)
 
 
 def dictionary_version(*tables: DataFrame) -> str:

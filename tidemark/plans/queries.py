@@ -322,9 +322,9 @@ def particle_mentions(spark, sf_dir):
 
 @query(f"WITH {REQUESTS} SELECT id, CASE event_type WHEN 'signup' THEN 1 ELSE 0 END AS pos, material AS match, material_id AS entity_id, 'exact' AS match_kind FROM q UNION ALL SELECT id, 0, 'helium', 2, 'exact' FROM q WHERE event_type = 'signup'")
 def material_mentions(spark, sf_dir):
-    q = requests(spark, sf_dir)
     words = F.concat(T.bounds(T.match_spans(F.col("text"), X.NAMED_PARTICLE)), T.bounds(T.match_spans(F.col("text"), X.PARTICLE_HEAD)), T.bounds(T.match_spans(F.col("text"), X.ENERGY)), T.bounds(T.match_spans(F.col("text"), X.LENGTH_TARGET)))
-    m = X.material_mentions(q.select("id", "text", words.alias("claimed")), X.seed_resolvers(spark)[1]).select("id", F.posexplode("materials").alias("pos", "m"))
+    resolver = X.seed_resolvers(spark)[1]
+    m = X.each_text(requests(spark, sf_dir), lambda t: X.material_mentions(t.select("id", "text", words.alias("claimed")), resolver)).select("id", F.posexplode("materials").alias("pos", "m"))
     return m.select("id", "pos", "m.match", "m.entity_id", "m.match_kind")
 
 
@@ -352,8 +352,8 @@ def drop_overlapping_rows(spark, sf_dir):
 
 @query("SELECT event_id, CASE user_id % 3 WHEN 0 THEN 'pstar|mstar' WHEN 1 THEN 'geant4' ELSE '' END AS programs, CASE WHEN user_id % 3 = 0 THEN 'program' ELSE 'energy' END AS compare_dim FROM events")
 def programs(spark, sf_dir):
-    e = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id", "concat('10 and 20 MeV protons ', CASE user_id % 3 WHEN 0 THEN 'with PSTAR, MSTAR and pstar' WHEN 1 THEN 'in Geant4' ELSE 'with icru49' END) AS text")
-    e = e.select("event_id", X.program_mentions(F.col("text")).alias("p"), X.extract_measurements(F.col("text")).alias("e"))
+    e = texts(spark, sf_dir, "events", "event_id").selectExpr("event_id", "concat('10 and 20 MeV protons ', CASE user_id % 3 WHEN 0 THEN 'with PSTAR, MSTAR and pstar' WHEN 1 THEN 'in Geant4' ELSE 'with icru49' END) AS text").withColumnRenamed("event_id", "id")
+    e = X.each_text(e, lambda t: t.select("id", X.program_mentions(F.col("text")).alias("p"), X.extract_measurements(F.col("text")).alias("e"))).withColumnRenamed("id", "event_id")
     none = F.array().cast("array<string>")
     return e.select("event_id", F.array_join("p", "|").alias("programs"), X.decide_compare_dim(F.col("p"), F.col("e"), none, none).alias("compare_dim"))
 
@@ -641,15 +641,25 @@ def power_curves(spark, sf_dir) -> DataFrame:
     return rows.select("program_id", "particle_id", "material_id", "energy", (a * F.pow("energy", F.lit(-0.8))).alias("stopping_power"), (F.pow("energy", F.lit(1.8)) / (1.8 * a)).alias("range0"))
 
 
-def computed(spark, sf_dir, q: DataFrame | None = None) -> DataFrame:
+def computed(spark, texts_: DataFrame, sf_dir) -> DataFrame:
+    """The long result of distinct texts (id, text)."""
     resolvers = X.seed_resolvers(spark)
-    q = requests(spark, sf_dir).select("id", "text") if q is None else q
-    i = X.extract_intents(q, *resolvers).select(F.col("id").alias("request_id"), "intent", "entities")
+    i = X.extract_distinct_intents(texts_, *resolvers).select(F.col("id").alias("request_id"), "intent", "entities")
     particles = seed.elements(spark).select(F.col("z").alias("id"), F.col("default_mass_number").cast("double").alias("atomic_mass"))
     materials = spark.createDataFrame([(276, 1.0), (223, 1.2), (906, 1.7)], "id int, density double")
     return R.compute_requests(i, *resolvers, power_curves(spark, sf_dir), particles, materials, seed.program_keys(spark), seed.program_names(spark), seed.programs_of(spark))
 
 
+def computed_rows(spark, sf_dir, q: DataFrame) -> DataFrame:
+    """The long result of all requests (id, text): a result follows from the text, so each text is computed once."""
+
+    def results(t: DataFrame) -> DataFrame:
+        c = computed(spark, t, sf_dir)
+        return c.groupBy(F.col("request_id").alias("id")).agg(F.collect_list(F.struct(*[k for k in c.columns if k != "request_id"])).alias("r"))
+
+    return X.each_text(q, results).select(F.col("id").alias("request_id"), F.explode("r").alias("r")).select("request_id", "r.*")
+
+
 COMPUTED = f"""{REQUESTS}, g AS (SELECT min(e) AS lo, max(e) AS hi FROM ({GRID})),
 legs AS (SELECT id, 0 AS leg, event_type, n, material, material_id, 1 AS particle_id, CAST(n AS DOUBLE) AS e, 'Water (liquid)' AS label FROM q WHERE event_type IN ('click', 'error')
 UNION ALL SELECT id, 0, event_type, n, material, material_id, 6, CASE event_type WHEN 'view' THEN n ELSE n / 12.0 END, '' FROM q WHERE event_type IN ('view', 'purchase')
@@ -663,14 +673,15 @@ out AS (SELECT id AS request_id, leg, event_type, particle_id, material_id, prog
 @query(f"""WITH {COMPUTED} SELECT request_id, leg, particle_id, material_id, program_id, CASE WHEN NOT failed THEN round(energy, 5) END AS energy,
 CASE WHEN NOT failed AND event_type <> 'error' THEN round(a * pow(energy, -0.8), 5) END AS stopping_power, CASE WHEN NOT failed AND event_type <> 'click' THEN CASE WHEN event_type = 'error' THEN round(n / 10.0 * density, 5) ELSE round(pow(energy, 1.8) / (1.8 * a), 5) END END AS csda_range, failed FROM out""")
 def compute_requests(spark, sf_dir):
-    c = computed(spark, sf_dir)
+    c = computed_rows(spark, sf_dir, requests(spark, sf_dir))
     rounded = [F.round(k, 5).alias(k) for k in ("energy", "stopping_power", "csda_range")]
     return c.select("request_id", "leg", "particle_id", "material_id", "program_id", *rounded, F.col("error").isNotNull().alias("failed"))
 
 
 @query(f"WITH {COMPUTED} SELECT request_id, count(*) AS legs, count(*) FILTER (failed) AS failed_legs, count(*) FILTER (NOT failed) AS points FROM out GROUP BY 1")
 def nest_results(spark, sf_dir):
-    nested = R.nest_results(computed(spark, sf_dir))
+    nested = X.each_text(requests(spark, sf_dir), lambda t: R.nest_results(computed(spark, t, sf_dir)).withColumnRenamed("request_id", "id"))
+    nested = nested.filter("series is not null or request_error is not null").withColumnRenamed("id", "request_id")
     return nested.select("request_id", F.size("series").cast("long").alias("legs"), F.size(F.filter("series", lambda s: s["error"].isNotNull())).cast("long").alias("failed_legs"), F.aggregate("series", F.lit(0).cast("long"), lambda a, s: a + F.size(s["points"])).alias("points"))
 
 
@@ -783,6 +794,6 @@ SELECT id AS request_id, leg, program_id, material_id, CASE WHEN fine THEN round
 CASE WHEN fine AND event_type NOT IN ('click', 'error') THEN round(pow(energy, 1.8) / (1.8 * a), 5) END AS csda_range, NOT fine AS failed FROM ok""")
 def compute_kinds(spark, sf_dir):
     """Inverse stopping power, and comparisons of energies, materials and programs, from text to numbers."""
-    c = computed(spark, sf_dir, texts(spark, sf_dir, "events", "event_id").selectExpr("event_id AS id", f"{ASKED} AS text"))
+    c = computed_rows(spark, sf_dir, texts(spark, sf_dir, "events", "event_id").selectExpr("event_id AS id", f"{ASKED} AS text"))
     rounded = [F.round(k, 5).alias(k) for k in ("energy", "stopping_power", "csda_range")]
     return c.select("request_id", "leg", "program_id", "material_id", *rounded, F.col("error").isNotNull().alias("failed"))
