@@ -229,3 +229,8 @@ def test_lines_are_parsed_once(spark):
 def test_queries_match_patterns_in_distinct_texts(spark, name):
     """What is left to do for each row is a lookup by text; patterns were matched in every row, a file's rows in one task."""
     assert "regexp" not in plan(QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_inverse_targets_are_dealt_once(spark):
+    """Targets were grouped, dealt to the cells and grouped again, each time as many to a task as a file's split held."""
+    assert plan(QUERIES["inverse_branch"](spark, "/root/testdata/sf0.001")).count("Exchange hashpartitioning") <= 1

@@ -185,8 +185,10 @@ def bragg_peak(curves: DataFrame) -> DataFrame:
 
 def inverse_stopping_power(targets: DataFrame, curves: DataFrame, cells: DataFrame, key: list[str]) -> DataFrame:
     """targets (curve columns, key columns, value, side) with the outermost energy on the low (0) or high (1) side of the
-    peak whose stopping power is value, or an error. key tells the targets apart."""
+    peak whose stopping power is value, or an error. key tells the targets apart. The cells are written, so that Spark knows their
+    size: where they are few, targets stay where they are, and those dealt by key or value are grouped there as well."""
     sided = cells.join(bragg_peak(curves), CURVE).withColumn("cell_side", F.when(F.col("e0") >= F.col("peak_energy"), 1).otherwise(0)).drop("peak_energy", "peak_stopping_power")
+    sided = saved(sided, "sided-cells")
     v, lo, hi = F.col("value"), F.least("s0", "s1"), F.greatest("s0", "s1")
     inside = (v >= lo) & (v <= hi) & (F.col("side") == F.col("cell_side"))
     out = _probed(targets, sided, "value", F.col("s0"), F.col("s1"), inside)

@@ -608,7 +608,9 @@ def inverse_range(spark, sf_dir):
 h AS (SELECT t.*, e0 * pow(v / s0, 1 / b) AS e FROM t JOIN pk USING (m) LEFT JOIN cells c ON t.m = c.m AND v >= least(s0, s1) AND v <= greatest(s0, s1) AND side = CASE WHEN e0 >= pe THEN 1 ELSE 0 END)
 SELECT l_partkey, round(v, 6) AS value, side, round(CASE WHEN side = 1 THEN max(e) ELSE min(e) END, 6) AS energy FROM h GROUP BY l_partkey, v, side""")
 def inverse_branch(spark, sf_dir):
-    t = probes(spark, sf_dir).withColumn("value", 880 + F.col("energy") * 20).withColumn("side", F.col("l_partkey") % 2).drop("energy", "l_orderkey", "l_linenumber").distinct()
+    t = probes(spark, sf_dir).withColumn("value", 880 + F.col("energy") * 20).withColumn("side", F.col("l_partkey") % 2).drop("energy", "l_orderkey", "l_linenumber")
+    # dealt by rows: few targets repeat, so a task's share decides its memory; equal ones become one row when they are solved
+    t = t.repartition(max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // 500_000)), "l_partkey", "value")
     curves = part_curves(spark, sf_dir)
     out = C.inverse_stopping_power(t, curves, C.curve_cells(curves), ["l_partkey"])
     return out.select("l_partkey", F.round("value", 6).alias("value"), "side", F.round("energy", 6).alias("energy"))
